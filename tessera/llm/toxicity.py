@@ -180,20 +180,32 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, seed: int =
     return model
 
 
-def _logistic(points: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> tuple[float, float, float]:
-    """Newton's method for a ridged logistic curve over (best, total); slopes are kept from being negative."""
+def _logistic(points: np.ndarray, ridge: float = 1e-1, rounds: int = 100) -> tuple[float, float, float]:
+    """A ridged logistic curve over (best, total) by damped Newton steps; slopes are kept from being negative."""
     x, y = np.column_stack([np.ones(len(points)), points[:, :2]]), points[:, 2]
     scale = np.maximum(x.std(axis=0), 1e-9)
     scale[0] = 1.0
     x = x / scale
-    w = np.zeros(3)
+    penalty = ridge * np.array([1e-3, 1, 1])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + (penalty * w * w).sum() / 2)
+
+    w = np.array([math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0, 0.0])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.diag([1e-3, 1, 1])
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * np.array([1e-3, 1, 1]) * w)
-        w = np.concatenate(([w[0] + step[0]], np.maximum(0, w[1:] + step[1:])))
-        if np.abs(step).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
+        step, size = np.linalg.solve(h, x.T @ (y - p) - penalty * w), 1.0
+        while size > 1e-6:
+            tried = w + size * step
+            tried[1:] = np.maximum(0, tried[1:])
+            if loss(tried) < loss(w):
+                break
+            size /= 2
+        else:
             break
+        w = tried
     return tuple(float(v) for v in w / scale)
 
 
