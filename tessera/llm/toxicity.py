@@ -33,6 +33,8 @@ STEMS = (3, 4, 5)
 PRIOR = 4.0
 #: What a token without a score costs; any positive value makes the scan drift down between passages.
 COST = 0.15
+#: Log-odds that a token needs to have a score of its own.
+MIN_SCORE = 1.5
 #: Tokens and stems the model may hold.
 MAX_TERMS = 100_000
 CACHE = 400_000
@@ -95,6 +97,12 @@ def _passages(text: str | None, scores: _Scores, model: ToxicityModel) -> tuple[
     values = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
     if not len(values) or values.max() <= 0:
         return len(words), []
+    # a word that comes again tells nothing new: only its first occurrence scores
+    seen: set[str] = set()
+    for at in np.flatnonzero(values > 0).tolist():
+        if words[at] in seen:
+            values[at] = 0.0
+        seen.add(words[at])
     chance = math.log(max(model.constant * len(words), 1e-12))
     return len(words), [(s, e, x, model.scale * x - chance) for s, e, x in segments(values)]
 
@@ -155,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, seed: int =
         word, n = (term[2:], int(term[0])) if term[1:2] == " " else (term, 99)
         parent = next((posterior[k] for m in reversed(STEMS) if m < min(n, len(word)) and (k := f"{m} {word[:m]}") in posterior), rate)
         posterior[term] = (a + PRIOR * parent) / (a + b + PRIOR)
-    terms = {w: s for w, p in posterior.items() if (s := logit(min(p, 1 - 1e-9)) - logit(rate)) > 1.0}
+    terms = {w: s for w, p in posterior.items() if (s := logit(min(p, 1 - 1e-9)) - logit(rate)) > MIN_SCORE}
     model = ToxicityModel(toxic / (toxic + clean), terms)
 
     # The law of chance segments, from texts that are not toxic; then the curve, from all that were drawn.
