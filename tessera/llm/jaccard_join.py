@@ -22,6 +22,7 @@ null doc_id is linked with nothing. Other columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,12 @@ FREQUENT_SHARE = 1 / 2000
 MIN_FREQUENT = 24
 #: Frequent tokens in a prefix up to which they are combined.
 MAX_COMBINED = 10
+#: Ids that are broadcast to filter rows; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 CHUNK_TOKENS = 2_000_000
 CACHE = 500_000
 
-_FOLD_CASE = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13, 32) else c for c in range(256))
+_FOLD_CASE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SHIFT, _MIX, _PAIR, _SINGLE = np.uint64(31), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -59,10 +62,9 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 
 def token_sets(texts: list[bytes | None], n: int, cache: _Hashes) -> list[np.ndarray]:
     """The sorted distinct tokens (64-bit) of each text."""
-    words = [t.translate(_FOLD_CASE).split(b" ") if t else [] for t in texts]
-    words = [[w for w in ws if w] for ws in words]
+    words = [t.translate(_FOLD_CASE).split() if t else [] for t in texts]
     lengths = [len(ws) for ws in words]
-    flat = np.fromiter((cache[w] for ws in words for w in ws), np.uint64, sum(lengths))
+    flat = np.fromiter(map(cache.__getitem__, chain.from_iterable(words)), np.uint64, sum(lengths))
     rolled = flat
     for i in range(1, n):
         rolled = (rolled[: max(0, len(flat) - i)] * _MIX) ^ (rolled[: max(0, len(flat) - i)] >> _SHIFT)
@@ -86,10 +88,10 @@ def needed(n: int, percent: int) -> int:
     return (percent * n + 99) // 100
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Keys of rare tokens and combinations, keys of single frequent tokens, and whether the set is large."""
+def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The prefix as rare tokens and single frequent ones, the keys of combinations, and whether the set is large."""
     if len(tokens) < 2:  # a single token is similar to itself only: the same class
-        return tokens[:0], tokens[:0], False
+        return tokens[:0], tokens[:0], tokens[:0], False
     length = len(tokens) - needed(len(tokens), percent) + 2
     if len(frequent):
         known = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
@@ -98,9 +100,9 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
         rare, often = tokens[:length], tokens[:0]
     often = often[: length - len(rare)]
     if len(often) > MAX_COMBINED:
-        return rare, _mixed(often ^ _SINGLE), True
+        return rare, _mixed(often ^ _SINGLE), often[:0], True
     a, b = np.triu_indices(len(often), 1)
-    return np.concatenate((rare, _mixed(often[a] * _PAIR + often[b]))), _mixed(often ^ _SINGLE), False
+    return rare, _mixed(often ^ _SINGLE), _mixed(often[a] * _PAIR + often[b]), False
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -157,20 +159,86 @@ def _index(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataF
                 sets = token_sets(part.column(1).cast(pa.binary()).to_pylist(), n, cache)
                 found = [index_keys(s, own, percent) for s in sets]
                 lists = []
-                for which in (0, 1):
+                for which in (0, 1, 2):
                     ends = np.concatenate(([0], np.cumsum([len(f[which]) for f in found]))).astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate([f[which] for f in found])))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *lists, pa.array([f[2] for f in found], pa.bool_())], names=["id", "n", "keys", "often", "large"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *lists, pa.array([f[3] for f in found], pa.bool_())], names=["id", "n", "rare", "often", "combined", "large"])
 
-    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, f"id {kind}, n long, keys array<long>, often array<long>, large boolean")
+    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, f"id {kind}, n long, rare array<long>, often array<long>, combined array<long>, large boolean")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose whole sets are similar enough."""
+def _rare_buckets(prefixes: DataFrame) -> DataFrame:
+    """Entries of rare tokens that several classes have, with the bucket's smallest class: (key, id, n, c, lead_id, lead_n).
+
+    Rows come sorted by key, so a bucket is a run of rows; runs go on over the ends of batches.
+    """
+    kind = prefixes.schema["id"].dataType.simpleString()
+    entries = prefixes.select(F.explode("rare").alias("key"), "id", "n").repartition("key").sortWithinPartitions("key", "id")
+    names = ["key", "id", "n", "c", "lead_id", "lead_n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def several(t: pa.Table) -> pa.RecordBatch | None:
+            keys = t.column(0).to_numpy()
+            first = np.concatenate(([True], keys[1:] != keys[:-1]))
+            starts = np.flatnonzero(first)
+            group = np.cumsum(first) - 1
+            wanted = np.flatnonzero(np.diff(np.concatenate((starts, [len(keys)])))[group] > 1)
+            if not len(wanted):
+                return None
+            own, leads = t.take(pa.array(wanted)).combine_chunks(), t.take(pa.array(starts[group[wanted]])).combine_chunks()
+            columns = [own.column(0), own.column(1), own.column(2), pa.chunked_array([pa.array(np.zeros(len(wanted), np.int8))]), leads.column(1), leads.column(2)]
+            return pa.RecordBatch.from_arrays([c.combine_chunks() if not isinstance(c.combine_chunks(), pa.ChunkedArray) else c.chunk(0) for c in columns], names=names)
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = t.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last run may go on
+            if cut and (out := several(t.slice(0, cut))) is not None:
+                yield out
+            held = t.slice(cut)
+        if held is not None and held.num_rows and (out := several(held)) is not None:
+            yield out
+
+    return entries.mapInArrow(run, f"key long, id {kind}, n long, c byte, lead_id {kind}, lead_n long")
+
+
+def _frequent_buckets(prefixes: DataFrame) -> DataFrame:
+    """The same of single frequent tokens and combinations; their buckets may be huge, so they are counted before rows meet."""
+    single = F.when(F.col("large"), F.lit(2)).otherwise(F.lit(1)).cast("byte")
+    entries = F.concat(F.transform("combined", lambda k: F.struct(k.alias("key"), F.lit(0).cast("byte").alias("c"))), F.transform("often", lambda k: F.struct(k.alias("key"), single.alias("c"))))
+    index = prefixes.filter(F.size("often") > 0).select("id", "n", F.explode(entries).alias("e")).select("e.key", "id", "n", "e.c")
+    buckets = index.groupBy("key").agg(F.count("*").alias("members"), F.min(F.when(F.col("c") != 1, F.struct("id", "n"))).alias("lead")).filter("members > 1 and lead is not null").select("key", "lead")
+    return index.join(buckets, "key").select("key", "id", "n", "c", F.col("lead.id").alias("lead_id"), F.col("lead.n").alias("lead_n"))
+
+
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ids; those are broadcast if they are few enough, else both sides are shuffled."""
+    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose whole sets are similar enough.
+
+    Sets of sizes x and y need an overlap of o = percent (x + y) / (100 + percent). Prefixes were cut two
+    beyond what the least overlap of each set alone asks for, so similar sets share two tokens of them, and
+    one more for each that o is above the larger of these least overlaps. What passes is verified on the texts.
+    """
     kind = pairs.schema["a"].dataType.simpleString()
-    one = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    other = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    both = pairs.join(one, "b").join(other, "a").select("a", "b", "ta", "tb")
+    known = materialise(_only(prefixes, _both(pairs)).select("id", "n", F.concat("rare", "often").alias("p")), "prefixes")
+    sides = pairs.join(known.toDF("b", "nb", "pb"), "b").join(known.toDF("a", "na", "pa"), "a")
+    least = lambda x: F.ceil(F.lit(percent) * x / 100)
+    overlap = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+    enough = overlap - F.greatest(least(F.col("na")), least(F.col("nb"))) + 2
+    close = materialise(sides.filter(F.size(F.array_intersect("pa", "pb")) >= enough).select("a", "b"), "close")
+    texts = materialise(_only(docs.withColumnRenamed("doc_id", "id"), _both(close)), "texts")
+    both = close.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
@@ -217,19 +285,13 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     frequent = np.sort(often.column("token").to_numpy().view(np.uint64)) if often.num_rows else np.zeros(0, np.uint64)
 
     reps = classes.filter("size > 1").select(F.col("rep").alias("id")).distinct()
-    arrays = _index(docs, n, percent, frequent).join(reps, "id", "left_semi")
-    single = F.when(F.col("large"), F.lit(2)).otherwise(F.lit(1)).cast("byte")
-    entries = F.concat(F.transform("keys", lambda k: F.struct(k.alias("key"), F.lit(0).cast("byte").alias("c"))), F.transform("often", lambda k: F.struct(k.alias("key"), single.alias("c"))))
-    index = materialise(arrays.select("id", "n", F.explode(entries).alias("e")).select("e.key", "id", "n", "e.c"), "index")
-    lead = F.struct("id", "n")
-    buckets = index.groupBy("key").agg(F.count("*").alias("members"), F.min(F.when(F.col("c") != 1, lead)).alias("lead")).filter("members > 1 and lead is not null").select("key", "lead")
-    shared = materialise(index.join(buckets, "key").select("key", "id", "n", "c", F.col("lead.id").alias("lead_id"), F.col("lead.n").alias("lead_n")), "buckets")
-    texts = materialise(docs.withColumnRenamed("doc_id", "id").join(shared.select("id").distinct(), "id", "left_semi"), "texts")
+    prefixes = materialise(_index(docs, n, percent, frequent).join(reps, "id", "left_semi"), "prefixes")
+    shared = materialise(_rare_buckets(prefixes).unionByName(_frequent_buckets(prefixes)), "buckets")
 
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     first = shared.filter((F.col("id") != F.col("lead_id")) & fits(F.col("n"), F.col("lead_n"))).select(F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b")).distinct()
     first = materialise(first, "pairs")
-    links = materialise(_verified(first, texts, n, percent), "verified")
+    links = materialise(_verified(first, prefixes, docs, n, percent), "verified")
     reached = components(links)
     spread = materialise(shared.join(reached, "id", "left").select("key", "id", "n", "c", F.coalesce("label", "id").alias("label")), "spread")
     apart = spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("c").alias("c1")).filter("lo != hi and c1 != 1").select("key")
@@ -237,7 +299,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     left, right = (rest.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
     cross = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits(F.col("na"), F.col("nb")) & ((F.col("ca") != 1) | (F.col("cb") != 1)))
     second = materialise(cross.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    more = materialise(_verified(second, texts, n, percent), "verified")
+    more = materialise(_verified(second, prefixes, docs, n, percent), "verified")
     if not more.isEmpty():
         reached = components(links.union(more))
 
