@@ -27,20 +27,20 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, materialise
 
-#: A token is frequent if more than this share of the documents (and MIN_FREQUENT) have it. The list of
-#: frequent tokens is broadcast; it has at most (tokens a document / this share) entries, at any corpus size.
-FREQUENT_SHARE = 1 / 2000
-MIN_FREQUENT = 24
+#: A token is frequent if chunks of documents that have it repeatedly have it so often in all. The list of
+#: frequent tokens is broadcast: of more than MAX_FREQUENT, at any corpus size, the most frequent.
+MIN_FREQUENT = 6
+MAX_FREQUENT = 2_000_000
 #: Frequent tokens in a prefix up to which they are combined.
 MAX_COMBINED = 10
 #: Ids that are broadcast to filter rows; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 6_000_000
 CACHE = 500_000
 
 _FOLD_CASE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -89,7 +89,10 @@ def needed(n: int, percent: int) -> int:
 
 
 def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """The prefix as rare tokens and single frequent ones, the keys of combinations, and whether the set is large."""
+    """The prefix as rare tokens and single frequent ones, the keys of combinations, and whether the set is large.
+
+    Combinations come in the order of their first token: those of the i-th with all later ones, i from 0.
+    """
     if len(tokens) < 2:  # a single token is similar to itself only: the same class
         return tokens[:0], tokens[:0], tokens[:0], False
     length = len(tokens) - needed(len(tokens), percent) + 2
@@ -118,7 +121,7 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
 
         def counted() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = counts >= max(3, int(FREQUENT_SHARE / 4 * len(held)))
+            often = counts >= 3
             m = int(often.sum())
             none = pa.nulls(m, pa.int64())
             return pa.RecordBatch.from_arrays([pa.nulls(m, ids_type), none, none, none, pa.array(_signed(values[often])), pa.array(counts[often])], names=names)
@@ -168,13 +171,13 @@ def _index(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataF
 
 
 def _rare_buckets(prefixes: DataFrame) -> DataFrame:
-    """Entries of rare tokens that several classes have, with the bucket's smallest class: (key, id, n, c, lead_id, lead_n).
+    """Entries of rare tokens that several classes have, with the bucket's smallest class: (key, id, n, pos, c, lead_id, lead_n, lead_pos).
 
     Rows come sorted by key, so a bucket is a run of rows; runs go on over the ends of batches.
     """
     kind = prefixes.schema["id"].dataType.simpleString()
-    entries = prefixes.select(F.explode("rare").alias("key"), "id", "n").repartition("key").sortWithinPartitions("key", "id")
-    names = ["key", "id", "n", "c", "lead_id", "lead_n"]
+    entries = prefixes.select(F.posexplode("rare").alias("pos", "key"), "id", "n").select("key", "id", F.col("n").cast("int").alias("n"), "pos").repartition("key").sortWithinPartitions("key", "id")
+    names = ["key", "id", "n", "pos", "c", "lead_id", "lead_n", "lead_pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -188,8 +191,8 @@ def _rare_buckets(prefixes: DataFrame) -> DataFrame:
             if not len(wanted):
                 return None
             own, leads = t.take(pa.array(wanted)).combine_chunks(), t.take(pa.array(starts[group[wanted]])).combine_chunks()
-            columns = [own.column(0), own.column(1), own.column(2), pa.chunked_array([pa.array(np.zeros(len(wanted), np.int8))]), leads.column(1), leads.column(2)]
-            return pa.RecordBatch.from_arrays([c.combine_chunks() if not isinstance(c.combine_chunks(), pa.ChunkedArray) else c.chunk(0) for c in columns], names=names)
+            columns = [*own.columns, pa.chunked_array([np.zeros(len(wanted), np.int8)]), *leads.columns[1:]]
+            return pa.Table.from_arrays(columns, names=names).combine_chunks().to_batches()[0]
 
         for batch in batches:
             t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
@@ -201,16 +204,21 @@ def _rare_buckets(prefixes: DataFrame) -> DataFrame:
         if held is not None and held.num_rows and (out := several(held)) is not None:
             yield out
 
-    return entries.mapInArrow(run, f"key long, id {kind}, n long, c byte, lead_id {kind}, lead_n long")
+    return entries.mapInArrow(run, f"key long, id {kind}, n int, pos int, c byte, lead_id {kind}, lead_n int, lead_pos int")
 
 
 def _frequent_buckets(prefixes: DataFrame) -> DataFrame:
     """The same of single frequent tokens and combinations; their buckets may be huge, so they are counted before rows meet."""
     single = F.when(F.col("large"), F.lit(2)).otherwise(F.lit(1)).cast("byte")
-    entries = F.concat(F.transform("combined", lambda k: F.struct(k.alias("key"), F.lit(0).cast("byte").alias("c"))), F.transform("often", lambda k: F.struct(k.alias("key"), single.alias("c"))))
-    index = prefixes.filter(F.size("often") > 0).select("id", "n", F.explode(entries).alias("e")).select("e.key", "id", "n", "e.c")
-    buckets = index.groupBy("key").agg(F.count("*").alias("members"), F.min(F.when(F.col("c") != 1, F.struct("id", "n"))).alias("lead")).filter("members > 1 and lead is not null").select("key", "lead")
-    return index.join(buckets, "key").select("key", "id", "n", "c", F.col("lead.id").alias("lead_id"), F.col("lead.n").alias("lead_n"))
+    m = F.size("often")
+    # the first token of each combination, in the order of index_keys
+    firsts = F.flatten(F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.array_repeat(i, m - 1 - i)))
+    combined = F.zip_with("combined", firsts, lambda k, i: F.struct(k.alias("key"), F.lit(0).cast("byte").alias("c"), i.alias("at")))
+    singles = F.transform("often", lambda k, i: F.struct(k.alias("key"), single.alias("c"), i.alias("at")))
+    entries = F.when(F.col("large"), singles).otherwise(F.concat(combined, singles))
+    index = prefixes.filter(m > 0).select("id", "n", F.size("rare").alias("r"), F.explode(entries).alias("e")).select("e.key", "id", F.col("n").cast("int").alias("n"), (F.col("r") + F.col("e.at")).alias("pos"), "e.c")
+    buckets = index.groupBy("key").agg(F.count("*").alias("members"), F.min(F.when(F.col("c") != 1, F.struct("id", "n", "pos"))).alias("lead")).filter("members > 1 and lead is not null").select("key", "lead")
+    return index.join(buckets, "key").select("key", "id", "n", "pos", "c", F.col("lead.id").alias("lead_id"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"))
 
 
 def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -279,25 +287,29 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # classes of equal sets, by their smallest id
     named = own.filter("n > 0 and doc_id is not null")
     classes = materialise(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("size")), "classes")
-    total = own.count()
-    cut = max(MIN_FREQUENT, 0.75 * FREQUENT_SHARE * total)
-    often = summary.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= cut).select("token").toArrow()
+    often = summary.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= MIN_FREQUENT)
+    often = often.orderBy(F.desc("seen"), "token").limit(MAX_FREQUENT).select("token").toArrow()
     frequent = np.sort(often.column("token").to_numpy().view(np.uint64)) if often.num_rows else np.zeros(0, np.uint64)
 
     reps = classes.filter("size > 1").select(F.col("rep").alias("id")).distinct()
     prefixes = materialise(_index(docs, n, percent, frequent).join(reps, "id", "left_semi"), "prefixes")
     shared = materialise(_rare_buckets(prefixes).unionByName(_frequent_buckets(prefixes)), "buckets")
 
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    first = shared.filter((F.col("id") != F.col("lead_id")) & fits(F.col("n"), F.col("lead_n"))).select(F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b")).distinct()
+    def fits(n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
+        """Whether two sets with their first shared token at these positions can still be similar."""
+        overlap = F.ceil(F.lit(percent) * (n1 + n2) / (100 + percent))
+        return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (at1 <= n1 - overlap) & (at2 <= n2 - overlap)
+
+    col = F.col
+    first = shared.filter((col("id") != col("lead_id")) & fits(col("n"), col("pos"), col("lead_n"), col("lead_pos"))).select(F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b")).distinct()
     first = materialise(first, "pairs")
     links = materialise(_verified(first, prefixes, docs, n, percent), "verified")
     reached = components(links)
-    spread = materialise(shared.join(reached, "id", "left").select("key", "id", "n", "c", F.coalesce("label", "id").alias("label")), "spread")
+    spread = materialise(shared.join(reached, "id", "left").select("key", "id", "n", "pos", "c", F.coalesce("label", "id").alias("label")), "spread")
     apart = spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("c").alias("c1")).filter("lo != hi and c1 != 1").select("key")
     rest = spread.join(apart, "key")
-    left, right = (rest.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
-    cross = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits(F.col("na"), F.col("nb")) & ((F.col("ca") != 1) | (F.col("cb") != 1)))
+    left, right = (rest.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("c").alias(f"c{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
+    cross = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits(col("na"), col("pa"), col("nb"), col("pb")) & ((F.col("ca") != 1) | (F.col("cb") != 1)))
     second = materialise(cross.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     more = materialise(_verified(second, prefixes, docs, n, percent), "verified")
     if not more.isEmpty():
