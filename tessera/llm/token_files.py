@@ -14,6 +14,7 @@ table makes a table without shards.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -36,9 +37,15 @@ PARTITION_BYTES = 24 << 20
 MAX_PARTS = 20_000
 BLOCK_BITS = 512
 SCHEMA = "part int, seq int, base long, n_docs long, n_tokens long, shard binary"
-#: Pieces that a worker remembers, some 200 bytes each.
-CACHE = 800_000
+#: Pieces that a worker remembers, some 200 bytes each; of more, those of at most SHORT characters.
+CACHE = 500_000
+SHORT = 9
 WORDS_AT_ONCE = 400
+#: Characters whose lower case depends on more than themselves.
+_CONTEXTUAL = frozenset("\u0130\u03a3")
+_RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
+#: Latin letters, digits and marks without an apostrophe, a combining character or white space.
+_SPLITS = re.compile(r"[!-&(-~\u00a1-\u02af]+")
 
 
 class WaveletMatrix:
@@ -172,6 +179,7 @@ class Encoder:
     The tokenizer folds case, collapses white space and splits there before anything else, so pieces can't
     influence each other. It also splits letters from other characters, so a word is encoded without the
     mark behind it, and new words are encoded many at once: every word ends with a token that marks the end.
+    Texts with other characters than Latin letters, full stops and commas are split at spaces and line ends alone.
     """
 
     def __init__(self, path: str) -> None:
@@ -182,6 +190,7 @@ class Encoder:
         self.closes = np.zeros(1 << 16, bool)
         self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.plain = {chr(c) for c in range(0x2B0) if chr(c).isalpha()} | set(" \n.,")
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode each piece by itself."""
@@ -200,25 +209,36 @@ class Encoder:
             coded, at = ids.tobytes(), [0, *(4 * ends).tolist()]
             self.known.update((w, coded[at[k] : at[k + 1]]) for k, w in enumerate(part))
 
+    def _pieces(self, text: str | None) -> list[str]:
+        """Pieces that the tokenizer encodes independently of each other."""
+        if not text:
+            return []
+        used = set(text)
+        if not used & _CONTEXTUAL and "<|" not in text:
+            text = text.lower()  # one character at a time, and it makes no special token
+            if used <= self.plain and not any(pair in text for pair in ("..", ".,", ",.", ",,")):
+                text = text.replace(".", " . ").replace(",", " , ")
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        # lower case as the tokenizer does, where that is one character at a time and makes no special token
-        lowered = [t if not t or "\u03a3" in t or "\u0130" in t or "<|" in t else t.lower() for t in texts]
-        pieces = [t.replace("\n", " ").split(" ") if t else [] for t in lowered]
+        if len(self.known) > CACHE:  # short pieces are the likeliest to come again
+            self.known = {w: x for w, x in self.known.items() if len(w) <= SHORT}
+            if len(self.known) > CACHE // 2:
+                self.known = {"": b""}
+        pieces = [self._pieces(t) for t in texts]
         new = set().union(*pieces) - self.known.keys()
-        words, other, joined = set(), [".", ","], []
-        for piece in new:
-            word = piece[:-1] if piece[-1] in ".," else piece
-            if word.isalpha() and is_normalized("NFC", word):
-                words.add(word)
-                if word is not piece:
-                    joined.append(piece)
-            else:
-                other.append(piece)
-        self._learn(other)
-        self._learn_words(list(words - self.known.keys()))
-        self.known.update((p, self.known[p[:-1]] + self.known[p[-1]]) for p in joined if p)
+        words = [w for w in new if w.isalpha()]
+        if not "".join(words).isascii():
+            words = [w for w in words if is_normalized("NFC", w)]
+        self._learn_words(words)
+        if len(words) < len(new):
+            # letters and what stands between them are encoded apart, unless an apostrophe or mark joins them
+            runs = {w: _RUNS.findall(w) for w in new if w not in self.known and _SPLITS.fullmatch(w)}
+            parts = set().union(*runs.values()) - self.known.keys()
+            self._learn_words([w for w in parts if w.isalpha()])
+            self._learn([w for w in parts if not w.isalpha()])
+            self.known.update((w, b"".join(map(self.known.__getitem__, r))) for w, r in runs.items())
+            self._learn([w for w in new if w not in self.known])
         end = struct.pack("<I", end_id)
         return [np.frombuffer(b"".join(map(self.known.__getitem__, p)) + end, "<u4") for p in pieces]
 
