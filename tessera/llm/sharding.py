@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tessera.llm.common import materialise
 
@@ -68,7 +69,7 @@ def _splitters(rows: DataFrame, n_ranges: int, total: int, seed: int, within: bo
 def _ranges(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(splitters)
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(IntegerType())
     def place(h: pd.Series, i: pd.Series) -> pd.Series:
         own = shared.value
         low = np.array([k[0] for k in own], np.int64)
