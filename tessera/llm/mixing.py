@@ -53,7 +53,7 @@ def budgets(totals: DataFrame, levels: list[str], weights: dict[tuple[str, ...],
         children = children.withColumn("w", weight.cast(BIG))
         children = children.join(given, above) if above else children.crossJoin(given)  # one row of one column
         # full(i): cap_i * W(i..) <= w_i * (given - C(<i)) in the order of cap/w; weight 0 gets nothing
-        order = Window.partitionBy(*above).orderBy(F.col("w") <= 0, F.col("cap") / F.col("w"), level) if above else Window.orderBy(F.col("w") <= 0, F.col("cap") / F.col("w"), level)
+        order = Window.partitionBy(*above).orderBy(F.col("w") <= 0, F.try_divide("cap", "w"), level) if above else Window.orderBy(F.col("w") <= 0, F.try_divide("cap", "w"), level)
         before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
         children = children.withColumn("c0", F.coalesce(F.sum("cap").over(before), F.lit(0)).cast(BIG)).withColumn("w1", F.sum("w").over(after).cast(BIG))
         left = F.col("given") - F.col("c0")
@@ -95,14 +95,14 @@ def plan(leaves: dict[tuple[str, ...], int], weights: dict[tuple[str, ...], int]
     return fill((), budget) if leaves else {}
 
 
-def select(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[str, ...], int], budget_share: float = 0.5, budget: int | None = None, max_epochs: int = 2, seed: int = 17, default_weight: int = 1) -> DataFrame:
+def select(docs: DataFrame, levels: dict[str, str], weights: dict[tuple[str, ...], int], budget_share: float = 0.5, budget: int | None = None, max_epochs: int = 2, seed: int = 17, default_weight: int = 1) -> DataFrame:
     """doc_id, text_key (hash of the text), the levels, n_tokens and copies (whole epochs and the prefix) of the documents taken.
 
-    levels names the tree's columns from the top, each with its expression; the budget is `budget` tokens or
+    levels names the tree's columns from the top, each with its SQL expression; the budget is `budget` tokens or
     budget_share of all.
     """
     names = list(levels)
-    values = [F.coalesce(c.cast("string"), F.lit("?")).alias(n) for n, c in levels.items()]
+    values = [F.coalesce(F.expr(c).cast("string"), F.lit("?")).alias(n) for n, c in levels.items()]
     small = materialise(docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__key"), *values, n_tokens(F.col("text")).alias("n_tokens")), "mix")
     totals = materialise(small.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs")), "leaves")
     if budget is None:
@@ -124,7 +124,7 @@ def select(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[str,
     return both.filter("copies > 0").select(F.col("__id").alias("doc_id"), F.col("__key").alias("text_key"), *names, "n_tokens", "copies")
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[str, ...], int], **options) -> DataFrame:
+def mix(docs: DataFrame, levels: dict[str, str], weights: dict[tuple[str, ...], int], **options) -> DataFrame:
     """All columns of the documents taken, each row as often as its copies."""
     names = docs.columns
     taken = select(docs, levels, weights, **options).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max("copies").alias("__copies"))

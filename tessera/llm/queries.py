@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, sharding, token_files, toxicity
 from tessera.llm.common import table
 
 #: The tree of sources and its weights: the language shares that the mix should have, sources alike within them.
-MIX_LEVELS = {"domain": F.when(F.col("source").rlike("[02468]$"), "even").otherwise("odd"), "lang": F.col("lang"), "source": F.col("source")}
+MIX_LEVELS = {"domain": "if(source rlike '[02468]$', 'even', 'odd')", "lang": "lang", "source": "source"}
 MIX_WEIGHTS = {("even",): 3, ("odd",): 2} | {(d, k): w for d in ("even", "odd") for k, w in {"en": 4, "de": 2, "fr": 2, "es": 2}.items()}
 MIX_SHARE = 0.6
 

@@ -233,7 +233,7 @@ class Encoder:
         self._learn_words(words)
         if len(words) < len(new):
             # letters and what stands between them are encoded apart, unless an apostrophe or mark joins them
-            runs = {w: _RUNS.findall(w) for w in new if w not in self.known and _SPLITS.fullmatch(w)}
+            runs = {w: _RUNS.findall(w) for w in new if w not in self.known and "<|" not in w and _SPLITS.fullmatch(w)}
             parts = set().union(*runs.values()) - self.known.keys()
             self._learn_words([w for w in parts if w.isalpha()])
             self._learn([w for w in parts if not w.isalpha()])
