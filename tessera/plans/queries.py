@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import evaluation as ev
@@ -150,12 +150,13 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
-_SHARES = F.round(F.sum("shares"), 2)
+def _shares() -> Column:
+    return F.round(F.sum("shares"), 2)
 
 
 @query(_TX + " SELECT insider AS insider_name, cik, count(*) AS transaction_count, round(sum(shares), 2) AS total_shares, round(avg(price), 2) AS avg_price FROM t GROUP BY insider, cik HAVING count(*) > 5 ORDER BY transaction_count DESC, cik LIMIT 100")
 def top_insiders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = transactions(spark, sf_dir).groupBy(C("insider").alias("insider_name"), "cik").agg(F.count("*").alias("transaction_count"), _SHARES.alias("total_shares"), F.round(F.avg("price"), 2).alias("avg_price"))
+    rows = transactions(spark, sf_dir).groupBy(C("insider").alias("insider_name"), "cik").agg(F.count("*").alias("transaction_count"), _shares().alias("total_shares"), F.round(F.avg("price"), 2).alias("avg_price"))
     return go.top(rows.filter("transaction_count > 5"), F.desc("transaction_count"), C("cik"), n=100)
 
 
@@ -168,7 +169,7 @@ def company_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_TX + " SELECT CAST(d AS VARCHAR) AS date, count(*) AS transaction_count, count(DISTINCT accession) AS filing_count, round(sum(shares), 2) AS total_shares FROM t WHERE d IS NOT NULL GROUP BY d ORDER BY d DESC LIMIT 100")
 def transaction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = transactions(spark, sf_dir).filter("d is not null").groupBy("d").agg(F.count("*").alias("transaction_count"), F.countDistinct("accession").alias("filing_count"), _SHARES.alias("total_shares"))
+    rows = transactions(spark, sf_dir).filter("d is not null").groupBy("d").agg(F.count("*").alias("transaction_count"), F.countDistinct("accession").alias("filing_count"), _shares().alias("total_shares"))
     return go.top(rows, F.desc("d"), n=100).withColumn("d", C("d").cast("string")).withColumnRenamed("d", "date")
 
 
@@ -181,14 +182,14 @@ def insider_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_TX + " SELECT security AS derivative_type, underlying, count(*) AS transaction_count, round(sum(shares), 2) AS total_shares, count(DISTINCT accession) AS filing_count FROM t WHERE kind = 'derivative' GROUP BY ALL ORDER BY transaction_count DESC, derivative_type, underlying LIMIT 50")
 def derivative_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = transactions(spark, sf_dir).filter("kind = 'derivative'").groupBy(C("security").alias("derivative_type"), "underlying").agg(F.count("*").alias("transaction_count"), _SHARES.alias("total_shares"), F.countDistinct("accession").alias("filing_count"))
+    rows = transactions(spark, sf_dir).filter("kind = 'derivative'").groupBy(C("security").alias("derivative_type"), "underlying").agg(F.count("*").alias("transaction_count"), _shares().alias("total_shares"), F.countDistinct("accession").alias("filing_count"))
     return go.top(rows, F.desc("transaction_count"), C("derivative_type"), C("underlying"), n=50)
 
 
 @query(_TX + " SELECT code, count(*) AS transaction_count, count(DISTINCT accession) AS filing_count, round(sum(shares), 2) AS total_shares, sum(CASE WHEN ad = 'A' THEN 1 ELSE 0 END)::BIGINT AS acquisitions, sum(CASE WHEN ad = 'D' THEN 1 ELSE 0 END)::BIGINT AS dispositions FROM t GROUP BY code")
 def transaction_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda k: F.sum((C("ad") == k).cast("long"))
-    return transactions(spark, sf_dir).groupBy("code").agg(F.count("*").alias("transaction_count"), F.countDistinct("accession").alias("filing_count"), _SHARES.alias("total_shares"), of("A").alias("acquisitions"), of("D").alias("dispositions"))
+    return transactions(spark, sf_dir).groupBy("code").agg(F.count("*").alias("transaction_count"), F.countDistinct("accession").alias("filing_count"), _shares().alias("total_shares"), of("A").alias("acquisitions"), of("D").alias("dispositions"))
 
 
 # --- investigation -----------------------------------------------------------------------------------------
