@@ -45,7 +45,7 @@ WORDS_AT_ONCE = 400
 _CONTEXTUAL = frozenset("\u0130\u03a3")
 _RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 #: Latin letters, digits and marks without an apostrophe, a combining character or white space.
-_SPLITS = re.compile(r"[!-&(-~\u00a1-\u02af]+")
+_SPLITS = re.compile(r"[!-&(-~\u00a1-\u012f\u0131-\u02af]+")
 
 
 class WaveletMatrix:
@@ -228,7 +228,7 @@ class Encoder:
         pieces = [self._pieces(t) for t in texts]
         new = set().union(*pieces) - self.known.keys()
         words = [w for w in new if w.isalpha()]
-        if not "".join(words).isascii():
+        if not set("".join(words)) <= self.plain:
             words = [w for w in words if is_normalized("NFC", w)]
         self._learn_words(words)
         if len(words) < len(new):
