@@ -154,9 +154,9 @@ def _shares() -> Column:
     return F.round(F.sum("shares"), 2)
 
 
-@query(_TX + " SELECT insider AS insider_name, cik, count(*) AS transaction_count, round(sum(shares), 2) AS total_shares, round(avg(price), 2) AS avg_price FROM t GROUP BY insider, cik HAVING count(*) > 5 ORDER BY transaction_count DESC, cik LIMIT 100")
+@query(_TX + " SELECT insider AS insider_name, cik, count(*) AS transaction_count, round(sum(shares), 2) AS total_shares, (sum(CAST(round(price * 100) AS BIGINT)) // count(*)) / 100.0 AS avg_price FROM t GROUP BY insider, cik HAVING count(*) > 5 ORDER BY transaction_count DESC, cik LIMIT 100")
 def top_insiders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = transactions(spark, sf_dir).groupBy(C("insider").alias("insider_name"), "cik").agg(F.count("*").alias("transaction_count"), _shares().alias("total_shares"), F.round(F.avg("price"), 2).alias("avg_price"))
+    rows = transactions(spark, sf_dir).groupBy(C("insider").alias("insider_name"), "cik").agg(F.count("*").alias("transaction_count"), _shares().alias("total_shares"), F.expr("sum(cast(round(price * 100) as bigint)) div count(*) / 100.0D").alias("avg_price"))
     return go.top(rows.filter("transaction_count > 5"), F.desc("transaction_count"), C("cik"), n=100)
 
 
