@@ -300,6 +300,8 @@ def test_html(spark):
     assert got[2]["text"] == "Story x is here\nAnd x more" and got[3]["text"] == got[4]["text"] == "Story y is here\nAnd y more"
     assert got[5]["text"] == got[6]["text"] == "" and got[6]["n_chars"] == 0
     assert got[7]["text"] == "Site name\nStory z is here\nAnd z more\nTerms"
+    styled = "<div class='has-sidebar'><article class='post header-large'><p>kept</p></article><article class='comment'><p>no</p></article></div><div class='sidebar'>no</div>"
+    assert html_extract.parse(styled) == (["kept"], [])
     assert html_extract.common([1, 2, 3, 4, 2], [2, 4, 9, 2]) == [1, 3, 4]
 
 
