@@ -13,6 +13,7 @@ table makes a table without shards.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -64,9 +65,9 @@ class WaveletMatrix:
             plane = np.packbits(flag, bitorder="little")
             planes.append(plane)
             ones.append(cls._directory(plane))
-            low = rest[~flag]
-            zeros.append(len(low))
-            rest = np.concatenate((low, rest[flag]))
+            order = np.concatenate((np.flatnonzero(~flag), np.flatnonzero(flag)))
+            zeros.append(len(flag) - int(np.count_nonzero(flag)))
+            rest = rest.take(order)
         return cls(len(tokens), planes, ones, zeros)
 
     @staticmethod
@@ -138,8 +139,8 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             flag = np.unpackbits(self.planes[level], count=self.size, bitorder="little").astype(bool)
             up = np.empty_like(rest)
-            up[~flag] = rest[: self.zeros[level]]
-            up[flag] = rest[self.zeros[level] :] | rest.dtype.type(1 << (len(self.planes) - 1 - level))
+            up[np.flatnonzero(~flag)] = rest[: self.zeros[level]]
+            up[np.flatnonzero(flag)] = rest[self.zeros[level] :] | rest.dtype.type(1 << (len(self.planes) - 1 - level))
             rest = up
         return rest.astype("<u4")
 
@@ -221,6 +222,14 @@ class Encoder:
         return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
+        """The ids of each text and the end id. What is made here has no cycles, so the collector may rest meanwhile."""
+        gc.disable()
+        try:
+            return self._encode(texts, end_id)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         if len(self.known) > CACHE:  # short pieces are the likeliest to come again
             self.known = {w: x for w, x in self.known.items() if len(w) <= SHORT}
             if len(self.known) > CACHE // 2:
@@ -272,7 +281,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bits: int
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([base], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], names=["part", "seq", "base", "n_docs", "n_tokens", "shard"])
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
+            for low in range(0, batch.num_rows, 1000):
                 some = batch.slice(low, 500)
                 for i, tokens in zip(some.column(0).to_pylist(), own.encode(some.column(1).to_pylist(), end_id), strict=True):
                     ids.append(i)
