@@ -282,7 +282,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bits: int
 
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
-                some = batch.slice(low, 500)
+                some = batch.slice(low, 1000)
                 for i, tokens in zip(some.column(0).to_pylist(), own.encode(some.column(1).to_pylist(), end_id), strict=True):
                     ids.append(i)
                     held.append(tokens)

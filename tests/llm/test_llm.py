@@ -165,6 +165,13 @@ def test_token_files(spark, docs, corpus, tmp_path):
         at += len(ids)
 
 
+def test_no_row_is_lost_in_large_batches(spark):
+    """Operators cut Arrow batches into parts: every row must come through."""
+    many = spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of text"), F.col("id").cast("string"), F.lit("and the end of it")).alias("text"))
+    for out in (token_files.tokenize(many, tokenizer_path()), jaccard_join.link(many), line_dedup.deduplicate(many), exact_dedup.deduplicate(many), sharding.shard(many)):
+        assert out.select("doc_id").distinct().count() == out.count() == 5000
+
+
 @pytest.mark.parametrize("letters", ["aB.,'’ \n\tΣσςÉé́İı漢0²½🙂<|>\x1c\x85ẞﬁ", "abC., \n", "aé._-#,. 12"])
 def test_pieces_are_exact(letters):
     enc, r = token_files.encoder(tokenizer_path()), random.Random(4)
