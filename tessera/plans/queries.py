@@ -136,7 +136,7 @@ def service_filter(g: Graph) -> DataFrame:
 # --- insider views over order lines -------------------------------------------------------------------------
 
 _TX = """WITH t AS (SELECT DISTINCT 'C' || o_custkey AS cik, c_name AS insider, s_name AS company, 'S' || l_suppkey AS symbol, l_orderkey AS accession, CAST(l_shipdate AS DATE) AS d, l_linestatus AS code, CASE WHEN l_returnflag = 'R' THEN 'D' ELSE 'A' END AS ad, l_quantity AS shares,
- round(l_extendedprice / l_quantity, 2) AS price, CASE WHEN l_discount > 0.05 THEN 'derivative' ELSE 'non_derivative' END AS kind, p_brand AS security, p_type AS underlying
+ floor(l_extendedprice * 100 / l_quantity) / 100 AS price, CASE WHEN l_discount > 0.05 THEN 'derivative' ELSE 'non_derivative' END AS kind, p_brand AS security, p_type AS underlying
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"""
 
 
@@ -146,7 +146,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = t("lineitem").join(t("orders"), C("l_orderkey") == C("o_orderkey")).join(t("customer"), C("o_custkey") == C("c_custkey")).join(t("supplier"), C("l_suppkey") == C("s_suppkey")).join(t("part"), C("l_partkey") == C("p_partkey"))
     return li.select(
         F.concat(F.lit("C"), C("o_custkey").cast("string")).alias("cik"), C("c_name").alias("insider"), C("s_name").alias("company"), F.concat(F.lit("S"), C("l_suppkey").cast("string")).alias("symbol"), C("l_orderkey").alias("accession"), F.to_date("l_shipdate").alias("d"), C("l_linestatus").alias("code"),
-        F.when(C("l_returnflag") == "R", "D").otherwise("A").alias("ad"), C("l_quantity").alias("shares"), F.round(C("l_extendedprice") / C("l_quantity"), 2).alias("price"), F.when(C("l_discount") > 0.05, "derivative").otherwise("non_derivative").alias("kind"), C("p_brand").alias("security"), C("p_type").alias("underlying"),
+        F.when(C("l_returnflag") == "R", "D").otherwise("A").alias("ad"), C("l_quantity").alias("shares"), (F.floor(C("l_extendedprice") * 100 / C("l_quantity")) / 100).alias("price"), F.when(C("l_discount") > 0.05, "derivative").otherwise("non_derivative").alias("kind"), C("p_brand").alias("security"), C("p_type").alias("underlying"),
     ).distinct()
 
 
