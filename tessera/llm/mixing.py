@@ -42,8 +42,9 @@ def budgets(totals: DataFrame, levels: list[str], weights: dict[tuple[str, ...],
     full, in the order of capacity by weight, and the others share the rest in proportion.
     """
     known = F.create_map(*[F.lit(x) for k, v in weights.items() for x in ("\x1f".join(k), v)]) if weights else None
-    nodes = totals.withColumn("cap", (F.col("tokens") * max_epochs).cast(BIG)).withColumn("given", F.lit(budget).cast(BIG))
-    given = nodes.groupBy().agg(F.sum("cap").alias("c")).select(F.least(F.col("c"), F.lit(budget).cast(BIG)).alias("given"))
+    nodes = totals.withColumn("cap", (F.col("tokens") * max_epochs).cast(BIG))
+    root = F.least(F.sum("cap").over(Window.partitionBy(F.lit(1))), F.lit(budget)).cast(BIG)
+    given = None
     above: list[str] = []
     for level in levels:
         here = [*above, level]
@@ -51,7 +52,7 @@ def budgets(totals: DataFrame, levels: list[str], weights: dict[tuple[str, ...],
         path = F.concat_ws("\x1f", *here)
         weight = F.lit(default_weight) if known is None else F.coalesce(known[path], F.lit(default_weight))
         children = children.withColumn("w", weight.cast(BIG))
-        children = children.join(given, above) if above else children.crossJoin(given)  # one row of one column
+        children = children.join(given, above) if above else children.withColumn("given", root)
         # full(i): cap_i * W(i..) <= w_i * (given - C(<i)) in the order of cap/w; weight 0 gets nothing
         order = Window.partitionBy(*above).orderBy(F.col("w") <= 0, F.try_divide("cap", "w"), level) if above else Window.orderBy(F.col("w") <= 0, F.try_divide("cap", "w"), level)
         before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
