@@ -94,9 +94,9 @@ def shard(docs: DataFrame, n_shards: int = 40, law: str = "bytes", seed: int = 5
     splitters = _splitters(rows, n_ranges, total, seed)
     ranged = materialise(_ranges(rows, splitters), "ranged")
     totals = ranged.groupBy("r").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
-    over = [x["r"] for x in totals.filter(F.col("n") > 4 * RANGE_ROWS).select("r").limit(MAX_SAMPLE).collect()]
-    if over:  # subdivide the overfull ones: sample them alone, with the same number of splitters
-        inside = ranged.filter(F.col("r").isin(over))
+    over = totals.filter(F.col("n") > 4 * RANGE_ROWS).select("r")
+    if not over.isEmpty():  # subdivide the overfull ones: sample them alone, with the same number of splitters
+        inside = ranged.join(F.broadcast(over), "r", "left_semi")  # at most MAX_SAMPLE // OVERSAMPLE ranges
         weight = inside.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
         more = _splitters(inside, max(2, weight["n"] // RANGE_ROWS * 2), weight["b"], seed + 1, within=True)
         ranged = materialise(_ranges(rows, sorted({*splitters, *more})), "ranged")
