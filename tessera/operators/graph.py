@@ -90,6 +90,35 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
     return a.join(b, list(keys), "full_outer").select(*keys, side.alias("side"))
 
 
+def repair(checkpoint: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The checkpoint (keys, status) with all that was found as completed: keys, status, outcome (added, updated, existing, or kept where nothing was found)."""
+    c = checkpoint.groupBy(*keys).agg(F.max_by("status", F.col("status") == "completed").alias("was"), F.lit(1).alias("__c"))
+    f = found.select(*keys).distinct().withColumn("__f", F.lit(1))
+    outcome = F.when(F.col("__f").isNull(), "kept").when(F.col("__c").isNull(), "added").when(F.col("was") == "completed", "existing").otherwise("updated")
+    return c.join(f, list(keys), "full_outer").select(*keys, F.when(F.col("__f").isNull(), F.col("was")).otherwise("completed").alias("status"), outcome.alias("outcome"))
+
+
+def matching_all(rows: DataFrame, subset: Sequence[str], target: str) -> DataFrame:
+    """Every row with each target that any row with the same subset of properties has: a merge on part of an identity."""
+    ends = rows.select(*subset, F.col(target).alias("__t")).distinct()
+    return rows.drop(target).join(ends, list(subset)).withColumnRenamed("__t", target).distinct()
+
+
+def first_of_lists(lists: Sequence[DataFrame], order: Sequence[Column], n: int) -> DataFrame:
+    """The first n rows of several lists one behind the other, each in the order given; `rank` is the list's place."""
+    out = None
+    for k, rows in enumerate(lists):
+        one = top(rows, *order, n=n).withColumn("rank", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return top(out, F.col("rank"), *order, n=n)
+
+
+def inferred_type(value: Column | str) -> Column:
+    """Type of a property's text: boolean before integer, float, list and string."""
+    plain = F.col(value) if isinstance(value, str) else value
+    return F.when(plain.isNull(), "unknown").when(plain.rlike("^(true|false)$"), "boolean").when(plain.rlike("^-?[0-9]+$"), "integer").when(plain.rlike("^-?[0-9]+[.][0-9]+$"), "float").when(plain.rlike(r"^\[.*\]$"), "list").otherwise("string")
+
+
 def pairs_in_groups(mentions: DataFrame, group: str, ordinal: str, entity: str, label: str) -> DataFrame:
     """Counts of unordered pairs of mentions i < j in a group, duplicates and self pairs included."""
     a = mentions.select(group, F.col(ordinal).alias("i"), F.struct(F.col(entity).alias("t"), F.col(label).alias("l")).alias("x"))

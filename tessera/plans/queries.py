@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import evaluation as ev
+from tessera.functions import extract as ex
+from tessera.functions import lexicons as lx
 from tessera.functions import retrieval as rt
 from tessera.functions import text as tx
 from tessera.operators import graph as go
@@ -256,10 +258,14 @@ def edge_merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return go.merge_props(rows, ["user_id"], "event_id")
 
 
-@query("WITH n AS (SELECT 'C' || c_custkey AS id, c_mktsegment AS name FROM customer WHERE c_custkey <= 60 UNION ALL SELECT 'S' || s_suppkey, 'BUILDING' FROM supplier WHERE s_suppkey <= 5) SELECT a.id AS src, b.id AS dst FROM n a JOIN n b ON a.name = 'BUILDING' AND b.name = 'MACHINERY'")
+@query("WITH n AS (SELECT 'C' || c_custkey AS id, split_part(c_name, '#', 2) AS name FROM customer UNION ALL SELECT 'S' || s_suppkey, split_part(s_name, '#', 2) FROM supplier), c AS (SELECT DISTINCT split_part(c_name, '#', 2) AS a, split_part(s_name, '#', 2) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey) SELECT x.id AS src, y.id AS dst FROM c JOIN n x ON x.name = c.a JOIN n y ON y.name = c.b")
 def edge_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "customer").filter("c_custkey <= 60").select(F.concat(F.lit("C"), C("c_custkey").cast("string")).alias("node_id"), C("c_mktsegment").alias("name")).union(table(spark, sf_dir, "supplier").filter("s_suppkey <= 5").select(F.concat(F.lit("S"), C("s_suppkey").cast("string")), F.lit("BUILDING")))
-    return go.resolve_by_name(spark.createDataFrame([("BUILDING", "MACHINERY")], "src_name string, dst_name string"), nodes).select("src", "dst")
+    """Customers and suppliers share their numbers as names, so an edge between names becomes up to four."""
+    number = lambda c: F.split_part(C(c), F.lit("#"), F.lit(2))
+    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    nodes = customer.select(F.concat(F.lit("C"), C("c_custkey").cast("string")).alias("node_id"), number("c_name").alias("name")).union(supplier.select(F.concat(F.lit("S"), C("s_suppkey").cast("string")), number("s_name")))
+    sold = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), C("l_orderkey") == C("o_orderkey")).join(customer, C("o_custkey") == C("c_custkey")).join(supplier, C("l_suppkey") == C("s_suppkey"))
+    return go.resolve_by_name(sold.select(number("c_name").alias("src_name"), number("s_name").alias("dst_name")).distinct(), nodes).select("src", "dst")
 
 
 @query("SELECT 'INFERRED_' || substring(norm, 1, 50) AS node_id, min(name) AS name FROM (SELECT lower(trim(n_name)) AS norm, n_name AS name FROM nation UNION ALL SELECT lower(trim(r_name)), r_name FROM region) WHERE norm NOT IN (SELECT lower(trim(r_name)) FROM region) GROUP BY norm")
@@ -275,9 +281,9 @@ def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return go.pending(table(spark, sf_dir, "documents").select("doc_id"), done, ["doc_id"])
 
 
-@query("SELECT side, count(*) AS cnt FROM (SELECT CASE WHEN b.doc_id IS NULL THEN 'left' WHEN a.doc_id IS NULL THEN 'right' ELSE 'both' END AS side FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id) GROUP BY side")
+@query("SELECT side, count(*) AS cnt FROM (SELECT CASE WHEN b.doc_id IS NULL THEN 'left' WHEN a.doc_id IS NULL THEN 'right' ELSE 'both' END AS side FROM (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en') a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id) GROUP BY side")
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return go.reconcile(table(spark, sf_dir, "documents").filter("doc_id % 3 != 0"), table(spark, sf_dir, "labels"), ["doc_id"]).groupBy("side").agg(F.count("*").alias("cnt"))
+    return go.reconcile(table(spark, sf_dir, "documents").filter("lang = 'en'"), table(spark, sf_dir, "labels"), ["doc_id"]).groupBy("side").agg(F.count("*").alias("cnt"))
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r <= 3")
@@ -577,3 +583,143 @@ def train_dev_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
 def event_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("WITH p AS (SELECT doc_id, lang, u.label, ((doc_id * u.m + n_chars) % 17) / 17.0 AS p FROM documents, (VALUES ('en', 3), ('de', 5), ('fr', 7), ('es', 11)) u(label, m) WHERE lang IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, label) AS k FROM p) SELECT round(avg(hit), 6) AS accuracy, count(*) AS n FROM (SELECT max(CASE WHEN k <= 2 AND label = lang THEN 1 ELSE 0 END) AS hit FROM r GROUP BY doc_id)")
+def topk_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda label, m: F.struct(F.lit(label).alias("label"), ((C("doc_id") * m + C("n_chars")) % 17 / 17.0).alias("p"))
+    rows = table(spark, sf_dir, "documents").filter("lang is not null").select("doc_id", "lang", F.explode(F.array(one("en", 3), one("de", 5), one("fr", 7), one("es", 11))).alias("x"))
+    return ev.topk_accuracy(rows.select("doc_id", "lang", "x.label", "x.p"), 2, case="doc_id", true="lang")
+
+
+# --- domain extractors: reports made of customers' segments, since the tables' texts are invented words ------
+
+_REPORT_SQL = "SELECT c_custkey, 'We are exposed to ' || lower(c_mktsegment) || ' swings and credit risk, and risks related to supply. Competitors include Acme, Zenith and Orion. ' || upper(substring(c_mktsegment, 1, 1)) || lower(substring(c_mktsegment, 2)) || ' segment of the Exchange Act of ' || (1900 + c_nationkey) || ', Rule ' || c_nationkey || '. It operates in Greater China. Operating margin was ' || c_nationkey || '.5%. The Chief Financial Officer spoke.' AS t FROM customer"
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg, nation = C("c_mktsegment"), C("c_nationkey").cast("string")
+    parts = [F.lit("We are exposed to "), F.lower(seg), F.lit(" swings and credit risk, and risks related to supply. Competitors include Acme, Zenith and Orion. "), F.initcap(seg), F.lit(" segment of the Exchange Act of "), (C("c_nationkey") + 1900).cast("string"), F.lit(", Rule "), nation, F.lit(". It operates in Greater China. Operating margin was "), nation, F.lit(".5%. The Chief Financial Officer spoke.")]
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(*parts).alias("t"))
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_hits = lambda patterns, group, text: " UNION ALL ".join(f"SELECT c_custkey, unnest(regexp_extract_all({text}, {_sql_text(p)}, {group})) AS e FROM r" for p in patterns)
+_known = lambda words, label, fits: f"SELECT c_custkey, '{label}' AS label, e AS entity FROM r, (SELECT unnest([{', '.join(map(_sql_text, words))}]) AS e) WHERE {fits}"
+_listed = lambda patterns, label: f"SELECT c_custkey, '{label}', x FROM (SELECT c_custkey, unnest(regexp_split_to_array(e, ',\\s*|\\s+and\\s+')) AS x FROM ({_hits(patterns, 1, 't')})) WHERE length(x) BETWEEN 2 AND 50 AND regexp_matches(x, '^[A-Z]')"
+_ENTITY_SQL = f"""WITH r AS ({_REPORT_SQL}), e AS (
+    SELECT c_custkey, 'RISK' AS label, array_to_string(list_transform(string_split(e, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS entity FROM ({_hits(lx.RISK_PATTERNS, 1, 'lower(t)')}) WHERE length(e) BETWEEN 5 AND 60 AND e NOT IN ({', '.join(map(_sql_text, lx.GENERIC_RISKS))})
+    UNION {_listed(lx.COMPETITOR_PATTERNS, 'COMPETITOR')} UNION {_listed(lx.SEGMENT_PATTERNS, 'SEGMENT')}
+    UNION {_known(lx.KNOWN_REGULATIONS, 'REGULATION', 'contains(upper(t), upper(e))')} UNION SELECT c_custkey, 'REGULATION', e FROM ({_hits(lx.REGULATION_PATTERNS, 0, 't')}) WHERE length(e) BETWEEN 3 AND 80
+    UNION {_known(lx.KNOWN_GEOGRAPHIES, 'GEOGRAPHY', 'contains(t, e)')} UNION SELECT c_custkey, 'GEOGRAPHY', e FROM ({_hits(lx.GEOGRAPHY_PATTERNS, 1, 't')}) WHERE length(e) BETWEEN 3 AND 40)
+    SELECT c_custkey, label, entity FROM e"""
+
+
+@query(_ENTITY_SQL)
+def pattern_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ex.entities(_reports(spark, sf_dir), "c_custkey", "t")
+
+
+_METRIC_SQL = " ".join(f"WHEN regexp_matches(lower(t), {_sql_text(p)}) THEN {_sql_text(name)}" for p, name in lx.ANNUAL_METRICS)
+_ROLE_SQL = " ".join(f"WHEN contains(lower(t), {_sql_text(x.lower())}) THEN {_sql_text(x)}" for x in lx.ROLES)
+
+
+@query(f"SELECT c_custkey, CASE {_METRIC_SQL} END AS metric, CAST(regexp_extract(t, '[0-9]+(?:\\.[0-9]+)?') AS DOUBLE) AS value, '%' AS unit, CASE {_ROLE_SQL} END AS role, 'ORG' AS acme_label, 'RISK' AS loss_label FROM ({_REPORT_SQL})")
+def metrics_and_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, value, unit = ex.metric("t")
+    return _reports(spark, sf_dir).select("c_custkey", name.alias("metric"), value.alias("value"), unit.alias("unit"), ex.role("t").alias("role"), ex.inferred_label(F.lit("Acme Inc")).alias("acme_label"), ex.inferred_label(F.lit("exposure to loss")).alias("loss_label"))
+
+
+@query("WITH m AS (SELECT l_orderkey AS s, 'P' || l_partkey AS t, 'PRODUCT' AS l FROM lineitem UNION ALL SELECT l_orderkey, 'S' || l_suppkey, 'ORG' FROM lineitem UNION ALL SELECT l_orderkey, l_returnflag, 'CONCEPT' FROM lineitem UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%Y-%m'), 'DATE' FROM orders) SELECT a.t AS source, a.l AS source_label, d.t AS target, count(*) AS cnt FROM m a JOIN m d ON a.s = d.s AND d.l = 'DATE' WHERE a.l IN ('PRODUCT', 'ORG') GROUP BY ALL")
+def temporal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    one = lambda text, label: F.struct(text.alias("t"), F.lit(label).alias("l"))
+    m = li.select(C("l_orderkey").alias("s"), F.explode(F.array(one(F.concat(F.lit("P"), C("l_partkey").cast("string")), "PRODUCT"), one(F.concat(F.lit("S"), C("l_suppkey").cast("string")), "ORG"), one(C("l_returnflag"), "CONCEPT"))).alias("m"))
+    m = m.union(o.select(C("o_orderkey").alias("s"), one(F.date_format("o_orderdate", "yyyy-MM"), "DATE")))
+    return ex.temporal_links(m.select("s", "m.t", "m.l"), "s", "t", "l").groupBy("source", "source_label", "target").agg(F.count("*").alias("cnt"))
+
+
+@query(r"SELECT doc_id, count(*) AS n, sum(length(x))::BIGINT AS chars FROM (SELECT doc_id, unnest(list_transform(range(0, greatest(0, CAST(ceil((len(w) - 200) / 824.0) AS INT) - 1) + 1), lambda i: array_to_string(w[i * 824 + 1:i * 824 + 1024], ' '))) AS x FROM (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\v\f\r]+') AS w FROM documents)) WHERE x <> '' GROUP BY doc_id")
+def word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(ex.word_windows("text")).alias("x")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("x")).alias("chars"))
+
+
+# --- more searches and upkeep -------------------------------------------------------------------------------
+
+
+@query("SELECT edge_id, src, type, dst, confidence FROM edges WHERE type IN ('CAUSES', 'HURTS') ORDER BY confidence DESC NULLS LAST, edge_id LIMIT 15", graph=True)
+def edges_of_types(g: Graph) -> DataFrame:
+    return go.top(g.edges.filter(C("type").isin("CAUSES", "HURTS")).select("edge_id", "src", "type", "dst", "confidence"), F.desc_nulls_last("confidence"), C("edge_id"), n=15)
+
+
+@query("SELECT edge_id, src, type, name AS target FROM edges JOIN nodes ON node_id = dst WHERE contains(name, 'ECON') ORDER BY edge_id LIMIT 15", graph=True)
+def edges_into_word(g: Graph) -> DataFrame:
+    ends = g.nodes.filter(C("name").contains("ECON")).select(C("node_id").alias("dst"), C("name").alias("target"))
+    return go.top(g.edges.join(ends, "dst").select("edge_id", "src", "type", "target"), C("edge_id"), n=15)
+
+
+@query("SELECT a.name AS source, b.name AS target, cnt, edge_id FROM edges JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE type = 'CO_MENTIONED' AND a.name <> b.name AND cnt > 2 ORDER BY cnt DESC, edge_id LIMIT 15", graph=True)
+def strong_co_mentions(g: Graph) -> DataFrame:
+    n = g.nodes.select("node_id", "name")
+    rows = g.edges.filter("type = 'CO_MENTIONED' and cnt > 2").join(n.toDF("src", "source"), "src").join(n.toDF("dst", "target"), "dst").filter("source != target")
+    return go.top(rows.select("source", "target", "cnt", "edge_id"), F.desc("cnt"), C("edge_id"), n=15)
+
+
+@query("SELECT name AS speaker, count(*) AS statements FROM edges JOIN nodes ON node_id = src WHERE type = 'SAID' GROUP BY node_id, name ORDER BY statements DESC, speaker LIMIT 15", graph=True)
+def top_speakers(g: Graph) -> DataFrame:
+    said = g.edges.filter("type = 'SAID'").groupBy(C("src").alias("node_id")).agg(F.count("*").alias("statements"))
+    return go.top(said.join(g.nodes.filter("label = 'PERSON'"), "node_id").select(C("name").alias("speaker"), "statements"), F.desc("statements"), C("speaker"), n=15)
+
+
+@query("SELECT name AS role, count(DISTINCT src) AS persons FROM edges JOIN nodes ON node_id = dst WHERE type = 'HAS_ROLE' GROUP BY name", graph=True)
+def role_people(g: Graph) -> DataFrame:
+    return g.edges.filter("type = 'HAS_ROLE'").join(g.nodes.filter("label = 'ROLE'"), C("dst") == C("node_id")).groupBy(C("name").alias("role")).agg(F.countDistinct("src").alias("persons"))
+
+
+@query("SELECT node_id, label, name FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY node_id) AS r, CASE label WHEN 'PERSON' THEN 0 WHEN 'ORG' THEN 1 ELSE 2 END AS k FROM nodes WHERE label IN ('PERSON', 'ORG', 'CONCEPT') AND contains(lower(name), '13')) WHERE r <= 10 ORDER BY k, node_id LIMIT 10", graph=True)
+def search_by_concept(g: Graph) -> DataFrame:
+    hits = lambda label: g.nodes.filter((C("label") == label) & F.lower("name").contains("13")).select("node_id", "label", "name")
+    return go.first_of_lists([hits("PERSON"), hits("ORG"), hits("CONCEPT")], [C("node_id")], 10).select("node_id", "label", "name")
+
+
+def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").distinct()
+    return rows.select("role", "text", F.concat("role", (C("conv_id") % 20).cast("string")).alias("person"), F.concat_ws("-", C("conv_id").cast("string"), C("turn").cast("string")).alias("statement"))
+
+
+@query("WITH talk AS (SELECT DISTINCT role, text, role || (conv_id % 20) AS person, conv_id || '-' || turn AS statement FROM conversations) SELECT person, min(role) AS role, count(DISTINCT statement) AS statements FROM talk WHERE contains(text, 'the') OR contains(text, 'The') GROUP BY person ORDER BY statements DESC, person LIMIT 30")
+def people_by_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _talk(spark, sf_dir).filter(C("text").contains("the") | C("text").contains("The"))
+    return go.top(hits.groupBy("person").agg(F.min("role").alias("role"), F.countDistinct("statement").alias("statements")), F.desc("statements"), C("person"), n=30)
+
+
+@query("WITH g AS (SELECT DISTINCT o_custkey AS ticker, year(o_orderdate) AS year FROM orders WHERE o_orderstatus <> 'P'), c AS (SELECT o_custkey AS ticker, year(o_orderdate) AS year, bool_or(o_orderstatus = 'F') AS done FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) GROUP BY ALL) SELECT coalesce(g.ticker, c.ticker) AS ticker, coalesce(g.year, c.year) AS year, CASE WHEN g.ticker IS NULL THEN CASE WHEN c.done THEN 'completed' ELSE 'failed' END ELSE 'completed' END AS status, CASE WHEN g.ticker IS NULL THEN 'kept' WHEN c.ticker IS NULL THEN 'added' WHEN c.done THEN 'existing' ELSE 'updated' END AS outcome FROM g FULL JOIN c ON g.ticker = c.ticker AND g.year = c.year")
+def checkpoint_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumns({"ticker": C("o_custkey"), "year": F.year("o_orderdate").cast("long")})
+    urgent = o.join(F.broadcast(o.agg(F.min("o_orderpriority").alias("o_orderpriority"))), "o_orderpriority")  # one row
+    done = urgent.select("ticker", "year", F.when(C("o_orderstatus") == "F", "completed").otherwise("failed").alias("status"))
+    return go.repair(done, o.filter("o_orderstatus != 'P'"), ["ticker", "year"])
+
+
+@query(f"{_TX}, v AS (SELECT DISTINCT x.* EXCLUDE (symbol), y.symbol FROM t x JOIN (SELECT DISTINCT accession, d, kind, symbol FROM t) y USING (accession, d, kind)) SELECT kind, (SELECT count(*) FROM t WHERE t.kind = v.kind) AS filed, count(*) AS involves FROM v GROUP BY kind")
+def insider_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = transactions(spark, sf_dir)
+    both = t.select("kind", F.lit(1).alias("f")).union(go.matching_all(t, ["accession", "d", "kind"], "symbol").select("kind", F.lit(0)))
+    return both.groupBy("kind").agg(F.sum("f").alias("filed"), F.sum(1 - C("f")).alias("involves"))
+
+
+@query(r"SELECT k, CASE WHEN v IS NULL THEN 'unknown' WHEN regexp_matches(v, '^(true|false)$') THEN 'boolean' WHEN regexp_matches(v, '^-?[0-9]+$') THEN 'integer' WHEN regexp_matches(v, '^-?[0-9]+[.][0-9]+$') THEN 'float' WHEN regexp_matches(v, '^\[.*\]$') THEN 'list' ELSE 'string' END AS kind, count(*) AS cnt FROM (SELECT 'type' AS k, event_type AS v FROM events UNION ALL SELECT 'user', user_id::VARCHAR FROM events UNION ALL SELECT 'high', CASE WHEN value > 50 THEN 'true' ELSE 'false' END FROM events UNION ALL SELECT 'share', (user_id % 7) || '.5' FROM events UNION ALL SELECT 'list', '[' || user_id || ']' FROM events) GROUP BY ALL")
+def property_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user = C("user_id").cast("string")
+    values = {"type": C("event_type"), "user": user, "high": F.when(C("value") > 50, "true").otherwise("false"), "share": F.concat((C("user_id") % 7).cast("string"), F.lit(".5")), "list": F.concat(F.lit("["), user, F.lit("]"))}
+    rows = table(spark, sf_dir, "events").select(F.explode(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values()))).alias("k", "v"))
+    return rows.groupBy("k", go.inferred_type("v").alias("kind")).agg(F.count("*").alias("cnt"))
+
+
+@query("SELECT string_agg(label || ' (' || n || ')', ', ' ORDER BY label) AS prompt FROM (SELECT label, count(*) AS n FROM nodes GROUP BY label)", graph=True)
+def schema_prompt(g: Graph) -> DataFrame:
+    counts = g.nodes.groupBy("label").agg(F.count("*").alias("n"))  # a row for each label
+    return counts.agg(F.array_join(F.array_sort(F.collect_list(F.concat("label", F.lit(" ("), C("n").cast("string"), F.lit(")")))), ", ").alias("prompt"))

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tessera.functions import retrieval, text
+from tessera.functions import extract, retrieval, text
 from tessera.operators import graph
 from tessera.sources import files, sinks
 from tessera.sources.graph_tables import Graph
@@ -107,3 +107,46 @@ def test_incremental_rerun_adds_nothing(spark, tmp_path):
     ingest_available(spark, src, out, cp, ["id"])
     ingest_available(spark, src, out, str(tmp_path / "cp2"), ["id"])
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def sentence(*tokens):
+    return [dict(zip(("i", "text", "lemma", "pos", "dep", "head"), (i, *t), strict=True)) for i, t in enumerate(tokens)]
+
+
+HEDGED = sentence(("The", "the", "DET", "det", 1), ("company", "company", "NOUN", "nsubj", 2), ("hedges", "hedge", "VERB", "ROOT", 2), ("currency", "currency", "NOUN", "compound", 4), ("risk", "risk", "NOUN", "dobj", 2))
+SOLD = sentence(("Acme", "Acme", "PROPN", "nsubj", 1), ("sells", "sell", "VERB", "ROOT", 1), ("in", "in", "ADP", "prep", 1), ("Greater", "Greater", "PROPN", "compound", 4), ("China", "China", "PROPN", "pobj", 2))
+EXPOSED = sentence(("We", "we", "PRON", "nsubjpass", 2), ("are", "be", "AUX", "auxpass", 2), ("exposed", "exposed", "VERB", "ROOT", 2), ("to", "to", "ADP", "prep", 2), ("market", "market", "NOUN", "compound", 5), ("swings", "swing", "NOUN", "pobj", 3))
+
+
+def test_relations_of_parsed_sentences(spark):
+    rows = spark.createDataFrame([(1, HEDGED), (2, SOLD), (3, EXPOSED), (4, []), (5, None)], f"id int, tokens {extract.TOKENS}")
+    got = {(r["id"], x["type"], x["source"], x["target"]) for r in rows.select("id", extract.relations("tokens").alias("r")).collect() for x in r["r"]}
+    assert got == {(1, "MITIGATES_RISK", "The company", "currency risk"), (2, "OPERATES_IN", "Acme", "Greater China"), (2, "SVO_TRIPLE", "Acme", "Greater China"), (3, "EXPOSES_TO_RISK", "We", "market swings")}
+
+
+def test_quantities_and_titles():
+    grown = sentence(("total", "total", "ADJ", "amod", 2), ("cloud", "cloud", "NOUN", "compound", 2), ("revenue", "revenue", "NOUN", "ROOT", 2), ("of", "of", "ADP", "prep", 2), ("$", "$", "SYM", "nmod", 5), ("5", "5", "NUM", "nummod", 2))
+    assert extract.quantities_of(grown, [{"text": "$5", "label": "MONEY", "start": 4, "end": 6}])[0] == {"type": "QUANTITY_OF", "source": "cloud total revenue", "target": "$5", "verb": None}
+    told = sentence(("Ann", "Ann", "PROPN", "nsubj", 6), (",", ",", "PUNCT", "punct", 0), ("chief", "chief", "ADJ", "amod", 4), ("people", "people", "NOUN", "compound", 4), ("officer", "officer", "NOUN", "appos", 0), (",", ",", "PUNCT", "punct", 0), ("spoke", "speak", "VERB", "ROOT", 6))
+    assert [x["target"] for x in extract.titles_of(told, [{"text": "Ann", "label": "PERSON", "start": 0, "end": 1}])] == ["chief people officer"]
+    assert extract.titles_of(told, [{"text": "Bob", "label": "PERSON", "start": 6, "end": 7}]) == []
+
+
+def test_statements_need_a_sentence(spark):
+    parts = spark.createDataFrame([(1, "Ann", "I am the CFO here", 0, 20), (1, "Bob", "no sentence", 20, 25), (1, "Cy", "next", 25, 40)], "doc int, speaker string, text string, start int, end int")
+    heard = spark.createDataFrame([(1, 7, 0), (1, 8, 19), (1, 9, 25), (2, 1, 3)], "doc int, sentence_id int, start int")
+    got = [(r["seq"], r["speaker"], r["sentence_ids"], r["role"]) for r in extract.statements(parts, heard, "doc").orderBy("seq").collect()]
+    assert got == [(0, "Ann", [7, 8], "CFO"), (1, "Cy", [9], None)]
+
+
+def test_extractors_on_nulls_and_case(spark):
+    docs = spark.createDataFrame([(1, "Subject to Gdpr and the Clean Air Act of 1990. The reportable segments are Cloud, Devices and Games"), (2, None), (3, "")], "k int, text string")
+    got = {(r["k"], r["label"], r["entity"]) for r in extract.entities(docs, "k").collect()}
+    assert got == {(1, "REGULATION", "GDPR"), (1, "REGULATION", "Clean Air Act of 1990"), (1, "SEGMENT", "Cloud"), (1, "SEGMENT", "Devices"), (1, "SEGMENT", "Games"), (1, "RISK", "Gdpr And The Clean Air")}
+    kept = spark.createDataFrame([("risk", ["DET"]), ("company", ["NOUN", "NOUN"]), ("apple", ["ADJ", "NOUN"]), ("apple", ["DET", "NOUN"])], "root string, pos array<string>")
+    assert [r[0] for r in kept.select(extract.is_concept("root", "pos")).collect()] == [True, False, True, False]
+
+
+def test_filing_rules(spark):
+    rows = spark.createDataFrame([("AAPL", "2020"), ("aapl", "2020"), ("AAPL", "1990"), ("TOOLONG", "2020"), (None, "x")], "s string, y string")
+    assert [r[0] for r in rows.select(extract.valid_filing("s", "y")).collect()] == [True, False, False, False, False]
