@@ -1,14 +1,13 @@
 """Main text of web pages, by nearest-URL page differencing.
 
-A page becomes lines, one for each block. Its own markup settles many of them: what stands in menus, page
-headers, footers, sidebars, forms, notices, adverts or comments goes, and what an article element holds
-stays. All other lines are open. For these, the page is paired with the page of its host whose URL path is
-nearest (of its two neighbours in path order, the one that shares more leading path), both pages' open lines
+A page becomes lines, one for each block, without what its markup names as menus, page headers, footers,
+sidebars, forms, notices, adverts or comments. Every page is paired with the page of its host whose URL path
+is nearest (of its two neighbours in path order, the one that shares more leading path), all lines of both
 are aligned by a longest common subsequence, and lines that the two share, so the template's, are deleted.
-Differencing alone can't serve pages with an article: a passage that two articles share would be lost and an
-advert that only one page shows would stay.
+The markup vetoes single deletions: a line within an article element stays, as a passage that two articles
+share would be lost else. All other lines are open, also beside an article, and differencing decides on them.
 
-Pages of a host with the same open lines are copies, not templates of each other: they pair as one page.
+Pages of a host with the same lines are copies, not templates of each other: they pair as one page.
 
 Defined results: null and empty html give an empty text with 0 characters; a null url belongs to the host
 without name. A host's only page keeps its open lines. Pages that repeat give equal results.
@@ -69,7 +68,6 @@ def parse(html: str | None) -> tuple[list[str], list[int]]:
     lines: list[tuple[str, bool]] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # element, not main text, in an article
-    has_article = False
 
     def flush() -> None:
         if text:
@@ -123,11 +121,8 @@ def parse(html: str | None) -> tuple[list[str], list[int]]:
             continue
         if tag in BLOCKS or hidden:
             inside = not hidden and (article or tag == "article")
-            has_article |= inside
             stack.append((tag, hidden, inside))
     flush()
-    if has_article:
-        lines = [x for x in lines if x[1]]
     return [x for x, _ in lines], [i for i, (_, inside) in enumerate(lines) if not inside]
 
 
@@ -162,7 +157,7 @@ def shared_path(a: str, b: str) -> tuple[int, int]:
 
 
 def _template_lines(pages: DataFrame) -> DataFrame:
-    """Of distinct (host, digest) with their path and open-line hashes: the positions of lines shared with the nearest page."""
+    """Of distinct (host, digest) with their path and line hashes: the positions of lines shared with the nearest page."""
     spark = pages.sparkSession
     ordered = pages.repartitionByRange("host", "path", "digest").sortWithinPartitions("host", "path", "digest")
 
@@ -208,7 +203,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [parse(t) for t in batch.column(4).to_pylist()]
-            hashes = [[xxhash.xxh3_64_intdigest(lines[i]) - (1 << 63) for i in open_] for lines, open_ in found]
+            hashes = [[xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in lines] for lines, _ in found]
             digests = [xxhash.xxh3_64_intdigest(repr(h)) - (1 << 63) for h in hashes]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:4], pa.array([x[0] for x in found], pa.list_(pa.string())), pa.array([x[1] for x in found], pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array(digests, pa.int64())],
@@ -216,14 +211,11 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     parsed = materialise(addressed.mapInArrow(run, f"page_id {kind}, url string, host string, path string, lines array<string>, open array<int>, hashes array<long>, digest long"), "lines")
-    settled, unsettled = parsed.filter(F.size("open") == 0), parsed.filter(F.size("open") > 0)
-    if not unsettled.isEmpty():
-        distinct = unsettled.groupBy("host", "digest").agg(F.min(F.struct("path", "hashes")).alias("f")).select("host", "digest", "f.path", "f.hashes")
-        cuts = _template_lines(distinct).filter(F.size("cut") > 0).withColumnsRenamed({"host": "h2", "digest": "d2"})
-        joined = unsettled.join(cuts, (F.col("host") == F.col("h2")) & (F.col("digest") == F.col("d2")), "left")
-        gone = F.transform("cut", lambda k: F.element_at("open", k + 1))
-        kept = F.filter("lines", lambda _, i: ~F.array_contains(gone, i))
-        unsettled = joined.withColumn("lines", F.when(F.col("cut").isNull(), F.col("lines")).otherwise(kept))
-    text = F.array_join("lines", "\n").alias("text")
-    both = settled.select("page_id", "url", text).unionByName(unsettled.select("page_id", "url", text))
+    distinct = parsed.filter(F.size("lines") > 0).groupBy("host", "digest").agg(F.min(F.struct("path", "hashes")).alias("f")).select("host", "digest", "f.path", "f.hashes")
+    cuts = _template_lines(distinct).filter(F.size("cut") > 0).withColumnsRenamed({"host": "h2", "digest": "d2"})
+    joined = parsed.join(cuts, (F.col("host") == F.col("h2")) & (F.col("digest") == F.col("d2")), "left")
+    gone = F.array_intersect("cut", "open")  # the markup's veto
+    kept = F.filter("lines", lambda _, i: ~F.array_contains(gone, i))
+    text = F.array_join(F.when(F.coalesce(F.size(gone), F.lit(0)) > 0, kept).otherwise(F.col("lines")), "\n").alias("text")
+    both = joined.select("page_id", "url", text)
     return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -312,6 +312,17 @@ def test_html(spark):
     assert html_extract.common([1, 2, 3, 4, 2], [2, 4, 9, 2]) == [1, 3, 4]
 
 
+def test_html_lines_beside_an_article(spark):
+    """An article element doesn't settle the lines outside it: differencing decides on them."""
+    beside = "<body><div>Site name</div><main><p>Main text {0} one</p><p>Main text {0} two</p></main><article><h2>Teaser</h2></article><div>Terms</div></body>"
+    inside = "<body><div>Site name</div><article><p>Shared passage</p><p>Own {0}</p></article><div>Terms</div></body>"
+    rows = [(1, "http://h/a/1", beside.format("x")), (2, "http://h/a/2", beside.format("y")), (3, "http://k/a/1", inside.format("x")), (4, "http://k/a/2", inside.format("y")), (5, "http://m/1", beside.format("z"))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Main text x one\nMain text x two\nTeaser" and got[2] == "Main text y one\nMain text y two\nTeaser"
+    assert got[3] == "Shared passage\nOwn x" and got[4] == "Shared passage\nOwn y"
+    assert got[5] == "Site name\nMain text z one\nMain text z two\nTeaser\nTerms"
+
+
 EMPTY = {
     "exact_dedup": lambda d, s: exact_dedup.deduplicate(d), "jaccard": lambda d, s: jaccard_join.link(d), "lines": lambda d, s: line_dedup.deduplicate(d), "shard": lambda d, s: sharding.shard(d, 3), "mix": lambda d, s: mixing.mix(d, MIX_LEVELS, MIX_WEIGHTS), "lang": lambda d, s: language_id.identify(d), "tokens": lambda d, s: token_files.tokenize(d, tokenizer_path()),
     "decontaminate": lambda d, s: decontamination.report(d, s.createDataFrame([], "item_id long, text string")), "toxic": lambda d, s: toxicity.detect(d, s.createDataFrame([], "doc_id long, toxic int")), "keep_one": lambda d, s: jaccard_join.keep_one(d), "keep_lang": lambda d, s: language_id.keep_identified(d, language_id.fit(d)),
