@@ -13,6 +13,8 @@ from tessera.llm.common import table
 MIX_LEVELS = {"domain": "if(source rlike '[02468]$', 'even', 'odd')", "lang": "lang", "source": "source"}
 MIX_WEIGHTS = {("even",): 3, ("odd",): 2} | {(d, k): w for d in ("even", "odd") for k, w in {"en": 4, "de": 2, "fr": 2, "es": 2}.items()}
 MIX_SHARE = 0.6
+#: A single repeated line of any length is a match, as short boilerplate lines are.
+LINE_WORDS = 1
 
 
 def tokenizer_path() -> str:
@@ -30,7 +32,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return line_dedup.deduplicate(table(spark, sf_dir, "documents"), min_words=LINE_WORDS)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, sharding, token_files, toxicity
-from tessera.llm.queries import MIX_LEVELS, MIX_WEIGHTS, tokenizer_path
+from tessera.llm.queries import MIX_LEVELS, MIX_WEIGHTS, op3_line_dedup, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -154,6 +154,14 @@ def test_line_dedup(docs, corpus):
         assert got[i]["text"] == want and got[i]["n_removed"] == len(gone[i])
 
 
+def test_short_repeated_lines(spark, tmp_path):
+    """The query deletes every later copy of a line, however short and whatever its neighbours."""
+    rows = [(1, "one two three four five six\nAll rights reserved.\nseven"), (2, "eight nine ten\nAll rights reserved.\neleven\n\n  All rights reserved. "), (3, "seven\ntwelve"), (4, "All rights reserved."), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("eight nine ten\neleven\n", 2), 3: ("twelve", 1), 4: ("", 1), 5: (None, 0)}
+
+
 def test_token_files(spark, docs, corpus, tmp_path):
     from tokenizers import Tokenizer
 
