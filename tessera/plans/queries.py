@@ -79,6 +79,16 @@ def three_hop_patterns(g: Graph) -> DataFrame:
     return go.path_patterns(g, g.edges.filter(C("type").isin("SAID", "HAS_ROLE")), 3)
 
 
+@query(graph=True)
+def two_hop_patterns_all(g: Graph) -> DataFrame:
+    return go.path_pattern_counts(g, 2)
+
+
+@query(graph=True)
+def three_hop_patterns_all(g: Graph) -> DataFrame:
+    return go.path_pattern_counts(g, 3)
+
+
 @query("SELECT node_id, label, name FROM nodes WHERE node_id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)", graph=True)
 def isolated_nodes(g: Graph) -> DataFrame:
     return go.isolated(g).select("node_id", "label", "name")

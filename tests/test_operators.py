@@ -1,6 +1,8 @@
 """Graph semantics, order-dependent text functions, sources, sinks and incremental ingestion on small fixtures."""
 
 import json
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -29,6 +31,22 @@ def test_isolated_and_ego(spark):
     assert {(r["direction"], r["other_name"]) for r in graph.ego(g, "Beta").collect()} == {("in", "Acme"), ("out", "fire")}
 
 
+def test_path_pattern_counts(spark):
+    """Against listed paths, with loops, parallel edges and every type."""
+    r = random.Random(4)
+    ids, label = "abcdefg", dict(zip("abcdefg", "XXYYZZZ"))
+    edges = [(str(k), r.choice(ids), r.choice(ids), r.choice(["s", "t", "u"]), 1) for k in range(16)] + [("l1", "a", "a", "s", 1), ("l2", "a", "a", "t", 1), ("p1", "a", "b", "s", 1), ("p2", "b", "a", "s", 1)]
+    g = Graph(spark.createDataFrame([(i, label[i], i, 1) for i in ids], "node_id string, label string, name string, mentions long"), spark.createDataFrame(edges, "edge_id string, src string, dst string, type string, cnt long"))
+    rows = [(e, a, b, t) for e, a, b, t, _ in edges] + [(e, b, a, t) for e, a, b, t, _ in edges if a != b]
+    for hops in (2, 3):
+        paths = [[x] for x in rows]
+        for _ in range(hops - 1):
+            paths = [p + [x] for p in paths for x in rows if p[-1][2] == x[1] and x[0] not in [y[0] for y in p]]
+        want = Counter((label[p[0][1]], label[p[-1][2]], ">".join(x[3] for x in p)) for p in paths)
+        got = {(x["start_label"], x["end_label"], x["types"]): x["cnt"] for x in graph.path_pattern_counts(g, hops).collect()}
+        assert got == want
+
+
 def test_names_fan_out_over_labels(spark):
     got = graph.resolve_by_name(spark.createDataFrame([("Acme", "fire")], "src_name string, dst_name string"), mini(spark).nodes)
     assert {(r["src"], r["dst"]) for r in got.collect()} == {("a", "c"), ("d", "c")}
