@@ -42,6 +42,51 @@ def bm25_topk(docs: DataFrame, terms: list[str], k: int, id_: str = "doc_id", te
     return counted.filter(hit).crossJoin(F.broadcast(stats)).select(id_, F.round(score, 9).alias("score")).orderBy(F.desc("score"), id_).limit(k)
 
 
+def _first(scored: DataFrame, k: int, query: str, id_: str) -> DataFrame:
+    """The k best of every query; the engine cuts each partition to k rows a query before it shuffles."""
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), id_))
+    return scored.withColumn("__r", rank).filter(F.col("__r") <= k).drop("__r")
+
+
+def dense_topk_each(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", column: str = "embedding", query: str = "query_id") -> DataFrame:
+    """dense_topk for every row (query, column) of queries. Few queries are broadcast, more are paired block by block."""
+    asked = queries.select(query, F.col(column).alias("__q"))
+    return _first(vectors.crossJoin(asked).select(query, id_, F.round(cosine(F.col(column), F.col("__q")), 9).alias("score")), k, query, id_)
+
+
+def bm25_topk_each(docs: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, query: str = "query_id") -> DataFrame:
+    """bm25_topk for the whole text of every row (query, text) of queries; ids of docs must be unique."""
+    asked = queries.select(query, F.explode(F.array_distinct(words(text))).alias("t"))
+    ws = docs.select(id_, words(text).alias("w")).select(id_, F.size("w").alias("dl"), "w")
+    stats = ws.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = ws.select(id_, "dl", F.explode("w").alias("t")).join(asked.select("t").distinct(), "t", "left_semi").groupBy(id_, "dl", "t").agg(F.count("*").alias("f"))
+    df = tf.groupBy("t").agg(F.count("*").alias("df"))
+    weights = asked.join(df, "t").crossJoin(F.broadcast(stats))
+    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = tf.join(weights, "t").groupBy(query, id_).agg(F.round(F.sum(part), 9).alias("score"))
+    return _first(scored, k, query, id_)
+
+
+def reciprocal_ranks_each(lists: list[DataFrame], id_: str, k: int = 60, limit: int = 10, query: str = "query_id") -> DataFrame:
+    """reciprocal_ranks within every query."""
+    order = Window.partitionBy(query).orderBy(F.desc("score"), id_)
+    both = None
+    for x in lists:
+        ranked = x.select(query, id_, (1.0 / (k + F.row_number().over(order))).alias("r"))
+        both = ranked if both is None else both.unionByName(ranked)
+    return _first(both.groupBy(query, id_).agg(F.round(F.sum("r"), 9).alias("score")), limit, query, id_)
+
+
+def weighted_each(lists: list[tuple[DataFrame, float]], id_: str, limit: int = 10, query: str = "query_id") -> DataFrame:
+    """weighted within every query."""
+    all_, both = Window.partitionBy(query), None
+    for x, w in lists:
+        low, high = F.min("score").over(all_), F.max("score").over(all_)
+        scaled = x.select(query, id_, (F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0) * w).alias("r"))
+        both = scaled if both is None else both.unionByName(scaled)
+    return _first(both.groupBy(query, id_).agg(F.round(F.sum("r"), 6).alias("score")), limit, query, id_)
+
+
 def reciprocal_ranks(lists: list[DataFrame], id_: str, k: int = 60, limit: int = 10) -> DataFrame:
     """Fuse short ranked lists (id, score) by the sum of 1 / (k + rank)."""
     order = Window.orderBy(F.desc("score"), id_)  # lists of a few candidates

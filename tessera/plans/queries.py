@@ -502,6 +502,53 @@ def hybrid_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.weighted([(dense, 0.7), (sparse, 0.3)], "id")
 
 
+# Every row whose id is divisible by 50 as a query, with its whole text, against all rows.
+
+
+def _asked(spark: SparkSession, sf_dir: str, name: str, id_: str) -> DataFrame:
+    return table(spark, sf_dir, name).filter(C(id_) % 50 == 0).withColumnRenamed(id_, "query_id")
+
+
+_DENSE_EACH = f"SELECT query_id, vec_id, round(s, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS.replace(', 6)', ', 9)')} AS s FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q WHERE %s) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 15"
+
+
+@query(_DENSE_EACH.replace("%s", "true"))
+def dense_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.dense_topk_each(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir, "embeddings", "vec_id"), 15).withColumn("score", F.round("score", 6))
+
+
+@query(_DENSE_EACH.replace("%s", "e.label = 1"))
+def filtered_dense_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.dense_topk_each(table(spark, sf_dir, "embeddings").filter("label = 1"), _asked(spark, sf_dir, "embeddings", "vec_id"), 15).withColumn("score", F.round("score", 6))
+
+
+@query(r"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS t FROM benchmark WHERE item_id % 50 = 0),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
+tf AS (SELECT doc_id, dl, t, count(*) AS f FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS s FROM q JOIN tf USING (t) JOIN df USING (t), st GROUP BY ALL)
+SELECT query_id, doc_id, round(s, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) <= 15""")
+def bm25_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.bm25_topk_each(table(spark, sf_dir, "documents"), _asked(spark, sf_dir, "benchmark", "item_id"), 15).withColumn("score", F.round("score", 6))
+
+
+def _lists_each(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both ranked lists of each benchmark item and the vector of its id."""
+    items, vectors = _asked(spark, sf_dir, "benchmark", "item_id"), _asked(spark, sf_dir, "embeddings", "vec_id")
+    dense = rt.dense_topk_each(table(spark, sf_dir, "embeddings"), vectors.join(items.select("query_id"), "query_id", "left_semi"), 15)
+    return dense.withColumnRenamed("vec_id", "id"), rt.bm25_topk_each(table(spark, sf_dir, "documents"), items, 15).withColumnRenamed("doc_id", "id")
+
+
+@query()
+def hybrid_rrf_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.reciprocal_ranks_each(list(_lists_each(spark, sf_dir)), "id")
+
+
+@query()
+def hybrid_weighted_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense, sparse = _lists_each(spark, sf_dir)
+    return rt.weighted_each([(dense, 0.7), (sparse, 0.3)], "id")
+
+
 @query("SELECT event_id, value FROM events WHERE json_extract_string(props, '$.k') >= '5' AND json_extract_string(props, '$.k') <= '7'")
 def metadata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter(rt.metadata_filter("metadata[\"k\"] >= '5' and metadata[\"k\"] <= '7'", "props")).select("event_id", "value")

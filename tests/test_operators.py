@@ -90,6 +90,25 @@ def test_metadata_filter(spark):
     assert df.filter(retrieval.metadata_filter('metadata["k"] == "a" and metadata["d"] >= "2020"')).count() == 1
 
 
+def test_searches_of_many_queries(spark):
+    """Each query of a table gets what it gets alone, from its whole text."""
+    r = random.Random(2)
+    words = ["w%d" % k for k in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(words, k=r.randint(0, 40)))) for i in range(60)], "doc_id long, text string")
+    vectors = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(60)], "vec_id long, embedding array<float>")
+    texts = {i: " ".join(r.choices(words, k=12)) for i in (0, 50, 100)}
+    points = {i: [r.random() for _ in range(4)] for i in texts}
+    asked = spark.createDataFrame([(i, texts[i], points[i]) for i in texts], "query_id long, text string, embedding array<double>")
+    many = [retrieval.dense_topk_each(vectors, asked, 5).withColumnRenamed("vec_id", "id"), retrieval.bm25_topk_each(docs, asked, 5).withColumnRenamed("doc_id", "id")]
+    fused = [retrieval.reciprocal_ranks_each(many, "id"), retrieval.weighted_each([(many[0], 0.7), (many[1], 0.3)], "id")]
+    rows = [x.collect() for x in many + fused]
+    for i in texts:
+        one = [retrieval.dense_topk(vectors, points[i], 5).withColumnRenamed("vec_id", "id"), retrieval.bm25_topk(docs, texts[i].split(), 5).withColumnRenamed("doc_id", "id")]
+        alone = one + [retrieval.reciprocal_ranks(one, "id"), retrieval.weighted([(one[0], 0.7), (one[1], 0.3)], "id")]
+        for got, want in zip(rows, alone, strict=True):
+            assert {x["id"]: round(x["score"], 6) for x in got if x["query_id"] == i} == {x["id"]: round(x["score"], 6) for x in want.collect()}
+
+
 def test_sources(spark, tmp_path):
     base = tmp_path / "ACME" / "2024"
     base.mkdir(parents=True)
