@@ -417,6 +417,12 @@ def strip_think(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.strip_think(F.concat(F.lit("a <think>"), F.substring("text", 1, 20), F.lit("</think> b"))).alias("clean"))
 
 
+@query("SELECT doc_id, md5(trim(regexp_replace(text || '<think>' || text || '</think>' || text || '<think>' || text || text || '</think> b', '(?s)<think>.*?</think>', '', 'g'))) AS clean_md5 FROM documents")
+def strip_think_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = F.concat("text", F.lit("<think>"), "text", F.lit("</think>"), "text", F.lit("<think>"), "text", "text", F.lit("</think> b"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.strip_think(tagged)).alias("clean_md5"))
+
+
 @query("SELECT p_brand AS section, CASE WHEN regexp_extract(substring(p_brand, 7), '^([0-9]+)', 1) = '' THEN 999 ELSE CAST(regexp_extract(substring(p_brand, 7), '^([0-9]+)', 1) AS INT) END AS number, count(*) AS n FROM part GROUP BY ALL")
 def section_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     number, _ = tx.section_key(F.substring("p_brand", 7, 20))
