@@ -17,6 +17,9 @@ result.
 Defined results: a text without words (null and empty ones too) has no tokens and is linked with nothing;
 with fewer words than n its whole sequence is its one token. Rows with the same doc_id are one document. A
 null doc_id is linked with nothing. Other columns of the input are ignored.
+
+This is a component finder, not a join that lists pairs: membership is exact, but links between members of one
+component are neither listed nor counted, and most of them are never verified.
 """
 
 from __future__ import annotations
