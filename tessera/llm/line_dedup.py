@@ -1,4 +1,7 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by a join of windows of lines.
+
+This stands in place of winnowing: every window is sent and the hash of its whole content decides, so the
+fingerprint selects nothing, and matches are not extended. With min_words=1 each line is a window.
 
 From every line a window of following lines, and one of preceding lines, is taken until it has MIN_WORDS
 words. Of each window the smallest line hash is its fingerprint, on which positions are joined, together
