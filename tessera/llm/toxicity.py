@@ -4,8 +4,10 @@ Every token has a log-odds score: how much likelier it is in toxic than in other
 is the rate of the token's five-letter beginning, that one's the rate of its four-letter beginning, and so
 on down to the rate of all tokens, so inflected or unseen words borrow from their stem. Other tokens cost a
 little. A linear scan then finds all maximal segments of a text, and the extreme-value law of such segments,
-with its scale and constant fitted on texts that are not toxic, turns their scores into significance. A
-logistic curve over the significance gives the score of the document.
+with its scale and constant fitted on texts that are not toxic, turns their scores into significance. All
+passages come from this scan. The score of the document is a logistic curve over the significance of the
+segments of a second scan, in which a word scores at its first occurrence in the text alone: repeats are not
+independent evidence. The law is fitted on that scan, too, so repeats in clean texts hide no passage.
 
 Defined results: null and empty texts, and texts without a word, have no segment and get the score of a
 clean text. Rows that repeat get equal scores. When nothing could be learned, every score is the share of
@@ -91,20 +93,21 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, float(r - lo)) for s, e, lo, r in held]
 
 
-def _passages(text: str | None, scores: _Scores, model: ToxicityModel) -> tuple[int, list[tuple[int, int, float, float]]]:
-    """Number of tokens, and each segment with its normalised score: above 0 means fewer than one such by chance."""
+def _passages(text: str | None, scores: _Scores, model: ToxicityModel) -> tuple[int, list[tuple[int, int, float, float]], list[tuple[int, int, float, float]]]:
+    """Number of tokens; each segment with its normalised score, above 0 meaning fewer than one such by chance; the same with first occurrences alone, for the document's score."""
     words = WORD.findall(text.lower()) if text else []
     values = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
     if not len(values) or values.max() <= 0:
-        return len(words), []
-    # a word that comes again tells nothing new: only its first occurrence scores
-    seen: set[str] = set()
+        return len(words), [], []
+    chance = math.log(max(model.constant * len(words), 1e-12))
+    scan = lambda v: [(s, e, x, model.scale * x - chance) for s, e, x in segments(v)]
+    damped, seen = values.copy(), set()
     for at in np.flatnonzero(values > 0).tolist():
         if words[at] in seen:
-            values[at] = 0.0
+            damped[at] = 0.0
         seen.add(words[at])
-    chance = math.log(max(model.constant * len(words), 1e-12))
-    return len(words), [(s, e, x, model.scale * x - chance) for s, e, x in segments(values)]
+    found = scan(values)
+    return len(words), found, found if np.array_equal(damped, values) else scan(damped)
 
 
 def _evidence(found: list[tuple[int, int, float, float]]) -> tuple[float, float]:
@@ -170,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, seed: int =
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(model.terms)
         for batch in batches:
-            out = [(y, n, [x[2] for x in found]) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n, found in [_passages(t, scores, model)]]
+            out = [(y, n, [x[2] for x in found]) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n, _, found in [_passages(t, scores, model)]]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.float64()))], names=["y", "n", "s"])
 
     scanned = rows.mapInArrow(scan, "y int, n long, s array<double>").toArrow().to_pylist()  # max_docs rows at most
@@ -229,9 +232,9 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
         own = shared.value
         scores = _Scores(own.terms)
         for batch in batches:
-            found = [[x for x in _passages(t, scores, own)[1] if x[3] > 0] for t in batch.column(1).to_pylist()]
-            points = [_curve(own, *_evidence(x)) for x in found]
-            spans = [[{"start": s, "end": e, "raw": r, "significance": g} for s, e, r, g in x] for x in found]
+            found = [_passages(t, scores, own)[1:] for t in batch.column(1).to_pylist()]
+            points = [_curve(own, *_evidence(x)) for _, x in found]
+            spans = [[{"start": s, "end": e, "raw": r, "significance": g} for s, e, r, g in x if g > 0] for x, _ in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.float64()), pa.array(spans, pa.list_(passage))], names=["i", "score", "passages"])
 
     kind = held.schema["i"].dataType.simpleString()

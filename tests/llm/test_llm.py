@@ -294,6 +294,17 @@ def test_toxicity(spark):
     assert all(got[i]["predicted"] == y for i, y in labels) and all(got[i]["predicted"] == 0 for i in (900, 901, 902, 903))
 
 
+def test_repeated_passages_are_found(spark):
+    """A passage whose words all came before is a passage, too; the document's score doesn't grow with it."""
+    model = toxicity.ToxicityModel(0.1, {"bad": 4.0, "worse": 4.0, "worst": 4.0}, curve=(-5.0, 0.5, 0.5))
+    plain = " ".join(["word"] * 300)
+    rows = [(1, f"{plain} bad worse worst {plain}"), (2, f"{plain} bad worse worst {plain} worst bad worse {plain}")]
+    got = {x["doc_id"]: x for x in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [(x["start"], x["end"]) for x in got[1]["passages"]] == [(300, 303)]
+    assert [(x["start"], x["end"]) for x in got[2]["passages"]] == [(300, 303), (603, 606)]
+    assert got[2]["score"] <= got[1]["score"]
+
+
 def test_segments_are_maximal():
     r = random.Random(9)
     for _ in range(200):
