@@ -1,26 +1,30 @@
 """Token files: a wavelet matrix per shard.
 
 Texts become token ids with a given tokenizer, an end id closing each. Shards hold whole documents in
-ascending order of doc_id. A shard is one compressed blob: a header, the documents' ids and lengths, and
-the bit-planes of a wavelet matrix with their rank directory, from which tokens can be accessed, counted
-and located without decoding the rest. Blobs are cells of a Parquet table, since that is what Spark can
-write to and read from any store.
-
-Defined results: a null text counts as empty and has the end id alone. Null doc_ids come first. Rows with
-the same doc_id are in the order of their texts' hashes; exact repeats stand beside each other. An empty
-table makes a table without shards.
+ascending order of doc_id. A shard is one blob: a header, the documents' ids and lengths, and the bit-planes
+of a wavelet matrix with their rank directory. Documents, directory and every PLANE_BYTES of a plane are
+compressed by themselves, so access(), count() and locate() unpack only the pieces of the planes that they
+touch; a whole-shard read unpacks all. Blobs are cells of a Parquet table, since that is what Spark can write
+to and read from any store.
+
+Defined results: a null text counts as empty and has the end id alone. Null doc_ids come first; ids of any
+atomic type keep it (strings in their binary order). Rows with the same doc_id are in the order of their
+texts' hashes; exact repeats stand beside each other. Very long texts are encoded whole. An empty table makes
+a table without shards. Ids that `bits` can't hold are refused; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
-from unicodedata import is_normalized
+from collections.abc import Iterator, Sequence
+from functools import cached_property
+from unicodedata import category, is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -31,28 +35,71 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, shared_dir
 
-MAGIC = b"TWM1"
+MAGIC = b"TWM2"
 SHARD_TOKENS = 1 << 20
 PARTITION_BYTES = 24 << 20
 #: Parts at most; the driver holds a number for each.
 MAX_PARTS = 20_000
 BLOCK_BITS = 512
-SCHEMA = "part int, seq int, base long, n_docs long, n_tokens long, shard binary"
+#: Bytes of a plane that are compressed together, a multiple of a block.
+PLANE_BYTES = 8192
+COLUMNS = "part int, seq int, base long, n_docs long, n_tokens long, first_id {kind}, shard binary"
 #: Pieces that a worker remembers, some 200 bytes each; of more, those of at most SHORT characters.
 CACHE = 500_000
 SHORT = 9
 WORDS_AT_ONCE = 400
-#: Characters whose lower case depends on more than themselves.
-_CONTEXTUAL = frozenset("\u0130\u03a3")
+#: What the encoder's short cuts rely on; any other tokenizer encodes whole texts.
+_SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+    "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "ignore_merges": False},
+}
+
+
+def _steady(c: str) -> bool:
+    """Whether a character is its own NFC, composes with none before it and has a lower case of one such character."""
+    return category(c)[0] != "M" and is_normalized("NFC", c) and len(c.lower()) == 1 and is_normalized("NFC", c.lower())
+
+
+#: Latin letters, signs and symbols: in texts of these alone NFC changes nothing, before or after lower case.
+_STEADY = frozenset(c for c in map(chr, (*range(0x2B0), *range(0x2010, 0x2C00))) if _steady(c))
 _RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 #: Latin letters, digits and marks without an apostrophe, a combining character or white space.
 _SPLITS = re.compile(r"[!-&(-~\u00a1-\u012f\u0131-\u02af]+")
 
 
+class PackedPlane:
+    """The bytes of a bit-plane, unpacked piece by piece as slices of it are read."""
+
+    def __init__(self, size: int, pieces: Sequence[bytes]) -> None:
+        self.size, self.pieces = size, pieces
+        self.open: dict[int, np.ndarray] = {}
+
+    def _piece(self, k: int) -> np.ndarray:
+        if k not in self.open:
+            self.open[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.pieces[k]), np.uint8)
+        return self.open[k]
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: int | slice) -> np.ndarray | int:
+        if not isinstance(at, slice):
+            return self._piece(at // PLANE_BYTES)[at % PLANE_BYTES]
+        low, high, _ = at.indices(self.size)
+        if low >= high:
+            return np.zeros(0, np.uint8)
+        first = low // PLANE_BYTES
+        parts = [self._piece(k) for k in range(first, (high - 1) // PLANE_BYTES + 1)]
+        whole = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        return whole[low - first * PLANE_BYTES : high - first * PLANE_BYTES]
+
+
 class WaveletMatrix:
     """Bit-planes from the highest bit; on each level the zeros of the level above come first, then its ones."""
 
-    def __init__(self, size: int, planes: list[np.ndarray], ones: list[np.ndarray], zeros: list[int]) -> None:
+    def __init__(self, size: int, planes: list[np.ndarray | PackedPlane], ones: list[np.ndarray], zeros: list[int]) -> None:
         self.size, self.planes, self.ones, self.zeros = size, planes, ones, zeros
 
     @classmethod
@@ -137,7 +184,7 @@ class WaveletMatrix:
         """All ids: from the deepest level up, each level's order is undone."""
         rest = np.zeros(self.size, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes) - 1, -1, -1):
-            flag = np.unpackbits(self.planes[level], count=self.size, bitorder="little").astype(bool)
+            flag = np.unpackbits(self.planes[level][:], count=self.size, bitorder="little").astype(bool)
             up = np.empty_like(rest)
             up[np.flatnonzero(~flag)] = rest[: self.zeros[level]]
             up[np.flatnonzero(flag)] = rest[self.zeros[level] :] | rest.dtype.type(1 << (len(self.planes) - 1 - level))
@@ -145,33 +192,66 @@ class WaveletMatrix:
         return rest.astype("<u4")
 
 
-def write_shard(ids: list[int | None], lengths: list[int], tokens: np.ndarray, bits: int) -> bytes:
-    matrix = WaveletMatrix.build(tokens, bits)
-    known = np.array([i is not None for i in ids], np.uint8)
-    body = b"".join([known.tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array(lengths, "<u4").tobytes(), np.array(matrix.zeros, "<u4").tobytes(), *(x for p, o in zip(matrix.planes, matrix.ones, strict=True) for x in (p.tobytes(), o.astype("<u4").tobytes()))])
-    return MAGIC + struct.pack("<IIB", len(ids), len(tokens), bits) + zstandard.ZstdCompressor(level=1).compress(body)
+def _packed(parts: Sequence[bytes]) -> bytes:
+    """Number and sizes of the parts, then the parts, each compressed by itself."""
+    pressed = [zstandard.ZstdCompressor(level=1).compress(x) for x in parts]
+    return struct.pack("<I", len(pressed)) + np.array([len(x) for x in pressed], "<u4").tobytes() + b"".join(pressed)
+
 
+def _parts(blob: memoryview) -> tuple[list[memoryview], memoryview]:
+    """The parts, still compressed, and what follows them."""
+    (n,) = struct.unpack_from("<I", blob)
+    ends = 4 + 4 * n + np.concatenate(([0], np.cumsum(np.frombuffer(blob, "<u4", n, 4)))).astype(np.int64)
+    return [blob[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], blob[int(ends[-1]) :]
 
-def read_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """Document ids, their numbers of tokens, and the wavelet matrix."""
-    if blob[:4] != MAGIC:
-        raise ValueError("not a token shard")
-    docs, size, bits = struct.unpack_from("<IIB", blob, 4)
-    body = zstandard.ZstdDecompressor().decompress(blob[13:])
-    at = 0
 
-    def take(kind: str, n: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(body, kind, n, at)
-        at += out.nbytes
-        return out
+def _needed_bits(top: int) -> int:
+    return max(1, int(top).bit_length())
 
-    known, ids, lengths, zeros = take("u1", docs), take("<i8", docs), take("<u4", docs), take("<u4", bits)
-    planes, ones = [], []
-    for _ in range(bits):
-        planes.append(take("u1", -(-size // 8)))
-        ones.append(take("<u4", -(-size // BLOCK_BITS) + 1))
-    return [int(i) if k else None for i, k in zip(ids, known, strict=True)], lengths, WaveletMatrix(size, planes, ones, zeros.tolist())
+
+def write_shard(ids: pa.Array, lengths: Sequence[int], tokens: np.ndarray, bits: int) -> bytes:
+    if len(tokens) and _needed_bits(tokens.max()) > bits:
+        raise ValueError(f"token id {int(tokens.max())} needs more than {bits} bits")
+    matrix = WaveletMatrix.build(tokens, bits)
+    sink = pa.BufferOutputStream()
+    documents = pa.RecordBatch.from_arrays([ids, pa.array(lengths, pa.int64())], names=["doc_id", "n_tokens"])
+    with pa.ipc.new_stream(sink, documents.schema) as out:
+        out.write_batch(documents)
+    head = [sink.getvalue().to_pybytes(), np.array(matrix.zeros, "<u4").tobytes(), *(o.astype("<u4").tobytes() for o in matrix.ones)]
+    planes = [_packed([p[at : at + PLANE_BYTES].tobytes() for at in range(0, len(p), PLANE_BYTES)]) for p in matrix.planes]
+    return MAGIC + struct.pack("<IB", len(tokens), bits) + _packed(head) + b"".join(planes)
+
+
+class Shard:
+    """A written shard; nothing is unpacked before it is asked for."""
+
+    def __init__(self, blob: bytes) -> None:
+        if blob[:4] != MAGIC:
+            raise ValueError("not a token shard")
+        self.size, self.bits = struct.unpack_from("<IB", blob, 4)
+        self._head, self._rest = _parts(memoryview(blob)[9:])
+
+    def _unpack(self, k: int) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(self._head[k])
+
+    @cached_property
+    def documents(self) -> pa.Table:
+        """doc_id and n_tokens."""
+        return pa.ipc.open_stream(self._unpack(0)).read_all()
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """End of each document among the shard's tokens."""
+        return np.cumsum(self.documents.column(1).to_numpy())
+
+    @cached_property
+    def matrix(self) -> WaveletMatrix:
+        planes, ones, rest = [], [], self._rest
+        for level in range(self.bits):
+            pieces, rest = _parts(rest)
+            planes.append(PackedPlane(-(-self.size // 8), pieces))
+            ones.append(np.frombuffer(self._unpack(2 + level), "<u4"))
+        return WaveletMatrix(self.size, planes, ones, np.frombuffer(self._unpack(1), "<u4").tolist())
 
 
 class Encoder:
@@ -181,6 +261,9 @@ class Encoder:
     influence each other. It also splits letters from other characters, so a word is encoded without the
     mark behind it, and new words are encoded many at once: every word ends with a token that marks the end.
     Texts with other characters than Latin letters, full stops and commas are split at spaces and line ends alone.
+    Case is folded here only in texts of _STEADY characters, which NFC leaves alone; all others go to the
+    tokenizer piece by piece as they are, since it composes before it folds. A tokenizer with other settings
+    than _SETTINGS encodes whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -188,10 +271,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.closes = np.zeros(1 << 16, bool)
-        self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.top = max(vocabulary.values(), default=0)
+        own = json.loads(self.tokenizer.to_str())
+        self.special = [x["content"] for x in own["added_tokens"]]
+        self.known_settings = all(own[k] == v if not isinstance(v, dict) or k != "model" else v.items() <= own[k].items() for k, v in _SETTINGS.items()) and all(x.startswith("<|") and not any(c.isspace() for c in x) for x in self.special)
+        self.closes = np.zeros(self.top + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
-        self.plain = {chr(c) for c in range(0x2B0) if chr(c).isalpha()} | set(" \n.,")
+        self.letters = {c for c in _STEADY if ord(c) < 0x2B0 and c.isalpha()}
+        self.plain = self.letters | set(" \n.,")
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode each piece by itself."""
@@ -215,7 +304,7 @@ class Encoder:
         if not text:
             return []
         used = set(text)
-        if not used & _CONTEXTUAL and "<|" not in text:
+        if used <= _STEADY and "<|" not in text:
             text = text.lower()  # one character at a time, and it makes no special token
             if used <= self.plain and not any(pair in text for pair in ("..", ".,", ",.", ",,")):
                 text = text.replace(".", " . ").replace(",", " , ")
@@ -230,6 +319,8 @@ class Encoder:
             gc.enable()
 
     def _encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
+        if not self.known_settings:
+            return [np.array([*e.ids, end_id], "<u4") for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         if len(self.known) > CACHE:  # short pieces are the likeliest to come again
             self.known = {w: x for w, x in self.known.items() if len(w) <= SHORT}
             if len(self.known) > CACHE // 2:
@@ -237,8 +328,8 @@ class Encoder:
         pieces = [self._pieces(t) for t in texts]
         new = set().union(*pieces) - self.known.keys()
         words = [w for w in new if w.isalpha()]
-        if not set("".join(words)) <= self.plain:
-            words = [w for w in words if is_normalized("NFC", w)]
+        if not set("".join(words)) <= self.letters:
+            words = [w for w in words if self.letters.issuperset(w)]
         self._learn_words(words)
         if len(words) < len(new):
             # letters and what stands between them are encoded apart, unless an apostrophe or mark joins them
@@ -262,62 +353,130 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bits: int = 16) -> None:
-    """Write the token shards of docs (doc_id, text) as a table (part, seq, base: ids in the part before it, n_docs, n_tokens, shard) at path."""
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bits: int | None = None) -> None:
+    """Write the token shards of docs (doc_id, text) as a table at path.
+
+    Its columns are part, seq, base (ids in the part before the shard), n_docs, n_tokens, first_id and shard.
+    bits is what the largest id of the vocabulary needs, unless given.
+    """
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    width = bits or _needed_bits(max(encoder(tokenizer).top, end_id))
+    schema = COLUMNS.format(kind=rows.schema["doc_id"].dataType.simpleString())
+    names = [c.split(" ")[0] for c in schema.split(", ")]
     size = rows.agg(F.sum(F.octet_length("text") + 8).alias("n")).first()["n"] or 0
     parts = max(1, -(-size // max(PARTITION_BYTES, size // MAX_PARTS)))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        ids: list = []
+        ids: list[pa.Array] = []
         held: list[np.ndarray] = []
         size = base = 0
 
         def shard() -> pa.RecordBatch:
-            blob = write_shard(ids, [len(x) for x in held], np.concatenate(held), bits)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([base], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], names=["part", "seq", "base", "n_docs", "n_tokens", "shard"])
+            all_ids = pa.chunked_array(ids).combine_chunks()
+            blob = write_shard(all_ids, [len(x) for x in held], np.concatenate(held), width)
+            numbers = [pa.array([v], t) for v, t in ((part, pa.int32()), (seq, pa.int32()), (base, pa.int64()), (len(held), pa.int64()), (size, pa.int64()))]
+            return pa.RecordBatch.from_arrays([*numbers, all_ids.slice(0, 1), pa.array([blob], pa.binary())], names=names)
 
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 some = batch.slice(low, 1000)
-                for i, tokens in zip(some.column(0).to_pylist(), own.encode(some.column(1).to_pylist(), end_id), strict=True):
-                    ids.append(i)
+                begin = 0
+                for k, tokens in enumerate(own.encode(some.column(1).to_pylist(), end_id)):
                     held.append(tokens)
                     size += len(tokens)
                     if size >= SHARD_TOKENS:
+                        ids.append(some.column(0).slice(begin, k + 1 - begin))
                         yield shard()
-                        ids, held, size, seq, base = [], [], 0, seq + 1, base + size
-        if ids:
+                        ids, held, size, seq, base, begin = [], [], 0, seq + 1, base + size, k + 1
+                if begin < some.num_rows:
+                    ids.append(some.column(0).slice(begin))
+        if held:
             yield shard()
 
-    ordered.mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, all from the shards."""
+def _shards(spark: SparkSession, path: str) -> tuple[DataFrame, dict[int, int], str]:
+    """The table of shards, the ids of all parts before each (one number for each part), and the type of doc_id."""
     bounded_batches(spark)
-    shards = spark.read.schema(SCHEMA).parquet(path)
-    per_part = sorted((r["part"], r["n"]) for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
+    shards = spark.read.parquet(path)
     starts, at = {}, 0
-    for part, n in per_part:
-        starts[part] = at
-        at += n
+    for r in sorted(shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
+        starts[r["part"]] = at
+        at += r["n"]
+    return shards.select("part", "base", "n_tokens", "shard"), starts, shards.schema["first_id"].dataType.simpleString()
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, all from the shards."""
+    shards, starts, kind = _shards(spark, path)
     shared = spark.sparkContext.broadcast(starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, base, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids, lengths, matrix = read_shard(blob.as_py())
-                tokens = matrix.decode()
-                ends = np.cumsum(lengths.astype(np.int64))
-                begins = ends - lengths
-                crcs = [zlib.crc32(tokens[b:e].tobytes()) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begins + (shared.value[part] + base)), pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return shards.select("part", "base", "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for part, base, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+                shard = Shard(blob.as_py())
+                tokens, lengths = shard.matrix.decode(), shard.documents.column(1).to_numpy()
+                begins = shard.ends - lengths
+                crcs = [zlib.crc32(tokens[b:e].tobytes()) for b, e in zip(begins.tolist(), shard.ends.tolist(), strict=True)]
+                ids = shard.documents.column(0).combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids, pa.array(begins + (shared.value[part] + base)), pa.array(lengths), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return shards.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+
+
+def access(spark: SparkSession, path: str, positions: Sequence[int]) -> DataFrame:
+    """(position, token) of these positions among all ids; only shards that hold one are unpacked, piece by piece."""
+    shards, starts, _ = _shards(spark, path)
+    wanted = np.unique(np.array(positions, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, base, n, blob in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), batch.column(3), strict=True):
+                first = starts[part] + base
+                own = wanted[np.searchsorted(wanted, first) : np.searchsorted(wanted, first + n)]
+                if len(own):
+                    matrix = Shard(blob.as_py()).matrix
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([matrix.access(i) for i in (own - first).tolist()], pa.int64())], names=["position", "token"])
+
+    return shards.mapInArrow(run, "position long, token long")
+
+
+def count(spark: SparkSession, path: str, tokens: Sequence[int]) -> DataFrame:
+    """(token, n) for each of these tokens: its occurrences in all shards, by ranks alone."""
+    shards, _, _ = _shards(spark, path)
+    wanted = sorted(set(tokens))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(3):
+                matrix = Shard(blob.as_py()).matrix
+                yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int64()), pa.array([matrix.rank(t) for t in wanted], pa.int64())], names=["token", "n"])
+
+    asked = spark.createDataFrame([(t,) for t in wanted], "token long")
+    return asked.join(shards.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def locate(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """(doc_id, at) of every occurrence of a token: the document and the place within it, from 0."""
+    shards, _, kind = _shards(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(3):
+                shard = Shard(blob.as_py())
+                places = np.array(shard.matrix.occurrences(token), np.int64)
+                if len(places):
+                    document = np.searchsorted(shard.ends, places, "right")
+                    begins = shard.ends - shard.documents.column(1).to_numpy()
+                    ids = shard.documents.column(0).combine_chunks().take(pa.array(document))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(places - begins[document])], names=["doc_id", "at"])
+
+    return shards.mapInArrow(run, f"doc_id {kind}, at long")
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None) -> DataFrame:

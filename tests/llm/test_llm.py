@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,24 +181,65 @@ def test_no_row_is_lost_in_large_batches(spark):
         assert out.select("doc_id").distinct().count() == out.count() == 5000
 
 
-@pytest.mark.parametrize("letters", ["aB.,'’ \n\tΣσςÉé́İı漢0²½🙂<|>\x1c\x85ẞﬁ", "abC., \n", "aé._-#,. 12"])
-def test_pieces_are_exact(letters):
+MARKS = "\u030c\u0331\u0308\u030a\u0301\u0323\u0307\u0327\u0345\u0342\u0313\u3099"
+ALPHABETS = {
+    "mixed": "aB.,'’ \n\tΣσςÉé\u0301İı漢0²½🙂<|>\x1c\x85ẞﬁ",
+    "plain": "abC., \n",
+    "joined": "aé._-#,. 12",
+    "latin": "aJHTWYjhtwyİẞ .'" + MARKS,
+    "greek": "αΙιΩωΣσΥ Ά,ͅ" + MARKS,
+    "cyrillic": "иИеЕкКгЫ .Й" + MARKS,
+    "others": "가각각かカ\u212b\u2126\u0928\u093c\u09c7\u09be “—€…" + MARKS,
+}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_pieces_are_exact(name):
     enc, r = token_files.encoder(tokenizer_path()), random.Random(4)
-    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(1500)] + ["<|endoftext|> <|ENDOFTEXT|>", "don't we'll, x's."]
+    texts = ["".join(r.choice(ALPHABETS[name]) for _ in range(r.randint(0, 40))) for _ in range(15_000)] + ["<|endoftext|> <|ENDOFTEXT|>", "don't we'll, x's."]
     want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist()[:-1] for x in enc.encode(texts, 1)] == want
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+
+    enc = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Some  Text\n\nand More", " a b", "", None]
+    assert not enc.known_settings and token_files.encoder(tokenizer_path()).known_settings
+    assert [x.tolist() for x in enc.encode(texts, 7)] == [[*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+
+
 def test_wavelet_matrix():
-    tokens = np.random.default_rng(1).integers(0, 300, 5000).astype("<u4")
-    m = token_files.read_shard(token_files.write_shard([7, None], [4000, 1000], tokens, 16))
-    assert m[0] == [7, None] and m[1].tolist() == [4000, 1000]
-    w = m[2]
-    assert (w.decode() == tokens).all()
+    tokens = np.random.default_rng(1).integers(0, 300, 150_000).astype("<u4")
+    shard = token_files.Shard(token_files.write_shard(pa.array([7, None]), [149_000, 1000], tokens, 16))
+    assert shard.documents.to_pydict() == {"doc_id": [7, None], "n_tokens": [149_000, 1000]}
+    w = shard.matrix
     assert [w.access(i) for i in (0, 511, 512, 4999)] == tokens[[0, 511, 512, 4999]].tolist()
+    assert max(len(p.open) for p in w.planes) < len(w.planes[0].pieces)  # a few pieces were unpacked, not all
+    assert (w.decode() == tokens).all() and w.access(149_999) == tokens[-1]
     for t in (0, 17, 299, 70_000):
         places = np.flatnonzero(tokens == t).tolist()
         assert w.rank(t) == len(places) and w.rank(t, 1000) == sum(p < 1000 for p in places) and w.occurrences(t) == places
+    with pytest.raises(ValueError):
+        token_files.write_shard(pa.array([1]), [1], np.array([70_000], "<u4"), 16)
+
+
+def test_lookups_in_written_files(monkeypatch, spark, tmp_path):
+    """Access, count and locate against the plain ids; ids are strings here, some null."""
+    monkeypatch.setattr(token_files, "SHARD_TOKENS", 50)
+    r, tok = random.Random(3), token_files.encoder(tokenizer_path()).tokenizer
+    rows = [(f"d{k:03d}" if k else None, " ".join(r.choice(["tree", "house", "river", "of"]) for _ in range(r.randint(0, 30)))) for k in range(60)]
+    path = str(tmp_path / "t")
+    token_files.write(spark.createDataFrame(rows, "doc_id string, text string"), path, tokenizer_path())
+    ids = [[*tok.encode(t, add_special_tokens=False).ids, 1] for _, t in rows]  # null first, then in order
+    flat = [x for one in ids for x in one]
+    assert {x["position"]: x["token"] for x in token_files.access(spark, path, range(0, len(flat), 7)).collect()} == {k: flat[k] for k in range(0, len(flat), 7)}
+    tree = ids[1][0]
+    assert {x["token"]: x["n"] for x in token_files.count(spark, path, [tree, 1, 99]).collect()} == {t: flat.count(t) for t in (tree, 1, 99)}
+    want = sorted((d or "", k) for (d, _), one in zip(rows, ids) for k, x in enumerate(one) if x == tree)
+    assert sorted((x["doc_id"] or "", x["at"]) for x in token_files.locate(spark, path, tree).collect()) == want
+    assert {x["doc_id"]: x["n_tokens"] for x in token_files.read(spark, path).collect()} == {d: len(one) for (d, _), one in zip(rows, ids)}
 
 
 @pytest.mark.parametrize("law", ["bytes", "rows", "key"])
