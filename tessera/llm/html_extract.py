@@ -1,25 +1,30 @@
 """Main text of web pages, by nearest-URL page differencing.
 
-A page becomes lines, one for each block, without what its markup names as menus, page headers, footers,
-sidebars, forms, notices, adverts or comments. Every page is paired with the page of its host whose URL path
-is nearest (of its two neighbours in path order, the one that shares more leading path), all lines of both
-are aligned by a longest common subsequence, and lines that the two share, so the template's, are deleted.
-The markup vetoes single deletions: a line within an article element stays, as a passage that two articles
-share would be lost else. All other lines are open, also beside an article, and differencing decides on them.
+A page becomes lines, one for each block, menus and footers included. Every page is paired with the page of
+its host whose URL path is nearest (of its two neighbours in path order, the one that shares more leading
+path), and all lines of both are aligned by a longest common subsequence. Lines that the two share are the
+template's and go, unless the markup vetoes it: a line within an article element stays, as a passage that two
+articles share would be lost else. The markup also adds deletions: what it names as a menu, page header or
+footer, sidebar, form, notice, advert or comment goes although only one page has it. All other lines are open,
+also beside an article, and differencing alone decides on them.
 
-Pages of a host with the same lines are copies, not templates of each other: they pair as one page.
+Pages of a host with the same lines are copies, not templates of each other: they pair as one page. Texts
+never move for the pairing, only hashes of lines; pages are parsed once for these and once more for the text.
 
 Defined results: null and empty html give an empty text with 0 characters; a null url belongs to the host
-without name. A host's only page keeps its open lines. Pages that repeat give equal results.
+without name. A host's only page keeps its open lines. Pages that repeat give equal results. Lines that a page
+repeats are aligned one by one. Very long pages are read whole: an alignment takes time in proportion to the
+product of the numbers of lines over the bits of a machine word, and linear memory. Other columns of the input
+are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -31,19 +36,25 @@ from tessera.llm.common import bounded_batches, materialise
 #: Element names of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("head nav footer aside form script style noscript template svg math canvas button select option textarea title iframe object audio video dialog menu figcaption label fieldset xmp noembed noframes".split())
+#: Elements whose content is no line, and those whose lines are not main text.
+NO_TEXT = frozenset("head script style noscript template svg canvas button select option textarea title iframe object audio video xmp noembed noframes datalist".split())
+CHROME_ELEMENTS = frozenset("nav footer aside form dialog menu search".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "li", "dd", "dt", "title"}
 #: Elements whose start ends an open one of these, within the nearest of the listed containers.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-#: Words in class and id names, and roles, of what is not main text.
+#: Words in class and id names, and roles, of what is not main text; outside articles.
 CHROME = re.compile(
-    r"(?:^|[\s_-])(?<!with-)(?<!has-)(?<!no-)(?<!with_)(?<!has_)(?<!no_)(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification|alert|sidebar|comments?|commentlist|replies|reply|disqus|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|"
-    r"subscription|popup|modal|overlay|breadcrumbs?|menu|nav|navbar|navigation|footer|header|masthead|topbar|toolbar|widget|pagination|pager|skip|login|signup|search|disclaimer|copyright|tags|teaser)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?<!with-)(?<!has-)(?<!no-)(?<!with_)(?<!has_)(?<!no_)(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification|alert|sidebar|comments?|commentlist|"
+    r"replies|reply|disqus|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|popup|modal|overlay|breadcrumbs?|menu|nav|navbar|navigation|footer|header|masthead|topbar|"
+    r"toolbar|widget|pagination|pager|skip|login|signup|search|disclaimer|copyright|tags|teaser)(?=$|[\s_-])",
     re.I,
 )
 #: What such names must say of an article to drop it: its other names tell how it looks.
 NO_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|reply|replies|related|recommended|teaser)(?=$|[\s_-])", re.I)
+#: Within an article only containers with one of these as a whole name are not main text.
+CONTAINERS = frozenset("div section ul ol dl table details".split())
+ARTICLE_CHROME = frozenset("ad ads advert adverts advertisement advertising sponsored sponsor promo banner notice notices cookie-notice sidebar comment comments commentlist comment-list replies menu nav navigation footer newsletter".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?|[^<]+|<", re.S)
@@ -51,28 +62,39 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _SPACE = re.compile(r"\s+")
 
 
+MAIN, OPEN, MARKED = 0, 1, 2
+
+
 def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not in_article:
+    if tag in CHROME_ELEMENTS or tag == "header" and not in_article:
         return True
     if not attributes.strip() or tag in ("html", "body"):
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
-        if name in ("class", "id") and (NO_ARTICLE if tag in ("article", "main") else CHROME).search(value) or name == "role" and value.strip().lower() in CHROME_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.strip().lower() in CHROME_ROLES:
             return True
+        if name in ("class", "id"):
+            if in_article and tag != "article":
+                if tag in CONTAINERS and not ARTICLE_CHROME.isdisjoint(value.lower().split()):
+                    return True
+            elif (NO_ARTICLE if tag in ("article", "main") else CHROME).search(value):
+                return True
     return False
 
 
 def parse(html: str | None) -> tuple[list[str], list[int]]:
-    """Lines of a page that may be main text, and which of them are open (not in an article)."""
-    lines: list[tuple[str, bool]] = []
+    """Lines of a page, and of each whether it is in an article (MAIN), OPEN, or MARKED as other than main text."""
+    lines: list[str] = []
+    kinds: list[int] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, not main text, in an article
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, marked, in an article, without lines
 
     def flush() -> None:
         if text:
             if line := _SPACE.sub(" ", entities.unescape("".join(text))).strip():
-                lines.append((line, bool(stack) and stack[-1][2]))
+                lines.append(line)
+                kinds.append(OPEN if not stack else MARKED if stack[-1][1] else MAIN if stack[-1][2] else OPEN)
             text.clear()
 
     at, end, source = 0, len(html or ""), html or ""
@@ -80,16 +102,17 @@ def parse(html: str | None) -> tuple[list[str], list[int]]:
         m = _TOKEN.match(source, at)
         at = m.end()
         tag = m[2] or m[5]
-        chrome, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        marked, article, silent = stack[-1][1:] if stack else (False, False, False)
         if not tag:
-            if not chrome and (source[m.start()] != "<" or m.end() == m.start() + 1):
+            if not silent and (source[m.start()] != "<" or m.end() == m.start() + 1):
                 text.append(m[0])
             continue
         tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
-        if tag in BLOCKS:
-            flush()
-        elif tag == "br" and not chrome:
-            text.append(" ")
+        if not silent:
+            if tag in BLOCKS:
+                flush()
+            elif tag == "br":
+                text.append(" ")
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -98,7 +121,7 @@ def parse(html: str | None) -> tuple[list[str], list[int]]:
             continue
         if tag in VOID:
             continue
-        if not chrome:
+        if not silent:
             if tag in CLOSES_P and stack and stack[-1][0] == "p":
                 stack.pop()
             if tag in ENDS:
@@ -109,8 +132,7 @@ def parse(html: str | None) -> tuple[list[str], list[int]]:
                     if stack[k][0] in ended:
                         del stack[k:]
                         break
-            chrome, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        hidden = chrome or _is_chrome(tag, attributes, article)
+            marked, article, silent = stack[-1][1:] if stack else (False, False, False)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
             at = close.start() if close else end
@@ -119,34 +141,69 @@ def parse(html: str | None) -> tuple[list[str], list[int]]:
             continue
         if attributes.rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        if tag in BLOCKS or hidden:
-            inside = not hidden and (article or tag == "article")
-            stack.append((tag, hidden, inside))
+        chrome = not marked and not silent and _is_chrome(tag, attributes, article)
+        silent = silent or tag in NO_TEXT or chrome and tag not in BLOCKS
+        if tag in BLOCKS or silent:
+            marked = marked or chrome
+            stack.append((tag, marked, not marked and (article or tag == "article"), silent))
     flush()
-    return [x for x, _ in lines], [i for i, (_, inside) in enumerate(lines) if not inside]
+    return lines, kinds
 
 
-def common(a: list[int], b: list[int]) -> list[int]:
-    """Positions in a of a longest common subsequence with b, found over the matching pairs alone."""
-    places: dict[int, list[int]] = {}
+def _alignment(a: Sequence[int], b: Sequence[int]) -> Iterator[int]:
+    """The bit vector of every prefix of a: the zeros among its first j bits count the common subsequence with b[:j]."""
+    masks: dict[int, int] = {}
     for j, x in enumerate(b):
-        places.setdefault(x, []).append(j)
-    tails: list[int] = []
-    links: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in reversed(places.get(x, ())):
-            k = bisect_left(tails, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                links.append(link)
-            else:
-                tails[k], links[k] = j, link
-    out, link = [], links[-1] if links else None
-    while link:
-        out.append(link[0])
-        link = link[1]
-    return out[::-1]
+        masks[x] = masks.get(x, 0) | 1 << j
+    whole = state = (1 << len(b)) - 1
+    for x in a:
+        hit = state & masks.get(x, 0)
+        state = (state + hit | state - hit) & whole
+        yield state
+
+
+def _lengths(a: Sequence[int], b: Sequence[int]) -> np.ndarray:
+    """Length of the longest common subsequence of a with b[:j] for every j."""
+    state = (1 << len(b)) - 1
+    for state in _alignment(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(state.to_bytes(len(b) // 8 + 1, "little"), np.uint8), count=len(b), bitorder="little")
+    return np.concatenate(([0], np.cumsum(bits == 0)))
+
+
+#: Cells of an alignment whose bit vectors are held at once.
+CELLS = 1 << 26
+
+
+def common(a: Sequence[int], b: Sequence[int]) -> list[int]:
+    """Positions in a of a longest common subsequence with b."""
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    head, tail = list(range(low)), list(range(len(a) - high, len(a)))
+    a, b = a[low : len(a) - high], b[low : len(b) - high]
+    if not a or not b:
+        return head + tail
+    if len(a) > 1 and len(a) * len(b) > CELLS:  # halve a, and cut b where both halves have most in common
+        half = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        middle = common(a[:half], b[:cut]) + [half + i for i in common(a[half:], b[cut:])]
+    else:
+        states, middle = list(_alignment(a, b)), []
+        i, j = len(a), len(b)
+        while i and j:
+            if states[i - 1] >> j - 1 & 1:
+                j -= 1
+                continue
+            i -= 1
+            if not i or states[i - 1] >> j - 1 & 1:
+                middle.append(i)
+                j -= 1
+        middle.reverse()
+    return head + [low + i for i in middle] + tail
 
 
 def shared_path(a: str, b: str) -> tuple[int, int]:
@@ -156,66 +213,109 @@ def shared_path(a: str, b: str) -> tuple[int, int]:
     return segments, characters
 
 
-def _template_lines(pages: DataFrame) -> DataFrame:
-    """Of distinct (host, digest) with their path and line hashes: the positions of lines shared with the nearest page."""
-    spark = pages.sparkSession
+def _cut(own: dict, before: dict | None, after: dict | None) -> list[int]:
+    """Open lines that a page shares with the nearer of its neighbours in path order; of a tie the one before."""
+    beside = [x for x in (before, after) if x and x["host"] == own["host"]]
+    if not beside:
+        return []
+    nearest = max(beside, key=lambda x: shared_path(x["path"], own["path"]))
+    return sorted(set(common(own["hashes"], nearest["hashes"])).intersection(own["open"]))
+
+
+def _shared_lines(pages: DataFrame) -> DataFrame:
+    """Of distinct (host, digest) with path, line hashes and open lines: (host, digest, cut), the open lines to delete.
+
+    Pages are sorted over all partitions by host and path, so neighbours follow each other within one; the two
+    pages at a partition's ends, and their inner neighbours, are matched with those of the next one afterwards.
+    """
     ordered = pages.repartitionByRange("host", "path", "digest").sortWithinPartitions("host", "path", "digest")
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        schema = pa.schema([("part", pa.int32()), ("edge", pa.int32()), ("host", pa.string()), ("digest", pa.int64()), ("cut", pa.list_(pa.int32())), ("page", _EDGE), ("inner", _EDGE)])
+        before = own = None
+        first = True
         for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64())], names=[*batch.schema.names, "part", "at"])
-            at += n
-
-    placed = materialise(ordered.mapInArrow(number, "host string, digest long, path string, hashes array<long>, part int, at long"), "ordered")
-    offsets, total = {}, 0
-    for r in sorted(placed.groupBy("part").agg(F.count("*").alias("n")).collect()):  # one number for each partition
-        offsets[r["part"]] = total
-        total += r["n"]
-    base = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]) if offsets else F.create_map(F.lit(0), F.lit(0))
-    ranked = placed.withColumn("rank", base[F.col("part")] + F.col("at"))
-    other = ranked.select("host", "path", "hashes", "rank")
-    near = lambda step, x: other.select((F.col("rank") + step).alias("rank"), F.struct("host", "path", "hashes").alias(x))
-    both = ranked.join(near(1, "before"), "rank", "left").join(near(-1, "after"), "rank", "left").select("host", "digest", "path", "hashes", "before", "after")
+            out = []
+            for after in batch.to_pylist():
+                if own is not None:
+                    out.append((part, 1, own["host"], own["digest"], None, own, after) if first else (part, 0, own["host"], own["digest"], _cut(own, before, after), None, None))
+                    first = False
+                before, own = own, after
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
+        if own is not None:  # the last page; a partition's only one is its first as well (edge 3)
+            row = (part, 3 if first else 2, own["host"], own["digest"], None, own, before)
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    page = "struct<host:string,digest:bigint,path:string,hashes:array<bigint>,open:array<int>>"
+    aligned = materialise(ordered.mapInArrow(align, f"part int, edge int, host string, digest long, cut array<int>, page {page}, inner {page}"), "aligned")
+    parts = sorted(r["part"] for r in aligned.filter("edge in (1, 3)").select("part").collect())  # one number for each partition
+    order = {p: k for k, p in enumerate(parts)}
+    place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("part")] if order else F.lit(0)
+    edges = aligned.filter("edge > 0").select(place.alias("k"), "edge", "page", "inner")
+    lasts = edges.filter("edge in (2, 3)").select((F.col("k") + 1).alias("k"), F.col("page").alias("outer_before"))
+    firsts = edges.filter("edge in (1, 3)").select((F.col("k") - 1).alias("k"), F.col("page").alias("outer_after"))
+    met = edges.join(lasts, "k", "left").join(firsts, "k", "left").select("edge", "page", "inner", "outer_before", "outer_after")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            cuts = []
-            for r in rows:
-                beside = [x for x in (r["before"], r["after"]) if x and x["host"] == r["host"]]
-                nearest = max(beside, key=lambda x: shared_path(x["path"], r["path"]), default=None)
-                cuts.append(common(r["hashes"], nearest["hashes"]) if nearest else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.list_(pa.int32()))], names=["host", "digest", "cut"])
+            cuts = [_cut(r["page"], r["inner"] if r["edge"] == 2 else r["outer_before"], r["inner"] if r["edge"] == 1 else r["outer_after"]) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r["page"]["host"] for r in rows], pa.string()), pa.array([r["page"]["digest"] for r in rows], pa.int64()), pa.array(cuts, pa.list_(pa.int32()))], names=["host", "digest", "cut"])
+
+    return aligned.filter("edge = 0").select("host", "digest", "cut").unionByName(met.mapInArrow(finish, "host string, digest long, cut array<int>"))
+
 
-    return both.mapInArrow(align, "host string, digest long, cut array<int>")
+_EDGE = pa.struct([("host", pa.string()), ("digest", pa.int64()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("open", pa.list_(pa.int32()))])
+_URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)"
+#: Pages with deletions up to which these are broadcast; more are joined by a shuffle, with salted keys.
+MAX_BROADCAST_PAGES = 100_000
+SALTS = 16
+
+
+def decisions(pages: DataFrame) -> DataFrame:
+    """(k1, k2, cut) of every page content that differencing takes lines from: the key of url and html, and the lines to delete."""
+    bounded_batches(pages.sparkSession)
+    url = F.coalesce("url", F.lit(""))
+    addressed = pages.select(*_key(), F.lower(F.regexp_extract(url, _URL, 1)).alias("host"), F.regexp_extract(url, _URL, 2).alias("path"), "html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parse(t) for t in batch.column(4).to_pylist()]
+            hashes = [[xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in lines] for lines, _ in found]
+            digests = [xxhash.xxh3_64_intdigest(np.array(h, np.int64).tobytes() + bytes(kinds)) - (1 << 63) for h, (_, kinds) in zip(hashes, found, strict=True)]
+            is_open = [[i for i, k in enumerate(kinds) if k == OPEN] for _, kinds in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(digests, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(is_open, pa.list_(pa.int32()))], names=["k1", "k2", "host", "path", "digest", "hashes", "open"])
+
+    hashed = materialise(addressed.mapInArrow(run, "k1 long, k2 long, host string, path string, digest long, hashes array<long>, open array<int>").filter(F.size("hashes") > 0), "hashes")
+    distinct = hashed.groupBy("host", "digest").agg(F.min(F.struct("path", "hashes", "open")).alias("f")).select("host", "digest", "f.path", "f.hashes", "f.open")
+    cuts = materialise(_shared_lines(distinct).filter(F.size("cut") > 0), "cuts")
+    keys = hashed.filter(F.size("open") > 0).select("k1", "k2", "host", "digest").distinct()
+    return keys.join(cuts, ["host", "digest"]).select("k1", "k2", "cut")
+
+
+def _key() -> list:
+    return [F.xxhash64("url", "html").alias("k1"), F.xxhash64("html", "url", F.lit(1)).alias("k2")]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    bounded_batches(pages.sparkSession)
     base = pages.select("page_id", "url", "html")
     kind = base.schema["page_id"].dataType.simpleString()
-    parts = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)", 1), F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)", 2)
-    addressed = base.select("page_id", "url", F.lower(parts[0]).alias("host"), parts[1].alias("path"), "html")
+    cuts = materialise(decisions(base), "decisions")
+    keyed = base.select("page_id", "url", "html", *_key())
+    if cuts.limit(MAX_BROADCAST_PAGES + 1).count() <= MAX_BROADCAST_PAGES:
+        joined = keyed.join(F.broadcast(cuts), ["k1", "k2"], "left")
+    else:
+        salted = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["k1", "k2", "salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [parse(t) for t in batch.column(4).to_pylist()]
-            hashes = [[xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in lines] for lines, _ in found]
-            digests = [xxhash.xxh3_64_intdigest(repr(h)) - (1 << 63) for h in hashes]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array([x[0] for x in found], pa.list_(pa.string())), pa.array([x[1] for x in found], pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array(digests, pa.int64())],
-                names=["page_id", "url", "host", "path", "lines", "open", "hashes", "digest"],
-            )
-
-    parsed = materialise(addressed.mapInArrow(run, f"page_id {kind}, url string, host string, path string, lines array<string>, open array<int>, hashes array<long>, digest long"), "lines")
-    distinct = parsed.filter(F.size("lines") > 0).groupBy("host", "digest").agg(F.min(F.struct("path", "hashes")).alias("f")).select("host", "digest", "f.path", "f.hashes")
-    cuts = _template_lines(distinct).filter(F.size("cut") > 0).withColumnsRenamed({"host": "h2", "digest": "d2"})
-    joined = parsed.join(cuts, (F.col("host") == F.col("h2")) & (F.col("digest") == F.col("d2")), "left")
-    gone = F.array_intersect("cut", "open")  # the markup's veto
-    kept = F.filter("lines", lambda _, i: ~F.array_contains(gone, i))
-    text = F.array_join(F.when(F.coalesce(F.size(gone), F.lit(0)) > 0, kept).otherwise(F.col("lines")), "\n").alias("text")
-    both = joined.select("page_id", "url", text)
-    return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+            texts = []
+            for html, cut in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                gone = set(cut or ())
+                texts.append("\n".join(line for i, (line, kind) in enumerate(zip(*parse(html), strict=True)) if kind != MARKED and i not in gone))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return joined.select("page_id", "url", "html", "cut").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -4,11 +4,13 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, sharding, token_files, toxicity
@@ -369,8 +371,69 @@ def test_html(spark):
     assert got[5]["text"] == got[6]["text"] == "" and got[6]["n_chars"] == 0
     assert got[7]["text"] == "Site name\nStory z is here\nAnd z more\nTerms"
     styled = "<div class='has-sidebar'><article class='post header-large'><p>kept</p></article><article class='comment'><p>no</p></article></div><div class='sidebar'>no</div>"
-    assert html_extract.parse(styled) == (["kept"], [])
-    assert html_extract.common([1, 2, 3, 4, 2], [2, 4, 9, 2]) == [1, 3, 4]
+    assert html_extract.parse(styled) == (["kept", "no", "no"], [html_extract.MAIN, html_extract.MARKED, html_extract.MARKED])
+
+
+def test_names_inside_an_article():
+    """What an element in an article is called rarely says that it isn't main text; comments, adverts and forms do go."""
+    kept = "<section id='share-prices'><p>one</p></section><h2 id='search'>two</h2><p class='notice'>three</p><p>x <span class='tags'>four</span></p><figure><figcaption>five</figcaption></figure><math>six</math><p><label>seven</label></p>"
+    gone = "<div class='ad box'>no</div><section id='comments'><p>no</p></section><form>no</form><nav>no</nav><aside>no</aside><script>no</script><footer>no</footer><div role='dialog'>no</div><p>8 <button>no</button></p>"
+    lines, kinds = html_extract.parse(f"<article>{kept}{gone}</article>")
+    assert [x for x, k in zip(lines, kinds) if k != html_extract.MARKED] == ["one", "two", "three", "x four", "five", "six", "seven", "8"]
+
+
+@pytest.mark.parametrize("cells", [1 << 26, 20])
+def test_alignment_against_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(html_extract, "CELLS", cells)
+    r = random.Random(1)
+    for _ in range(1500):
+        a, b = ([r.randrange(4) for _ in range(r.randrange(14))] for _ in "ab")
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        found, rest = html_extract.common(a, b), iter(b)
+        assert len(found) == best[-1][-1] and found == sorted(set(found)) and all(any(a[i] == y for y in rest) for i in found)
+
+
+def test_very_long_pages_align():
+    begin = time.time()
+    assert len(html_extract.common([1] * 20_000 + [2], [3] + [1] * 20_000)) == 20_000
+    assert time.time() - begin < 10
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_pages_against_brute_force(monkeypatch, spark, limit):
+    """Every page against its neighbours in the order of host and path, over many partitions, broadcast and shuffled; other columns clash."""
+    monkeypatch.setattr(html_extract, "MAX_BROADCAST_PAGES", limit)
+    r = random.Random(7)
+    words = [f"line {k}" for k in range(12)]
+    rows = []
+    for i in range(150):
+        body = [r.choice(words) for _ in range(r.randint(0, 8))]
+        rows.append((i, f"http://{r.choice('ab')}/{r.choice('xyz')}/{i % 40}", "".join(f"<p>{x}</p>" for x in body), body))
+    rows += [(900 + k, *rows[k][1:]) for k in range(20)]
+    pages = {}
+    for _, url, _, body in rows:
+        host, path = url[7:].split("/", 1)
+        key = (host, tuple(body))
+        pages[key] = min(pages.get(key, "/" + path), "/" + path)
+    order = sorted((h, p, html_extract_digest(b), b) for (h, b), p in pages.items() if b)
+    want = {}
+    for k, (h, p, _, body) in enumerate(order):
+        near = [order[j] for j in (k - 1, k + 1) if 0 <= j < len(order) and order[j][0] == h]
+        nearest = max(near, key=lambda x: html_extract.shared_path(x[1], p), default=None)
+        gone = html_extract.common(body, nearest[3]) if nearest else []
+        want[h, body] = "\n".join(x for i, x in enumerate(body) if i not in gone)
+    df = spark.createDataFrame([x[:3] for x in rows], "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "path", "digest", "cut", "k1", "k2", "salt", "text", "part")}).repartition(7)
+    got = {x["page_id"]: x["text"] for x in html_extract.extract(df).collect()}
+    assert got == {i: want.get((url[7:8], tuple(body)), "") for i, url, _, body in rows}
+
+
+def html_extract_digest(lines):
+    """The order of pages with one path is that of their digests."""
+    hashes = np.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in lines], np.int64)
+    return xxhash.xxh3_64_intdigest(hashes.tobytes() + bytes([html_extract.OPEN] * len(lines))) - (1 << 63)
 
 
 def test_html_lines_beside_an_article(spark):
