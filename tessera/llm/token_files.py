@@ -42,7 +42,7 @@ PARTITION_BYTES = 24 << 20
 MAX_PARTS = 20_000
 BLOCK_BITS = 512
 #: Bytes of a plane that are compressed together, a multiple of a block.
-PLANE_BYTES = 8192
+PLANE_BYTES = 16_384
 COLUMNS = "part int, seq int, base long, n_docs long, n_tokens long, first_id {kind}, shard binary"
 #: Pieces that a worker remembers, some 200 bytes each; of more, those of at most SHORT characters.
 CACHE = 500_000
@@ -69,6 +69,10 @@ _RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 _SPLITS = re.compile(r"[!-&(-~\u00a1-\u012f\u0131-\u02af]+")
 
 
+_PRESS = zstandard.ZstdCompressor(level=1)
+_unpress = zstandard.ZstdDecompressor().decompress
+
+
 class PackedPlane:
     """The bytes of a bit-plane, unpacked piece by piece as slices of it are read."""
 
@@ -78,7 +82,7 @@ class PackedPlane:
 
     def _piece(self, k: int) -> np.ndarray:
         if k not in self.open:
-            self.open[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.pieces[k]), np.uint8)
+            self.open[k] = np.frombuffer(_unpress(self.pieces[k]), np.uint8)
         return self.open[k]
 
     def __len__(self) -> int:
@@ -194,7 +198,7 @@ class WaveletMatrix:
 
 def _packed(parts: Sequence[bytes]) -> bytes:
     """Number and sizes of the parts, then the parts, each compressed by itself."""
-    pressed = [zstandard.ZstdCompressor(level=1).compress(x) for x in parts]
+    pressed = [_PRESS.compress(x) for x in parts]
     return struct.pack("<I", len(pressed)) + np.array([len(x) for x in pressed], "<u4").tobytes() + b"".join(pressed)
 
 
@@ -232,7 +236,7 @@ class Shard:
         self._head, self._rest = _parts(memoryview(blob)[9:])
 
     def _unpack(self, k: int) -> bytes:
-        return zstandard.ZstdDecompressor().decompress(self._head[k])
+        return _unpress(self._head[k])
 
     @cached_property
     def documents(self) -> pa.Table:
@@ -371,12 +375,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bits: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        ids: list[pa.Array] = []
+        ids: list = []
         held: list[np.ndarray] = []
         size = base = 0
+        kind = pa.null()
 
         def shard() -> pa.RecordBatch:
-            all_ids = pa.chunked_array(ids).combine_chunks()
+            all_ids = pa.array(ids, kind)
             blob = write_shard(all_ids, [len(x) for x in held], np.concatenate(held), width)
             numbers = [pa.array([v], t) for v, t in ((part, pa.int32()), (seq, pa.int32()), (base, pa.int64()), (len(held), pa.int64()), (size, pa.int64()))]
             return pa.RecordBatch.from_arrays([*numbers, all_ids.slice(0, 1), pa.array([blob], pa.binary())], names=names)
@@ -384,16 +389,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bits: int
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 some = batch.slice(low, 1000)
-                begin = 0
-                for k, tokens in enumerate(own.encode(some.column(1).to_pylist(), end_id)):
+                kind = some.schema.field(0).type
+                for i, tokens in zip(some.column(0).to_pylist(), own.encode(some.column(1).to_pylist(), end_id), strict=True):
+                    ids.append(i)
                     held.append(tokens)
                     size += len(tokens)
                     if size >= SHARD_TOKENS:
-                        ids.append(some.column(0).slice(begin, k + 1 - begin))
                         yield shard()
-                        ids, held, size, seq, base, begin = [], [], 0, seq + 1, base + size, k + 1
-                if begin < some.num_rows:
-                    ids.append(some.column(0).slice(begin))
+                        ids, held, size, seq, base = [], [], 0, seq + 1, base + size
         if held:
             yield shard()
 
