@@ -3,14 +3,19 @@
 Every token has a log-odds score: how much likelier it is in toxic than in other texts. Its Dirichlet prior
 is the rate of the token's five-letter beginning, that one's the rate of its four-letter beginning, and so
 on down to the rate of all tokens, so inflected or unseen words borrow from their stem. Other tokens cost a
-little. A linear scan then finds all maximal segments of a text, and the extreme-value law of such segments,
-with its scale and constant fitted on texts that are not toxic, turns their scores into significance. All
-passages come from this scan. The score of the document is a logistic curve over the significance of the
-segments of a second scan, in which a word scores at its first occurrence in the text alone: repeats are not
-independent evidence. The law is fitted on that scan, too, so repeats in clean texts hide no passage.
+little. A linear scan then finds all maximal segments of a text. Their extreme-value law, with its scale and
+constant from texts that are not toxic, turns scores into significance: above 0 fewer than one such segment is
+expected by chance in a text of this length.
+
+The score of a document is a logistic curve over the significance of segments of a second scan, in which a
+word scores at its first occurrence alone: its repeats are not independent evidence, though they do make
+passages. The law and the curve are fitted on
+texts that the tokens' scores don't come from: the labelled texts are dealt into FOLDS, and each is scanned
+with the scores that the other folds give.
 
 Defined results: null and empty texts, and texts without a word, have no segment and get the score of a
-clean text. Rows that repeat get equal scores. When nothing could be learned, every score is the share of
+clean text. Very long texts are scanned whole, in time and memory linear in their words. Rows that repeat get
+equal scores; a null doc_id is in no held-out fold. When nothing could be learned, every score is the share of
 toxic labels (0 without labels). Other columns of the input are ignored.
 """
 
@@ -19,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,11 +39,12 @@ STEMS = (3, 4, 5)
 #: Occurrences that the prior weighs.
 PRIOR = 4.0
 #: What a token without a score costs; any positive value makes the scan drift down between passages.
-COST = 0.15
+COST = 0.3
 #: Log-odds that a token needs to have a score of its own.
 MIN_SCORE = 1.5
-#: Tokens and stems the model may hold.
-MAX_TERMS = 100_000
+#: Toxic texts that must have a token for it to have a score of its own.
+MIN_TOXIC = 3
+FOLDS = 4
 CACHE = 400_000
 
 
@@ -72,47 +78,53 @@ class _Scores(dict):
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), end exclusive, of a sequence, in linear time.
 
-    Each candidate keeps the running sums at its two ends; a new positive item is joined with the nearest
-    earlier candidate whose left sum is lower, unless that candidate's right sum is at least as high.
+    Each candidate keeps the running sums at its two ends and a link to the nearest earlier candidate that
+    begins lower. A new positive item follows these links, so it passes each candidate between only once, and
+    is joined with the one it finds, unless that one's right sum is at least as high.
     """
     sums = np.concatenate(([0.0], np.cumsum(scores, dtype=np.float64)))
-    held: list[tuple[int, int, float, float]] = []
+    held: list[tuple[int, int, float, float, int]] = []
     for at in np.flatnonzero(scores > 0).tolist():
         start, end, left, right = at, at + 1, sums[at], sums[at + 1]
+        lower = len(held) - 1
         while True:
-            j = len(held) - 1
-            skipped = []
-            while j >= 0 and held[j][2] >= left:
-                skipped.append(j)
-                j -= 1
-            if j < 0 or held[j][3] >= right:
-                held.append((start, end, left, right))
+            while lower >= 0 and held[lower][2] >= left:
+                lower = held[lower][4]
+            if lower < 0 or held[lower][3] >= right:
                 break
-            start, left = held[j][0], held[j][2]
-            del held[j:]
-    return [(s, e, float(r - lo)) for s, e, lo, r in held]
+            start, _, left, _, before = held[lower]
+            del held[lower:]
+            lower = before
+        held.append((start, end, left, right, lower))
+    return [(s, e, float(r - lo)) for s, e, lo, r, _ in held]
+
 
+Found = list[tuple[int, int, float]]
 
-def _passages(text: str | None, scores: _Scores, model: ToxicityModel) -> tuple[int, list[tuple[int, int, float, float]], list[tuple[int, int, float, float]]]:
-    """Number of tokens; each segment with its normalised score, above 0 meaning fewer than one such by chance; the same with first occurrences alone, for the document's score."""
+
+def _scan(text: str | None, scores: _Scores) -> tuple[np.ndarray, Found, Found]:
+    """The tokens' scores, all segments, and those of a scan in which a word scores at its first occurrence alone."""
     words = WORD.findall(text.lower()) if text else []
     values = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
     if not len(values) or values.max() <= 0:
-        return len(words), [], []
-    chance = math.log(max(model.constant * len(words), 1e-12))
-    scan = lambda v: [(s, e, x, model.scale * x - chance) for s, e, x in segments(v)]
+        return values, [], []
     damped, seen = values.copy(), set()
     for at in np.flatnonzero(values > 0).tolist():
         if words[at] in seen:
             damped[at] = 0.0
         seen.add(words[at])
-    found = scan(values)
-    return len(words), found, found if np.array_equal(damped, values) else scan(damped)
+    found = segments(values)
+    return values, found, found if np.array_equal(damped, values) else segments(damped)
+
 
+def _significance(x: float, n: int, model: ToxicityModel) -> float:
+    """Minus the logarithm of the number of segments at least as high as x that are expected by chance among n tokens."""
+    return model.scale * x - math.log(max(model.constant * max(n, 1), 1e-12))
 
-def _evidence(found: list[tuple[int, int, float, float]]) -> tuple[float, float]:
+
+def _evidence(scores: list[float], n: int, model: ToxicityModel) -> tuple[float, float]:
     """The most significant segment and, on a log scale, the sum over all significant ones."""
-    significant = [x[3] for x in found if x[3] > 0]
+    significant = [g for x in scores if (g := _significance(x, n, model)) > 0]
     return max(significant, default=0.0), math.log1p(sum(significant))
 
 
@@ -121,11 +133,53 @@ def _curve(model: ToxicityModel, best: float, total: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * best + c * total))))
 
 
+def _log_odds(counts: Mapping[str, tuple[int, int]], toxic_words: int, clean_words: int) -> dict[str, float]:
+    """Scores of the telling terms among (toxic, clean) counts: posterior rates under the prior of the next shorter stem."""
+    rate = toxic_words / (toxic_words + clean_words)
+    base = math.log(rate / (1 - rate))
+    posterior: dict[str, float] = {}
+    told = [w for w, (a, b) in counts.items() if a >= MIN_TOXIC and a * clean_words > 2 * b * toxic_words]
+    for term in sorted(told, key=lambda w: (w[1:2] != " ", int(w[0]) if w[1:2] == " " else 0)):  # stems first, short ones before long ones
+        a, b = counts[term]
+        word, n = (term[2:], int(term[0])) if term[1:2] == " " else (term, 99)
+        parent = next((posterior[k] for m in reversed(STEMS) if m < min(n, len(word)) and (k := f"{m} {word[:m]}") in posterior), rate)
+        posterior[term] = (a + PRIOR * parent) / (a + b + PRIOR)
+    return {w: x for w, p in posterior.items() if (x := math.log(p / max(1 - p, 1e-9)) - base) > MIN_SCORE}
+
+
+def _law(positive: np.ndarray, others: int, n_segments: int, top: float) -> tuple[float, float]:
+    """Scale and constant of the extreme-value law of chance segments.
+
+    positive are the scores above 0 among the tokens of clean texts, others is the number of their other tokens.
+    The scale is the root above 0 of E[exp(scale x score)] = 1; one token of the highest score is added, so there
+    is a root for texts without any positive token as well. The constant makes the law expect the number of
+    segments that there were, all of them at least as high as the lowest positive score.
+    """
+    scores = np.append(positive, top)
+
+    def excess(scale: float) -> float:
+        return float(np.exp(scale * scores).sum()) + others * math.exp(-scale * COST) - others - len(scores)
+
+    low, high = 0.0, 1.0
+    while excess(high) <= 0 and high < 64:
+        low, high = high, 2 * high
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if excess(middle) <= 0 else (low, middle)
+    scale = max(low, 1e-3)
+    return scale, (n_segments + 0.5) / (others + len(scores)) * math.exp(scale * float(scores.min()))
+
+
+def _terms_of(text: str) -> tuple[set[str], Counter]:
+    words = set(WORD.findall(text.lower()))
+    return words, Counter(f"{n} {w[:n]}" for w in words for n in STEMS if len(w) > n)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, seed: int = 11) -> ToxicityModel:
     """Learn from labelled rows: about max_docs at most, drawn by a hash of the id; copies of a text count once.
 
-    docs has doc_id and text, labels doc_id and toxic. Token counts are summed on the executors, and the
-    driver receives at most MAX_TERMS of them.
+    docs has doc_id and text, labels doc_id and toxic. Counts are summed on the executors; the driver receives
+    those of the terms that MIN_TOXIC toxic texts of the sample have, so max_docs bounds them.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -133,61 +187,59 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, seed: int =
     total = marks.count()
     marks = marks.filter(hash_share(F.col("i"), seed) < min(1.0, max_docs / max(1, total)))
     texts = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).filter("t is not null").join(F.broadcast(marks), "i")
-    rows = texts.groupBy(F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"), F.max("y").alias("y")).select("t", "y")
+    key = F.xxhash64("t").alias("h")
+    rows = texts.groupBy(key).agg(F.first("t").alias("t"), F.max("y").alias("y")).select("t", "y", F.pmod("h", F.lit(FOLDS)).cast("int").alias("f"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = (Counter(), Counter())
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(WORD.findall(t.lower()))
-                sums[y].update(words)
-                sums[y].update(Counter(f"{n} {w[:n]}" for w in words for n in STEMS if len(w) > n))
-                sums[y][" "] += 1
-                sums[y]["  "] += len(words)
-            terms = list(sums[0].keys() | sums[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([sums[1][x] for x in terms], pa.int64()), pa.array([sums[0][x] for x in terms], pa.int64())], names=["w", "a", "b"])
-
-    counted = rows.mapInArrow(count, "w string, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    all_rows = {r["w"]: (r["a"], r["b"]) for r in counted.filter("w in (' ', '  ')").collect()}
-    toxic, clean = all_rows.get(" ", (0, 0))
-    if not toxic or not clean:
-        base = 0.0 if not toxic else 1.0
+            sums: dict[int, tuple[Counter, Counter]] = {}
+            for t, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, stems = _terms_of(t)
+                own = sums.setdefault(f, (Counter(), Counter()))[y]
+                own.update(words)
+                own.update(stems)
+                own[" "] += 1
+                own["  "] += len(words)
+            for f, (clean, toxic) in sums.items():
+                terms = list(clean.keys() | toxic.keys())
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([f] * len(terms), pa.int32()), pa.array([toxic[x] for x in terms], pa.int64()), pa.array([clean[x] for x in terms], pa.int64())], names=["w", "f", "a", "b"])
+
+    of = lambda c, k: F.sum(F.when(F.col("f") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
+    counted = rows.mapInArrow(count, "w string, f int, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), *[of(c, k) for c in "ab" for k in range(FOLDS)])
+    got = counted.filter((F.col("a") >= MIN_TOXIC) | F.col("w").isin(" ", "  ")).collect()
+    by_term = {r["w"]: ([r[f"a{k}"] for k in range(FOLDS)], [r[f"b{k}"] for k in range(FOLDS)]) for r in got}
+    none = ([0] * FOLDS, [0] * FOLDS)
+    toxic, clean = (sum(x) for x in by_term.pop(" ", none))
+    in_toxic, in_clean = by_term.pop("  ", none)
+    if not sum(in_toxic) or not sum(in_clean):
+        base = 1.0 if toxic and not clean else 0.0
         return ToxicityModel(base, curve=(30.0 if base else -30.0, 0.0, 0.0))
-    seen, other = all_rows["  "]
-    rate = seen / (seen + other)
-    telling = counted.filter((F.col("a") >= 3) & ~F.col("w").isin(" ", "  ") & (F.col("a") * other > 2 * F.col("b") * seen))
-    weight = F.col("a") * F.log((F.col("a") * float(other)) / ((F.col("b") + 0.5) * float(seen)))
-    top = telling.withColumn("g", weight).orderBy(F.desc("g"), "w").limit(MAX_TERMS).collect()
-    counts = {r["w"]: (r["a"], r["b"]) for r in top}
-    logit = lambda p: math.log(p / (1 - p))
-    posterior: dict[str, float] = {}
-    for term in sorted(counts, key=lambda w: (w[1:2] != " ", int(w[0]) if w[1:2] == " " else 0)):
-        a, b = counts[term]
-        word, n = (term[2:], int(term[0])) if term[1:2] == " " else (term, 99)
-        parent = next((posterior[k] for m in reversed(STEMS) if m < min(n, len(word)) and (k := f"{m} {word[:m]}") in posterior), rate)
-        posterior[term] = (a + PRIOR * parent) / (a + b + PRIOR)
-    terms = {w: s for w, p in posterior.items() if (s := logit(min(p, 1 - 1e-9)) - logit(rate)) > MIN_SCORE}
-    model = ToxicityModel(toxic / (toxic + clean), terms)
 
-    # The law of chance segments, from texts that are not toxic; then the curve, from all that were drawn.
+    def without(k: int | None) -> dict[str, float]:
+        """Scores from all folds but the k-th."""
+        rest = lambda x: sum(v for j, v in enumerate(x) if j != k)
+        if not rest(in_toxic) or not rest(in_clean):
+            return {}
+        return _log_odds({w: (rest(a), rest(b)) for w, (a, b) in by_term.items()}, rest(in_toxic), rest(in_clean))
+
+    model = ToxicityModel(toxic / (toxic + clean), without(None))
+    crossed = spark.sparkContext.broadcast([without(k) for k in range(FOLDS)])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _Scores(model.terms)
+        scores = [_Scores(x) for x in crossed.value]
         for batch in batches:
-            out = [(y, n, [x[2] for x in found]) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n, _, found in [_passages(t, scores, model)]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.float64()))], names=["y", "n", "s"])
-
-    scanned = rows.mapInArrow(scan, "y int, n long, s array<double>").toArrow().to_pylist()  # max_docs rows at most
-    chance = [s for r in scanned if r["y"] == 0 for s in r["s"]]
-    tokens = sum(r["n"] for r in scanned if r["y"] == 0)
-    over = min(terms.values(), default=1.0)
-    if len(chance) >= 30:
-        model.scale = min(1.5, 1 / max(1e-6, float(np.mean(chance)) - over))
-    model.constant = max(len(chance), 0.5) / max(tokens, 1) * math.exp(model.scale * over)
-    points = []
-    for r in scanned:
-        law = math.log(max(model.constant * max(r["n"], 1), 1e-12))
-        points.append((*_evidence([(0, 0, s, model.scale * s - law) for s in r["s"]]), r["y"]))
-    model.curve = _logistic(np.array(points, float))
+            out = [(y, *_scan(t, scores[f])) for t, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            doubles = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in out], pa.int32()), pa.array([len(x[1]) for x in out], pa.int64()), pa.array([x[1][x[1] > 0].tolist() if not x[0] else [] for x in out], doubles), pa.array([len(x[2]) for x in out], pa.int64()), pa.array([[f[2] for f in x[3]] for x in out], doubles)],
+                names=["y", "n", "p", "k", "s"],
+            )
+
+    scanned = rows.mapInArrow(scan, "y int, n long, p array<double>, k long, s array<double>").toArrow().to_pylist()  # max_docs rows at most
+    benign = [r for r in scanned if not r["y"]]
+    positive = np.array([x for r in benign for x in r["p"]])
+    model.scale, model.constant = _law(positive, sum(r["n"] for r in benign) - len(positive), sum(r["k"] for r in benign), max(model.terms.values(), default=1.0))
+    model.curve = _logistic(np.array([(*_evidence(r["s"], r["n"], model), r["y"]) for r in scanned], float))
     return model
 
 
@@ -232,9 +284,11 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
         own = shared.value
         scores = _Scores(own.terms)
         for batch in batches:
-            found = [_passages(t, scores, own)[1:] for t in batch.column(1).to_pylist()]
-            points = [_curve(own, *_evidence(x)) for _, x in found]
-            spans = [[{"start": s, "end": e, "raw": r, "significance": g} for s, e, r, g in x if g > 0] for x, _ in found]
+            points, spans = [], []
+            for t in batch.column(1).to_pylist():
+                values, found, damped = _scan(t, scores)
+                points.append(_curve(own, *_evidence([x for _, _, x in damped], len(values), own)))
+                spans.append([{"start": s, "end": e, "raw": x, "significance": g} for s, e, x in found if (g := _significance(x, len(values), own)) > 0])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.float64()), pa.array(spans, pa.list_(passage))], names=["i", "score", "passages"])
 
     kind = held.schema["i"].dataType.simpleString()

@@ -213,13 +213,13 @@ def test_other_tokenizers_encode_whole_texts():
 
 
 def test_wavelet_matrix():
-    tokens = np.random.default_rng(1).integers(0, 300, 150_000).astype("<u4")
-    shard = token_files.Shard(token_files.write_shard(pa.array([7, None]), [149_000, 1000], tokens, 16))
-    assert shard.documents.to_pydict() == {"doc_id": [7, None], "n_tokens": [149_000, 1000]}
+    tokens = np.random.default_rng(1).integers(0, 300, 600_000).astype("<u4")
+    shard = token_files.Shard(token_files.write_shard(pa.array([7, None]), [599_000, 1000], tokens, 16))
+    assert shard.documents.to_pydict() == {"doc_id": [7, None], "n_tokens": [599_000, 1000]}
     w = shard.matrix
     assert [w.access(i) for i in (0, 511, 512, 4999)] == tokens[[0, 511, 512, 4999]].tolist()
     assert max(len(p.open) for p in w.planes) < len(w.planes[0].pieces)  # a few pieces were unpacked, not all
-    assert (w.decode() == tokens).all() and w.access(149_999) == tokens[-1]
+    assert (w.decode() == tokens).all() and w.access(599_999) == tokens[-1]
     for t in (0, 17, 299, 70_000):
         places = np.flatnonzero(tokens == t).tolist()
         assert w.rank(t) == len(places) and w.rank(t, 1000) == sum(p < 1000 for p in places) and w.occurrences(t) == places
@@ -349,16 +349,60 @@ def test_repeated_passages_are_found(spark):
     assert got[2]["score"] <= got[1]["score"]
 
 
+def all_maximal(x):
+    """The maximal segments by their definition: the highest one, then those of what is left and right of it."""
+    sums = [(x[s:e].sum(), s - e, s, e) for s in range(len(x)) for e in range(s + 1, len(x) + 1)]
+    best = max(sums, key=lambda v: (v[0], v[1], -v[2]), default=(0,))
+    if best[0] <= 0:
+        return []
+    s, e = best[2:]
+    return all_maximal(x[:s]) + [(len(x[:s]), float(best[0]), e - s)] + [(e + a, v, n) for a, v, n in all_maximal(x[e:])]
+
+
 def test_segments_are_maximal():
     r = random.Random(9)
-    for _ in range(200):
-        x = np.array([r.choice([-2, -1, 1, 3]) for _ in range(r.randint(1, 14))], float)
-        found = toxicity.segments(x)
-        sums = [(x[s:e].sum(), s, e) for s in range(len(x)) for e in range(s + 1, len(x) + 1)]
-        best = max(sums)[0]
-        if best > 0:
-            assert max(f[2] for f in found) == best
-        assert all(found[k][1] <= found[k + 1][0] for k in range(len(found) - 1))
+    for _ in range(400):
+        x = np.array([r.choice([-2.1, -1.3, 1.01, 3.7]) + r.random() / 100 for _ in range(r.randint(1, 16))])
+        assert [(s, round(v, 6), e - s) for s, e, v in toxicity.segments(x)] == [(s, round(v, 6), n) for s, v, n in all_maximal(x)]
+
+
+@pytest.mark.parametrize("pattern", [[1.0, -2.0], [1.0, -0.5], [2.0, -1.0, -1.5, 1.0]])
+def test_segments_take_linear_time(pattern):
+    begin = time.time()
+    toxicity.segments(np.array(pattern * 200_000))
+    assert time.time() - begin < 5
+
+
+def test_extreme_value_law():
+    """Chance segments of a random sequence are as many as the law expects."""
+    g = np.random.default_rng(3)
+    draw = lambda n: np.where(g.random(n) < 0.01, g.choice([2.0, 3.5, 5.0], n), -toxicity.COST)
+    x = draw(400_000)
+    found = toxicity.segments(x)
+    scale, constant = toxicity._law(x[x > 0], int((x <= 0).sum()), len(found), 5.0)
+    model = toxicity.ToxicityModel(0.1, {}, scale, constant)
+    assert abs(np.exp(scale * x).mean() - 1) < 0.01
+    high = [s for _, _, s in toxicity.segments(draw(400_000)) if toxicity._significance(s, 400_000, model) > -4]  # some e^4 expected
+    assert 20 < len(high) < 150
+
+
+def test_clashing_columns_and_null_ids_do_not_change_scores(spark):
+    rows = [(i, f"plain words {i} " + ("nasty nastier nastiest " if i % 4 == 0 else "kind ")) for i in range(80)]
+    labels = [(i, int(i % 4 == 0)) for i in range(80)]
+    rows += [(None, "nasty nastier nastiest"), (3, rows[3][1]), (None, None)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    clash = {c: F.lit(1) for c in ("i", "t", "y", "f", "h", "score", "toxic", "w", "a0", "passages")}
+    key = lambda x: str((x["doc_id"], x["score"], x["held_out"], x["n_passages"]))
+    one, two = (sorted(map(key, toxicity.detect(d, m).collect())) for d, m in ((docs, marks), (docs.withColumns(clash), marks.withColumns({"text": F.lit("x"), "i": F.lit(2), "y": F.lit(0)}))))
+    assert one == two and len(one) == len(rows)
+
+
+def test_held_out_toxic_documents(spark):
+    """Recall and precision on the rows that nothing was learned from."""
+    read = lambda n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
+    got = toxicity.detect(read("documents"), read("labels")).filter("held_out").join(read("labels").select("doc_id", "toxic"), "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in got}
+    assert n.get((0, 1), 0) <= 0.02 * n[0, 0] and n[1, 1] >= 0.7 * (n[1, 1] + n.get((1, 0), 0))
 
 
 def test_html(spark):
