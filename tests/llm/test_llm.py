@@ -135,6 +135,39 @@ def test_blocks_add_up(monkeypatch, spark, docs, corpus):
     assert sorted(map(str, decontamination.report(docs, bench).collect())) == whole
 
 
+def test_suffix_array_against_sorting():
+    r = random.Random(11)
+    for _ in range(300):
+        ids = np.array([r.choice([0, 1, 1, 2, 3]) for _ in range(r.randint(0, 60))], np.int64)
+        depth = r.choice([1, 3, 8, 60])
+        array = decontamination.SuffixArray(ids, depth)
+        suffix = lambda p: (*ids[p : p + next((k for k, x in enumerate(ids[p:]) if x == 0), len(ids) - p)].tolist(),)
+        assert sorted(array.positions.tolist()) == [p for p in range(len(ids)) if ids[p]]
+        cut = [suffix(p)[:depth] for p in array.positions.tolist()]
+        assert cut == sorted(cut)
+
+
+def test_longest_matches(spark, corpus):
+    """Against every pair of starts."""
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(t))
+    items = {"1": corpus[3][1], "2": "one two three", "3": " ".join(corpus[5][1].split()[2:9]) + " nowhere " + " ".join(corpus[7][1].split()[:5]), "4": "nowhere"}
+    got = {x["item_id"]: x for x in decontamination.longest_matches(spark.createDataFrame(corpus, DOCS), spark.createDataFrame(list(items.items()), "item_id string, text string")).collect()}
+    texts = {i: split(t) for i, t, *_ in corpus}
+    for item, text in items.items():
+        w, best = split(text), (0, 0)
+        for a in range(len(w)):
+            for d in texts.values():
+                for b in range(len(d)):
+                    n = next((k for k, (x, y) in enumerate(zip(w[a:], d[b:])) if x != y), min(len(w) - a, len(d) - b))
+                    best = max(best, (n, -a))
+        if not best[0]:
+            assert item not in got
+            continue
+        x = got[item]
+        assert (x["length"], -x["item_start"]) == best
+        assert texts[x["doc_id"]][x["doc_start"] : x["doc_start"] + x["length"]] == w[x["item_start"] : x["item_start"] + x["length"]]
+
+
 def test_line_dedup(docs, corpus):
     """A line goes exactly if it is in a run of enough words that starts earlier, too."""
     least = 8
