@@ -28,6 +28,7 @@ from unicodedata import category, is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -303,16 +304,16 @@ class Encoder:
             coded, at = ids.tobytes(), [0, *(4 * ends).tolist()]
             self.known.update((w, coded[at[k] : at[k + 1]]) for k, w in enumerate(part))
 
-    def _pieces(self, text: str | None) -> list[str]:
-        """Pieces that the tokenizer encodes independently of each other."""
+    def _prepared(self, text: str | None) -> str:
+        """The text with one space between any two pieces that the tokenizer encodes independently of each other."""
         if not text:
-            return []
+            return ""
         used = set(text)
         if used <= _STEADY and "<|" not in text:
             text = text.lower()  # one character at a time, and it makes no special token
             if used <= self.plain and not any(pair in text for pair in ("..", ".,", ",.", ",,")):
                 text = text.replace(".", " . ").replace(",", " , ")
-        return text.replace("\n", " ").split(" ")
+        return text.replace("\n", " ")
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         """The ids of each text and the end id. What is made here has no cycles, so the collector may rest meanwhile."""
@@ -329,8 +330,22 @@ class Encoder:
             self.known = {w: x for w, x in self.known.items() if len(w) <= SHORT}
             if len(self.known) > CACHE // 2:
                 self.known = {"": b""}
-        pieces = [self._pieces(t) for t in texts]
-        new = set().union(*pieces) - self.known.keys()
+        # pieces become numbers of distinct pieces, and only those become Python strings
+        lists = pc.split_pattern(pa.array(map(self._prepared, texts), pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        distinct, which, offsets = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), lists.offsets.to_numpy()
+        self._learn_new([w for w in distinct if w not in self.known])
+        ids = [self.known[w] for w in distinct]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins, counts = np.cumsum(sizes) - sizes, sizes[which]
+        upto = np.concatenate(([0], np.cumsum(counts)))
+        places = np.repeat(begins[which] - upto[:-1], counts) + np.arange(upto[-1])
+        ends = upto[offsets[1:]]
+        tokens = np.insert(np.frombuffer(b"".join(ids), "<u4")[places], ends, end_id)
+        ends += np.arange(1, len(ends) + 1)
+        return np.split(tokens, ends[:-1])
+
+    def _learn_new(self, new: list[str]) -> None:
         words = [w for w in new if w.isalpha()]
         if not set("".join(words)) <= self.letters:
             words = [w for w in words if self.letters.issuperset(w)]
@@ -343,8 +358,6 @@ class Encoder:
             self._learn([w for w in parts if not w.isalpha()])
             self.known.update((w, b"".join(map(self.known.__getitem__, r))) for w, r in runs.items())
             self._learn([w for w in new if w not in self.known])
-        end = struct.pack("<I", end_id)
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, p)) + end, "<u4") for p in pieces]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -387,16 +400,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bits: int
             return pa.RecordBatch.from_arrays([*numbers, all_ids.slice(0, 1), pa.array([blob], pa.binary())], names=names)
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                some = batch.slice(low, 1000)
-                kind = some.schema.field(0).type
-                for i, tokens in zip(some.column(0).to_pylist(), own.encode(some.column(1).to_pylist(), end_id), strict=True):
-                    ids.append(i)
-                    held.append(tokens)
-                    size += len(tokens)
-                    if size >= SHARD_TOKENS:
-                        yield shard()
-                        ids, held, size, seq, base = [], [], 0, seq + 1, base + size
+            kind = batch.schema.field(0).type
+            for i, tokens in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist(), end_id), strict=True):
+                ids.append(i)
+                held.append(tokens.copy())  # without the other texts of the batch
+                size += len(tokens)
+                if size >= SHARD_TOKENS:
+                    yield shard()
+                    ids, held, size, seq, base = [], [], 0, seq + 1, base + size
         if held:
             yield shard()
 
