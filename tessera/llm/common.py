@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +21,16 @@ ARROW_BATCH_ROWS = 4000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); without one a temporary folder, but in local mode alone."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if not path:
-        app = spark.sparkContext.applicationId
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if app not in _OWN_DIR:
             _OWN_DIR[app] = tempfile.mkdtemp(prefix="tessera-")
         path = _OWN_DIR[app]
-    return f"{path.rstrip('/')}/{spark.sparkContext.applicationId}"
+    return f"{path.rstrip('/')}/{app}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -37,13 +42,28 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """What is materialised within goes when the block ends, so results must be written or collected before."""
+    first = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        for spark, path in _WRITTEN[first:]:
+            _delete(spark, path)
+        del _WRITTEN[first:]
+
+
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _WRITTEN:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session is already gone
             return
 
@@ -54,6 +74,21 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
+#: A key is hot if more than one row in so many has it; so fewer keys than that are hot.
+HOT_SHARE = 20_000
+
+
+def join_hot(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows joined with keys, which are distinct and have their number of rows as n (dropped); total is the number of all rows.
+
+    Hot keys are broadcast, fewer than HOT_SHARE since their rows add up to total, and all others are joined by
+    a shuffle, so no task gets the rows of a very common key.
+    """
+    hot = F.broadcast(keys.filter(F.col("n") > total // HOT_SHARE).drop("n"))
+    cold = keys.filter(F.col("n") <= total // HOT_SHARE).drop("n")
+    return rows.join(hot, on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, sharding, token_files, toxicity
+from tessera.llm import common, decontamination, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, sharding, token_files, toxicity
 from tessera.llm.queries import MIX_LEVELS, MIX_WEIGHTS, op3_line_dedup, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -56,6 +56,21 @@ def test_exact_dedup(docs, corpus):
     assert exact_dedup.keep_first(docs).columns == docs.columns
 
 
+def test_keep_first_has_one_row_of_each_group(spark):
+    rows = [(1, "aa", "x"), (1, "bb", "x"), (2, "bb  ", "x"), (3, "c", "p"), (3, "c", "p"), (3, " c", "q"), (None, None, "n"), (None, "", "n"), (9, "\t", "t")]
+    kept = exact_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string, __id string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, "aa", "x"), (2, "bb  ", "x"), (3, " c", "q"), (9, "\t", "t")], key=str)
+
+
+def test_hot_keys_are_joined_by_broadcast(monkeypatch, spark):
+    rows = spark.range(1000).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("k"), "id")
+    keys = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m"))
+    for share in (1, 10, 10**6):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        got = {(r["id"], r["m"]) for r in common.join_hot(rows, keys, ["k"], 1000).collect()}
+        assert got == {(i, 999 if i % 3 == 0 else i) for i in range(1000)}
+
+
 def test_chunks_make_the_text(spark):
     t = "".join(random.Random(1).choice("ab.漢") for _ in range(30_000))
     row = spark.createDataFrame([(t,)], "t string").select(exact_dedup.chunks(F.col("t")).alias("c")).first()
@@ -190,6 +205,27 @@ def test_line_dedup(docs, corpus):
         assert got[i]["text"] == want and got[i]["n_removed"] == len(gone[i])
 
 
+def test_selected_positions_are_thinned(corpus):
+    """Neighbouring windows mostly select the same position, and every window selects one of its own."""
+    lines = [f"{k * k % 97} {k}" for k in range(400)]
+    found = line_dedup.fingerprints("\n".join(lines), 16)
+    assert sum(len(w) for _, w in found) >= 393 and len(found) < 200
+    assert all(any(common_hash == h for common_hash in map(line_hash, lines[b:e])) for h, ws in found for _, b, e in ws)
+
+
+def line_hash(line):
+    return xxhash.xxh3_64_intdigest(line.strip()) - (1 << 63)
+
+
+@pytest.mark.parametrize("share", [1, 10**6])
+def test_hot_lines(monkeypatch, spark, share):
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    rows = [(k, f"hot line\nown {k}\nshort\nalso short {k % 3}") for k in range(60)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), min_words=2).collect()}
+    # "short" alone has too few words, but "short, also short 0" was there before
+    assert got == {k: t if k == 0 else f"own {k}\nshort\nalso short {k}" if k < 3 else f"own {k}" for k, t in rows}
+
+
 def test_short_repeated_lines(spark, tmp_path):
     """The query deletes every later copy of a line, however short and whatever its neighbours."""
     rows = [(1, "one two three four five six\nAll rights reserved.\nseven"), (2, "eight nine ten\nAll rights reserved.\neleven\n\n  All rights reserved. "), (3, "seven\ntwelve"), (4, "All rights reserved."), (5, None)]
@@ -298,10 +334,38 @@ def test_sharding(spark, docs, corpus, law):
 
 
 def test_overfull_ranges(monkeypatch, spark):
+    """Ranges are subdivided until none is overfull, also where all rows are one document."""
     monkeypatch.setattr(sharding, "RANGE_ROWS", 20)
-    rows = sharding.shard(spark.range(600).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text")), 6).collect()
-    counts = collections.Counter(r["shard"] for r in rows)
-    assert len(counts) == 6 and max(counts.values()) - min(counts.values()) <= 2
+    seen = []
+    whole = sharding._divided
+    monkeypatch.setattr(sharding, "_divided", lambda *a: seen.append(whole(*a)) or seen[-1])
+    for ids in (F.col("id"), F.lit(7)):
+        rows = sharding.shard(spark.range(600).select(ids.alias("doc_id"), F.lit("same text").alias("text")), 6).collect()
+        counts = collections.Counter(r["shard"] for r in rows)
+        assert len(counts) == 6 and max(counts.values()) - min(counts.values()) <= 2
+        assert max(r["n"] for r in seen[-1][1].collect()) <= sharding.OVERFULL * 20
+
+
+def test_places_against_bisection():
+    import bisect
+
+    r = random.Random(2)
+    pick = lambda: tuple(r.randrange(4) for _ in range(3))
+    for _ in range(200):
+        keys = sorted({pick() for _ in range(r.randrange(1, 20))})
+        values = [pick() for _ in range(30)]
+        got = sharding._place([np.array(x) for x in zip(*keys)], [np.array(x) for x in zip(*values)])
+        assert got.tolist() == [bisect.bisect_right(keys, v) for v in values]
+
+
+@pytest.mark.parametrize("law", ["bytes", "rows", "key"])
+def test_sharding_by_names(spark, law):
+    """Ids that are strings; some null, some repeated."""
+    rows = [(f"d{k % 40}" if k % 5 else None, f"text {k % 30}") for k in range(100)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id string, text string"), 4, law).collect()
+    by = collections.Counter(r["shard"] for r in got)
+    assert collections.Counter((r["doc_id"], r["text_crc32"]) for r in got) == collections.Counter((d, zlib.crc32(t.encode())) for d, t in rows)
+    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(n)) for k, n in by.items())
 
 
 def test_budgets(spark):
@@ -334,6 +398,45 @@ def test_mix_prefixes(monkeypatch, spark, docs, corpus):
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in taken)
 
 
+def test_repeated_rows_share_their_copies(spark):
+    """Equal rows get no more than the budget; which of them come doesn't matter."""
+    level = {"source": "source"}
+    many = spark.createDataFrame([(1, "w " * 5, "s")] * 20, "doc_id long, text string, source string").repartition(3)
+    for share, copies in ((0.5, 10), (0.75, 15), (1.0, 20)):
+        assert mixing.mix(many, level, {}, budget_share=share, max_epochs=1).count() == copies
+    assert mixing.mix(many, level, {}, budget=175, max_epochs=2).count() == 35
+
+
+def test_taken_rows_against_brute_force(monkeypatch, spark, corpus):
+    """The rows chosen, one by one: whole epochs, then the longest prefix in the seeded order."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
+    rows = [(i, t, lang, source) for i, t, lang, source, _ in corpus] + [(i, t, lang, source) for i, t, lang, source, _ in corpus[:5]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    seeded = F.pmod(F.xxhash64(F.lit(17), F.col("e"), F.col("doc_id"), F.xxhash64("text")), F.lit(1 << 40))
+    orders = {(r["doc_id"], r["e"]): r["o"] for r in df.withColumn("e", F.explode(F.array([F.lit(k).cast("long") for k in range(3)]))).withColumn("o", seeded).collect()}
+    words = [len([x for x in SPACE.split(t or "") if x]) for _, t, _, _ in rows]
+    leaves = collections.defaultdict(list)
+    for (i, _, lang, source), n in zip(rows, words):
+        leaves[("even" if source and source[-1] in "02468" else "odd", lang or "?", source or "?")].append((i, n))
+    shares = mixing.plan({k: sum(n for _, n in v) for k, v in leaves.items()}, MIX_WEIGHTS, int(0.6 * sum(words)), 2)
+    want = collections.Counter()
+    for leaf, members in leaves.items():
+        total = sum(n for _, n in members)
+        epochs, rest = divmod(shares.get(leaf, 0), total) if total else (0, 0)
+        for i, _ in members:
+            want[i] += epochs
+        used = 0
+        for i, n in sorted(members, key=lambda x: orders[x[0], epochs]):
+            used += n
+            if rest and used <= rest:
+                want[i] += 1
+    got = collections.Counter()
+    for r in mixing.select(df, MIX_LEVELS, MIX_WEIGHTS, budget_share=0.6).collect():
+        got[r["doc_id"]] += r["copies"]
+    assert {i: n for i, n in got.items() if words[i]} == {i: n for i, n in want.items() if n and words[i]}
+    assert collections.Counter(r["doc_id"] for r in mixing.mix(df, MIX_LEVELS, MIX_WEIGHTS, budget_share=0.6).collect()) == got
+
+
 def test_language_id(spark):
     r = random.Random(6)
     make = lambda letters: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(40))
