@@ -1,23 +1,27 @@
-"""Line dedup by a join of windows of lines.
+"""Line dedup by winnowing over line hashes.
 
-This stands in place of winnowing: every window is sent and the hash of its whole content decides, so the
-fingerprint selects nothing, and matches are not extended. With min_words=1 each line is a window.
+A window is a shortest run of lines, from a line on or up to a line, that has min_words words. Of each window
+the position of the smallest line hash is selected (of equal ones the last), so neighbouring windows mostly
+select the same position, and any run of min_words words that two texts share has a selected position in
+common. These fingerprints are joined; only those that occur at several positions go on. There a match is
+extended to both sides over the line hashes, up to the ends of each window that selected the position, and
+counts if the whole of it occurs before: matches are verbatim. Matches that overlap make up the repeated
+runs. The first occurrence by (doc_id, line) stays; the lines of later ones are deleted. So a line goes
+exactly if it lies in a run of lines with at least min_words words that occurs earlier as well, in the same or
+another document.
 
-From every line a window of following lines, and one of preceding lines, is taken until it has MIN_WORDS
-words. Of each window the smallest line hash is its fingerprint, on which positions are joined, together
-with the hash of the whole window, so a match is verbatim. The first occurrence by (doc_id, line) of a window
-stays; later ones mark their lines. Windows that reach forwards and backwards from each line cover a repeated
-run up to both of its ends: a line is deleted exactly if it lies in a run of lines with at least min_words
-words that occurs earlier as well, in the same or another document.
+Fingerprints and windows that are very common are joined by broadcast, all others by a shuffle (join_hot), so no
+key's rows meet in one task.
 
 Defined results: lines end at \\n; they are compared without outer white space and must not be blank. A null
 text stays null, an empty one empty. Rows with the same doc_id and text are one document and have the same
 result; rows that share only the doc_id come in the order of their texts' hashes. A null doc_id comes first.
+Very long texts are read whole, in time linear in their lines. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,86 +29,100 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, materialise
+from tessera.llm.common import bounded_batches, join_hot, materialise
 
 MIN_WORDS = 8
 
 
-def windows(lines: list[str], min_words: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Fingerprint and content hash of every window, and its range of lines. Blank lines belong to no window."""
-    stripped = [x.strip() for x in lines]
-    at = [i for i, x in enumerate(stripped) if x]
-    sizes = [len(stripped[i].split()) for i in at]
-    hashes = [xxhash.xxh3_64_intdigest(stripped[i]) for i in at]
+def runs(words: Sequence[int], min_words: int) -> list[tuple[int, int]]:
+    """The distinct shortest runs (begin, end) with min_words words from each line on and up to each line."""
     spans: dict[tuple[int, int], None] = {}
-    end = words = 0
-    for i in range(len(at)):  # forwards: the shortest window from i
-        while words < min_words and end < len(at):
-            words += sizes[end]
+    end = total = 0
+    for i, own in enumerate(words):
+        while total < min_words and end < len(words):
+            total += words[end]
             end += 1
-        if words < min_words:
+        if total < min_words:
             break
         spans[(i, end)] = None
-        words -= sizes[i]
-    start, words = len(at), 0
-    for j in range(len(at), 0, -1):  # backwards: the shortest window up to j
-        while words < min_words and start > 0:
-            start -= 1
-            words += sizes[start]
-        if words < min_words:
+        total -= own
+    begin, total = len(words), 0
+    for j in range(len(words), 0, -1):
+        while total < min_words and begin > 0:
+            begin -= 1
+            total += words[begin]
+        if total < min_words:
             break
-        spans[(start, j)] = None
-        words -= sizes[j - 1]
-    packed = np.array(hashes, np.uint64)
-    minima = np.array([int(packed[a:b].min()) for a, b in spans], np.uint64).view(np.int64)
-    whole = np.array([xxhash.xxh3_64_intdigest(packed[a:b].tobytes()) for a, b in spans], np.uint64).view(np.int64)
-    return minima, whole, [(at[a], at[b - 1] + 1) for a, b in spans]
+        spans[(begin, j)] = None
+        total -= words[j - 1]
+    return list(spans)
 
 
-def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text without later repeated runs, n_lines, n_removed of every row."""
+def fingerprints(text: str, min_words: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """(line hash, windows) of every selected position; a window is the hash of all its lines and its range of lines."""
+    stripped = [x.strip() for x in text.split("\n")]
+    at = [i for i, x in enumerate(stripped) if x]
+    hashes = [xxhash.xxh3_64_intdigest(stripped[i]) - (1 << 63) for i in at]
+    packed = np.array(hashes, np.int64)
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for a, b in runs([len(stripped[i].split()) for i in at], min_words):
+        if b - a == 1:
+            found.setdefault(a, []).append((hashes[a], at[a], at[a] + 1))
+        else:
+            chosen = b - 1 - int(np.argmin(packed[a:b][::-1]))
+            found.setdefault(chosen, []).append((xxhash.xxh3_64_intdigest(packed[a:b].tobytes()) - (1 << 63), at[a], at[b - 1] + 1))
+    return [(hashes[p], windows) for p, windows in found.items()]
+
+
+def repeated(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, tx, b, e): ranges of lines of a text, tx being its hash, that occur earlier as well."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    base = docs.select("doc_id", "text")
-    keyed = base.select("doc_id", F.xxhash64("text").alias("tx"), "text")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("tx"), "text").filter("text != ''")
     kind = keyed.schema["doc_id"].dataType.simpleString()
+    window = pa.struct([("wh", pa.int64()), ("b", pa.int32()), ("e", pa.int32())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                rows, fps, keys, begins, ends = [], [], [], [], []
-                for k, t in enumerate(part.column(2).to_pylist()):
-                    if t:
-                        f, w, spans = windows(t.split("\n"), min_words)
-                        rows += [k] * len(spans)
-                        fps.append(f)
-                        keys.append(w)
-                        begins += [s for s, _ in spans]
-                        ends += [e for _, e in spans]
-                if rows:
-                    at = pa.array(rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(fps)), pa.array(np.concatenate(keys)), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "tx", "fp", "wh", "b", "e"])
-
-    found = materialise(keyed.mapInArrow(emit, f"doc_id {kind}, tx long, fp long, wh long, b int, e int"), "windows")
+                found = [(k, *x) for k, t in enumerate(part.column(2).to_pylist()) for x in fingerprints(t, min_words)]
+                if found:
+                    row = pa.array([x[0] for x in found], pa.int64())
+                    flat = [w for x in found for w in x[2]]
+                    offsets = pa.array(np.concatenate(([0], np.cumsum([len(x[2]) for x in found]))), pa.int32())
+                    each = pa.StructArray.from_arrays([pa.array([w[k] for w in flat], f.type) for k, f in enumerate(window)], fields=list(window))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array([x[1] for x in found], pa.int64()), pa.ListArray.from_arrays(offsets, each)], names=["doc_id", "tx", "fp", "windows"])
+
+    selected = materialise(keyed.mapInArrow(emit, f"doc_id {kind}, tx long, fp long, windows array<struct<wh:long,b:int,e:int>>"), "selected")
+    total = selected.count()
+    shared = selected.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1")
+    extended = materialise(join_hot(selected, shared, ["fp"], total).select("doc_id", "tx", "fp", F.explode("windows").alias("w")).select("doc_id", "tx", "fp", "w.*"), "extended")
     place = F.struct("doc_id", "tx", "b")
-    firsts = found.groupBy("fp", "wh").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("fp", "wh", "first")
-    later = found.join(firsts, ["fp", "wh"]).filter(~place.eqNullSafe(F.col("first")))
-    # overlapping ranges of one text, joined into few before they meet the text
-    marks = later.groupBy("doc_id", "tx").agg(F.sort_array(F.collect_set(F.struct("b", "e"))).alias("runs")).select(F.col("doc_id").alias("m_id"), F.col("tx").alias("m_tx"), "runs")
-    joined = keyed.join(marks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("tx") == F.col("m_tx")), "left").select("doc_id", "text", "runs")
+    known = extended.groupBy("fp", "wh").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("fp", "wh", "n", "first")
+    met = join_hot(extended, known, ["fp", "wh"], extended.count())
+    return met.filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "tx", "b", "e")
+
+
+def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text without later repeated runs, n_lines, n_removed of every row."""
+    base = docs.select("doc_id", "text")
+    kind = base.schema["doc_id"].dataType.simpleString()
+    # the ranges of one text, met with it at once
+    marks = repeated(base, min_words).groupBy("doc_id", "tx").agg(F.sort_array(F.collect_set(F.struct("b", "e"))).alias("runs")).select(F.col("doc_id").alias("m_id"), F.col("tx").alias("m_tx"), "runs")
+    joined = base.join(marks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.xxhash64("text") == F.col("m_tx")), "left").select("doc_id", "text", "runs")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, totals, gone = [], [], []
-            for t, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 lines = t.split("\n") if t else []
-                if runs:
-                    drop = np.zeros(len(lines) + 1, np.int32)
-                    for r in runs:
-                        drop[r["b"]] += 1
-                        drop[r["e"]] -= 1
-                    cut = np.cumsum(drop[:-1]) > 0
+                if spans:
+                    edges = np.zeros(len(lines) + 1, np.int32)
+                    for r in spans:
+                        edges[r["b"]] += 1
+                        edges[r["e"]] -= 1
+                    cut = np.cumsum(edges[:-1]) > 0
                     cut &= np.array([bool(x.strip()) for x in lines])
                     t = "\n".join(x for x, c in zip(lines, cut, strict=True) if not c)
                     gone.append(int(cut.sum()))
