@@ -7,8 +7,9 @@ first 64 bits of the chunk's SHA-256; a dictionary over all chunks verifies that
 identifier, and if any do, whole digests are compared instead.
 
 Defined results: null counts as empty; all empty texts are one group. Rows with the same doc_id and text
-stand for one document each, and the row that stays is known by its doc_id alone. A null doc_id loses every
-tie. Other columns of the input are ignored.
+stand for one document each, and the row that stays is known by its doc_id alone, so all rows of its doc_id in
+the group are marked as kept; keep_first() has one of them. A null doc_id loses every tie. Very long texts
+become long recipes and are never cut off. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import join_hot, materialise
 
 MIN_CHUNK = 1024
 MAX_CHUNK = 8192
@@ -56,11 +57,18 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("recipe", F.transform("digests", chunk_id) if verified else F.col("digests"))
     # of equal texts: most code points, then smallest id; a null id counts as larger than any
     rank = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"))
-    groups = rows.groupBy("recipe").agg(F.min(rank).alias("first"), F.count("*").alias("group_size")).select("recipe", F.col("first.i").alias("keep_id"), "group_size")
-    return rows.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = rows.groupBy("recipe").agg(F.min(rank).alias("first"), F.count("*").alias("group_size")).select("recipe", F.col("first.i").alias("keep_id"), "group_size", F.col("group_size").alias("n"))
+    return join_hot(rows, groups, ["recipe"], rows.count()).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """All columns of the rows that stay."""
-    kept = deduplicate(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """All columns of one row of each group: of the row that stays, and of rows that are fully equal to it in doc_id and text any one."""
+    names = docs.columns
+    groups = deduplicate(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own = {n: F.col(f"c{i}") for i, n in enumerate(names)}
+    rows = rows.withColumns({"__own": F.sha2(normalised(own["text"]), 256), "__n": F.length(F.coalesce(own["text"], F.lit("")))})
+    rows = rows.join(groups, own["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
+    columns = F.struct(*own.values())
+    best = rows.groupBy("__own").agg(F.max_by(columns, "__n").alias("row"))
+    return best.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])
