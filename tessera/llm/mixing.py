@@ -10,9 +10,13 @@ seeded for it, the longest prefix of documents whose tokens fit what is left.
 Prefixes are found without ordering a leaf in one task: documents fall into buckets by the leading bits of
 their seeded order, bucket totals give each bucket's offset, and only within a bucket are rows summed.
 
+Tokens are words between white space; what a tokenizer would make of them isn't counted.
+
 Defined results: null group values form a group named `?`; null weights count as the default weight. Texts
 without tokens (null and empty ones too) take no budget and come with each whole epoch, in the last one with
-the bucket prefix. Rows with the same doc_id are in the order of their texts' hashes. Empty input: no rows.
+the bucket prefix. Rows with the same doc_id are in the order of their texts' hashes; rows that share both are
+rows of their own, each with its share of their copies. A very long text that doesn't fit into what is left
+ends its leaf's prefix. Empty input: no rows. Extra columns are kept by mix() and ignored by select().
 """
 
 from __future__ import annotations
@@ -109,7 +113,7 @@ def select(docs: DataFrame, levels: dict[str, str], weights: dict[tuple[str, ...
     if budget is None:
         whole = totals.agg(F.sum("tokens").alias("n")).first()["n"] or 0
         budget = int(Fraction(str(budget_share)) * whole)
-    shares = budgets(totals.select(*names, "tokens"), names, weights, budget, max_epochs, default_weight).select(*names, "share", F.expr("if(tokens > 0, share div tokens, 0)").alias("epochs"), F.expr("if(tokens > 0, share % tokens, 0)").alias("rest"))
+    shares = materialise(budgets(totals.select(*names, "tokens"), names, weights, budget, max_epochs, default_weight), "shares").select(*names, "share", F.expr("if(tokens > 0, share div tokens, 0)").alias("epochs"), F.expr("if(tokens > 0, share % tokens, 0)").alias("rest"))
     # buckets of about BUCKET_ROWS documents by the leading bits of the seeded order, which is uniform
     leaf = totals.join(shares, names).select(*names, "epochs", "rest", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKET_ROWS)).alias("n_buckets"))
     order = F.pmod(F.xxhash64(F.lit(seed), F.col("epochs"), F.col("__id"), F.col("__key")), F.lit(1 << 40))
@@ -126,11 +130,25 @@ def select(docs: DataFrame, levels: dict[str, str], weights: dict[tuple[str, ...
 
 
 def mix(docs: DataFrame, levels: dict[str, str], weights: dict[tuple[str, ...], int], **options) -> DataFrame:
-    """All columns of the documents taken, each row as often as its copies."""
+    """All columns of the documents taken, each row as often as its copies; docs must be a table that reads the same twice."""
     names = docs.columns
-    taken = select(docs, levels, weights, **options).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max("copies").alias("__copies"))
+    taken = select(docs, levels, weights, **options).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.sum("copies").alias("__copies"))
+    taken = materialise(taken, "taken")
     held = docs.toDF(*[f"c{i}" for i in range(len(names))])
     place = {n: f"c{i}" for i, n in enumerate(names)}
-    rows = held.join(taken, F.col(place["doc_id"]).eqNullSafe(F.col("__id")) & (F.xxhash64(place["text"]) == F.col("__key")))
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    held = held.withColumns({"__own": F.col(place["doc_id"]), "__hash": F.xxhash64(place["text"]), "__part": F.spark_partition_id()})
+    # rows that share doc_id and text: the copies of all are dealt among them evenly, the first ones getting one more
+    per_part = materialise(held.groupBy("__own", "__hash", "__part").agg(F.count("*").alias("n")), "rows")
+    several = per_part.groupBy("__own", "__hash").agg(F.sum("n").alias("all")).filter("all > 1")
+    same = lambda a, b: F.col(f"{a}.__own").eqNullSafe(F.col(f"{b}.__own")) & (F.col(f"{a}.__hash") == F.col(f"{b}.__hash"))
+    before = Window.partitionBy("__own", "__hash").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    parts = per_part.alias("p").join(several.alias("s"), same("p", "s")).select("p.*", "all").withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    parts = parts.alias("p").join(taken.alias("t"), F.col("p.__own").eqNullSafe(F.col("t.__id")) & (F.col("p.__hash") == F.col("t.__key")))
+    parts = materialise(parts.select("__own", "__hash", "__part", "all", "first", "__copies"), "repeats")
+    once = taken.alias("t").join(several.alias("s"), F.col("t.__id").eqNullSafe(F.col("s.__own")) & (F.col("t.__key") == F.col("s.__hash")), "left_anti")
+    single = held.join(once, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__key"))).select(*place.values(), "__copies")
+    repeats = held.alias("h").join(parts.alias("p"), same("h", "p") & (F.col("h.__part") == F.col("p.__part"))).select(*[f"h.{c}" for c in place.values()], "h.__own", "h.__hash", "h.__part", "all", "first", "__copies")
+    ordinal = F.col("first") + F.row_number().over(Window.partitionBy("__own", "__hash", "__part").orderBy(F.lit(1))) - 1
+    repeats = repeats.withColumn("__copies", F.expr("__copies div all") + (ordinal < F.expr("__copies % all")).cast("long")).filter("__copies > 0").select(*place.values(), "__copies")
+    rows = single.unionByName(repeats).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return rows.select(*[F.col(c).alias(n) for n, c in place.items()])
