@@ -8,18 +8,25 @@ singly, frequent ones in combinations of two. A class with so many frequent toke
 multiply is `large`: it and the others index those singly too, and such an entry counts only for pairs with
 a large class.
 
-Pairs of a bucket are not all emitted. First each member meets the bucket's first one; what those verified
-links don't yet connect meets across components; so a group of near copies costs about as many pairs as it
-has members. Pairs are verified on the whole sets, and components come from labels that spread along links
-with pointer jumping. What is frequent is counted over all documents; it only steers the cost, never the
-result.
+link() finds components. Pairs of a bucket are not all emitted there: first each member meets the bucket's first
+one; what those verified links don't yet connect meets across components, so a group of near copies costs about
+as many pairs as it has members. Across components only sets of similar sizes meet, and in buckets of more than
+SPLIT members of one token only those that share a second token of their prefixes, as similar sets do. pairs()
+is the join itself: all links between classes, with no such short cut. Pairs are verified on the whole sets,
+and components come from labels that spread along links with pointer jumping.
 
-Defined results: a text without words (null and empty ones too) has no tokens and is linked with nothing;
-with fewer words than n its whole sequence is its one token. Rows with the same doc_id are one document. A
-null doc_id is linked with nothing. Other columns of the input are ignored.
+What is frequent is counted over all documents; it only steers the cost, never the result. A token that passes
+as rare has at most two documents in each chunk of CHUNK_TOKENS, or fewer than one in MAX_FREQUENT of all
+tokens; its bucket is one run of a sorted partition. Buckets of frequent tokens, and leads with very many
+pairs, are split over tasks.
+
+"Equal" and "shared" are by 64-bit hashes of shingles (classes by 128 bits): two different shingles of the same
+two documents would have to collide to change a link.
 
-This is a component finder, not a join that lists pairs: membership is exact, but links between members of one
-component are neither listed nor counted, and most of them are never verified.
+Defined results: a text without words (null and empty ones too) has no tokens and is linked with nothing;
+with fewer words than n its whole sequence is its one token. Rows with the same doc_id are one document, known
+by the set of each of its texts. A null doc_id is linked with nothing. Very long texts are taken whole. Other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, materialise
+from tessera.llm.common import HOT_SHARE, bounded_batches, join_hot, materialise
 
 #: A token is frequent if chunks of documents that have it repeatedly have it so often in all. The list of
 #: frequent tokens is broadcast: of more than MAX_FREQUENT, at any corpus size, the most frequent.
@@ -45,6 +52,11 @@ MAX_COMBINED = 10
 MAX_BROADCAST_IDS = 1_000_000
 CHUNK_TOKENS = 6_000_000
 CACHE = 500_000
+#: Members of a token's bucket that meet across components without a second token in common.
+SPLIT = 256
+SALTS = 64
+#: Kinds of entries: rare tokens, single frequent tokens of other and of large classes, combinations.
+RARE, SINGLE, LARGE, COMBINED = 0, 1, 2, 3
 
 _FOLD_CASE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SHIFT, _MIX, _PAIR, _SINGLE = np.uint64(31), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -194,7 +206,7 @@ def _rare_buckets(prefixes: DataFrame) -> DataFrame:
             if not len(wanted):
                 return None
             own, leads = t.take(pa.array(wanted)).combine_chunks(), t.take(pa.array(starts[group[wanted]])).combine_chunks()
-            columns = [*own.columns, pa.chunked_array([np.zeros(len(wanted), np.int8)]), *leads.columns[1:]]
+            columns = [*own.columns, pa.chunked_array([np.full(len(wanted), RARE, np.int8)]), *leads.columns[1:]]
             return pa.Table.from_arrays(columns, names=names).combine_chunks().to_batches()[0]
 
         for batch in batches:
@@ -212,16 +224,18 @@ def _rare_buckets(prefixes: DataFrame) -> DataFrame:
 
 def _frequent_buckets(prefixes: DataFrame) -> DataFrame:
     """The same of single frequent tokens and combinations; their buckets may be huge, so they are counted before rows meet."""
-    single = F.when(F.col("large"), F.lit(2)).otherwise(F.lit(1)).cast("byte")
+    single = F.when(F.col("large"), F.lit(LARGE)).otherwise(F.lit(SINGLE)).cast("byte")
     m = F.size("often")
     # the first token of each combination, in the order of index_keys
     firsts = F.flatten(F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.array_repeat(i, m - 1 - i)))
-    combined = F.zip_with("combined", firsts, lambda k, i: F.struct(k.alias("key"), F.lit(0).cast("byte").alias("c"), i.alias("at")))
+    combined = F.zip_with("combined", firsts, lambda k, i: F.struct(k.alias("key"), F.lit(COMBINED).cast("byte").alias("c"), i.alias("at")))
     singles = F.transform("often", lambda k, i: F.struct(k.alias("key"), single.alias("c"), i.alias("at")))
     entries = F.when(F.col("large"), singles).otherwise(F.concat(combined, singles))
     index = prefixes.filter(m > 0).select("id", "n", F.size("rare").alias("r"), F.explode(entries).alias("e")).select("e.key", "id", F.col("n").cast("int").alias("n"), (F.col("r") + F.col("e.at")).alias("pos"), "e.c")
-    buckets = index.groupBy("key").agg(F.count("*").alias("members"), F.min(F.when(F.col("c") != 1, F.struct("id", "n", "pos"))).alias("lead")).filter("members > 1 and lead is not null").select("key", "lead")
-    return index.join(buckets, "key").select("key", "id", "n", "pos", "c", F.col("lead.id").alias("lead_id"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"))
+    index = materialise(index, "frequent")
+    buckets = index.groupBy("key").agg(F.count("*").alias("members"), F.min(F.when(F.col("c") != SINGLE, F.struct("id", "n", "pos"))).alias("lead")).filter("members > 1 and lead is not null").select("key", "lead", F.col("members").alias("n"))
+    met = join_hot(index.withColumnRenamed("n", "size"), buckets, ["key"], index.count())
+    return met.select("key", "id", F.col("size").alias("n"), "pos", "c", F.col("lead.id").alias("lead_id"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"))
 
 
 def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -249,7 +263,11 @@ def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, n: int, pe
     enough = overlap - F.greatest(least(F.col("na")), least(F.col("nb"))) + 2
     close = materialise(sides.filter(F.size(F.array_intersect("pa", "pb")) >= enough).select("a", "b"), "close")
     texts = materialise(_only(docs.withColumnRenamed("doc_id", "id"), _both(close)), "texts")
-    both = close.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+    # a class with very many pairs is dealt over several tasks
+    hot = close.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > close.count() // HOT_SHARE).select("a", F.lit(SALTS).alias("of"))
+    close = close.join(F.broadcast(hot), "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("of", F.lit(1)))).drop("of")
+    leads = close.select("a", "salt").distinct().join(texts.toDF("a", "ta"), "a")
+    both = close.join(texts.toDF("b", "tb"), "b").join(leads, ["a", "salt"]).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
@@ -280,40 +298,70 @@ def components(links: DataFrame) -> DataFrame:
     return labels.select(F.col("u").alias("id"), F.col("l").alias("label"))
 
 
-def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row: documents link when their sets' Jaccard similarity is percent / 100 or more."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    docs = docs.select("doc_id", "text")
+def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every row with its set's size and digest; the classes of equal sets by smallest id; their prefixes; their entries in buckets."""
     summary = materialise(_summaries(docs, n), "summary")
     own = summary.filter("n is not null").select("doc_id", "n", "s1", "s2")
-    # classes of equal sets, by their smallest id
     named = own.filter("n > 0 and doc_id is not null")
     classes = materialise(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("size")), "classes")
     often = summary.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= MIN_FREQUENT)
     often = often.orderBy(F.desc("seen"), "token").limit(MAX_FREQUENT).select("token").toArrow()
     frequent = np.sort(often.column("token").to_numpy().view(np.uint64)) if often.num_rows else np.zeros(0, np.uint64)
-
     reps = classes.filter("size > 1").select(F.col("rep").alias("id")).distinct()
     prefixes = materialise(_index(docs, n, percent, frequent).join(reps, "id", "left_semi"), "prefixes")
     shared = materialise(_rare_buckets(prefixes).unionByName(_frequent_buckets(prefixes)), "buckets")
+    return own, classes, prefixes, shared
+
+
+def _fits(percent: int, n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
+    """Whether two sets with their first shared token at these positions can still be similar."""
+    overlap = F.ceil(F.lit(percent) * (n1 + n2) / (100 + percent))
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (at1 <= n1 - overlap) & (at2 <= n2 - overlap)
+
+
+def _meet(entries: DataFrame, keys: list[str], percent: int, apart: bool) -> DataFrame:
+    """Distinct pairs (a, b) of entries (keys, id, n, pos, c, label) with the same keys that can be similar; with apart, of different labels.
+
+    Similar sets have sizes in the same or neighbouring bands, so only those meet.
+    """
+    col = F.col
+    band = F.floor(F.log(col("n")) / F.log(F.lit(100 / percent))) if percent < 100 else col("n")
+    side = lambda x: entries.select(*keys, band.cast("long").alias("band"), *[col(c).alias(f"{c}{x}") for c in ("id", "n", "pos", "c", "label")])
+    smaller = side("1").withColumn("band", F.explode(F.array(col("band"), col("band") + 1)))
+    both = smaller.join(side("2"), [*keys, "band"]).filter((col("n1") < col("n2")) | (col("n1") == col("n2")) & (col("id1") < col("id2")))
+    both = both.filter(_fits(percent, col("n1"), col("pos1"), col("n2"), col("pos2")) & ((col("c1") != SINGLE) | (col("c2") != SINGLE)))
+    if apart:
+        both = both.filter(col("label1") != col("label2"))
+    return both.filter(col("id1") != col("id2")).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+
+
+def _all_pairs(shared: DataFrame, sizes: DataFrame, prefixes: DataFrame, percent: int, apart: bool) -> DataFrame:
+    """The pairs of buckets; sizes has key and m, its members, and c, the largest kind of its entries."""
+    few = sizes.filter((F.col("m") <= SPLIT) | (F.col("c") == COMBINED)).select("key")
+    many = sizes.filter((F.col("m") > SPLIT) & (F.col("c") != COMBINED)).select("key", F.col("m").alias("n"))
+    met = _meet(shared.join(few, "key"), ["key"], percent, apart)
+    if many.isEmpty():
+        return met
+    # similar sets share two tokens of their prefixes, which were cut one longer for that
+    large = join_hot(shared.withColumnRenamed("n", "size"), many, ["key"], shared.count()).withColumnRenamed("size", "n")
+    second = prefixes.select("id", F.explode(F.concat("rare", "often")).alias("second"))
+    extended = large.join(second, "id").filter(F.col("second") != F.col("key"))
+    return met.union(_meet(extended, ["key", "second"], percent, apart)).distinct()
 
-    def fits(n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
-        """Whether two sets with their first shared token at these positions can still be similar."""
-        overlap = F.ceil(F.lit(percent) * (n1 + n2) / (100 + percent))
-        return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (at1 <= n1 - overlap) & (at2 <= n2 - overlap)
 
+def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row: documents link when their sets' Jaccard similarity is percent / 100 or more."""
+    bounded_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    own, classes, prefixes, shared = _classes(docs, n, percent)
     col = F.col
-    first = shared.filter((col("id") != col("lead_id")) & fits(col("n"), col("pos"), col("lead_n"), col("lead_pos"))).select(F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b")).distinct()
+    first = shared.filter((col("id") != col("lead_id")) & _fits(percent, col("n"), col("pos"), col("lead_n"), col("lead_pos"))).select(F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b")).distinct()
     first = materialise(first, "pairs")
     links = materialise(_verified(first, prefixes, docs, n, percent), "verified")
     reached = components(links)
     spread = materialise(shared.join(reached, "id", "left").select("key", "id", "n", "pos", "c", F.coalesce("label", "id").alias("label")), "spread")
-    apart = spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("c").alias("c1")).filter("lo != hi and c1 != 1").select("key")
-    rest = spread.join(apart, "key")
-    left, right = (rest.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("c").alias(f"c{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
-    cross = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits(col("na"), col("pa"), col("nb"), col("pb")) & ((F.col("ca") != 1) | (F.col("cb") != 1)))
-    second = materialise(cross.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    sizes = materialise(spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("c").alias("c"), F.count("*").alias("m")).filter(f"lo != hi and c != {SINGLE}").select("key", "m", "c"), "apart")
+    second = materialise(_all_pairs(spread, sizes, prefixes, percent, True).join(first, ["a", "b"], "left_anti"), "pairs")
     more = materialise(_verified(second, prefixes, docs, n, percent), "verified")
     if not more.isEmpty():
         reached = components(links.union(more))
@@ -324,6 +372,22 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def pairs(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The join: every link (a, b), a < b, between classes of equal sets, and the membership (doc_id, class_id) of every row with a set and an id.
+
+    A class is known by its smallest doc_id. All links are listed, so a group of n different near copies has
+    about n * n / 2 of them; equal sets are one class and listed by the membership alone.
+    """
+    bounded_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    own, classes, prefixes, shared = _classes(docs, n, percent)
+    entries = shared.select("key", "id", "n", "pos", "c", F.col("id").alias("label"))
+    sizes = materialise(entries.groupBy("key").agg(F.count("*").alias("m"), F.max("c").alias("c")).filter(F.col("c") != SINGLE), "sizes")
+    found = materialise(_all_pairs(entries, sizes, prefixes, percent, False), "pairs")
+    members = own.filter("n > 0 and doc_id is not null").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", F.col("rep").alias("class_id")).distinct()
+    return _verified(found, prefixes, docs, n, percent), members
+
+
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """All columns of one document of each component, that with the smallest doc_id; null ids stay."""
     gone = link(docs, n, percent).filter("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()

@@ -106,6 +106,27 @@ def test_jaccard_join(docs, corpus, n, percent):
     assert got == {d: (len(s), reached[d]) for d, s in sets.items()}
 
 
+@pytest.mark.parametrize(("n", "percent", "split"), [(4, 85, 256), (2, 70, 2), (1, 60, 3)])
+def test_jaccard_pairs(monkeypatch, docs, corpus, n, percent, split):
+    """Every link between classes, also where buckets are split by a second token."""
+    monkeypatch.setattr(jaccard_join, "SPLIT", split)
+    sets = {}
+    for i, t, *_ in corpus:
+        w = [x for x in SPACE.split(low(t)) if x]
+        if w:
+            sets[i] = frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)])
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    want = {(a, b) for x, a in first.items() for y, b in first.items() if a < b and x & y and 100 * len(x & y) >= percent * len(x | y)}
+    links, members = jaccard_join.pairs(docs, n, percent)
+    got = [(r["a"], r["b"]) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {(r["doc_id"], r["class_id"]) for r in members.collect()} == {(i, first[x]) for i, x in sets.items()}
+    reached = components({i: set(x) for i, x in sets.items()}, percent)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.link(docs, n, percent).collect() if r["doc_id"] in sets} == reached
+
+
 def test_jaccard_many_frequent_tokens(spark):
     """Near copies in plenty: all tokens are frequent, prefixes are combined or taken singly."""
     r = random.Random(2)
