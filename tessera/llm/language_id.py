@@ -1,11 +1,16 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-The log-probability matrix (buckets x languages) has a fixed size and is broadcast; whole texts are scored
-in numpy, a batch at a time. Log-probabilities are held in fixed point, so a score does not depend on how
-a long text is cut into pieces.
+The matrix of log-probabilities (buckets x languages) has at most CELLS cells, the more languages the fewer
+buckets, and is broadcast. Whole texts are scored in numpy, a batch at a time: the batch's n-grams become one
+sparse matrix of counts by text and bucket, whose product with the matrix, plus the log-priors of the
+languages, gives the scores. Log-probabilities are held in fixed point, so a score does not depend on how
+texts are cut into pieces. As n-grams overlap and depend on each other, the odds of a text are tempered to
+those of EVIDENCE independent n-grams; that changes no ranking, only how sure a score is.
 
 Defined results: a null text or one without a letter is `und` with score 0; so is every text when nothing
-could be learned. Rows that repeat give the same prediction each. Other columns of the input are ignored.
+could be learned. Of a tie the first language by name. Rows that repeat give the same prediction each; a null
+doc_id is never held out, but nothing is learned from it. Very long texts are scored whole, PIECE characters
+at a time. Other columns of the input are ignored, or kept as they are where rows are.
 """
 
 from __future__ import annotations
@@ -21,18 +26,24 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded_batches, fold, hash_share
 
 BUCKET_BITS = 16
+#: Cells of the broadcast matrix, four bytes each.
+CELLS = 1 << 24
+EVIDENCE = 50
 ORDERS = (1, 2, 3)
 FIXED_POINT = 1024
 #: Characters scored at once.
 PIECE = 1 << 19
 _SPACE = 32
 _LETTERS: list[np.ndarray] = []
+_NO_CODES = np.zeros(0, np.uint32)
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
     weights: np.ndarray  # int32, buckets x languages
+    priors: np.ndarray  # int64, by language
+    bits: int = BUCKET_BITS
 
 
 def _is_letter() -> np.ndarray:
@@ -51,8 +62,8 @@ def _codes(text: str) -> np.ndarray:
     return np.concatenate(([np.uint32(_SPACE)], codes[kept], [np.uint32(_SPACE)]))
 
 
-def _features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and start position of each n-gram; n-grams of spaces alone are left out."""
+def _features(codes: np.ndarray, ends: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and start position of each n-gram that ends before its position's end; spaces alone are left out."""
     buckets, starts = [], []
     wide = codes.astype(np.uint64)
     mixed = np.zeros(len(wide), np.uint64)
@@ -62,88 +73,101 @@ def _features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mixed = (mixed[: len(wide) - n + 1] + wide[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
         if n in ORDERS:
-            at = np.flatnonzero(codes[: len(mixed)] != _SPACE) if n == 1 else np.arange(len(mixed))
-            buckets.append(((mixed[at] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+            inside = np.arange(n, n + len(mixed)) <= ends[: len(mixed)]
+            at = np.flatnonzero(inside & (codes[: len(mixed)] != _SPACE) if n == 1 else inside)
+            buckets.append(((mixed[at] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)).astype(np.int64))
             starts.append(at)
     if not buckets:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(buckets), np.concatenate(starts)
 
 
-def _pieces(codes: np.ndarray) -> Iterator[np.ndarray]:
-    """The n-gram buckets of a text of any length, PIECE start positions at a time."""
-    for start in range(0, len(codes), PIECE):
-        buckets, starts = _features(codes[start : start + PIECE + max(ORDERS) - 1])
-        yield buckets[starts < PIECE]
+def _pieces(texts: list[np.ndarray], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bucket and text number of all n-grams of the texts' codes, about PIECE start positions at a time."""
+    lengths = np.array([len(c) for c in texts], np.int64)
+    codes = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
+    text = np.repeat(np.arange(len(texts)), lengths)
+    ends = np.cumsum(lengths)[text] if texts else text
+    for low in range(0, len(codes), PIECE):
+        high = low + PIECE + max(ORDERS) - 1
+        buckets, starts = _features(codes[low:high], ends[low:high] - low, bits)
+        own = starts < PIECE
+        yield buckets[own], text[low + starts[own]]
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_docs_per_language: int = 3000, max_languages: int = 1000, alpha: float = 0.5, seed: int = 7) -> LanguageModel:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_docs_per_language: int = 3000, alpha: float = 0.5, seed: int = 7) -> LanguageModel:
     """Fit on labelled rows: at most about max_docs_per_language of each language, drawn by a hash of the id.
 
-    n-gram counts are summed on the executors; the driver receives at most 2^BUCKET_BITS counts a language.
+    n-gram counts are summed on the executors; the driver receives at most CELLS of them, and a number of rows
+    for each language, which also makes its prior.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return LanguageModel([], np.zeros((1 << BUCKET_BITS, 0), np.int32))
+        return LanguageModel([], np.zeros((1, 0), np.int32), np.zeros(0, np.int64))
+    bits = max(1, min(BUCKET_BITS, (CELLS // len(languages)).bit_length() - 1))
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, max_docs_per_language / sizes[k]))])
     drawn = rows.filter(hash_share(F.col("i"), seed) < share[F.col("l")]).select("t", "l")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[str, np.ndarray] = {}
-            for t, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if one not in sums:
-                    sums[one] = np.zeros(1 << BUCKET_BITS, np.int64)
-                for piece in _pieces(_codes(t)):
-                    sums[one] += np.bincount(piece, minlength=1 << BUCKET_BITS)
-            for one, total in sums.items():
+            names = batch.column(1).to_pylist()
+            for one in sorted(set(names)):
+                total = np.zeros(1 << bits, np.int64)
+                for buckets, _ in _pieces([_codes(t) for t, k in zip(batch.column(0).to_pylist(), names, strict=True) if k == one], bits):
+                    total += np.bincount(buckets, minlength=1 << bits)
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array([one] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["l", "b", "n"])
 
     counted = drawn.mapInArrow(count, "l string, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.full((1 << BUCKET_BITS, len(languages)), alpha)
+    counts = np.full((1 << bits, len(languages)), alpha)
     place = {k: i for i, k in enumerate(languages)}
     column = np.fromiter((place[x] for x in counted.column("l").to_pylist()), np.int64, counted.num_rows)
     np.add.at(counts, (counted.column("b").to_numpy(), column), counted.column("n").to_numpy())
     logs = np.log(counts / counts.sum(axis=0))
     logs -= logs.mean(axis=1, keepdims=True)  # the same for all languages: no ranking changes
-    return LanguageModel(languages, np.round(logs * FIXED_POINT).astype(np.int32))
-
-
-def _score(text: str | None, model: LanguageModel) -> tuple[str, float]:
-    if not text or not model.languages:
-        return "und", 0.0
-    codes = _codes(text)
-    if len(codes) <= 2:
-        return "und", 0.0
-    total, n = np.zeros(len(model.languages), np.int64), 0
-    for piece in _pieces(codes):
-        total += model.weights[piece].sum(axis=0, dtype=np.int64)
-        n += len(piece)
-    # n-grams overlap and depend on each other: the evidence is tempered to that of some fifty independent ones
-    logits = total / FIXED_POINT / max(1.0, n / 50)
-    odds = np.exp(logits - logits.max())
-    best = int(np.argmax(total))  # of a tie the first language by name
-    return model.languages[best], float(odds[best] / odds.sum())
+    priors = np.log(np.array([sizes[k] for k in languages]) / sum(sizes.values()))
+    return LanguageModel(languages, np.round(logs * FIXED_POINT).astype(np.int32), np.round(priors * FIXED_POINT).astype(np.int64), bits)
+
+
+def _score(texts: list[str | None], model: LanguageModel) -> list[tuple[str, float]]:
+    """Language and score of each text."""
+    out = [("und", 0.0)] * len(texts)
+    codes = [_codes(t) if t and model.languages else _NO_CODES for t in texts]
+    known = [k for k, c in enumerate(codes) if len(c) > 2]
+    totals, n = np.zeros((len(known), len(model.languages)), np.int64), np.zeros(len(known), np.int64)
+    for buckets, text in _pieces([codes[k] for k in known], model.bits):
+        # the sparse matrix: counts by text and bucket
+        cells, times = np.unique(text << model.bits | buckets, return_counts=True)
+        rows, columns = cells >> model.bits, cells & (1 << model.bits) - 1
+        n += np.bincount(text, minlength=len(known))
+        step = max(1, CELLS // max(1, len(model.languages)))
+        for low in range(0, len(cells), step):
+            own = slice(low, low + step)
+            first = np.flatnonzero(np.concatenate(([True], rows[own][1:] != rows[own][:-1])))
+            totals[rows[own][first]] += np.add.reduceat(model.weights[columns[own]] * times[own, None], first, axis=0, dtype=np.int64)
+    totals += model.priors
+    logits = totals / FIXED_POINT / np.maximum(1.0, n / EVIDENCE)[:, None]
+    for k, row, best in zip(known, logits, np.argmax(totals, axis=1).tolist() if known else (), strict=True):
+        odds = np.exp(row - row.max())
+        out[k] = (model.languages[best], float(odds[best] / odds.sum()))
+    return out
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep with lang_pred and score for every row; texts are scored whole."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast((model.languages, model.weights))
+    shared = spark.sparkContext.broadcast((model.languages, model.weights, model.priors, model.bits))
     held = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("t"))
     schema = ", ".join([f"k{i} {held.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))] + ["lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(*shared.value)
         for batch in batches:
-            found = [_score(t, own) for t in batch.column(len(keep)).to_pylist()]
+            found = _score(batch.column(len(keep)).to_pylist(), own)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names[: len(keep)], "lang_pred", "score"])
 
     return held.mapInArrow(run, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})

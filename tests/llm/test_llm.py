@@ -470,11 +470,50 @@ def test_language_id(spark):
 
 
 def test_pieces_of_long_texts(monkeypatch):
-    model = language_id.LanguageModel(["a", "b"], np.random.default_rng(0).integers(-9, 9, (1 << 16, 2)).astype(np.int32))
-    text = "abc d ef " * 500
-    whole = language_id._score(text, model)
+    model = language_id.LanguageModel(["a", "b"], np.random.default_rng(0).integers(-9, 9, (1 << 16, 2)).astype(np.int32), np.array([3, 5]))
+    texts = ["abc d ef " * 500, None, "x", "12", "Éa ß!" * 40, ""]
+    whole = language_id._score(texts, model)
+    assert [language_id._score([t], model)[0] for t in texts] == whole and [x[0] == "und" for x in whole] == [False, True, False, True, False, True]
     monkeypatch.setattr(language_id, "PIECE", 97)
-    assert language_id._score(text, model) == whole
+    monkeypatch.setattr(language_id, "CELLS", 64)
+    assert language_id._score(texts, model) == whole
+
+
+def test_scores_against_brute_force(spark):
+    """Naive Bayes by its definition: hashed n-grams counted one by one, priors from the rows."""
+    r = random.Random(12)
+    rows = [(i, "".join(r.choice("aab cé" if i % 3 else "bcd  x") for _ in range(r.randint(1, 60))), "p" if i % 3 else "q") for i in range(60)]
+    rows += [(None, "zzz", "q"), (61, "zzz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("i", "t", "l", "k0", "score", "n")})
+    learned = [(t, k) for i, t, k in rows if i is not None and k and zlib.crc32(str(i).encode()) % 4 != 2]
+
+    def grams(text):
+        plain = " " + re.sub(r"[^a-zé]+", " ", text).lstrip() + " "
+        codes = np.array([ord(c) for c in plain], np.uint32)
+        return language_id._features(codes, np.full(len(codes), len(codes)), 16)[0].tolist()
+
+    counts = {k: collections.Counter() for k in "pq"}
+    for t, k in learned:
+        counts[k].update(grams(t))
+    total = {k: sum(c.values()) + 0.5 * 65536 for k, c in counts.items()}
+    prior = collections.Counter(k for _, k in learned)
+    for x in language_id.identify(docs).collect():
+        text = next(t for i, t, _ in rows if i == x["doc_id"])
+        g = grams(text)
+        if not re.search("[a-zé]", text):
+            assert x["lang_pred"] == "und"
+            continue
+        s = {k: np.log(prior[k] / len(learned)) + sum(np.log((counts[k][b] + 0.5) / total[k]) for b in g) for k in "pq"}
+        if abs(s["p"] - s["q"]) > 0.01 * len(g):
+            odds = 1 / (1 + np.exp(-abs(s["p"] - s["q"]) / max(1, len(g) / 50)))
+            assert x["lang_pred"] == max(s, key=s.get) and abs(x["score"] - odds) < 0.02
+
+
+def test_many_languages_have_fewer_buckets(monkeypatch, spark):
+    monkeypatch.setattr(language_id, "CELLS", 1 << 12)
+    rows = [(i, "abcdefghij"[i % 10] * 3 + " word", f"l{i % 10}") for i in range(200)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.weights.shape == (256, 10) and model.bits == 8
 
 
 def test_toxicity(spark):
