@@ -32,10 +32,19 @@ def optional(left: DataFrame, pattern: DataFrame, key: str, counts: Sequence[str
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts} | {c: F.coalesce(c, F.lit("")) for c in lists})
 
 
+def degrees(g: Graph) -> DataFrame:
+    """(node_id, type, degree): edges of each type at a node, a loop once. Edge ids are unique, so rows are counted."""
+    if g.degrees is not None:
+        return g.degrees
+    out = g.edges.groupBy(F.col("src").alias("node_id"), "type").agg(F.count("*").alias("n"))
+    into = g.edges.filter("src != dst").groupBy(F.col("dst").alias("node_id"), "type").agg(F.count("*").alias("n"))
+    return out.unionByName(into).groupBy("node_id", "type").agg(F.sum("n").alias("degree"))
+
+
 def hubs(g: Graph, min_mentions: int, min_degree: int, types: Sequence[str] | None = None, n: int = 100) -> DataFrame:
     """Nodes by degree times mentions."""
-    edges = g.edges if types is None else g.edges.filter(F.col("type").isin(*types))
-    degree = undirected(edges).groupBy(F.col("a").alias("node_id")).agg(F.countDistinct("edge_id").alias("degree")).filter(F.col("degree") > min_degree)
+    by_type = degrees(g) if types is None else degrees(g).filter(F.col("type").isin(*types))
+    degree = by_type.groupBy("node_id").agg(F.sum("degree").alias("degree")).filter(F.col("degree") > min_degree)
     rows = g.nodes.filter((F.col("mentions") > min_mentions) & F.col("name").isNotNull()).join(degree, "node_id")
     rows = rows.select(F.col("label").alias("type"), "name", "mentions", "degree", (F.col("degree") * F.col("mentions")).alias("influence"), "node_id")
     return top(rows, F.desc_nulls_first("influence"), F.col("node_id"), n=n)
@@ -129,6 +138,8 @@ def pairs_in_groups(mentions: DataFrame, group: str, ordinal: str, entity: str,
 
 def connectivity(g: Graph) -> DataFrame:
     """Edges by (source label, type, target label)."""
+    if "src_label" in g.edges.columns:
+        return g.edges.groupBy(F.col("src_label").alias("source_label"), "type", F.col("dst_label").alias("target_label")).agg(F.count("*").alias("cnt"))
     n = g.nodes.select("node_id", "label")
     return g.edges.join(n.toDF("src", "source_label"), "src").join(n.toDF("dst", "target_label"), "dst").groupBy("source_label", "type", "target_label").agg(F.count("*").alias("cnt"))
 

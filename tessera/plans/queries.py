@@ -16,6 +16,7 @@ from tessera.operators import graph as go
 from tessera.plans.views import VIEW_SQL, VIEWS
 from tessera.sources.files import links
 from tessera.sources.graph_tables import PRELUDE, Graph, build
+from tessera.sources.store import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -153,13 +154,29 @@ _TX = """WITH t AS (SELECT DISTINCT 'C' || o_custkey AS cik, c_name AS insider,
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct transactions: two fills with the same properties are one."""
+    """Distinct transactions, stored once: two fills with the same properties are one."""
+    return stored(spark, sf_dir, "transactions", lambda: _transactions(spark, sf_dir), ["kind"])
+
+
+def _transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
-    li = t("lineitem").join(t("orders"), C("l_orderkey") == C("o_orderkey")).join(t("customer"), C("o_custkey") == C("c_custkey")).join(t("supplier"), C("l_suppkey") == C("s_suppkey")).join(t("part"), C("l_partkey") == C("p_partkey"))
+    li = t("lineitem").join(t("orders"), C("l_orderkey") == C("o_orderkey")).join(t("customer"), C("o_custkey") == C("c_custkey"))
+    li = li.join(t("supplier"), C("l_suppkey") == C("s_suppkey")).join(t("part"), C("l_partkey") == C("p_partkey"))
     return li.select(
-        F.concat(F.lit("C"), C("o_custkey").cast("string")).alias("cik"), C("c_name").alias("insider"), C("s_name").alias("company"), F.concat(F.lit("S"), C("l_suppkey").cast("string")).alias("symbol"), C("l_orderkey").alias("accession"), F.to_date("l_shipdate").alias("d"), C("l_linestatus").alias("code"),
-        F.when(C("l_returnflag") == "R", "D").otherwise("A").alias("ad"), C("l_quantity").alias("shares"), (F.floor(C("l_extendedprice") * 100 / C("l_quantity")) / 100).alias("price"), F.when(C("l_discount") > 0.05, "derivative").otherwise("non_derivative").alias("kind"), C("p_brand").alias("security"), C("p_type").alias("underlying"),
-    ).distinct()
+        F.concat(F.lit("C"), C("o_custkey").cast("string")).alias("cik"),
+        C("c_name").alias("insider"),
+        C("s_name").alias("company"),
+        F.concat(F.lit("S"), C("l_suppkey").cast("string")).alias("symbol"),
+        C("l_orderkey").alias("accession"),
+        F.to_date("l_shipdate").alias("d"),
+        C("l_linestatus").alias("code"),
+        F.when(C("l_returnflag") == "R", "D").otherwise("A").alias("ad"),
+        C("l_quantity").alias("shares"),
+        (F.floor(C("l_extendedprice") * 100 / C("l_quantity")) / 100).alias("price"),
+        F.when(C("l_discount") > 0.05, "derivative").otherwise("non_derivative").alias("kind"),
+        C("p_brand").alias("security"),
+        C("p_type").alias("underlying"),
+    ).distinct()
 
 
 def _shares() -> Column:

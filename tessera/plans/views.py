@@ -93,7 +93,7 @@ def organization_roles(g: Graph, n: int = 100) -> DataFrame:
     roles = g.edges.filter("type = 'HAS_ROLE'").join(g.nodes.filter("label = 'ROLE'").select(C("node_id").alias("dst"), C("name").alias("role")), "dst").select(C("src").alias("node_id"), "role")
     works = g.edges.filter("type = 'WORKS_FOR'").join(g.nodes.filter("label = 'ORG'").select(C("node_id").alias("dst"), C("name").alias("organization")), "dst").select(C("src").alias("node_id"), "organization")
     rows = _labelled(g, "PERSON", 0).join(roles, "node_id").join(works, "node_id", "left").select(C("name").alias("person"), "role", "organization", "mentions")
-    return top(rows, F.desc_nulls_first("mentions"), C("person"), C("role"), n=n)
+    return top(rows, F.desc_nulls_first("mentions"), C("person"), C("role"), C("organization").asc_nulls_last(), n=n)
 
 
 def statement_topics(g: Graph, n: int = 50) -> DataFrame:
@@ -136,7 +136,7 @@ VIEW_SQL = {
     "metric_analysis": f"SELECT name AS metric, lower(regexp_replace(name, '^[0-9]+-', '')) AS canonical_metric, mentions, coalesce(c, 0) AS entity_count, coalesce(l, '') AS entities FROM nodes LEFT JOIN ({_near("'ORG','PRODUCT','CONCEPT'", 0, "count(DISTINCT b) AS c, " + _names('o.name', 5) + ' AS l')}) USING (node_id) WHERE label = 'METRIC' AND mentions > 2 ORDER BY mentions DESC, metric LIMIT 50",
     "causal_relationships": f"SELECT p.name AS source_entity, p.label AS source_type, type AS rel_type, q.name AS target_entity, q.label AS target_type, count(*) AS frequency, {_names('quote', 2)} AS quotes FROM edges JOIN nodes p ON p.node_id = src JOIN nodes q ON q.node_id = dst WHERE type IN ('CAUSES', 'DRIVES', 'BOOSTS', 'HURTS', 'MITIGATES') AND (confidence IS NULL OR confidence >= 0.6) GROUP BY src, dst, p.name, p.label, type, q.name, q.label ORDER BY frequency DESC, source_entity, target_entity, rel_type LIMIT 100",
     "product_mentions": f"SELECT name AS product, mentions, coalesce(c, 0) AS org_count, CAST(coalesce(t, 0) AS BIGINT) AS total_co_mentions, coalesce(l, '') AS orgs FROM nodes LEFT JOIN ({_near("'ORG'", 0, "count(DISTINCT b) AS c, sum(cnt) AS t, " + _names('o.name', 5) + ' AS l')}) USING (node_id) WHERE label = 'PRODUCT' AND mentions > 1 ORDER BY total_co_mentions DESC, mentions DESC, product LIMIT 50",
-    "organization_roles": "SELECT p.name AS person, r.name AS role, CAST(NULL AS VARCHAR) AS organization, p.mentions AS mentions FROM edges JOIN nodes p ON p.node_id = src AND p.label = 'PERSON' JOIN nodes r ON r.node_id = dst AND r.label = 'ROLE' WHERE type = 'HAS_ROLE' ORDER BY mentions DESC, person, role LIMIT 100",
-    "statement_topics": "SELECT s.name AS statement_id, src AS speaker, p.name AS speaker_name, CAST(0 AS BIGINT) AS topic_count, '' AS topics FROM nodes s LEFT JOIN edges e ON e.dst = s.node_id AND e.type = 'SAID' LEFT JOIN nodes p ON p.node_id = src WHERE s.label = 'STATEMENT' ORDER BY statement_id, speaker LIMIT 50",
+    "organization_roles": "SELECT p.name AS person, r.name AS role, o.name AS organization, p.mentions AS mentions FROM edges e JOIN nodes p ON p.node_id = e.src AND p.label = 'PERSON' JOIN nodes r ON r.node_id = e.dst AND r.label = 'ROLE' LEFT JOIN edges w ON w.src = e.src AND w.type = 'WORKS_FOR' LEFT JOIN nodes o ON o.node_id = w.dst AND o.label = 'ORG' WHERE e.type = 'HAS_ROLE' ORDER BY mentions DESC, person, role, organization LIMIT 100",
+    "statement_topics": f"SELECT s.name AS statement_id, src AS speaker, p.name AS speaker_name, coalesce(c, 0) AS topic_count, coalesce(l, '') AS topics FROM nodes s LEFT JOIN edges e ON e.dst = s.node_id AND e.type = 'SAID' LEFT JOIN nodes p ON p.node_id = src LEFT JOIN ({_near("'CONCEPT','ORG','PRODUCT'", 0, "count(DISTINCT b) AS c, " + _names('o.name', 5) + ' AS l')}) t ON t.node_id = s.node_id WHERE s.label = 'STATEMENT' ORDER BY topic_count DESC, statement_id, speaker LIMIT 50",
     "comention_network": "SELECT p.name AS source, p.label AS source_type, q.name AS target, q.label AS target_type, cnt AS co_mentions FROM edges JOIN nodes p ON p.node_id = src JOIN nodes q ON q.node_id = dst WHERE type = 'CO_MENTIONED' AND cnt > 1 ORDER BY co_mentions DESC, source, target, source_type, target_type LIMIT 200",
 }

@@ -1,7 +1,8 @@
-"""A property graph over the warehouse tables.
+"""A property graph over the warehouse tables, stored once.
 
-Nodes: node_id, label, name, mentions. Edges: edge_id, src, dst, type, cnt, confidence, quote. Every branch
-of the unions has a literal label or type, so a filter on those prunes all other branches' scans.
+Nodes: node_id, label, name, mentions; partitioned by label. Edges: edge_id, src, dst, cnt, confidence, quote and
+the labels of both ends; partitioned by type, so a query reads the types that it names. Degrees: node_id, type,
+and the number of distinct edges of that type at the node, a loop once.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.store import stored
+
 
 @dataclass
 class Graph:
     nodes: DataFrame
     edges: DataFrame
+    degrees: DataFrame | None = None  # (node_id, type, degree) where they are stored
 
 
 def _key(prefix: str, column: str) -> Column:
@@ -40,26 +44,67 @@ LINE_LABELS = [("PRODUCT", "product"), ("ORG", "org"), ("PERSON", "person"), ("G
 CO_MENTIONS = [("product", "org"), ("product", "concept"), ("org", "gpe"), ("money", "gpe"), ("org", "date"), ("regulation", "org"), ("regulation", "person"), ("regulation", "concept"), ("metric", "concept"), ("org", "money")]
 
 
+
+def _nodes(li: DataFrame, talk: DataFrame, region: DataFrame) -> DataFrame:
+    def counted(df: DataFrame, label: str, key: str) -> DataFrame:
+        return df.groupBy(F.col(key).alias("node_id")).agg(F.count("*").alias("mentions")).select("node_id", F.lit(label).alias("label"), F.expr("substring(node_id, 2)").alias("name"), "mentions")
+
+    # one pass over the lines: each gives a row to every label
+    each = F.explode(F.array(*[F.struct(F.lit(label).alias("label"), F.col(key).alias("node_id")) for label, key in LINE_LABELS]))
+    of_lines = li.select(each.alias("x")).groupBy("x.node_id", "x.label").agg(F.count("*").alias("mentions")).select("node_id", "label", F.expr("substring(node_id, 2)").alias("name"), "mentions")
+    of_talk = [counted(talk, "PERSON", "speaker"), counted(talk, "STATEMENT", "statement"), counted(talk, "ROLE", "role_id")]
+    places = region.select(_key("R", "r_regionkey").alias("node_id"), F.lit("GEOGRAPHY").alias("label"), F.col("r_name").alias("name"), F.lit(None).cast("long").alias("mentions"))
+    return reduce(DataFrame.unionByName, [of_lines, *of_talk, places])
+
+
+def _edges(li: DataFrame, talk: DataFrame) -> DataFrame:
+    def counted(rows: DataFrame) -> DataFrame:
+        grouped = rows.groupBy("type", "src", "src_label", "dst", "dst_label").agg(F.count("*").alias("cnt"))
+        return grouped.select(F.concat_ws("|", "type", "src", "dst").alias("edge_id"), "src", "dst", "type", "cnt", F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("quote"), "src_label", "dst_label")
+
+    def pair(kind: str, src: str, src_label: str, dst: str, dst_label: str) -> Column:
+        return F.struct(F.lit(kind).alias("type"), F.col(src).alias("src"), F.lit(src_label).alias("src_label"), F.col(dst).alias("dst"), F.lit(dst_label).alias("dst_label"))
+
+    label = {key: name for name, key in LINE_LABELS}
+    exploded = lambda df, *pairs: df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+    of_lines = [exploded(li, *[pair("CO_MENTIONED", a, label[a], b, label[b]) for a, b in CO_MENTIONS])]
+    of_lines += [exploded(li.filter(F.col("l_returnflag") == flag), pair(kind, "org", "ORG", "risk", "RISK")) for flag, kind in (("R", "EXPOSES_TO_RISK"), ("A", "MITIGATES_RISK"))]
+    of_talk = exploded(
+        talk, pair("SAID", "speaker", "PERSON", "statement", "STATEMENT"), pair("HAS_ROLE", "speaker", "PERSON", "role_id", "ROLE"), pair("WORKS_FOR", "speaker", "PERSON", "employer", "ORG"),
+        pair("CO_MENTIONED", "statement", "STATEMENT", "topic", "CONCEPT"), pair("CO_MENTIONED", "statement", "STATEMENT", "employer", "ORG"),
+    )
+    pairs = li.select("product", "org").distinct()
+    rivals = pairs.join(pairs.withColumnRenamed("org", "other"), "product").filter("org < other")
+    rivals = exploded(rivals, pair("COMPETES_WITH", "org", "ORG", "other", "ORG"))
+    cause = li.select("org", "risk", "date", F.round("l_discount", 2).alias("d"), F.expr("case l_returnflag when 'A' then 'CAUSES' when 'N' then 'DRIVES' else 'HURTS' end").alias("type"), "l_linestatus").distinct().filter("l_linestatus = 'F'")
+    causes = cause.select(
+        F.concat_ws("|", "type", "org", "risk", "date", (F.col("d") * 100).cast("int").cast("string")).alias("edge_id"), F.col("org").alias("src"), F.col("risk").alias("dst"), "type", F.lit(None).cast("long").alias("cnt"),
+        F.when(F.col("d") > 0, F.col("d") * 10).alias("confidence"), F.col("date").alias("quote"), F.lit("ORG").alias("src_label"), F.lit("RISK").alias("dst_label"),
+    )
+    return reduce(DataFrame.unionByName, [counted(reduce(DataFrame.unionByName, of_lines)), counted(of_talk), counted(rivals), causes])
+
+
 def build(spark: SparkSession, sf_dir: str) -> Graph:
+    """The stored graph of the tables at sf_dir; the first call of an application writes it."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    li, talk = lines(spark, sf_dir), read("conversations").select("conv_id", "turn", "role", "text").distinct()
-    talk = talk.withColumn("speaker", F.concat(F.lit("Q"), "role", (F.col("conv_id") % 20).cast("string"))).withColumn("statement", F.concat(F.lit("U"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")))
-    node = lambda df, label, key: df.groupBy(F.col(key).alias("node_id")).agg(F.count("*").alias("mentions")).select("node_id", F.lit(label).alias("label"), F.expr("substring(node_id, 2)").alias("name"), "mentions")
-    nodes = [node(li, label, key) for label, key in LINE_LABELS]
-    nodes += [node(talk, "PERSON", "speaker"), node(talk, "STATEMENT", "statement"), node(talk.select(F.concat(F.lit("L"), "role").alias("role")), "ROLE", "role"), read("region").select(_key("R", "r_regionkey").alias("node_id"), F.lit("GEOGRAPHY").alias("label"), F.col("r_name").alias("name"), F.lit(None).cast("long").alias("mentions"))]
-
-    def edge(df: DataFrame, kind: str, src: str, dst: str) -> DataFrame:
-        grouped = df.groupBy(F.col(src).alias("src"), F.col(dst).alias("dst")).agg(F.count("*").alias("cnt"))
-        return grouped.select(F.concat_ws("|", F.lit(kind), "src", "dst").alias("edge_id"), "src", "dst", F.lit(kind).alias("type"), "cnt", F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("quote"))
-
-    edges = [edge(li, "CO_MENTIONED", a, b) for a, b in CO_MENTIONS]
-    edges += [edge(li.filter("l_returnflag = 'R'"), "EXPOSES_TO_RISK", "org", "risk"), edge(li.filter("l_returnflag = 'A'"), "MITIGATES_RISK", "org", "risk"), edge(talk, "SAID", "speaker", "statement"), edge(talk.withColumn("rl", F.concat(F.lit("L"), "role")), "HAS_ROLE", "speaker", "rl")]
-    cause = li.select("org", "risk", "date", F.round("l_discount", 2).alias("d"), F.expr("case l_returnflag when 'A' then 'CAUSES' when 'N' then 'DRIVES' else 'HURTS' end").alias("type"), "l_linestatus").distinct().filter("l_linestatus = 'F'")
-    edges.append(cause.select(F.concat_ws("|", "type", "org", "risk", "date", (F.col("d") * 100).cast("int").cast("string")).alias("edge_id"), F.col("org").alias("src"), F.col("risk").alias("dst"), "type", F.lit(None).cast("long").alias("cnt"), F.when(F.col("d") > 0, F.col("d") * 10).alias("confidence"), F.col("date").alias("quote")))
-    pairs = li.select("product", "org").distinct()
-    both = pairs.join(pairs.withColumnRenamed("org", "other"), "product").filter("org < other")
-    edges.append(edge(both, "COMPETES_WITH", "org", "other"))
-    return Graph(reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges))
+    kept = lambda name, make, by=(): stored(spark, sf_dir, name, make, by)
+
+    def talk() -> DataFrame:
+        rows = read("conversations").select("conv_id", "turn", "role", "text").distinct()
+        return rows.select(
+            F.concat(F.lit("Q"), "role", (F.col("conv_id") % 20).cast("string")).alias("speaker"), F.concat(F.lit("U"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("statement"),
+            F.concat(F.lit("L"), "role").alias("role_id"), F.concat(F.lit("S"), (F.col("conv_id") % 7).cast("string")).alias("employer"), F.concat(F.lit("BBrand#"), (1 + (F.col("conv_id") * 7 + F.col("turn")) % 25).cast("string")).alias("topic"),
+        )
+
+    nodes = kept("nodes", lambda: _nodes(kept("lines", lambda: lines(spark, sf_dir)), talk(), read("region")), ["label"])
+    edges = kept("edges", lambda: _edges(kept("lines", lambda: lines(spark, sf_dir)), talk()), ["type"])
+
+    def degrees() -> DataFrame:
+        out = edges.groupBy(F.col("src").alias("node_id"), "type").agg(F.count("*").alias("n"))
+        into = edges.filter("src != dst").groupBy(F.col("dst").alias("node_id"), "type").agg(F.count("*").alias("n"))
+        return out.unionByName(into).groupBy("node_id", "type").agg(F.sum("n").alias("degree"))
+
+    return Graph(nodes, edges, kept("degrees", degrees, ["type"]))
 
 
 _NODE_SQL = " UNION ALL ".join(f"SELECT {c} AS node_id, '{label}' AS label, substring({c}, 2) AS name, count(*) AS mentions FROM li GROUP BY {c}" for label, c in LINE_LABELS)
@@ -70,13 +115,14 @@ PRELUDE = f"""
 WITH li AS (SELECT 'P' || p_partkey AS product, 'S' || s_suppkey AS org, 'C' || c_custkey AS person, 'N' || s_nationkey AS gpe, 'M' || CAST(floor(p_retailprice / 100) * 100 AS BIGINT) AS money, 'D' || strftime(l_shipdate, '%Y-%m') AS date,
   'K' || p_type AS risk, 'B' || p_brand AS concept, 'G' || c_mktsegment AS regulation, 'O' || o_orderpriority AS metric, l_returnflag, l_linestatus, l_discount, l_quantity, l_extendedprice, l_shipdate, l_orderkey
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey),
-talk AS (SELECT DISTINCT conv_id, turn, role, text, 'Q' || role || (conv_id % 20) AS speaker, 'U' || conv_id || '-' || turn AS statement, 'L' || role AS rl FROM conversations),
+talk AS (SELECT DISTINCT conv_id, turn, role, text, 'Q' || role || (conv_id % 20) AS speaker, 'U' || conv_id || '-' || turn AS statement, 'L' || role AS rl, 'S' || (conv_id % 7) AS employer, 'BBrand#' || (1 + (conv_id * 7 + turn) % 25) AS topic FROM conversations),
 nodes AS ({_NODE_SQL} UNION ALL SELECT speaker, 'PERSON', substring(speaker, 2), count(*) FROM talk GROUP BY speaker UNION ALL SELECT statement, 'STATEMENT', substring(statement, 2), count(*) FROM talk GROUP BY statement
   UNION ALL SELECT rl, 'ROLE', substring(rl, 2), count(*) FROM talk GROUP BY rl UNION ALL SELECT 'R' || r_regionkey, 'GEOGRAPHY', r_name, NULL FROM region),
 prs AS (SELECT DISTINCT product, org FROM li), comp AS (SELECT a.org, b.org AS other FROM prs a JOIN prs b USING (product) WHERE a.org < b.org),
 cause AS (SELECT DISTINCT org, risk, date, round(l_discount, 2) AS d, CASE l_returnflag WHEN 'A' THEN 'CAUSES' WHEN 'N' THEN 'DRIVES' ELSE 'HURTS' END AS type FROM li WHERE l_linestatus = 'F'),
 edges AS ({_EDGE_SQL} UNION ALL {_edge_sql('EXPOSES_TO_RISK', 'org', 'risk', "(SELECT * FROM li WHERE l_returnflag = 'R')")} UNION ALL {_edge_sql('MITIGATES_RISK', 'org', 'risk', "(SELECT * FROM li WHERE l_returnflag = 'A')")}
   UNION ALL {_edge_sql('SAID', 'speaker', 'statement', 'talk')} UNION ALL {_edge_sql('HAS_ROLE', 'speaker', 'rl', 'talk')} UNION ALL {_edge_sql('COMPETES_WITH', 'org', 'other', 'comp')}
+  UNION ALL {_edge_sql('WORKS_FOR', 'speaker', 'employer', 'talk')} UNION ALL {_edge_sql('CO_MENTIONED', 'statement', 'topic', 'talk')} UNION ALL {_edge_sql('CO_MENTIONED', 'statement', 'employer', 'talk')}
   UNION ALL SELECT concat_ws('|', type, org, risk, date, CAST(CAST(trunc(d * 100) AS INT) AS VARCHAR)), org, risk, type, NULL, CASE WHEN d > 0 THEN d * 10 END, date FROM cause),
 eu AS (SELECT edge_id, src AS a, dst AS b, type, cnt FROM edges UNION ALL SELECT edge_id, dst, src, type, cnt FROM edges WHERE src <> dst)
 """
