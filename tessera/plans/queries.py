@@ -803,3 +803,7 @@ def property_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 def schema_prompt(g: Graph) -> DataFrame:
     counts = g.nodes.groupBy("label").agg(F.count("*").alias("n"))  # a row for each label
     return counts.agg(F.array_join(F.array_sort(F.collect_list(F.concat("label", F.lit(" ("), C("n").cast("string"), F.lit(")")))), ", ").alias("prompt"))
+
+
+# the other modules register theirs here
+from tessera.plans import investigations  # noqa: E402, F401

@@ -41,7 +41,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: (label, line column)
 LINE_LABELS = [("PRODUCT", "product"), ("ORG", "org"), ("PERSON", "person"), ("GPE", "gpe"), ("MONEY", "money"), ("DATE", "date"), ("RISK", "risk"), ("CONCEPT", "concept"), ("REGULATION", "regulation"), ("METRIC", "metric")]
-CO_MENTIONS = [("product", "org"), ("product", "concept"), ("org", "gpe"), ("money", "gpe"), ("org", "date"), ("regulation", "org"), ("regulation", "person"), ("regulation", "concept"), ("metric", "concept"), ("org", "money")]
+CO_MENTIONS = [("product", "org"), ("product", "concept"), ("org", "gpe"), ("money", "gpe"), ("org", "date"), ("regulation", "org"), ("regulation", "person"), ("regulation", "concept"), ("metric", "concept"), ("org", "money"), ("org", "concept")]
 
 
 
