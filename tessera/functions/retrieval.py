@@ -42,6 +42,26 @@ def bm25_topk(docs: DataFrame, terms: list[str], k: int, id_: str = "doc_id", te
     return counted.filter(hit).crossJoin(F.broadcast(stats)).select(id_, F.round(score, 9).alias("score")).orderBy(F.desc("score"), id_).limit(k)
 
 
+def postings(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(t, id, dl, f): term, document, its length and the term's occurrences, sorted by term, so a stored table is read by its statistics."""
+    ws = docs.select(F.col(id_).alias("id"), words(text).alias("w")).select("id", F.size("w").alias("dl"), F.explode("w").alias("t"))
+    return ws.groupBy("id", "dl", "t").agg(F.count("*").alias("f")).select("t", "id", "dl", "f").repartitionByRange("t").sortWithinPartitions("t")
+
+
+def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Number of documents and their mean length."""
+    return docs.agg(F.count("*").alias("n"), F.avg(F.size(words(text))).alias("avgdl"))
+
+
+def bm25_from(index: DataFrame, stats: DataFrame, terms: list[str], k: int, id_: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """bm25_topk from postings: only those of the query's terms are read."""
+    hits = index.filter(F.col("t").isin(sorted(set(terms))))
+    df = hits.groupBy("t").agg(F.count("*").alias("df"))  # a row for each term of the query
+    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = hits.join(F.broadcast(df), "t").crossJoin(F.broadcast(stats)).groupBy(F.col("id").alias(id_)).agg(F.round(F.sum(part), 9).alias("score"))  # one row of statistics
+    return scored.orderBy(F.desc("score"), id_).limit(k)
+
+
 def _first(scored: DataFrame, k: int, query: str, id_: str) -> DataFrame:
     """The k best of every query; the engine cuts each partition to k rows a query before it shuffles."""
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), id_))

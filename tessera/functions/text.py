@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
@@ -46,8 +46,10 @@ def paragraphs(text: Column | str, shortest: int = 100, longest: int = 600) -> C
 
 
 def questions_answers(text: Column | str, shortest: int = 20, longest: int = 600) -> Column:
-    """Segments between speaker marks such as Q: or Answer-."""
-    return _limited(F.split(F.regexp_replace(text, r"(?i)(question|answer|operator|q|a)[:\-]\s*", CUT), CUT), shortest, longest)
+    """Segments between speaker marks such as Q: or Answer-; a long one becomes its sentences."""
+    parts = F.split(F.regexp_replace(text, r"(?i)(question|answer|operator|q|a)[:\-]\s*", CUT), CUT)
+    plain = F.filter(F.transform(parts, lambda s: F.regexp_replace(F.trim(s), LABEL, "")), lambda s: F.length(s) >= shortest)
+    return F.flatten(F.transform(plain, lambda s: F.when(F.length(s) > longest, sentences(s, shortest)).otherwise(F.array(s))))
 
 
 def word_count(text: Column | str) -> Column:
@@ -105,6 +107,17 @@ def section_key(section: Column | str) -> tuple[Column, Column]:
     return F.when(number == "", F.lit(999)).otherwise(number.cast("int")), F.regexp_extract(section, r"([A-Z]*)$", 1)
 
 
+def object_path(prefix: Column, name: Column | str, day: Column, key: Column) -> Column:
+    """prefix/year/name_yyyymmdd_hash.json, the hash being eight hex digits of the key's MD5."""
+    stem = F.concat_ws("_", F.col(name) if isinstance(name, str) else name, F.date_format(day, "yyyyMMdd"), F.substring(F.md5(key), 1, 8))
+    return F.concat(F.concat_ws("/", prefix, F.date_format(day, "yyyy"), stem), F.lit(".json"))
+
+
+def content_key(content: Column | str) -> Column:
+    """The first 16 hex digits of the content's SHA-256."""
+    return F.substring(F.sha2(F.coalesce(F.col(content) if isinstance(content, str) else content, F.lit("")), 256), 1, 16)
+
+
 def trading_week(day: Column | str) -> tuple[Column, Column]:
     """Monday, and Friday or the day itself if earlier."""
     monday = F.date_trunc("week", day).cast("date")
@@ -114,24 +127,31 @@ def trading_week(day: Column | str) -> tuple[Column, Column]:
 # --- order- and offset-dependent functions --------------------------------------------------------------
 
 
-def spans_of(text: str | None, size: int = 12_000, overlap: int = 800) -> list[dict]:
-    """Overlapping chunks; a chunk ends at the last blank line of its second half, else at the last full stop."""
-    text, out, start = text or "", [], 0
-    size, overlap = max(2000, size), 0 if overlap < 0 else min(overlap, max(2000, size) // 2)
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            blank = text.rfind("\n\n", start + size // 2, end)
-            stop = text.rfind(". ", start + size // 2, end)
-            if blank > start + 100:
-                end = blank
-            elif stop > start + 50:
-                end = stop + 2
-        out.append({"start": start, "end": end})
-        if end >= len(text):
-            break
+def _chunk_end(text: str, start: int, size: int) -> int:
+    """Where the chunk from start ends: at the text's end, else at the last break of its second half.
+
+    A blank line is preferred; the chunk then stops before it. A full stop stays with its blank in the chunk.
+    """
+    limit = start + size
+    if limit >= len(text):
+        return len(text)
+    breaks = (("\n\n", 0, 100), (". ", 2, 50))  # mark, characters of it that stay, least length of the chunk
+    found = ((text.rfind(mark, start + size // 2, limit), kept, least) for mark, kept, least in breaks)
+    return next((at + kept for at, kept, least in found if at - start > least), limit)
+
+
+def _chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    start, end = 0, 0
+    while end < len(text):
+        end = _chunk_end(text, start, size)
+        yield start, end
         start = max(end - overlap, start + 1)
-    return out
+
+
+def spans_of(text: str | None, size: int = 12_000, overlap: int = 800) -> list[dict]:
+    """Overlapping chunks of a text; sizes below 2000 count as that, overlaps above half a size as that half."""
+    size = max(size, 2000)
+    return [{"start": a, "end": b} for a, b in _chunks(text or "", size, min(max(overlap, 0), size // 2))]
 
 
 _SPAN = [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
@@ -152,16 +172,14 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def best_match(name: str, known: Sequence[str], threshold: float = 0.85) -> str | None:
-    """The known name that equals the given one, else the first with the best ratio over the threshold."""
-    plain, best, at = name.strip().lower(), None, threshold
-    for other in known:
-        lowered = other.strip().lower()
-        if lowered == plain:
-            return other
-        score = 0.95 if lowered in plain or plain in lowered else ratio(plain, lowered)
-        if score > at:
-            best, at = other, score
-    return best
+    """The first known name that equals the given one, else the likest above the threshold, of a tie the first."""
+    fold = lambda x: x.strip().lower()
+    wanted, plain = fold(name), [fold(x) for x in known]
+    if wanted in plain:
+        return known[plain.index(wanted)]
+    likeness = [0.95 if x in wanted or wanted in x else ratio(wanted, x) for x in plain]
+    top = max(likeness, default=0.0)
+    return known[likeness.index(top)] if top > threshold else None
 
 
 @F.pandas_udf(T.StringType())
@@ -181,22 +199,35 @@ class _Plain(HTMLParser):
     """Texts of block elements without scripts, styles and page furniture."""
 
     SKIP = frozenset("script style nav header footer aside noscript head".split())
+    #: What can't stand in menus and the like, so it ends one that was never closed.
+    MAIN = frozenset("body main article".split())
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.depth, self.parts = 0, []
+        self.open, self.parts, self.skipped = [], [], []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.depth += tag in self.SKIP
+        if tag in self.MAIN:
+            self.open.clear()
+        if tag in self.SKIP:
+            self.open.append((tag, len(self.skipped)))
         if tag in ("p", "div", "h1", "h2", "h3", "li", "br"):
-            self.parts.append("\n")
+            self.handle_data("\n")
 
     def handle_endtag(self, tag: str) -> None:
-        self.depth -= tag in self.SKIP and self.depth > 0
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.skipped[self.open[k][1] :], self.open[k:]
+                break
 
     def handle_data(self, data: str) -> None:
-        if not self.depth:
-            self.parts.append(data)
+        (self.skipped if self.open else self.parts).append(data)
+
+    def close(self) -> None:
+        """An element that is open at the end hides nothing but scripts and styles, as nobody closed it."""
+        super().close()
+        if self.open and self.open[0][0] not in ("script", "style", "head"):
+            self.parts += self.skipped[self.open[0][1] :]
 
 
 @F.pandas_udf(T.StringType())
@@ -204,6 +235,7 @@ def html_text(html: pd.Series) -> pd.Series:
     def one(source: str | None) -> str:
         parser = _Plain()
         parser.feed(source or "")
+        parser.close()
         return re.sub(r"\n\s*\n+", "\n\n", "".join(parser.parts)).strip()
 
     return html.map(one)
@@ -211,33 +243,37 @@ def html_text(html: pd.Series) -> pd.Series:
 
 def clusters_of(names: Sequence[str]) -> list[int]:
     """Greedy clusters in input order: a name joins the first cluster with an equal, containing or contained member."""
-    found: list[list[str]] = []
-    out = []
-    for name in names:
-        plain = (name or "").strip().lower()
-        at = next((k for k, members in enumerate(found) if any(plain == m or plain in m or m in plain for m in members)), None)
-        if at is None:
-            at = len(found)
-            found.append([])
-        found[at].append(plain)
-        out.append(at)
-    return out
+    placed: dict[str, int] = {}
+    members: list[list[str]] = []
+    for plain in ((name or "").strip().lower() for name in names):
+        if plain not in placed:
+            placed[plain] = next((k for k, own in enumerate(members) if any(plain in m or m in plain for m in own)), len(members))
+            if placed[plain] == len(members):
+                members.append([])
+            members[placed[plain]].append(plain)
+    return [placed[(name or "").strip().lower()] for name in names]
 
 
 def cluster_entities(mentions: DataFrame, group: str, label: str, name: str, order: str) -> DataFrame:
-    """(group, label, cluster, canonical_name, variants, mention_count) of mentions clustered within each group and label."""
+    """(group, label, cluster, canonical_name, variants, mention_count) of mentions clustered within each group and label.
+
+    Mentions are first reduced to distinct names with their first place and number, by partial sums, so the
+    clustering task of a group and label holds its vocabulary and not its mentions.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in mentions.schema}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("o")
+        rows = rows.sort_values(["o", "n"])
         rows["cluster"] = clusters_of(rows["n"].tolist())
-        out = rows.groupby("cluster")["n"].agg(canonical_name=lambda s: max(s, key=len), variants=lambda s: "|".join(sorted(set(s))), mention_count="size").reset_index()
+        out = rows.groupby("cluster").agg(canonical_name=("n", lambda s: max(s, key=len)), variants=("n", lambda s: "|".join(sorted(set(s)))), mention_count=("c", "sum")).reset_index()
         out.insert(0, "l", rows["l"].iloc[0])
         out.insert(0, "g", rows["g"].iloc[0])
         return out
 
     held = mentions.select(F.col(group).alias("g"), F.col(label).alias("l"), F.col(name).alias("n"), F.col(order).alias("o")).filter("n is not null")
-    return held.groupBy("g", "l").applyInPandas(run, f"g {kinds[group]}, l {kinds[label]}, cluster int, canonical_name string, variants string, mention_count long").withColumnsRenamed({"g": group, "l": label})
+    distinct = held.groupBy("g", "l", "n").agg(F.min("o").alias("o"), F.count("*").alias("c"))
+    schema = f"g {kinds[group]}, l {kinds[label]}, cluster int, canonical_name string, variants string, mention_count long"
+    return distinct.groupBy("g", "l").applyInPandas(run, schema).withColumnsRenamed({"g": group, "l": label})
 
 
 def register(spark: SparkSession) -> None:

@@ -107,6 +107,29 @@ def repair(checkpoint: DataFrame, found: DataFrame, keys: Sequence[str]) -> Data
     return c.join(f, list(keys), "full_outer").select(*keys, F.when(F.col("__f").isNull(), F.col("was")).otherwise("completed").alias("status"), outcome.alias("outcome"))
 
 
+def merge_counts(known: DataFrame, fresh: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
+    """Edges by keys after a merge that sets counts: keys, count, and the outcome (kept, added or set)."""
+    both = known.withColumnRenamed(count, "__k").join(fresh.withColumnRenamed(count, "__f"), list(keys), "full_outer")
+    outcome = F.when(F.col("__f").isNull(), "kept").when(F.col("__k").isNull(), "added").otherwise("set")
+    return both.select(*keys, F.coalesce("__f", "__k").alias(count), outcome.alias("outcome"))
+
+
+def first_told(*values: Column, default: str) -> Column:
+    """The first value that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(default))
+
+
+def metric_rows(rows: DataFrame, key: str, value: str, metric: str) -> DataFrame:
+    """(kind, id) of the nodes and edges that metrics make: METRIC for each value, METRIC_DEFINITION, and SAME_AS between them."""
+    told = rows.filter(F.col(metric).isNotNull()).withColumn("__id", F.concat_ws("|", key, value))
+    each = F.array(
+        F.struct(F.lit("METRIC").alias("kind"), F.col("__id").alias("id")),
+        F.struct(F.lit("METRIC_DEFINITION").alias("kind"), F.col(metric).alias("id")),
+        F.struct(F.lit("SAME_AS").alias("kind"), F.concat_ws(">", "__id", metric).alias("id")),
+    )
+    return told.select(F.explode(each).alias("x")).select("x.kind", "x.id")
+
+
 def matching_all(rows: DataFrame, subset: Sequence[str], target: str) -> DataFrame:
     """Every row with each target that any row with the same subset of properties has: a merge on part of an identity."""
     ends = rows.select(*subset, F.col(target).alias("__t")).distinct()

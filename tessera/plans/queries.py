@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import answers as an
 from tessera.functions import evaluation as ev
 from tessera.functions import extract as ex
 from tessera.functions import lexicons as lx
@@ -202,10 +203,12 @@ def transaction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return go.top(rows, F.desc("d"), n=100).withColumn("d", C("d").cast("string")).withColumnRenamed("d", "date")
 
 
-@query("SELECT c_name AS insider_name, 'C' || c_custkey AS insider_cik, 'S' || s_suppkey AS company_symbol, s_name AS company_name, c_acctbal > 5000 AS is_director, c_acctbal <= 5000 AS is_officer, c_mktsegment AS title FROM customer JOIN supplier ON c_nationkey = s_nationkey ORDER BY insider_name, company_symbol LIMIT 200")
+@query(_TX + " SELECT DISTINCT insider AS insider_name, cik AS insider_cik, symbol AS company_symbol, company AS company_name, c_acctbal > 5000 AS is_director, c_acctbal <= 5000 AS is_officer, c_mktsegment AS title FROM t JOIN customer ON cik = 'C' || c_custkey ORDER BY insider_name, company_symbol LIMIT 200")
 def insider_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "supplier"), C("c_nationkey") == C("s_nationkey"))
-    rows = rows.select(C("c_name").alias("insider_name"), F.concat(F.lit("C"), C("c_custkey").cast("string")).alias("insider_cik"), F.concat(F.lit("S"), C("s_suppkey").cast("string")).alias("company_symbol"), C("s_name").alias("company_name"), (C("c_acctbal") > 5000).alias("is_director"), (C("c_acctbal") <= 5000).alias("is_officer"), C("c_mktsegment").alias("title"))
+    """Insiders and issuers that have a transaction."""
+    who = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), C("c_custkey").cast("string")).alias("cik"), (C("c_acctbal") > 5000).alias("is_director"), (C("c_acctbal") <= 5000).alias("is_officer"), C("c_mktsegment").alias("title"))
+    rows = transactions(spark, sf_dir).select("cik", "insider", "symbol", "company").distinct().join(who, "cik")
+    rows = rows.select(C("insider").alias("insider_name"), C("cik").alias("insider_cik"), C("symbol").alias("company_symbol"), C("company").alias("company_name"), "is_director", "is_officer", "title")
     return go.top(rows, C("insider_name"), C("company_symbol"), n=200)
 
 
@@ -350,7 +353,15 @@ def segment_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profile(table(spark, sf_dir, "documents"), tx.paragraphs("text"))
 
 
-@query(_seg(r"string_split(regexp_replace(text, '(?i)(question|answer|operator|q|a)[:\-]\s*', chr(30), 'g'), chr(30))", 20, 600))
+_QNA = r"string_split(regexp_replace(text, '(?i)(question|answer|operator|q|a)[:\-]\s*', chr(30), 'g'), chr(30))"
+_SENTENCES = r"string_split(regexp_replace(y, '([.!?])\s+', '\1' || chr(30), 'g'), chr(30))"
+_CUT = "CASE WHEN length(z) > 300 THEN regexp_replace(substring(z, 1, 300), ' [^ ]*$', '') || '.' ELSE z END"
+_QNA_SQL = f"""WITH p AS (SELECT doc_id, y FROM (SELECT doc_id, {_LBL} AS y FROM (SELECT doc_id, unnest({_QNA}) AS s FROM documents)) WHERE length(y) >= 20),
+x AS (SELECT doc_id, y AS x FROM p WHERE length(y) <= 600 UNION ALL SELECT doc_id, {_CUT} FROM (SELECT doc_id, {_LBL} AS z FROM (SELECT doc_id, unnest({_SENTENCES}) AS s FROM p WHERE length(y) > 600)) WHERE length(z) >= 20)
+SELECT doc_id, count(*) AS n, sum(length(x))::BIGINT AS chars, min(md5(x)) AS digest FROM x GROUP BY doc_id"""
+
+
+@query(_QNA_SQL)
 def segment_qna(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profile(table(spark, sf_dir, "documents"), tx.questions_answers("text"))
 
@@ -503,7 +514,17 @@ bm AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1
 
 @query(f"WITH {_BM25} SELECT doc_id, round(s, 6) AS score FROM bm ORDER BY round(s, 9) DESC, doc_id LIMIT 15")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.bm25_topk(table(spark, sf_dir, "documents"), _terms(spark, sf_dir), 15).select("doc_id", F.round("score", 6).alias("score"))
+    return _bm25(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stored postings of the documents, in the order of their terms, and the corpus statistics."""
+    docs = table(spark, sf_dir, "documents")
+    return stored(spark, sf_dir, "postings", lambda: rt.postings(docs)), stored(spark, sf_dir, "corpus", lambda: rt.corpus_stats(docs))
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.bm25_from(*_index(spark, sf_dir), _terms(spark, sf_dir), 15)
 
 
 _BOTH = f"""WITH {_BM25}, sp AS (SELECT doc_id AS id, round(s, 9) AS score FROM bm ORDER BY score DESC, id LIMIT 15),
@@ -511,7 +532,7 @@ de AS (SELECT e.vec_id AS id, {_COS.replace(', 6)', ', 9)')} AS score FROM embed
 
 
 def _two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return _dense(spark, sf_dir).withColumnRenamed("vec_id", "id"), rt.bm25_topk(table(spark, sf_dir, "documents"), _terms(spark, sf_dir), 15).withColumnRenamed("doc_id", "id")
+    return _dense(spark, sf_dir).withColumnRenamed("vec_id", "id"), _bm25(spark, sf_dir).withColumnRenamed("doc_id", "id")
 
 
 @query(_BOTH + " SELECT id, round(sum(r), 9) AS score FROM (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) AS r FROM de UNION ALL SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) FROM sp) GROUP BY id ORDER BY score DESC, id LIMIT 10")
@@ -610,13 +631,16 @@ def error_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PRED + " SELECT pr AS pred, count(*) AS n, round(avg(conf), 4) AS mean, round(median(conf), 4) AS median, round(stddev_pop(conf), 4) AS std FROM p GROUP BY pr")
 def confidence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _predictions(spark, sf_dir).groupBy("pred").agg(F.count("*").alias("n"), F.round(F.avg("conf"), 4).alias("mean"), F.round(F.percentile("conf", F.lit(0.5)), 4).alias("median"), F.round(F.stddev_pop("conf"), 4).alias("std"))
+    rows = _predictions(spark, sf_dir)
+    middle = an.exact_quantiles(rows, "pred", "conf", [0.5]).select("pred", F.round("quantile", 4).alias("median"))
+    return rows.groupBy("pred").agg(F.count("*").alias("n"), F.round(F.avg("conf"), 4).alias("mean"), F.round(F.stddev_pop("conf"), 4).alias("std")).join(middle, "pred")
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 4)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(p(0.95).alias("p95"), p(0.99).alias("p99"))
+    found = an.exact_quantiles(table(spark, sf_dir, "events"), "event_type", "value", [0.95, 0.99])
+    of = lambda q: F.round(F.max(F.when(C("q") == q, C("quantile"))), 4)
+    return found.groupBy("event_type").agg(of(0.95).alias("p95"), of(0.99).alias("p99"))
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 4) AS accuracy, round(avg(value), 4) AS mean_latency FROM events GROUP BY event_type")
@@ -806,4 +830,4 @@ def schema_prompt(g: Graph) -> DataFrame:
 
 
 # the other modules register theirs here
-from tessera.plans import investigations  # noqa: E402, F401
+from tessera.plans import investigations, upkeep  # noqa: E402, F401

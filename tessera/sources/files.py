@@ -82,3 +82,41 @@ def links(pages: DataFrame, html: str = "html") -> DataFrame:
     low = F.lower("href")
     kind = F.when(low.contains("minutes") & low.endswith(".htm"), "minutes_html").when(low.contains("minutes") & low.endswith(".pdf"), "minutes_pdf").when(low.endswith(".pdf"), "statements_pdf").when(low.contains("monetary"), "statements_html").otherwise("other")
     return rows.withColumn("kind", kind)
+
+
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """A test set: text and integer label, whatever else the CSV has."""
+    return read_labelled_csv(spark, path).select("text", F.col("label").try_cast("int").alias("label")).filter("label is not null")
+
+
+def symbols(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct symbols of a JSON array."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("symbol"))
+    return rows.filter("symbol is not null").distinct()
+
+
+def read_json_of(spark: SparkSession, prefixes: list[str]) -> DataFrame:
+    """Paths of the JSON files under several prefixes, each once."""
+    return listing_of([listing(spark, p, ".json") for p in prefixes])
+
+
+def listing_of(listings: list[DataFrame]) -> DataFrame:
+    both = listings[0]
+    for more in listings[1:]:
+        both = both.unionByName(more)
+    return both.dropDuplicates(["path"])
+
+
+def feed_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items of RSS snapshots: title, link, published, category, and whether they are statements or minutes; a link comes once."""
+    text = spark.read.text(path, wholetext=True)
+    item = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1))).alias("x"))
+    field = lambda tag: F.trim(F.regexp_extract("x", rf"(?s)<{tag}>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{tag}>", 1))
+    rows = item.select(field("title").alias("title"), field("link").alias("link"), field("pubDate").alias("published"), field("category").alias("category")).dropDuplicates(["link"])
+    low = F.lower("title")
+    return rows.withColumns({"is_statement": low.contains("statement"), "is_minutes": low.contains("minutes")})
+
+
+def new_filings(found: DataFrame, stored_paths: DataFrame) -> DataFrame:
+    """Filings with an accession number and a period whose path isn't stored yet."""
+    return found.filter("accessionNo is not null and periodOfReport is not null").join(stored_paths.select("path"), "path", "left_anti")

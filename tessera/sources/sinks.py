@@ -55,3 +55,32 @@ def schema_document(g: Graph) -> DataFrame:
     """The graph's labels and types with counts, as one JSON document."""
     part = lambda df, key, name: df.groupBy(key).agg(F.count("*").alias("count")).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("name"), "count"))).alias(name))
     return part(g.nodes, "label", "node_types").crossJoin(part(g.edges, "type", "relationship_types")).select(F.to_json(F.struct("node_types", "relationship_types")).alias("document"))
+
+
+def write_labelled(rows: DataFrame, path: str, order: str, parts: int = 8) -> None:
+    """Texts with their integer labels as CSV, sorted over the files; quotes are escaped once, rows without either are left out."""
+    kept = rows.filter("text is not null").withColumn("label", F.col("label").cast("int")).filter("label is not null")
+    ordered = kept.repartitionByRange(parts, order).sortWithinPartitions(order).select("text", "label")
+    ordered.write.mode("overwrite").option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
+
+
+def write_vectors(docs: DataFrame, path: str, embed, size: int, id_: str = "doc_id", text: str = "text") -> None:
+    """Chunks of documents with their vectors: embed takes a list of texts and returns as many lists of `size` numbers."""
+    from tessera.functions.text import chunk_spans
+
+    chunks = docs.select(id_, text, F.posexplode(chunk_spans(text)).alias("chunk", "s")).select(id_, "chunk", F.expr(f"substring(`{text}`, s.start + 1, s.end - s.start)").alias("text"))
+
+    def run(frames):
+        for frame in frames:
+            vectors = embed(frame["text"].tolist())
+            if any(len(v) != size for v in vectors):
+                raise ValueError(f"a vector hasn't {size} numbers")
+            yield frame.assign(embedding=vectors)
+
+    kind = chunks.schema[id_].dataType.simpleString()
+    chunks.mapInPandas(run, f"`{id_}` {kind}, chunk int, text string, embedding array<float>").write.mode("overwrite").parquet(path)
+
+
+def restore(spark: SparkSession, path: str, target: str) -> int:
+    """Copy a snapshot to where it was taken from, and verify it."""
+    return snapshot(spark.read.parquet(path), target)
