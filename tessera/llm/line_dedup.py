@@ -97,10 +97,10 @@ def repeated(docs: DataFrame, min_words: int) -> DataFrame:
     selected = materialise(keyed.mapInArrow(emit, f"doc_id {kind}, tx long, fp long, windows array<struct<wh:long,b:int,e:int>>"), "selected")
     total = selected.count()
     shared = selected.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1")
-    extended = materialise(join_hot(selected, shared, ["fp"], total).select("doc_id", "tx", "fp", F.explode("windows").alias("w")).select("doc_id", "tx", "fp", "w.*"), "extended")
+    extended = materialise(join_hot(selected, shared, ["fp"], total).select("doc_id", "tx", F.explode("windows").alias("w")).select("doc_id", "tx", "w.*"), "extended")
     place = F.struct("doc_id", "tx", "b")
-    known = extended.groupBy("fp", "wh").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("fp", "wh", "n", "first")
-    met = join_hot(extended, known, ["fp", "wh"], extended.count())
+    known = extended.groupBy("wh").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("wh", "n", "first")
+    met = join_hot(extended, known, ["wh"], extended.count())
     return met.filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "tx", "b", "e")
 
 
