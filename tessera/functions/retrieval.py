@@ -13,10 +13,11 @@ def cosine(v: Column, q: Column) -> Column:
     return dot(v, q) / (F.sqrt(dot(v, v)) * F.sqrt(dot(q, q)))
 
 
-def dense_topk(vectors: DataFrame, query: list[float], k: int, id_: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """The k nearest by cosine similarity; scores are ranked at nine digits, ties by id."""
+def dense_topk(vectors: DataFrame, query: list[float], k: int, id_: str = "vec_id", column: str = "embedding", threshold: float | None = None) -> DataFrame:
+    """The k nearest by cosine similarity, of those above the threshold if there is one; scores are ranked at nine digits, ties by id."""
     q = F.array(*[F.lit(float(x)) for x in query])
     scored = vectors.select(id_, F.round(cosine(F.col(column), q), 9).alias("score"))
+    scored = scored if threshold is None else scored.filter(F.col("score") >= threshold)
     return scored.orderBy(F.desc("score"), id_).limit(k)
 
 
@@ -128,6 +129,31 @@ def weighted(lists: list[tuple[DataFrame, float]], id_: str, limit: int = 10) ->
     return both.groupBy(id_).agg(F.round(F.sum("r"), 6).alias("score")).orderBy(F.desc("score"), id_).limit(limit)
 
 
+def settings(explicit: dict, stored: dict, defaults: dict) -> dict:
+    """Options by precedence: what a caller gives, then what is stored, then the default; None counts as not given."""
+    return {k: next((x[k] for x in (explicit, stored) if x.get(k) is not None), v) for k, v in defaults.items()}
+
+
+def output_fields(wanted: list[str], known: list[str], vector: str, id_: str) -> list[str]:
+    """The wanted fields that are known; if none is, all but the vector and the id."""
+    return [c for c in wanted if c in known] or [c for c in known if c not in (vector, id_)]
+
+
+def shown_similarity(distance: Column) -> Column:
+    """A distance as a similarity: 1 - d up to 1, beyond that 1 / (1 + d)."""
+    return F.when(distance <= 1, 1 - distance).otherwise(1 / (1 + distance))
+
+
+def dates_in(text: Column | str) -> Column:
+    """Distinct ISO dates of a text, in the order of their first place."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b"), F.lit(1)))
+
+
+def described(df: DataFrame, n: int = 5) -> dict:
+    """A collection's fields with types, its number of rows, and n of them."""
+    return {"fields": {f.name: f.dataType.simpleString() for f in df.schema}, "rows": df.count(), "sample": [r.asDict() for r in df.limit(n).collect()]}
+
+
 _TEST = re.compile(r"""\s*metadata\[["'](\w+)["']\]\s*(==|!=|>=|<=|>|<)\s*["']([^"']*)["']\s*""")
 
 

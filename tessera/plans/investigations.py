@@ -35,7 +35,12 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat_ws("-", C("conv_id").cast("string"), C("turn").cast("string")).alias("statement_id"), "text", "role", "conv_id")
 
 
-@query(f"SELECT s.name AS statement_id, x.section_id, {_TOLD} FROM nodes s JOIN (SELECT DISTINCT conv_id || '-' AS section_id FROM talk WHERE employer = 'S1') x ON starts_with(s.name, x.section_id) LEFT JOIN {_SPEAKERS} ON w.dst = s.node_id WHERE s.label = 'STATEMENT' ORDER BY statement_id LIMIT 50", graph=True)
+@query(
+    f"""SELECT s.name AS statement_id, x.section_id, {_TOLD} FROM nodes s JOIN (SELECT DISTINCT conv_id || '-' AS section_id FROM talk
+    WHERE employer = 'S1') x ON starts_with(s.name, x.section_id) LEFT JOIN {_SPEAKERS} ON w.dst = s.node_id WHERE s.label = 'STATEMENT'
+    ORDER BY statement_id LIMIT 50""",
+    graph=True,
+)
 def statements_by_section(g: Graph) -> DataFrame:
     """Statements whose id begins with that of a section of the company: an equi-join on the part before the mark, then the prefix."""
     employed = g.edges.filter("type = 'WORKS_FOR' and dst = 'S1'").select("src")
@@ -47,14 +52,26 @@ def statements_by_section(g: Graph) -> DataFrame:
     return go.top(_with_speakers(g, rows).drop("statement"), C("statement_id"), n=50)
 
 
-@query(f"SELECT s.name AS statement_id, e.cnt, {_TOLD} FROM edges e JOIN nodes o ON o.node_id = e.dst AND o.label = 'ORG' AND o.name = '{ORG}' JOIN nodes s ON s.node_id = e.src AND s.label = 'STATEMENT' LEFT JOIN {_SPEAKERS} ON w.dst = s.node_id WHERE e.type = 'CO_MENTIONED' ORDER BY statement_id LIMIT 50", graph=True)
+@query(
+    f"""SELECT s.name AS statement_id, e.cnt, {_TOLD} FROM edges e JOIN nodes o ON o.node_id = e.dst AND o.label = 'ORG' AND o.name = '{ORG}'
+    JOIN nodes s ON s.node_id = e.src AND s.label = 'STATEMENT' LEFT JOIN {_SPEAKERS} ON w.dst = s.node_id WHERE e.type = 'CO_MENTIONED'
+    ORDER BY statement_id LIMIT 50""",
+    graph=True,
+)
 def statements_of_org(g: Graph) -> DataFrame:
     near = g.edges.filter("type = 'CO_MENTIONED'").join(_org(g).select(C("node_id").alias("dst")), "dst")
     rows = near.join(g.nodes.filter("label = 'STATEMENT'").select(C("node_id").alias("src"), C("name").alias("statement_id")), "src")
     return go.top(_with_speakers(g, rows.select(C("src").alias("statement"), "statement_id", "cnt")).drop("statement"), C("statement_id"), n=50)
 
 
-@query(f"SELECT DISTINCT s.name AS statement_id, m.label AS shared_type, m.name AS shared_name FROM eu x JOIN nodes o ON o.node_id = x.a AND o.label = 'ORG' AND o.name = '{ORG}' JOIN nodes m ON m.node_id = x.b JOIN eu y ON y.a = m.node_id JOIN nodes s ON s.node_id = y.b AND s.label = 'STATEMENT' WHERE x.type = 'CO_MENTIONED' AND y.type IN ('CO_MENTIONED', 'SAID') AND contains(m.name, '2') ORDER BY statement_id, shared_name, shared_type LIMIT 50", graph=True)
+@query(
+    f"""SELECT DISTINCT s.name AS statement_id, m.label AS shared_type, m.name AS shared_name FROM eu x
+    JOIN nodes o ON o.node_id = x.a AND o.label = 'ORG' AND o.name = '{ORG}' JOIN nodes m ON m.node_id = x.b JOIN eu y ON y.a = m.node_id
+    JOIN nodes s ON s.node_id = y.b AND s.label = 'STATEMENT'
+    WHERE x.type = 'CO_MENTIONED' AND y.type IN ('CO_MENTIONED', 'SAID') AND contains(m.name, '2')
+    ORDER BY statement_id, shared_name, shared_type LIMIT 50""",
+    graph=True,
+)
 def statements_by_shared_entity(g: Graph) -> DataFrame:
     """Statements that share an entity with the organisation: both sides meet on the entity."""
     near = go.undirected(g.edges.filter("type = 'CO_MENTIONED'")).join(F.broadcast(_org(g).select(C("node_id").alias("a"))), "a").select(C("b").alias("via")).distinct()
@@ -78,7 +95,12 @@ def _by_text(sql: str):
     return put
 
 
-@_by_text(f"SELECT p.name AS person, coalesce(min(r.name), '') AS role, count(DISTINCT t.statement) AS statements FROM talk t JOIN edges e ON e.dst = t.statement AND e.type = 'SAID' JOIN nodes p ON p.node_id = e.src LEFT JOIN edges h ON h.src = p.node_id AND h.type = 'HAS_ROLE' LEFT JOIN nodes r ON r.node_id = h.dst WHERE contains(lower(t.text), '{WORD}') GROUP BY p.node_id, p.name ORDER BY statements DESC, person LIMIT 30")
+@_by_text(
+    f"""SELECT p.name AS person, coalesce(min(r.name), '') AS role, count(DISTINCT t.statement) AS statements FROM talk t
+    JOIN edges e ON e.dst = t.statement AND e.type = 'SAID' JOIN nodes p ON p.node_id = e.src LEFT
+    JOIN edges h ON h.src = p.node_id AND h.type = 'HAS_ROLE' LEFT JOIN nodes r ON r.node_id = h.dst WHERE contains(lower(t.text), '{WORD}')
+    GROUP BY p.node_id, p.name ORDER BY statements DESC, person LIMIT 30"""
+)
 def people_with_roles(g: Graph, texts: DataFrame) -> DataFrame:
     hits = texts.filter(F.lower("text").contains(WORD)).select(F.concat(F.lit("U"), "statement_id").alias("dst")).distinct()
     count = g.edges.filter("type = 'SAID'").join(hits, "dst", "left_semi").groupBy("src").agg(F.count("*").alias("statements"))
@@ -87,7 +109,10 @@ def people_with_roles(g: Graph, texts: DataFrame) -> DataFrame:
     return go.top(rows.select("person", "role", "statements"), F.desc("statements"), C("person"), n=30)
 
 
-@_by_text("SELECT DISTINCT p.name AS speaker, t.conv_id || '-' || t.turn AS statement_id, substring(t.text, 1, 200) AS quote FROM edges e JOIN nodes p ON p.node_id = e.src JOIN talk t ON t.statement = e.dst WHERE e.type = 'SAID' AND p.name = 'user3' ORDER BY statement_id, quote LIMIT 10")
+@_by_text(
+    """SELECT DISTINCT p.name AS speaker, t.conv_id || '-' || t.turn AS statement_id, substring(t.text, 1, 200) AS quote FROM edges e
+    JOIN nodes p ON p.node_id = e.src JOIN talk t ON t.statement = e.dst WHERE e.type = 'SAID' AND p.name = 'user3' ORDER BY statement_id, quote LIMIT 10"""
+)
 def speaker_quotes(g: Graph, texts: DataFrame) -> DataFrame:
     who = g.nodes.filter("label = 'PERSON' and name = 'user3'").select(C("node_id").alias("src"), C("name").alias("speaker"))
     said = g.edges.filter("type = 'SAID'").join(F.broadcast(who), "src").select("speaker", F.expr("substring(dst, 2)").alias("statement_id"))
@@ -119,7 +144,12 @@ def org_quantities(g: Graph) -> DataFrame:
     return _near(g, "MONEY", 15)
 
 
-@query(f"SELECT m.name, n.b AS concept, n.cnt FROM (SELECT * FROM eu WHERE type = 'CO_MENTIONED') n JOIN nodes m ON m.node_id = n.a AND m.label = 'METRIC' JOIN (SELECT DISTINCT b FROM eu JOIN nodes s ON s.node_id = a AND s.label = 'ORG' AND s.name = '{ORG}' JOIN nodes c ON c.node_id = b AND c.label = 'CONCEPT' WHERE type = 'CO_MENTIONED') k ON k.b = n.b ORDER BY n.cnt DESC, m.name, concept LIMIT 30", graph=True)
+@query(
+    f"""SELECT m.name, n.b AS concept, n.cnt FROM (SELECT * FROM eu WHERE type = 'CO_MENTIONED') n JOIN nodes m ON m.node_id = n.a AND m.label = 'METRIC'
+    JOIN (SELECT DISTINCT b FROM eu JOIN nodes s ON s.node_id = a AND s.label = 'ORG' AND s.name = '{ORG}'
+    JOIN nodes c ON c.node_id = b AND c.label = 'CONCEPT' WHERE type = 'CO_MENTIONED') k ON k.b = n.b ORDER BY n.cnt DESC, m.name, concept LIMIT 30""",
+    graph=True,
+)
 def org_metrics(g: Graph) -> DataFrame:
     """Metrics that share a concept with the organisation."""
     near = go.undirected(g.edges.filter("type = 'CO_MENTIONED'"))
@@ -128,7 +158,13 @@ def org_metrics(g: Graph) -> DataFrame:
     return go.top(rows.select("name", C("b").alias("concept"), "cnt"), F.desc("cnt"), C("name"), C("concept"), n=30)
 
 
-@query(f"SELECT x.direction, r.name AS risk, x.type, x.cnt FROM (SELECT 'out' AS direction, type, cnt, src AS me, dst AS other FROM edges UNION ALL SELECT 'in', type, cnt, dst, src FROM edges) x JOIN nodes o ON o.node_id = me AND o.label = 'ORG' AND o.name = '{ORG}' JOIN nodes r ON r.node_id = other AND r.label = 'RISK' WHERE type IN ('EXPOSES_TO_RISK', 'MITIGATES_RISK') ORDER BY cnt DESC, risk, direction, type LIMIT 30", graph=True)
+@query(
+    f"""SELECT x.direction, r.name AS risk, x.type, x.cnt FROM (SELECT 'out' AS direction, type, cnt, src AS me, dst AS other FROM edges
+    UNION ALL SELECT 'in', type, cnt, dst, src FROM edges) x JOIN nodes o ON o.node_id = me AND o.label = 'ORG' AND o.name = '{ORG}'
+    JOIN nodes r ON r.node_id = other AND r.label = 'RISK' WHERE type IN ('EXPOSES_TO_RISK', 'MITIGATES_RISK')
+    ORDER BY cnt DESC, risk, direction, type LIMIT 30""",
+    graph=True,
+)
 def org_risks(g: Graph) -> DataFrame:
     edges, me = g.edges.filter(C("type").isin("EXPOSES_TO_RISK", "MITIGATES_RISK")), _org(g).select(C("node_id").alias("me"))
     side = lambda way, own, other: edges.select(F.lit(way).alias("direction"), "type", "cnt", C(own).alias("me"), C(other).alias("other"))
@@ -136,7 +172,10 @@ def org_risks(g: Graph) -> DataFrame:
     return go.top(rows.select("direction", "risk", "type", "cnt"), F.desc("cnt"), C("risk"), C("direction"), C("type"), n=30)
 
 
-@query("SELECT c_name AS company, o_orderkey AS section_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS filing_date, o_orderpriority AS section FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey = 7 OR contains(c_name, '00011') ORDER BY filing_date DESC, section_id, section LIMIT 50")
+@query(
+    """SELECT c_name AS company, o_orderkey AS section_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS filing_date, o_orderpriority AS section FROM orders
+    JOIN customer ON o_custkey = c_custkey WHERE o_custkey = 7 OR contains(c_name, '00011') ORDER BY filing_date DESC, section_id, section LIMIT 50"""
+)
 def sections_of_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), C("o_custkey") == C("c_custkey")).filter((C("o_custkey") == 7) | C("c_name").contains("00011"))
     rows = rows.select(C("c_name").alias("company"), C("o_orderkey").alias("section_id"), F.to_date("o_orderdate").cast("string").alias("filing_date"), C("o_orderpriority").alias("section"))
@@ -153,7 +192,13 @@ def org_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- overviews ---------------------------------------------------------------------------------------------
 
 
-@query("SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(DISTINCT label) FROM nodes) AS n_labels, (SELECT count(DISTINCT type) FROM edges) AS n_types, (SELECT count(*) FROM nodes) > 0 AND (SELECT count(*) FROM edges) > 0 AS loaded, (SELECT array_to_string(list(label || ':' || n ORDER BY n DESC, label), ', ') FROM (SELECT label, count(*) AS n FROM nodes GROUP BY label ORDER BY n DESC, label LIMIT 5)) AS top_labels", graph=True)
+@query(
+    """SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(DISTINCT label)
+    FROM nodes) AS n_labels, (SELECT count(DISTINCT type) FROM edges) AS n_types, (SELECT count(*) FROM nodes) > 0 AND (SELECT count(*)
+    FROM edges) > 0 AS loaded, (SELECT array_to_string(list(label || ':' || n ORDER BY n DESC, label), ', ') FROM (SELECT label, count(*) AS n FROM nodes
+    GROUP BY label ORDER BY n DESC, label LIMIT 5)) AS top_labels""",
+    graph=True,
+)
 def load_check(g: Graph) -> DataFrame:
     labels = g.nodes.groupBy("label").agg(F.count("*").alias("n"))  # a row for each label
     types = g.edges.groupBy("type").agg(F.count("*").alias("n"))
@@ -177,7 +222,14 @@ def label_keys(g: Graph) -> DataFrame:
     return g.nodes.groupBy("label", F.array_join(_keys(name="name", mentions="mentions", node_id="node_id"), ",").alias("keys")).agg(F.count("*").alias("cnt"))
 
 
-@query("SELECT DISTINCT kind, key FROM (SELECT 'node' AS kind, unnest(list_filter([CASE WHEN name IS NOT NULL THEN 'name' END, CASE WHEN mentions IS NOT NULL THEN 'mentions' END], lambda x: x IS NOT NULL)) AS key FROM nodes UNION ALL SELECT 'edge', unnest(list_filter([CASE WHEN cnt IS NOT NULL THEN 'cnt' END, CASE WHEN confidence IS NOT NULL THEN 'confidence' END, CASE WHEN quote IS NOT NULL THEN 'quote' END], lambda x: x IS NOT NULL)) FROM edges)", graph=True)
+@query(
+    """SELECT DISTINCT kind, key
+    FROM (SELECT 'node' AS kind, unnest(list_filter([CASE WHEN name IS NOT NULL THEN 'name' END, CASE WHEN mentions IS NOT NULL THEN 'mentions' END], lambda x: x IS NOT NULL)) AS key
+    FROM nodes
+    UNION ALL SELECT 'edge', unnest(list_filter([CASE WHEN cnt IS NOT NULL THEN 'cnt' END, CASE WHEN confidence IS NOT NULL THEN 'confidence' END, CASE WHEN quote IS NOT NULL THEN 'quote' END], lambda x: x IS NOT NULL))
+    FROM edges)""",
+    graph=True,
+)
 def property_keys(g: Graph) -> DataFrame:
     """Keys in use, found by one flag for each and not by exploding rows."""
     used = lambda df, kind, names: df.agg(F.array_compact(F.array(*[F.when(F.count(c) > 0, F.lit(c)) for c in names])).alias("k")).select(F.lit(kind).alias("kind"), F.explode("k").alias("key"))
@@ -189,19 +241,31 @@ def sample_nodes(g: Graph) -> DataFrame:
     return go.cap(g.nodes.select("label", "node_id", "name"), ["label"], ["node_id"], 3)
 
 
-@query("SELECT e.type, e.edge_id, p.name AS source, q.name AS target FROM (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY type ORDER BY edge_id) <= 5) e JOIN nodes p ON p.node_id = src JOIN nodes q ON q.node_id = dst", graph=True)
+@query(
+    """SELECT e.type, e.edge_id, p.name AS source, q.name AS target FROM (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY type
+    ORDER BY edge_id) <= 5) e JOIN nodes p ON p.node_id = src JOIN nodes q ON q.node_id = dst""",
+    graph=True,
+)
 def sample_edges(g: Graph) -> DataFrame:
     few, n = go.cap(g.edges.select("type", "edge_id", "src", "dst"), ["type"], ["edge_id"], 5), g.nodes.select("node_id", "name")
     return n.toDF("src", "source").join(F.broadcast(few), "src").join(n.toDF("dst", "target"), "dst").select("type", "edge_id", "source", "target")
 
 
-@query("SELECT name, label, sum(cnt)::BIGINT AS mentions FROM edges JOIN nodes ON node_id = dst WHERE type = 'CO_MENTIONED' GROUP BY node_id, name, label ORDER BY mentions DESC, name, label LIMIT 15", graph=True)
+@query(
+    """SELECT name, label, sum(cnt)::BIGINT AS mentions FROM edges JOIN nodes ON node_id = dst WHERE type = 'CO_MENTIONED' GROUP BY node_id, name, label
+    ORDER BY mentions DESC, name, label LIMIT 15""",
+    graph=True,
+)
 def most_mentioned(g: Graph) -> DataFrame:
     rows = g.edges.filter("type = 'CO_MENTIONED'").groupBy(C("dst").alias("node_id")).agg(F.sum("cnt").alias("mentions")).join(g.nodes.select("node_id", "name", "label"), "node_id")
     return go.top(rows.select("name", "label", "mentions"), F.desc("mentions"), C("name"), C("label"), n=15)
 
 
-@query("SELECT s.name AS person, o.label, count(DISTINCT b) AS cnt FROM eu JOIN nodes s ON s.node_id = a AND s.label = 'PERSON' JOIN nodes o ON o.node_id = b WHERE o.label IN ('PERSON', 'ORG', 'ROLE') GROUP BY s.node_id, s.name, o.label", graph=True)
+@query(
+    """SELECT s.name AS person, o.label, count(DISTINCT b) AS cnt FROM eu JOIN nodes s ON s.node_id = a AND s.label = 'PERSON' JOIN nodes o ON o.node_id = b
+    WHERE o.label IN ('PERSON', 'ORG', 'ROLE') GROUP BY s.node_id, s.name, o.label""",
+    graph=True,
+)
 def person_neighbourhood(g: Graph) -> DataFrame:
     near = go.undirected(g.edges.filter("src_label = 'PERSON' or dst_label = 'PERSON'"))
     people = g.nodes.filter("label = 'PERSON'").select(C("node_id").alias("a"), C("name").alias("person"))
@@ -209,7 +273,12 @@ def person_neighbourhood(g: Graph) -> DataFrame:
     return near.select("a", "b").distinct().join(people, "a").join(ends, "b").groupBy("a", "person", "label").agg(F.count("*").alias("cnt")).drop("a")
 
 
-@query("SELECT n_nodes, n_edges, n_statements, round(n_statements / n_docs, 4) AS statements_per_document, round(n_edges / n_docs, 4) AS edges_per_document, n_statements / n_docs < 10 AS alert FROM (SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM nodes WHERE label = 'STATEMENT') AS n_statements, (SELECT count(DISTINCT conv_id) FROM talk) AS n_docs)", graph=True)
+@query(
+    """SELECT n_nodes, n_edges, n_statements, round(n_statements / n_docs, 4) AS statements_per_document, round(n_edges / n_docs, 4) AS edges_per_document, n_statements / n_docs < 10 AS alert
+    FROM (SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM nodes
+    WHERE label = 'STATEMENT') AS n_statements, (SELECT count(DISTINCT conv_id) FROM talk) AS n_docs)""",
+    graph=True,
+)
 def document_ratios(g: Graph) -> DataFrame:
     """Ratios to the number of documents, with an alert for few statements in each."""
     is_statement = C("label") == "STATEMENT"

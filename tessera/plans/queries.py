@@ -44,6 +44,10 @@ for _name, _view in VIEWS.items():
     QUERIES[_name] = lambda spark, sf_dir, v=_view: v(build(spark, sf_dir))
     ORACLE_SQL[_name] = f"{PRELUDE} {VIEW_SQL[_name]}"
 
+#: The views that the central bank's graph has as well, under names of its own.
+for _name in ("hubs_all_edges", "risk_dashboard", "financial_hotspots", "product_ecosystem", "regulatory_network"):
+    QUERIES[f"fed_{_name}"], ORACLE_SQL[f"fed_{_name}"] = QUERIES[_name], ORACLE_SQL[_name]
+
 # --- graph kernel -----------------------------------------------------------------------------------------
 
 
@@ -63,7 +67,11 @@ def label_share_pct(g: Graph) -> DataFrame:
     return counts.select("label", "cnt", F.round(100.0 * C("cnt") / F.sum("cnt").over(Window.partitionBy(F.lit(1))), 4).alias("pct"))
 
 
-@query("SELECT p.label AS source_label, type, q.label AS target_label, count(*) AS cnt FROM edges JOIN nodes p ON p.node_id = src JOIN nodes q ON q.node_id = dst GROUP BY ALL ORDER BY cnt DESC, source_label, type, target_label LIMIT 20", graph=True)
+@query(
+    """SELECT p.label AS source_label, type, q.label AS target_label, count(*) AS cnt FROM edges JOIN nodes p ON p.node_id = src
+    JOIN nodes q ON q.node_id = dst GROUP BY ALL ORDER BY cnt DESC, source_label, type, target_label LIMIT 20""",
+    graph=True,
+)
 def connectivity_matrix(g: Graph) -> DataFrame:
     return go.top(go.connectivity(g), F.desc("cnt"), C("source_label"), C("type"), C("target_label"), n=20)
 
@@ -71,12 +79,23 @@ def connectivity_matrix(g: Graph) -> DataFrame:
 _RISKY = ["EXPOSES_TO_RISK", "MITIGATES_RISK"]
 
 
-@query("SELECT s.label AS start_label, e.label AS end_label, x.type || '>' || y.type AS types, count(*) AS cnt FROM eu x JOIN eu y ON x.b = y.a AND x.edge_id <> y.edge_id JOIN nodes s ON s.node_id = x.a JOIN nodes e ON e.node_id = y.b WHERE x.type IN ('EXPOSES_TO_RISK', 'MITIGATES_RISK') AND y.type IN ('EXPOSES_TO_RISK', 'MITIGATES_RISK') GROUP BY ALL", graph=True)
+@query(
+    """SELECT s.label AS start_label, e.label AS end_label, x.type || '>' || y.type AS types, count(*) AS cnt FROM eu x
+    JOIN eu y ON x.b = y.a AND x.edge_id <> y.edge_id JOIN nodes s ON s.node_id = x.a JOIN nodes e ON e.node_id = y.b
+    WHERE x.type IN ('EXPOSES_TO_RISK', 'MITIGATES_RISK') AND y.type IN ('EXPOSES_TO_RISK', 'MITIGATES_RISK') GROUP BY ALL""",
+    graph=True,
+)
 def two_hop_patterns(g: Graph) -> DataFrame:
     return go.path_patterns(g, g.edges.filter(C("type").isin(*_RISKY)), 2)
 
 
-@query("SELECT s.label AS start_label, e.label AS end_label, x.type || '>' || y.type || '>' || z.type AS types, count(*) AS cnt FROM eu x JOIN eu y ON x.b = y.a AND x.edge_id <> y.edge_id JOIN eu z ON y.b = z.a AND z.edge_id <> y.edge_id AND z.edge_id <> x.edge_id JOIN nodes s ON s.node_id = x.a JOIN nodes e ON e.node_id = z.b WHERE x.type IN ('SAID', 'HAS_ROLE') AND y.type IN ('SAID', 'HAS_ROLE') AND z.type IN ('SAID', 'HAS_ROLE') GROUP BY ALL", graph=True)
+@query(
+    """SELECT s.label AS start_label, e.label AS end_label, x.type || '>' || y.type || '>' || z.type AS types, count(*) AS cnt FROM eu x
+    JOIN eu y ON x.b = y.a AND x.edge_id <> y.edge_id JOIN eu z ON y.b = z.a AND z.edge_id <> y.edge_id AND z.edge_id <> x.edge_id
+    JOIN nodes s ON s.node_id = x.a JOIN nodes e ON e.node_id = z.b
+    WHERE x.type IN ('SAID', 'HAS_ROLE') AND y.type IN ('SAID', 'HAS_ROLE') AND z.type IN ('SAID', 'HAS_ROLE') GROUP BY ALL""",
+    graph=True,
+)
 def three_hop_patterns(g: Graph) -> DataFrame:
     return go.path_patterns(g, g.edges.filter(C("type").isin("SAID", "HAS_ROLE")), 3)
 
@@ -107,7 +126,12 @@ def property_completeness(g: Graph) -> DataFrame:
     return g.nodes.groupBy("label").agg(pct("name").alias("name_pct"), pct("mentions").alias("mentions_pct"))
 
 
-@query("SELECT m.name AS me_name, x.direction, x.type, n.name AS other_name, n.label AS other_label, x.other FROM (SELECT src AS me, 'out' AS direction, type, dst AS other FROM edges UNION ALL SELECT dst, 'in', type, src FROM edges) x JOIN nodes m ON m.node_id = me AND contains(m.name, '-07') JOIN nodes n ON n.node_id = x.other", graph=True)
+@query(
+    """SELECT m.name AS me_name, x.direction, x.type, n.name AS other_name, n.label AS other_label, x.other
+    FROM (SELECT src AS me, 'out' AS direction, type, dst AS other FROM edges UNION ALL SELECT dst, 'in', type, src FROM edges) x
+    JOIN nodes m ON m.node_id = me AND contains(m.name, '-07') JOIN nodes n ON n.node_id = x.other""",
+    graph=True,
+)
 def ego_network(g: Graph) -> DataFrame:
     return go.ego(g, "-07").select("me_name", "direction", "type", "other_name", "other_label", "other")
 
@@ -139,7 +163,11 @@ def schema_names(g: Graph) -> DataFrame:
     return g.nodes.select(F.lit("label").alias("kind"), C("label").alias("value")).union(g.edges.select(F.lit("type"), "type")).distinct()
 
 
-@query("SELECT label, CASE WHEN label IN ('PERSON', 'STATEMENT', 'ROLE') THEN 'talk' WHEN label IN ('ORG', 'RISK', 'MONEY', 'PRODUCT') THEN 'trade' ELSE 'unknown' END AS service, count(*) AS cnt FROM nodes GROUP BY ALL", graph=True)
+@query(
+    """SELECT label, CASE WHEN label IN ('PERSON', 'STATEMENT', 'ROLE') THEN 'talk' WHEN label IN ('ORG', 'RISK', 'MONEY', 'PRODUCT') THEN 'trade' ELSE 'unknown' END AS service, count(*) AS cnt
+    FROM nodes GROUP BY ALL""",
+    graph=True,
+)
 def service_filter(g: Graph) -> DataFrame:
     services = {"PERSON": "talk", "STATEMENT": "talk", "ROLE": "talk", "ORG": "trade", "RISK": "trade", "MONEY": "trade", "PRODUCT": "trade"}
     known = g.nodes.sparkSession.createDataFrame(list(services.items()), "label string, service string")
@@ -184,26 +212,38 @@ def _shares() -> Column:
     return F.round(F.sum("shares"), 2)
 
 
-@query(_TX + " SELECT insider AS insider_name, cik, count(*) AS transaction_count, round(sum(shares), 2) AS total_shares, (sum(CAST(round(price * 100) AS BIGINT)) // count(*)) / 100.0 AS avg_price FROM t GROUP BY insider, cik HAVING count(*) > 5 ORDER BY transaction_count DESC, cik LIMIT 100")
+@query(
+    _TX + """ SELECT insider AS insider_name, cik, count(*) AS transaction_count, round(sum(shares), 2) AS total_shares, (sum(CAST(round(price * 100) AS BIGINT)) // count(*)) / 100.0 AS avg_price
+    FROM t GROUP BY insider, cik HAVING count(*) > 5 ORDER BY transaction_count DESC, cik LIMIT 100"""
+)
 def top_insiders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = transactions(spark, sf_dir).groupBy(C("insider").alias("insider_name"), "cik").agg(F.count("*").alias("transaction_count"), _shares().alias("total_shares"), F.expr("sum(cast(round(price * 100) as bigint)) div count(*) / 100.0D").alias("avg_price"))
     return go.top(rows.filter("transaction_count > 5"), F.desc("transaction_count"), C("cik"), n=100)
 
 
-@query(_TX + " SELECT symbol, company AS company_name, count(*) AS transaction_count, count(DISTINCT accession) AS filing_count, round(sum(CASE WHEN ad = 'A' THEN shares ELSE 0 END), 2) AS total_acquired, round(sum(CASE WHEN ad = 'D' THEN shares ELSE 0 END), 2) AS total_disposed, round(sum(CASE WHEN ad = 'A' THEN shares ELSE -shares END), 2) AS net_change FROM t GROUP BY symbol, company ORDER BY transaction_count DESC, symbol LIMIT 50")
+@query(
+    _TX + """ SELECT symbol, company AS company_name, count(*) AS transaction_count, count(DISTINCT accession) AS filing_count, round(sum(CASE WHEN ad = 'A' THEN shares ELSE 0 END), 2) AS total_acquired, round(sum(CASE WHEN ad = 'D' THEN shares ELSE 0 END), 2) AS total_disposed, round(sum(CASE WHEN ad = 'A' THEN shares ELSE -shares END), 2) AS net_change
+    FROM t GROUP BY symbol, company ORDER BY transaction_count DESC, symbol LIMIT 50"""
+)
 def company_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda k: F.sum(F.when(C("ad") == k, C("shares")).otherwise(0.0))
     rows = transactions(spark, sf_dir).groupBy("symbol", C("company").alias("company_name")).agg(F.count("*").alias("transaction_count"), F.countDistinct("accession").alias("filing_count"), F.round(of("A"), 2).alias("total_acquired"), F.round(of("D"), 2).alias("total_disposed"), F.round(of("A") - of("D"), 2).alias("net_change"))
     return go.top(rows, F.desc("transaction_count"), C("symbol"), n=50)
 
 
-@query(_TX + " SELECT CAST(d AS VARCHAR) AS date, count(*) AS transaction_count, count(DISTINCT accession) AS filing_count, round(sum(shares), 2) AS total_shares FROM t WHERE d IS NOT NULL GROUP BY d ORDER BY d DESC LIMIT 100")
+@query(
+    _TX + """ SELECT CAST(d AS VARCHAR) AS date, count(*) AS transaction_count, count(DISTINCT accession) AS filing_count, round(sum(shares), 2) AS total_shares
+    FROM t WHERE d IS NOT NULL GROUP BY d ORDER BY d DESC LIMIT 100"""
+)
 def transaction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = transactions(spark, sf_dir).filter("d is not null").groupBy("d").agg(F.count("*").alias("transaction_count"), F.countDistinct("accession").alias("filing_count"), _shares().alias("total_shares"))
     return go.top(rows, F.desc("d"), n=100).withColumn("d", C("d").cast("string")).withColumnRenamed("d", "date")
 
 
-@query(_TX + " SELECT DISTINCT insider AS insider_name, cik AS insider_cik, symbol AS company_symbol, company AS company_name, c_acctbal > 5000 AS is_director, c_acctbal <= 5000 AS is_officer, c_mktsegment AS title FROM t JOIN customer ON cik = 'C' || c_custkey ORDER BY insider_name, company_symbol LIMIT 200")
+@query(
+    _TX + """ SELECT DISTINCT insider AS insider_name, cik AS insider_cik, symbol AS company_symbol, company AS company_name, c_acctbal > 5000 AS is_director, c_acctbal <= 5000 AS is_officer, c_mktsegment AS title
+    FROM t JOIN customer ON cik = 'C' || c_custkey ORDER BY insider_name, company_symbol LIMIT 200"""
+)
 def insider_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insiders and issuers that have a transaction."""
     who = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), C("c_custkey").cast("string")).alias("cik"), (C("c_acctbal") > 5000).alias("is_director"), (C("c_acctbal") <= 5000).alias("is_officer"), C("c_mktsegment").alias("title"))
@@ -212,13 +252,19 @@ def insider_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return go.top(rows, C("insider_name"), C("company_symbol"), n=200)
 
 
-@query(_TX + " SELECT security AS derivative_type, underlying, count(*) AS transaction_count, round(sum(shares), 2) AS total_shares, count(DISTINCT accession) AS filing_count FROM t WHERE kind = 'derivative' GROUP BY ALL ORDER BY transaction_count DESC, derivative_type, underlying LIMIT 50")
+@query(
+    _TX + """ SELECT security AS derivative_type, underlying, count(*) AS transaction_count, round(sum(shares), 2) AS total_shares, count(DISTINCT accession) AS filing_count
+    FROM t WHERE kind = 'derivative' GROUP BY ALL ORDER BY transaction_count DESC, derivative_type, underlying LIMIT 50"""
+)
 def derivative_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = transactions(spark, sf_dir).filter("kind = 'derivative'").groupBy(C("security").alias("derivative_type"), "underlying").agg(F.count("*").alias("transaction_count"), _shares().alias("total_shares"), F.countDistinct("accession").alias("filing_count"))
     return go.top(rows, F.desc("transaction_count"), C("derivative_type"), C("underlying"), n=50)
 
 
-@query(_TX + " SELECT code, count(*) AS transaction_count, count(DISTINCT accession) AS filing_count, round(sum(shares), 2) AS total_shares, sum(CASE WHEN ad = 'A' THEN 1 ELSE 0 END)::BIGINT AS acquisitions, sum(CASE WHEN ad = 'D' THEN 1 ELSE 0 END)::BIGINT AS dispositions FROM t GROUP BY code")
+@query(
+    _TX + """ SELECT code, count(*) AS transaction_count, count(DISTINCT accession) AS filing_count, round(sum(shares), 2) AS total_shares, sum(CASE WHEN ad = 'A' THEN 1 ELSE 0 END)::BIGINT AS acquisitions, sum(CASE WHEN ad = 'D' THEN 1 ELSE 0 END)::BIGINT AS dispositions
+    FROM t GROUP BY code"""
+)
 def transaction_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda k: F.sum((C("ad") == k).cast("long"))
     return transactions(spark, sf_dir).groupBy("code").agg(F.count("*").alias("transaction_count"), F.countDistinct("accession").alias("filing_count"), _shares().alias("total_shares"), of("A").alias("acquisitions"), of("D").alias("dispositions"))
@@ -227,7 +273,12 @@ def transaction_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- investigation -----------------------------------------------------------------------------------------
 
 
-@query("SELECT node_id, name, p AS strategy FROM (SELECT *, min(p) OVER () AS best FROM (SELECT node_id, name, CASE WHEN name = '7' THEN 1 WHEN contains(name, '7') THEN 2 WHEN contains(lower(name), '7') THEN 3 END AS p FROM nodes WHERE label = 'ORG') WHERE p IS NOT NULL) WHERE p = best", graph=True)
+@query(
+    """SELECT node_id, name, p AS strategy FROM (SELECT *, min(p) OVER () AS best
+    FROM (SELECT node_id, name, CASE WHEN name = '7' THEN 1 WHEN contains(name, '7') THEN 2 WHEN contains(lower(name), '7') THEN 3 END AS p FROM nodes
+    WHERE label = 'ORG') WHERE p IS NOT NULL) WHERE p = best""",
+    graph=True,
+)
 def find_org_strategies(g: Graph) -> DataFrame:
     p = F.when(C("name") == "7", 1).when(C("name").contains("7"), 2).when(F.lower("name").contains("7"), 3)
     rows = g.nodes.filter("label = 'ORG'").select("node_id", "name", p.alias("strategy")).filter("strategy is not null")
@@ -240,7 +291,12 @@ def statements_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return go.top(table(spark, sf_dir, "conversations").filter(F.lower("text").contains("the")).select("conv_id", "turn", "role"), C("conv_id"), C("turn"), C("role"), n=10)
 
 
-@query("SELECT q.name AS person, count(DISTINCT x.b) AS shared FROM eu x JOIN eu y ON x.b = y.a JOIN nodes o ON o.node_id = x.a AND o.label = 'ORG' JOIN nodes m ON m.node_id = x.b AND m.label = 'REGULATION' JOIN nodes q ON q.node_id = y.b AND q.label = 'PERSON' WHERE x.type = 'CO_MENTIONED' AND y.type = 'CO_MENTIONED' AND o.name = '1' GROUP BY q.node_id, q.name ORDER BY shared DESC, person LIMIT 20", graph=True)
+@query(
+    """SELECT q.name AS person, count(DISTINCT x.b) AS shared FROM eu x JOIN eu y ON x.b = y.a JOIN nodes o ON o.node_id = x.a AND o.label = 'ORG'
+    JOIN nodes m ON m.node_id = x.b AND m.label = 'REGULATION' JOIN nodes q ON q.node_id = y.b AND q.label = 'PERSON'
+    WHERE x.type = 'CO_MENTIONED' AND y.type = 'CO_MENTIONED' AND o.name = '1' GROUP BY q.node_id, q.name ORDER BY shared DESC, person LIMIT 20""",
+    graph=True,
+)
 def people_by_shared_entity(g: Graph) -> DataFrame:
     near = go.undirected(g.edges.filter("type = 'CO_MENTIONED'"))
     org, via, who = (g.nodes.filter(C("label") == k) for k in ("ORG", "REGULATION", "PERSON"))
@@ -249,7 +305,11 @@ def people_by_shared_entity(g: Graph) -> DataFrame:
     return go.top(second.groupBy("b", "person").agg(F.countDistinct("via").alias("shared")).drop("b"), F.desc("shared"), C("person"), n=20)
 
 
-@query("SELECT o.label, count(DISTINCT b) AS cnt FROM eu JOIN nodes s ON s.node_id = a AND s.label = 'ORG' AND s.name = '1' JOIN nodes o ON o.node_id = b WHERE type = 'CO_MENTIONED' GROUP BY o.label", graph=True)
+@query(
+    """SELECT o.label, count(DISTINCT b) AS cnt FROM eu JOIN nodes s ON s.node_id = a AND s.label = 'ORG' AND s.name = '1' JOIN nodes o ON o.node_id = b
+    WHERE type = 'CO_MENTIONED' GROUP BY o.label""",
+    graph=True,
+)
 def co_mentioned_by_type(g: Graph) -> DataFrame:
     me = g.nodes.filter("label = 'ORG' and name = '1'").select(C("node_id").alias("a"))
     return go.undirected(g.edges.filter("type = 'CO_MENTIONED'")).join(F.broadcast(me), "a").join(g.nodes.select(C("node_id").alias("b"), "label"), "b").groupBy("label").agg(F.countDistinct("b").alias("cnt"))
@@ -270,7 +330,12 @@ def filings_in_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- construction ------------------------------------------------------------------------------------------
 
 
-@query("WITH m AS (SELECT l_orderkey, 'P' || l_partkey AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS i FROM lineitem) SELECT least(a.t, b.t) AS source, greatest(a.t, b.t) AS target, count(*) AS cnt FROM m a JOIN m b ON a.l_orderkey = b.l_orderkey AND a.i < b.i GROUP BY ALL HAVING count(*) > 1")
+@query(
+    """WITH m AS (SELECT l_orderkey, 'P' || l_partkey AS t, row_number() OVER (PARTITION BY l_orderkey
+    ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS i
+    FROM lineitem) SELECT least(a.t, b.t) AS source, greatest(a.t, b.t) AS target, count(*) AS cnt FROM m a
+    JOIN m b ON a.l_orderkey = b.l_orderkey AND a.i < b.i GROUP BY ALL HAVING count(*) > 1"""
+)
 def comention_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     m = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("P"), C("l_partkey").cast("string")).alias("t"), F.lit("PRODUCT").alias("l"), F.row_number().over(order).alias("i"))
@@ -288,7 +353,13 @@ def edge_merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return go.merge_props(rows, ["user_id"], "event_id")
 
 
-@query("WITH n AS (SELECT 'C' || c_custkey AS id, split_part(c_name, '#', 2) AS name FROM customer UNION ALL SELECT 'S' || s_suppkey, split_part(s_name, '#', 2) FROM supplier), c AS (SELECT DISTINCT split_part(c_name, '#', 2) AS a, split_part(s_name, '#', 2) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey) SELECT x.id AS src, y.id AS dst FROM c JOIN n x ON x.name = c.a JOIN n y ON y.name = c.b")
+@query(
+    """WITH n AS (SELECT 'C' || c_custkey AS id, split_part(c_name, '#', 2) AS name FROM customer
+    UNION ALL SELECT 'S' || s_suppkey, split_part(s_name, '#', 2)
+    FROM supplier), c AS (SELECT DISTINCT split_part(c_name, '#', 2) AS a, split_part(s_name, '#', 2) AS b FROM lineitem
+    JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey) SELECT x.id AS src, y.id AS dst
+    FROM c JOIN n x ON x.name = c.a JOIN n y ON y.name = c.b"""
+)
 def edge_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers share their numbers as names, so an edge between names becomes up to four."""
     number = lambda c: F.split_part(C(c), F.lit("#"), F.lit(2))
@@ -298,7 +369,10 @@ def edge_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return go.resolve_by_name(sold.select(number("c_name").alias("src_name"), number("s_name").alias("dst_name")).distinct(), nodes).select("src", "dst")
 
 
-@query("SELECT 'INFERRED_' || substring(norm, 1, 50) AS node_id, min(name) AS name FROM (SELECT lower(trim(n_name)) AS norm, n_name AS name FROM nation UNION ALL SELECT lower(trim(r_name)), r_name FROM region) WHERE norm NOT IN (SELECT lower(trim(r_name)) FROM region) GROUP BY norm")
+@query(
+    """SELECT 'INFERRED_' || substring(norm, 1, 50) AS node_id, min(name) AS name FROM (SELECT lower(trim(n_name)) AS norm, n_name AS name FROM nation
+    UNION ALL SELECT lower(trim(r_name)), r_name FROM region) WHERE norm NOT IN (SELECT lower(trim(r_name)) FROM region) GROUP BY norm"""
+)
 def auto_create_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
     pairs = n.join(r, C("n_regionkey") == C("r_regionkey")).select(C("n_name").alias("src_name"), F.lit("GPE").alias("src_label"), C("r_name").alias("dst_name"), F.lit("GEOGRAPHY").alias("dst_label"))
@@ -311,7 +385,11 @@ def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return go.pending(table(spark, sf_dir, "documents").select("doc_id"), done, ["doc_id"])
 
 
-@query("SELECT side, count(*) AS cnt FROM (SELECT CASE WHEN b.doc_id IS NULL THEN 'left' WHEN a.doc_id IS NULL THEN 'right' ELSE 'both' END AS side FROM (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en') a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id) GROUP BY side")
+@query(
+    """SELECT side, count(*) AS cnt FROM (SELECT CASE WHEN b.doc_id IS NULL THEN 'left' WHEN a.doc_id IS NULL THEN 'right' ELSE 'both' END AS side
+    FROM (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en') a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id)
+    GROUP BY side"""
+)
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return go.reconcile(table(spark, sf_dir, "documents").filter("lang = 'en'"), table(spark, sf_dir, "labels"), ["doc_id"]).groupBy("side").agg(F.count("*").alias("cnt"))
 
@@ -379,13 +457,20 @@ def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.lexicon_hits(table(spark, sf_dir, "documents"), _LEXICON).groupBy("term").agg(F.count("*").alias("n_docs"))
 
 
-@query("SELECT metric, count(*) AS n, round(sum(v), 2) AS total FROM (SELECT CASE WHEN regexp_matches(lower(text), 'licen[cs]e') THEN 'license' WHEN regexp_matches(lower(text), 'copyright|reserved') THEN 'rights' WHEN regexp_matches(lower(text), '@') THEN 'contact' END AS metric, TRY_CAST(nullif(regexp_extract(text, '[0-9]+(?:\\.[0-9]+)?', 0), '') AS DOUBLE) AS v FROM documents) WHERE metric IS NOT NULL AND (v IS NULL OR v < 1e9) GROUP BY metric")
+@query(
+    """SELECT metric, count(*) AS n, round(sum(v), 2) AS total
+    FROM (SELECT CASE WHEN regexp_matches(lower(text), 'licen[cs]e') THEN 'license' WHEN regexp_matches(lower(text), 'copyright|reserved') THEN 'rights' WHEN regexp_matches(lower(text), '@') THEN 'contact' END AS metric, TRY_CAST(nullif(regexp_extract(text, '[0-9]+(?:\\.[0-9]+)?', 0), '') AS DOUBLE) AS v
+    FROM documents) WHERE metric IS NOT NULL AND (v IS NULL OR v < 1e9) GROUP BY metric"""
+)
 def metric_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tx.first_pattern("text", [("licen[cs]e", "license"), ("copyright|reserved", "rights"), ("@", "contact")])
     return table(spark, sf_dir, "documents").select(m.alias("metric"), tx.first_number("text").alias("v")).filter("metric is not null and (v is null or v < 1e9)").groupBy("metric").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total"))
 
 
-@query(r"SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ' '), lambda t: CASE WHEN regexp_matches(t, '^[0-9]+([.,][0-9]+)*$') THEN CASE WHEN regexp_replace(t, '[0-9]', 'X', 'g') IN ('XX', 'X.X') THEN '[' || regexp_replace(t, '[0-9]', 'X', 'g') || ']' ELSE '[NUM]' END ELSE t END), ' ')) AS digest FROM documents")
+@query(
+    r"""SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ' '), lambda t: CASE WHEN regexp_matches(t, '^[0-9]+([.,][0-9]+)*$') THEN CASE WHEN regexp_replace(t, '[0-9]', 'X', 'g') IN ('XX', 'X.X') THEN '[' || regexp_replace(t, '[0-9]', 'X', 'g') || ']' ELSE '[NUM]' END ELSE t END), ' ')) AS digest
+    FROM documents"""
+)
 def number_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.number_shapes("text", ["[XX]", "[X.X]"])).alias("digest"))
 
@@ -401,7 +486,10 @@ def keyword_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return go.top(ws.groupBy("word").agg(F.count("*").alias("cnt")), F.desc("cnt"), C("word"), n=10)
 
 
-@query("SELECT lang, count(*) AS n, round(avg(n_chars), 4) AS mean, list_sort(list(n_chars))[CAST(floor(len(list(n_chars)) / 2) AS INT) + 1] AS upper_median, list_sort(list(n_chars))[CAST(floor(0.95 * (len(list(n_chars)) - 1)) AS INT) + 1] AS p95, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY lang")
+@query(
+    """SELECT lang, count(*) AS n, round(avg(n_chars), 4) AS mean, list_sort(list(n_chars))[CAST(floor(len(list(n_chars)) / 2) AS INT) + 1] AS upper_median, list_sort(list(n_chars))[CAST(floor(0.95 * (len(list(n_chars)) - 1)) AS INT) + 1] AS p95, min(n_chars) AS least, max(n_chars) AS most
+    FROM documents GROUP BY lang"""
+)
 def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order statistics from counts of distinct lengths, so no list of all rows is gathered."""
     by = table(spark, sf_dir, "documents").groupBy("lang", "n_chars").agg(F.count("*").alias("c"))
@@ -424,7 +512,10 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", x.alias("x")).filter(F.size("x") > 0).select("page_id", F.size("x").cast("long").alias("n_links"), F.md5(F.array_join("x", "|")).alias("digest"))
 
 
-@query("SELECT CASE WHEN contains(lower(h), 'minutes') AND ends_with(lower(h), '.htm') THEN 'minutes_html' WHEN contains(lower(h), 'minutes') AND ends_with(lower(h), '.pdf') THEN 'minutes_pdf' WHEN ends_with(lower(h), '.pdf') THEN 'statements_pdf' WHEN contains(lower(h), 'monetary') THEN 'statements_html' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS h FROM pages) GROUP BY kind")
+@query(
+    """SELECT CASE WHEN contains(lower(h), 'minutes') AND ends_with(lower(h), '.htm') THEN 'minutes_html' WHEN contains(lower(h), 'minutes') AND ends_with(lower(h), '.pdf') THEN 'minutes_pdf' WHEN ends_with(lower(h), '.pdf') THEN 'statements_pdf' WHEN contains(lower(h), 'monetary') THEN 'statements_html' ELSE 'other' END AS kind, count(*) AS n
+    FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS h FROM pages) GROUP BY kind"""
+)
 def page_link_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(table(spark, sf_dir, "pages")).groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -445,19 +536,28 @@ def strip_think(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.strip_think(F.concat(F.lit("a <think>"), F.substring("text", 1, 20), F.lit("</think> b"))).alias("clean"))
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(text || '<think>' || text || '</think>' || text || '<think>' || text || text || '</think> b', '(?s)<think>.*?</think>', '', 'g'))) AS clean_md5 FROM documents")
+@query(
+    """SELECT doc_id, md5(trim(regexp_replace(text || '<think>' || text || '</think>' || text || '<think>' || text || text || '</think> b', '(?s)<think>.*?</think>', '', 'g'))) AS clean_md5
+    FROM documents"""
+)
 def strip_think_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = F.concat("text", F.lit("<think>"), "text", F.lit("</think>"), "text", F.lit("<think>"), "text", "text", F.lit("</think> b"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.strip_think(tagged)).alias("clean_md5"))
 
 
-@query("SELECT p_brand AS section, CASE WHEN regexp_extract(substring(p_brand, 7), '^([0-9]+)', 1) = '' THEN 999 ELSE CAST(regexp_extract(substring(p_brand, 7), '^([0-9]+)', 1) AS INT) END AS number, count(*) AS n FROM part GROUP BY ALL")
+@query(
+    """SELECT p_brand AS section, CASE WHEN regexp_extract(substring(p_brand, 7), '^([0-9]+)', 1) = '' THEN 999 ELSE CAST(regexp_extract(substring(p_brand, 7), '^([0-9]+)', 1) AS INT) END AS number, count(*) AS n
+    FROM part GROUP BY ALL"""
+)
 def section_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     number, _ = tx.section_key(F.substring("p_brand", 7, 20))
     return table(spark, sf_dir, "part").groupBy(C("p_brand").alias("section"), number.alias("number")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(date_trunc('week', o_orderdate) AS DATE)::VARCHAR AS monday, max(least(CAST(o_orderdate AS DATE), CAST(date_trunc('week', o_orderdate) AS DATE) + 4))::VARCHAR AS last_day, count(*) AS n FROM orders GROUP BY 1")
+@query(
+    """SELECT CAST(date_trunc('week', o_orderdate) AS DATE)::VARCHAR AS monday, max(least(CAST(o_orderdate AS DATE), CAST(date_trunc('week', o_orderdate) AS DATE) + 4))::VARCHAR AS last_day, count(*) AS n
+    FROM orders GROUP BY 1"""
+)
 def trading_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     monday, last = tx.trading_week("o_orderdate")
     return table(spark, sf_dir, "orders").groupBy(monday.cast("string").alias("monday")).agg(F.max(last).cast("string").alias("last_day"), F.count("*").alias("n"))
@@ -535,12 +635,19 @@ def _two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return _dense(spark, sf_dir).withColumnRenamed("vec_id", "id"), _bm25(spark, sf_dir).withColumnRenamed("doc_id", "id")
 
 
-@query(_BOTH + " SELECT id, round(sum(r), 9) AS score FROM (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) AS r FROM de UNION ALL SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) FROM sp) GROUP BY id ORDER BY score DESC, id LIMIT 10")
+@query(
+    _BOTH + """ SELECT id, round(sum(r), 9) AS score FROM (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) AS r FROM de
+    UNION ALL SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) FROM sp) GROUP BY id ORDER BY score DESC, id LIMIT 10"""
+)
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.reciprocal_ranks(list(_two_lists(spark, sf_dir)), "id")
 
 
-@query(_BOTH + " SELECT id, round(sum(r), 6) AS score FROM (SELECT id, 0.7 * (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS r FROM de UNION ALL SELECT id, 0.3 * (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) FROM sp) GROUP BY id ORDER BY score DESC, id LIMIT 10")
+@query(
+    _BOTH + """ SELECT id, round(sum(r), 6) AS score FROM (SELECT id, 0.7 * (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS r FROM de
+    UNION ALL SELECT id, 0.3 * (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) FROM sp) GROUP BY id
+    ORDER BY score DESC, id LIMIT 10"""
+)
 def hybrid_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense, sparse = _two_lists(spark, sf_dir)
     return rt.weighted([(dense, 0.7), (sparse, 0.3)], "id")
@@ -619,7 +726,11 @@ def per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.per_class(_predictions(spark, sf_dir))
 
 
-@query(_PER + ", f AS (SELECT support, round(r, 6) AS r, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM m) SELECT sum(support)::BIGINT AS n, round(avg(f1), 4) AS macro_f1, round(sum(f1 * support) / sum(support), 4) AS weighted_f1, round(sum(r * support) / sum(support), 4) AS accuracy FROM f")
+@query(
+    _PER + """, f AS (SELECT support, round(r, 6) AS r, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1
+    FROM m) SELECT sum(support)::BIGINT AS n, round(avg(f1), 4) AS macro_f1, round(sum(f1 * support) / sum(support), 4) AS weighted_f1, round(sum(r * support) / sum(support), 4) AS accuracy
+    FROM f"""
+)
 def accuracy_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.accuracy_f1(_predictions(spark, sf_dir))
 
@@ -651,13 +762,23 @@ def type_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = ["the", "license", "ción"]
 
 
-@query(r"SELECT doc_id, round(len(list_filter(['the', 'license', 'ción'], lambda p: contains(lower(text), p))) / 3, 6) AS coverage, round(CASE WHEN n < 50 THEN n / 50.0 WHEN n <= 500 THEN 1 ELSE greatest(0.5, 1 - (n - 500) / 1000.0) END, 6) AS length_score FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n FROM documents)")
+@query(
+    r"""SELECT doc_id, round(len(list_filter(['the', 'license', 'ción'], lambda p: contains(lower(text), p))) / 3, 6) AS coverage, round(CASE WHEN n < 50 THEN n / 50.0 WHEN n <= 500 THEN 1 ELSE greatest(0.5, 1 - (n - 500) / 1000.0) END, 6) AS length_score
+    FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n FROM documents)"""
+)
 def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = tx.word_count("text")
     return table(spark, sf_dir, "documents").select("doc_id", F.round(ev.keyword_coverage(C("text"), F.array(*[F.lit(w) for w in _WORDS])), 6).alias("coverage"), F.round(ev.length_score(n), 6).alias("length_score"))
 
 
-@query(r"WITH p AS (SELECT a.item_id, regexp_extract_all(lower(a.text), '[\p{L}\p{N}]+') AS x, regexp_extract_all(lower(b.text), '[\p{L}\p{N}]+') AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1), g AS (SELECT item_id, 'x' AS s, unnest(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) AS g FROM p UNION ALL SELECT item_id, 'y', unnest(list_transform(range(1, len(y)), lambda i: y[i] || ' ' || y[i + 1])) FROM p), c AS (SELECT item_id, g, count(*) FILTER (s = 'x') AS m, count(*) FILTER (s = 'y') AS k FROM g GROUP BY ALL) SELECT item_id, round(2.0 * sum(least(m, k)) / sum(m + k), 6) AS rouge FROM c GROUP BY item_id")
+@query(
+    r"""WITH p AS (SELECT a.item_id, regexp_extract_all(lower(a.text), '[\p{L}\p{N}]+') AS x, regexp_extract_all(lower(b.text), '[\p{L}\p{N}]+') AS y
+    FROM benchmark a
+    JOIN benchmark b ON b.item_id = a.item_id + 1), g AS (SELECT item_id, 'x' AS s, unnest(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) AS g
+    FROM p UNION ALL SELECT item_id, 'y', unnest(list_transform(range(1, len(y)), lambda i: y[i] || ' ' || y[i + 1]))
+    FROM p), c AS (SELECT item_id, g, count(*) FILTER (s = 'x') AS m, count(*) FILTER (s = 'y') AS k FROM g
+    GROUP BY ALL) SELECT item_id, round(2.0 * sum(least(m, k)) / sum(m + k), 6) AS rouge FROM c GROUP BY item_id"""
+)
 def rouge_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     return ev.rouge_n(b.select("item_id", C("text").alias("a")).join(b.select((C("item_id") - 1).alias("item_id"), C("text").alias("b")), "item_id"), 2, "item_id", "a", "b")
@@ -674,7 +795,10 @@ def earliest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).cast("string").alias("first_day"), F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN r <= 0.8 * n THEN 'train' ELSE 'dev' END AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM labels)")
+@query(
+    """SELECT doc_id, CASE WHEN r <= 0.8 * n THEN 'train' ELSE 'dev' END AS part
+    FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM labels)"""
+)
 def train_dev_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact 80/20 split in a seeded order; ranks come from buckets of the order, not from one task."""
     rows = table(spark, sf_dir, "labels").select("doc_id", F.md5(F.concat(F.lit("42|"), C("doc_id").cast("string"))).alias("o")).withColumn("k", F.substring("o", 1, 3))
@@ -689,7 +813,13 @@ def event_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("WITH p AS (SELECT doc_id, lang, u.label, ((doc_id * u.m + n_chars) % 17) / 17.0 AS p FROM documents, (VALUES ('en', 3), ('de', 5), ('fr', 7), ('es', 11)) u(label, m) WHERE lang IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, label) AS k FROM p) SELECT round(avg(hit), 6) AS accuracy, count(*) AS n FROM (SELECT max(CASE WHEN k <= 2 AND label = lang THEN 1 ELSE 0 END) AS hit FROM r GROUP BY doc_id)")
+@query(
+    """WITH p AS (SELECT doc_id, lang, u.label, ((doc_id * u.m + n_chars) % 17) / 17.0 AS p
+    FROM documents, (VALUES ('en', 3), ('de', 5), ('fr', 7), ('es', 11)) u(label, m)
+    WHERE lang IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, label) AS k
+    FROM p) SELECT round(avg(hit), 6) AS accuracy, count(*) AS n FROM (SELECT max(CASE WHEN k <= 2 AND label = lang THEN 1 ELSE 0 END) AS hit FROM r
+    GROUP BY doc_id)"""
+)
 def topk_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda label, m: F.struct(F.lit(label).alias("label"), ((C("doc_id") * m + C("n_chars")) % 17 / 17.0).alias("p"))
     rows = table(spark, sf_dir, "documents").filter("lang is not null").select("doc_id", "lang", F.explode(F.array(one("en", 3), one("de", 5), one("fr", 7), one("es", 11))).alias("x"))
@@ -731,13 +861,21 @@ _METRIC_SQL = " ".join(f"WHEN regexp_matches(lower(t), {_sql_text(p)}) THEN {_sq
 _ROLE_SQL = " ".join(f"WHEN contains(lower(t), {_sql_text(x.lower())}) THEN {_sql_text(x)}" for x in lx.ROLES)
 
 
-@query(f"SELECT c_custkey, CASE {_METRIC_SQL} END AS metric, CAST(regexp_extract(t, '[0-9]+(?:\\.[0-9]+)?') AS DOUBLE) AS value, '%' AS unit, CASE {_ROLE_SQL} END AS role, 'ORG' AS acme_label, 'RISK' AS loss_label FROM ({_REPORT_SQL})")
+@query(
+    f"""SELECT c_custkey, CASE {_METRIC_SQL} END AS metric, CAST(regexp_extract(t, '[0-9]+(?:\\.[0-9]+)?') AS DOUBLE) AS value, '%' AS unit, CASE {_ROLE_SQL} END AS role, 'ORG' AS acme_label, 'RISK' AS loss_label
+    FROM ({_REPORT_SQL})"""
+)
 def metrics_and_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, value, unit = ex.metric("t")
     return _reports(spark, sf_dir).select("c_custkey", name.alias("metric"), value.alias("value"), unit.alias("unit"), ex.role("t").alias("role"), ex.inferred_label(F.lit("Acme Inc")).alias("acme_label"), ex.inferred_label(F.lit("exposure to loss")).alias("loss_label"))
 
 
-@query("WITH m AS (SELECT l_orderkey AS s, 'P' || l_partkey AS t, 'PRODUCT' AS l FROM lineitem UNION ALL SELECT l_orderkey, 'S' || l_suppkey, 'ORG' FROM lineitem UNION ALL SELECT l_orderkey, l_returnflag, 'CONCEPT' FROM lineitem UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%Y-%m'), 'DATE' FROM orders) SELECT a.t AS source, a.l AS source_label, d.t AS target, count(*) AS cnt FROM m a JOIN m d ON a.s = d.s AND d.l = 'DATE' WHERE a.l IN ('PRODUCT', 'ORG') GROUP BY ALL")
+@query(
+    """WITH m AS (SELECT l_orderkey AS s, 'P' || l_partkey AS t, 'PRODUCT' AS l FROM lineitem UNION ALL SELECT l_orderkey, 'S' || l_suppkey, 'ORG'
+    FROM lineitem UNION ALL SELECT l_orderkey, l_returnflag, 'CONCEPT' FROM lineitem UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%Y-%m'), 'DATE'
+    FROM orders) SELECT a.t AS source, a.l AS source_label, d.t AS target, count(*) AS cnt FROM m a JOIN m d ON a.s = d.s AND d.l = 'DATE'
+    WHERE a.l IN ('PRODUCT', 'ORG') GROUP BY ALL"""
+)
 def temporal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     one = lambda text, label: F.struct(text.alias("t"), F.lit(label).alias("l"))
@@ -746,7 +884,11 @@ def temporal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.temporal_links(m.select("s", "m.t", "m.l"), "s", "t", "l").groupBy("source", "source_label", "target").agg(F.count("*").alias("cnt"))
 
 
-@query(r"SELECT doc_id, count(*) AS n, sum(length(x))::BIGINT AS chars FROM (SELECT doc_id, unnest(list_transform(range(0, greatest(0, CAST(ceil((len(w) - 200) / 824.0) AS INT) - 1) + 1), lambda i: array_to_string(w[i * 824 + 1:i * 824 + 1024], ' '))) AS x FROM (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\v\f\r]+') AS w FROM documents)) WHERE x <> '' GROUP BY doc_id")
+@query(
+    r"""SELECT doc_id, count(*) AS n, sum(length(x))::BIGINT AS chars
+    FROM (SELECT doc_id, unnest(list_transform(range(0, greatest(0, CAST(ceil((len(w) - 200) / 824.0) AS INT) - 1) + 1), lambda i: array_to_string(w[i * 824 + 1:i * 824 + 1024], ' '))) AS x
+    FROM (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\v\f\r]+') AS w FROM documents)) WHERE x <> '' GROUP BY doc_id"""
+)
 def word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(ex.word_windows("text")).alias("x")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("x")).alias("chars"))
 
@@ -765,7 +907,11 @@ def edges_into_word(g: Graph) -> DataFrame:
     return go.top(g.edges.join(ends, "dst").select("edge_id", "src", "type", "target"), C("edge_id"), n=15)
 
 
-@query("SELECT a.name AS source, b.name AS target, cnt, edge_id FROM edges JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE type = 'CO_MENTIONED' AND a.name <> b.name AND cnt > 2 ORDER BY cnt DESC, edge_id LIMIT 15", graph=True)
+@query(
+    """SELECT a.name AS source, b.name AS target, cnt, edge_id FROM edges JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst
+    WHERE type = 'CO_MENTIONED' AND a.name <> b.name AND cnt > 2 ORDER BY cnt DESC, edge_id LIMIT 15""",
+    graph=True,
+)
 def strong_co_mentions(g: Graph) -> DataFrame:
     n = g.nodes.select("node_id", "name")
     rows = g.edges.filter("type = 'CO_MENTIONED' and cnt > 2").join(n.toDF("src", "source"), "src").join(n.toDF("dst", "target"), "dst").filter("source != target")
@@ -783,7 +929,12 @@ def role_people(g: Graph) -> DataFrame:
     return g.edges.filter("type = 'HAS_ROLE'").join(g.nodes.filter("label = 'ROLE'"), C("dst") == C("node_id")).groupBy(C("name").alias("role")).agg(F.countDistinct("src").alias("persons"))
 
 
-@query("SELECT node_id, label, name FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY node_id) AS r, CASE label WHEN 'PERSON' THEN 0 WHEN 'ORG' THEN 1 ELSE 2 END AS k FROM nodes WHERE label IN ('PERSON', 'ORG', 'CONCEPT') AND contains(lower(name), '13')) WHERE r <= 10 ORDER BY k, node_id LIMIT 10", graph=True)
+@query(
+    """SELECT node_id, label, name FROM (SELECT *, row_number() OVER (PARTITION BY label
+    ORDER BY node_id) AS r, CASE label WHEN 'PERSON' THEN 0 WHEN 'ORG' THEN 1 ELSE 2 END AS k FROM nodes
+    WHERE label IN ('PERSON', 'ORG', 'CONCEPT') AND contains(lower(name), '13')) WHERE r <= 10 ORDER BY k, node_id LIMIT 10""",
+    graph=True,
+)
 def search_by_concept(g: Graph) -> DataFrame:
     hits = lambda label: g.nodes.filter((C("label") == label) & F.lower("name").contains("13")).select("node_id", "label", "name")
     return go.first_of_lists([hits("PERSON"), hits("ORG"), hits("CONCEPT")], [C("node_id")], 10).select("node_id", "label", "name")
@@ -794,13 +945,23 @@ def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("role", "text", F.concat("role", (C("conv_id") % 20).cast("string")).alias("person"), F.concat_ws("-", C("conv_id").cast("string"), C("turn").cast("string")).alias("statement"))
 
 
-@query("WITH talk AS (SELECT DISTINCT role, text, role || (conv_id % 20) AS person, conv_id || '-' || turn AS statement FROM conversations) SELECT person, min(role) AS role, count(DISTINCT statement) AS statements FROM talk WHERE contains(text, 'the') OR contains(text, 'The') GROUP BY person ORDER BY statements DESC, person LIMIT 30")
+@query(
+    """WITH talk AS (SELECT DISTINCT role, text, role || (conv_id % 20) AS person, conv_id || '-' || turn AS statement
+    FROM conversations) SELECT person, min(role) AS role, count(DISTINCT statement) AS statements FROM talk
+    WHERE contains(text, 'the') OR contains(text, 'The') GROUP BY person ORDER BY statements DESC, person LIMIT 30"""
+)
 def people_by_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _talk(spark, sf_dir).filter(C("text").contains("the") | C("text").contains("The"))
     return go.top(hits.groupBy("person").agg(F.min("role").alias("role"), F.countDistinct("statement").alias("statements")), F.desc("statements"), C("person"), n=30)
 
 
-@query("WITH g AS (SELECT DISTINCT o_custkey AS ticker, year(o_orderdate) AS year FROM orders WHERE o_orderstatus <> 'P'), c AS (SELECT o_custkey AS ticker, year(o_orderdate) AS year, bool_or(o_orderstatus = 'F') AS done FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) GROUP BY ALL) SELECT coalesce(g.ticker, c.ticker) AS ticker, coalesce(g.year, c.year) AS year, CASE WHEN g.ticker IS NULL THEN CASE WHEN c.done THEN 'completed' ELSE 'failed' END ELSE 'completed' END AS status, CASE WHEN g.ticker IS NULL THEN 'kept' WHEN c.ticker IS NULL THEN 'added' WHEN c.done THEN 'existing' ELSE 'updated' END AS outcome FROM g FULL JOIN c ON g.ticker = c.ticker AND g.year = c.year")
+@query(
+    """WITH g AS (SELECT DISTINCT o_custkey AS ticker, year(o_orderdate) AS year FROM orders
+    WHERE o_orderstatus <> 'P'), c AS (SELECT o_custkey AS ticker, year(o_orderdate) AS year, bool_or(o_orderstatus = 'F') AS done FROM orders
+    WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders)
+    GROUP BY ALL) SELECT coalesce(g.ticker, c.ticker) AS ticker, coalesce(g.year, c.year) AS year, CASE WHEN g.ticker IS NULL THEN CASE WHEN c.done THEN 'completed' ELSE 'failed' END ELSE 'completed' END AS status, CASE WHEN g.ticker IS NULL THEN 'kept' WHEN c.ticker IS NULL THEN 'added' WHEN c.done THEN 'existing' ELSE 'updated' END AS outcome
+    FROM g FULL JOIN c ON g.ticker = c.ticker AND g.year = c.year"""
+)
 def checkpoint_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumns({"ticker": C("o_custkey"), "year": F.year("o_orderdate").cast("long")})
     urgent = o.join(F.broadcast(o.agg(F.min("o_orderpriority").alias("o_orderpriority"))), "o_orderpriority")  # one row
@@ -808,14 +969,22 @@ def checkpoint_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return go.repair(done, o.filter("o_orderstatus != 'P'"), ["ticker", "year"])
 
 
-@query(f"{_TX}, v AS (SELECT DISTINCT x.* EXCLUDE (symbol), y.symbol FROM t x JOIN (SELECT DISTINCT accession, d, kind, symbol FROM t) y USING (accession, d, kind)) SELECT kind, (SELECT count(*) FROM t WHERE t.kind = v.kind) AS filed, count(*) AS involves FROM v GROUP BY kind")
+@query(
+    f"""{_TX}, v AS (SELECT DISTINCT x.* EXCLUDE (symbol), y.symbol FROM t x JOIN (SELECT DISTINCT accession, d, kind, symbol
+    FROM t) y USING (accession, d, kind)) SELECT kind, (SELECT count(*) FROM t WHERE t.kind = v.kind) AS filed, count(*) AS involves FROM v GROUP BY kind"""
+)
 def insider_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = transactions(spark, sf_dir)
     both = t.select("kind", F.lit(1).alias("f")).union(go.matching_all(t, ["accession", "d", "kind"], "symbol").select("kind", F.lit(0)))
     return both.groupBy("kind").agg(F.sum("f").alias("filed"), F.sum(1 - C("f")).alias("involves"))
 
 
-@query(r"SELECT k, CASE WHEN v IS NULL THEN 'unknown' WHEN regexp_matches(v, '^(true|false)$') THEN 'boolean' WHEN regexp_matches(v, '^-?[0-9]+$') THEN 'integer' WHEN regexp_matches(v, '^-?[0-9]+[.][0-9]+$') THEN 'float' WHEN regexp_matches(v, '^\[.*\]$') THEN 'list' ELSE 'string' END AS kind, count(*) AS cnt FROM (SELECT 'type' AS k, event_type AS v FROM events UNION ALL SELECT 'user', user_id::VARCHAR FROM events UNION ALL SELECT 'high', CASE WHEN value > 50 THEN 'true' ELSE 'false' END FROM events UNION ALL SELECT 'share', (user_id % 7) || '.5' FROM events UNION ALL SELECT 'list', '[' || user_id || ']' FROM events) GROUP BY ALL")
+@query(
+    r"""SELECT k, CASE WHEN v IS NULL THEN 'unknown' WHEN regexp_matches(v, '^(true|false)$') THEN 'boolean' WHEN regexp_matches(v, '^-?[0-9]+$') THEN 'integer' WHEN regexp_matches(v, '^-?[0-9]+[.][0-9]+$') THEN 'float' WHEN regexp_matches(v, '^\[.*\]$') THEN 'list' ELSE 'string' END AS kind, count(*) AS cnt
+    FROM (SELECT 'type' AS k, event_type AS v FROM events UNION ALL SELECT 'user', user_id::VARCHAR FROM events
+    UNION ALL SELECT 'high', CASE WHEN value > 50 THEN 'true' ELSE 'false' END FROM events UNION ALL SELECT 'share', (user_id % 7) || '.5' FROM events
+    UNION ALL SELECT 'list', '[' || user_id || ']' FROM events) GROUP BY ALL"""
+)
 def property_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = C("user_id").cast("string")
     values = {"type": C("event_type"), "user": user, "high": F.when(C("value") > 50, "true").otherwise("false"), "share": F.concat((C("user_id") % 7).cast("string"), F.lit(".5")), "list": F.concat(F.lit("["), user, F.lit("]"))}

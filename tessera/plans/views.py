@@ -125,18 +125,54 @@ _hub = lambda m, d, w: f"SELECT label AS type, name, mentions, degree, degree *
 VIEW_SQL = {
     "hubs_all_edges": _hub(10, 5, ""),
     "hubs_comention": _hub(5, 3, "WHERE type = 'CO_MENTIONED'"),
-    "risk_dashboard": "SELECT name AS risk_name, mentions, coalesce(e, 0) AS exposures, coalesce(m, 0) AS mitigations, CASE WHEN coalesce(e, 0) > 0 THEN round(CAST(coalesce(m, 0) AS DOUBLE) / (e + 1), 4) ELSE 0.0 END AS mitigation_ratio FROM nodes LEFT JOIN (SELECT dst AS node_id, count(DISTINCT src) AS e FROM edges WHERE type = 'EXPOSES_TO_RISK' GROUP BY dst) USING (node_id) LEFT JOIN (SELECT dst AS node_id, count(DISTINCT src) AS m FROM edges WHERE type = 'MITIGATES_RISK' GROUP BY dst) USING (node_id) WHERE label = 'RISK' AND mentions > 1 ORDER BY mentions DESC, risk_name LIMIT 50",
-    "financial_hotspots": f"SELECT name AS amount, mentions, coalesce(c, 0) AS geo_count, coalesce(l, '') AS geographies FROM nodes LEFT JOIN ({_near("'GEOGRAPHY','GPE','LOC'", 0, "count(DISTINCT b) AS c, " + _names('o.name', 3) + ' AS l')}) USING (node_id) WHERE label = 'MONEY' AND mentions > 5 ORDER BY mentions DESC, amount LIMIT 50",
-    "product_ecosystem": f"SELECT name AS product, mentions, coalesce(c, 0) AS org_count, coalesce(l, '') AS orgs FROM nodes LEFT JOIN ({_near("'ORG'", 1, "count(DISTINCT b) AS c, " + _names('o.name', 5) + ' AS l')}) USING (node_id) WHERE label = 'PRODUCT' AND mentions > 2 ORDER BY org_count DESC, mentions DESC, product LIMIT 30",
-    "regulatory_network": f"SELECT name AS regulation, mentions, coalesce(x, 0) AS orgs, coalesce(y, 0) AS people, coalesce(z, 0) AS concepts, coalesce(x + y + z, 0) AS total_impact FROM nodes LEFT JOIN ({_near("'ORG','PERSON','CONCEPT'", 1, "count(DISTINCT CASE WHEN o.label = 'ORG' THEN b END) AS x, count(DISTINCT CASE WHEN o.label = 'PERSON' THEN b END) AS y, count(DISTINCT CASE WHEN o.label = 'CONCEPT' THEN b END) AS z")}) USING (node_id) WHERE label = 'REGULATION' AND mentions > 2 ORDER BY total_impact DESC, regulation LIMIT 30",
-    "competitive_landscape": f"SELECT p.name AS company1, q.name AS company2, cnt AS co_mentions, coalesce(c, 0) AS money_count, coalesce(l, '') AS financial_mentions FROM edges JOIN nodes p ON p.node_id = src AND p.label = 'ORG' JOIN nodes q ON q.node_id = dst AND q.label = 'ORG' LEFT JOIN ({_near("'MONEY'", 0, "count(DISTINCT b) AS c, " + _names('o.name', 5) + ' AS l', 'src')}) m USING (src) WHERE type = 'COMPETES_WITH' AND cnt > 1 ORDER BY cnt DESC, company1, company2 LIMIT 50",
-    "risk_exposure_map": f"SELECT p.name AS organization, q.name AS risk, q.mentions AS risk_mentions, cnt AS exposure_count, coalesce(c, 0) AS mitigation_count, coalesce(l, '') AS mitigations FROM edges JOIN nodes p ON p.node_id = src AND p.label = 'ORG' JOIN nodes q ON q.node_id = dst AND q.label = 'RISK' LEFT JOIN (SELECT dst, count(DISTINCT src) AS c, {_names('w.name', 3)} AS l FROM edges JOIN nodes w ON w.node_id = src WHERE type = 'MITIGATES_RISK' GROUP BY dst) m USING (dst) WHERE type = 'EXPOSES_TO_RISK' AND cnt > 1 ORDER BY exposure_count DESC, risk_mentions DESC, organization, risk LIMIT 100",
-    "temporal_insights": "SELECT n.label AS entity_type, n.name AS entity_name, d.name AS date, count(*) AS temporal_connections FROM (SELECT DISTINCT a, b FROM eu WHERE type = 'CO_MENTIONED' AND cnt > 2) JOIN nodes d ON d.node_id = b AND d.label = 'DATE' JOIN nodes n ON n.node_id = a GROUP BY ALL ORDER BY temporal_connections DESC, entity_name, date, entity_type LIMIT 50",
-    "speaker_network": f"SELECT name AS speaker, mentions, statements, coalesce(l, '') AS roles FROM nodes JOIN (SELECT src AS node_id, count(DISTINCT dst) AS statements FROM edges WHERE type = 'SAID' GROUP BY src) USING (node_id) LEFT JOIN (SELECT src AS node_id, {_names('r.name', 3)} AS l FROM edges JOIN nodes r ON r.node_id = dst AND r.label = 'ROLE' WHERE type = 'HAS_ROLE' GROUP BY src) USING (node_id) WHERE label = 'PERSON' ORDER BY statements DESC, mentions DESC, speaker LIMIT 50",
-    "metric_analysis": f"SELECT name AS metric, lower(regexp_replace(name, '^[0-9]+-', '')) AS canonical_metric, mentions, coalesce(c, 0) AS entity_count, coalesce(l, '') AS entities FROM nodes LEFT JOIN ({_near("'ORG','PRODUCT','CONCEPT'", 0, "count(DISTINCT b) AS c, " + _names('o.name', 5) + ' AS l')}) USING (node_id) WHERE label = 'METRIC' AND mentions > 2 ORDER BY mentions DESC, metric LIMIT 50",
-    "causal_relationships": f"SELECT p.name AS source_entity, p.label AS source_type, type AS rel_type, q.name AS target_entity, q.label AS target_type, count(*) AS frequency, {_names('quote', 2)} AS quotes FROM edges JOIN nodes p ON p.node_id = src JOIN nodes q ON q.node_id = dst WHERE type IN ('CAUSES', 'DRIVES', 'BOOSTS', 'HURTS', 'MITIGATES') AND (confidence IS NULL OR confidence >= 0.6) GROUP BY src, dst, p.name, p.label, type, q.name, q.label ORDER BY frequency DESC, source_entity, target_entity, rel_type LIMIT 100",
-    "product_mentions": f"SELECT name AS product, mentions, coalesce(c, 0) AS org_count, CAST(coalesce(t, 0) AS BIGINT) AS total_co_mentions, coalesce(l, '') AS orgs FROM nodes LEFT JOIN ({_near("'ORG'", 0, "count(DISTINCT b) AS c, sum(cnt) AS t, " + _names('o.name', 5) + ' AS l')}) USING (node_id) WHERE label = 'PRODUCT' AND mentions > 1 ORDER BY total_co_mentions DESC, mentions DESC, product LIMIT 50",
-    "organization_roles": "SELECT p.name AS person, r.name AS role, o.name AS organization, p.mentions AS mentions FROM edges e JOIN nodes p ON p.node_id = e.src AND p.label = 'PERSON' JOIN nodes r ON r.node_id = e.dst AND r.label = 'ROLE' LEFT JOIN edges w ON w.src = e.src AND w.type = 'WORKS_FOR' LEFT JOIN nodes o ON o.node_id = w.dst AND o.label = 'ORG' WHERE e.type = 'HAS_ROLE' ORDER BY mentions DESC, person, role, organization LIMIT 100",
-    "statement_topics": f"SELECT s.name AS statement_id, src AS speaker, p.name AS speaker_name, coalesce(c, 0) AS topic_count, coalesce(l, '') AS topics FROM nodes s LEFT JOIN edges e ON e.dst = s.node_id AND e.type = 'SAID' LEFT JOIN nodes p ON p.node_id = src LEFT JOIN ({_near("'CONCEPT','ORG','PRODUCT'", 0, "count(DISTINCT b) AS c, " + _names('o.name', 5) + ' AS l')}) t ON t.node_id = s.node_id WHERE s.label = 'STATEMENT' ORDER BY topic_count DESC, statement_id, speaker LIMIT 50",
-    "comention_network": "SELECT p.name AS source, p.label AS source_type, q.name AS target, q.label AS target_type, cnt AS co_mentions FROM edges JOIN nodes p ON p.node_id = src JOIN nodes q ON q.node_id = dst WHERE type = 'CO_MENTIONED' AND cnt > 1 ORDER BY co_mentions DESC, source, target, source_type, target_type LIMIT 200",
+    "risk_dashboard": """SELECT name AS risk_name, mentions, coalesce(e, 0) AS exposures, coalesce(m, 0) AS mitigations, CASE WHEN coalesce(e, 0) > 0 THEN round(CAST(coalesce(m, 0) AS DOUBLE) / (e + 1), 4) ELSE 0.0 END AS mitigation_ratio
+        FROM nodes LEFT JOIN (SELECT dst AS node_id, count(DISTINCT src) AS e FROM edges WHERE type = 'EXPOSES_TO_RISK' GROUP BY dst) USING (node_id) LEFT
+        JOIN (SELECT dst AS node_id, count(DISTINCT src) AS m FROM edges WHERE type = 'MITIGATES_RISK' GROUP BY dst) USING (node_id)
+        WHERE label = 'RISK' AND mentions > 1 ORDER BY mentions DESC, risk_name LIMIT 50""",
+    "financial_hotspots": f"""SELECT name AS amount, mentions, coalesce(c, 0) AS geo_count, coalesce(l, '') AS geographies FROM nodes LEFT
+        JOIN ({_near("'GEOGRAPHY','GPE','LOC'", 0, "count(DISTINCT b) AS c, " + _names('o.name', 3) + ' AS l')}) USING (node_id)
+        WHERE label = 'MONEY' AND mentions > 5 ORDER BY mentions DESC, amount LIMIT 50""",
+    "product_ecosystem": f"""SELECT name AS product, mentions, coalesce(c, 0) AS org_count, coalesce(l, '') AS orgs FROM nodes LEFT
+        JOIN ({_near("'ORG'", 1, "count(DISTINCT b) AS c, " + _names('o.name', 5) + ' AS l')}) USING (node_id) WHERE label = 'PRODUCT' AND mentions > 2
+        ORDER BY org_count DESC, mentions DESC, product LIMIT 30""",
+    "regulatory_network": f"""SELECT name AS regulation, mentions, coalesce(x, 0) AS orgs, coalesce(y, 0) AS people, coalesce(z, 0) AS concepts, coalesce(x + y + z, 0) AS total_impact
+        FROM nodes LEFT
+        JOIN ({_near("'ORG','PERSON','CONCEPT'", 1, "count(DISTINCT CASE WHEN o.label = 'ORG' THEN b END) AS x, count(DISTINCT CASE WHEN o.label = 'PERSON' THEN b END) AS y, count(DISTINCT CASE WHEN o.label = 'CONCEPT' THEN b END) AS z")}) USING (node_id)
+        WHERE label = 'REGULATION' AND mentions > 2 ORDER BY total_impact DESC, regulation LIMIT 30""",
+    "competitive_landscape": f"""SELECT p.name AS company1, q.name AS company2, cnt AS co_mentions, coalesce(c, 0) AS money_count, coalesce(l, '') AS financial_mentions FROM edges
+        JOIN nodes p ON p.node_id = src AND p.label = 'ORG' JOIN nodes q ON q.node_id = dst AND q.label = 'ORG' LEFT
+        JOIN ({_near("'MONEY'", 0, "count(DISTINCT b) AS c, " + _names('o.name', 5) + ' AS l', 'src')}) m USING (src) WHERE type = 'COMPETES_WITH' AND cnt > 1
+        ORDER BY cnt DESC, company1, company2 LIMIT 50""",
+    "risk_exposure_map": f"""SELECT p.name AS organization, q.name AS risk, q.mentions AS risk_mentions, cnt AS exposure_count, coalesce(c, 0) AS mitigation_count, coalesce(l, '') AS mitigations
+        FROM edges JOIN nodes p ON p.node_id = src AND p.label = 'ORG' JOIN nodes q ON q.node_id = dst AND q.label = 'RISK' LEFT
+        JOIN (SELECT dst, count(DISTINCT src) AS c, {_names('w.name', 3)} AS l FROM edges JOIN nodes w ON w.node_id = src WHERE type = 'MITIGATES_RISK'
+        GROUP BY dst) m USING (dst) WHERE type = 'EXPOSES_TO_RISK' AND cnt > 1 ORDER BY exposure_count DESC, risk_mentions DESC, organization, risk LIMIT 100""",
+    "temporal_insights": """SELECT n.label AS entity_type, n.name AS entity_name, d.name AS date, count(*) AS temporal_connections FROM (SELECT DISTINCT a, b FROM eu
+        WHERE type = 'CO_MENTIONED' AND cnt > 2) JOIN nodes d ON d.node_id = b AND d.label = 'DATE' JOIN nodes n ON n.node_id = a GROUP BY ALL
+        ORDER BY temporal_connections DESC, entity_name, date, entity_type LIMIT 50""",
+    "speaker_network": f"""SELECT name AS speaker, mentions, statements, coalesce(l, '') AS roles FROM nodes JOIN (SELECT src AS node_id, count(DISTINCT dst) AS statements
+        FROM edges WHERE type = 'SAID' GROUP BY src) USING (node_id) LEFT JOIN (SELECT src AS node_id, {_names('r.name', 3)} AS l FROM edges
+        JOIN nodes r ON r.node_id = dst AND r.label = 'ROLE' WHERE type = 'HAS_ROLE' GROUP BY src) USING (node_id) WHERE label = 'PERSON'
+        ORDER BY statements DESC, mentions DESC, speaker LIMIT 50""",
+    "metric_analysis": f"""SELECT name AS metric, lower(regexp_replace(name, '^[0-9]+-', '')) AS canonical_metric, mentions, coalesce(c, 0) AS entity_count, coalesce(l, '') AS entities
+        FROM nodes LEFT JOIN ({_near("'ORG','PRODUCT','CONCEPT'", 0, "count(DISTINCT b) AS c, " + _names('o.name', 5) + ' AS l')}) USING (node_id)
+        WHERE label = 'METRIC' AND mentions > 2 ORDER BY mentions DESC, metric LIMIT 50""",
+    "causal_relationships": f"""SELECT p.name AS source_entity, p.label AS source_type, type AS rel_type, q.name AS target_entity, q.label AS target_type, count(*) AS frequency, {_names('quote', 2)} AS quotes
+        FROM edges JOIN nodes p ON p.node_id = src JOIN nodes q ON q.node_id = dst
+        WHERE type IN ('CAUSES', 'DRIVES', 'BOOSTS', 'HURTS', 'MITIGATES') AND (confidence IS NULL OR confidence >= 0.6)
+        GROUP BY src, dst, p.name, p.label, type, q.name, q.label ORDER BY frequency DESC, source_entity, target_entity, rel_type LIMIT 100""",
+    "product_mentions": f"""SELECT name AS product, mentions, coalesce(c, 0) AS org_count, CAST(coalesce(t, 0) AS BIGINT) AS total_co_mentions, coalesce(l, '') AS orgs FROM nodes
+        LEFT JOIN ({_near("'ORG'", 0, "count(DISTINCT b) AS c, sum(cnt) AS t, " + _names('o.name', 5) + ' AS l')}) USING (node_id)
+        WHERE label = 'PRODUCT' AND mentions > 1 ORDER BY total_co_mentions DESC, mentions DESC, product LIMIT 50""",
+    "organization_roles": """SELECT p.name AS person, r.name AS role, o.name AS organization, p.mentions AS mentions FROM edges e
+        JOIN nodes p ON p.node_id = e.src AND p.label = 'PERSON' JOIN nodes r ON r.node_id = e.dst AND r.label = 'ROLE' LEFT
+        JOIN edges w ON w.src = e.src AND w.type = 'WORKS_FOR' LEFT JOIN nodes o ON o.node_id = w.dst AND o.label = 'ORG' WHERE e.type = 'HAS_ROLE'
+        ORDER BY mentions DESC, person, role, organization LIMIT 100""",
+    "statement_topics": f"""SELECT s.name AS statement_id, src AS speaker, p.name AS speaker_name, coalesce(c, 0) AS topic_count, coalesce(l, '') AS topics FROM nodes s LEFT
+        JOIN edges e ON e.dst = s.node_id AND e.type = 'SAID' LEFT JOIN nodes p ON p.node_id = src LEFT
+        JOIN ({_near("'CONCEPT','ORG','PRODUCT'", 0, "count(DISTINCT b) AS c, " + _names('o.name', 5) + ' AS l')}) t ON t.node_id = s.node_id
+        WHERE s.label = 'STATEMENT' ORDER BY topic_count DESC, statement_id, speaker LIMIT 50""",
+    "comention_network": """SELECT p.name AS source, p.label AS source_type, q.name AS target, q.label AS target_type, cnt AS co_mentions FROM edges
+        JOIN nodes p ON p.node_id = src JOIN nodes q ON q.node_id = dst WHERE type = 'CO_MENTIONED' AND cnt > 1
+        ORDER BY co_mentions DESC, source, target, source_type, target_type LIMIT 200""",
 }

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import answers, resolve, text
+from tessera.functions import answers, resolve, retrieval, text
 from tessera.functions.fields import field_query
 from tessera.operators import graph, intervals
 from tessera.sources import files, sinks, store
@@ -177,3 +177,14 @@ def test_ingestion_without_target_adds_all(spark, tmp_path):
     spark.createDataFrame([(1, "a")], "id int, v string").write.parquet(src)
     ingest_available(spark, src, out, cp, ["id"])
     assert spark.read.parquet(out).count() == 1
+
+
+def test_small_retrieval_helpers(spark):
+    assert retrieval.settings({"k": 3, "ranker": None}, {"ranker": "rrf", "x": 1}, {"k": 5, "ranker": "weighted", "alpha": 0.5}) == {"k": 3, "ranker": "rrf", "alpha": 0.5}
+    assert retrieval.output_fields(["a", "zz"], ["id", "a", "v"], "v", "id") == ["a"] and retrieval.output_fields(["zz"], ["id", "a", "b", "v"], "v", "id") == ["a", "b"]
+    df = spark.createDataFrame([(1, 0.25, "on 2024-01-02, 2023-05-06 and 2024-01-02", [1.0, 0.0]), (2, 3.0, None, [0.0, 1.0])], "id int, d double, t string, v array<double>")
+    got = df.select(retrieval.shown_similarity(F.col("d")).alias("s"), retrieval.dates_in("t").alias("t")).collect()
+    assert [r["s"] for r in got] == [0.75, 0.25] and got[0]["t"] == ["2024-01-02", "2023-05-06"] and got[1]["t"] is None
+    assert [r["id"] for r in retrieval.dense_topk(df, [1.0, 0.0], 5, "id", "v", threshold=0.5).collect()] == [1]
+    about = retrieval.described(df.select("id", "d"), 1)
+    assert about["fields"] == {"id": "int", "d": "double"} and about["rows"] == 2 and len(about["sample"]) == 1
