@@ -27,6 +27,11 @@ def title_case(c: Column | str) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.initcap(p)), "")
 
 
+def insider_name(c: Column | str) -> Column:
+    """A name without commas, in title case."""
+    return title_case(F.translate(c, ",", ""))
+
+
 def _limited(parts: Column, shortest: int, longest: int) -> Column:
     """Drop short parts, cut long ones back to a blank and close them with a full stop."""
     cleaned = F.transform(parts, lambda s: F.regexp_replace(F.trim(s), LABEL, ""))

@@ -15,7 +15,7 @@ from tessera.functions import retrieval as rt
 from tessera.functions import text as tx
 from tessera.operators import graph as go
 from tessera.plans.views import VIEW_SQL, VIEWS
-from tessera.sources.files import links
+from tessera.sources.files import absolute_url, links
 from tessera.sources.graph_tables import PRELUDE, Graph, build
 from tessera.sources.store import stored
 
@@ -212,12 +212,17 @@ def _shares() -> Column:
     return F.round(F.sum("shares"), 2)
 
 
+def _avg_price() -> Column:
+    """In whole cents, rounded down, so that the order of the sum doesn't matter."""
+    return F.expr("sum(cast(round(price * 100) as bigint)) div count(*) / 100.0D").alias("avg_price")
+
+
 @query(
     _TX + """ SELECT insider AS insider_name, cik, count(*) AS transaction_count, round(sum(shares), 2) AS total_shares, (sum(CAST(round(price * 100) AS BIGINT)) // count(*)) / 100.0 AS avg_price
     FROM t GROUP BY insider, cik HAVING count(*) > 5 ORDER BY transaction_count DESC, cik LIMIT 100"""
 )
 def top_insiders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = transactions(spark, sf_dir).groupBy(C("insider").alias("insider_name"), "cik").agg(F.count("*").alias("transaction_count"), _shares().alias("total_shares"), F.expr("sum(cast(round(price * 100) as bigint)) div count(*) / 100.0D").alias("avg_price"))
+    rows = transactions(spark, sf_dir).groupBy(C("insider").alias("insider_name"), "cik").agg(F.count("*").alias("transaction_count"), _shares().alias("total_shares"), _avg_price())
     return go.top(rows.filter("transaction_count > 5"), F.desc("transaction_count"), C("cik"), n=100)
 
 
@@ -232,23 +237,23 @@ def company_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _TX + """ SELECT CAST(d AS VARCHAR) AS date, count(*) AS transaction_count, count(DISTINCT accession) AS filing_count, round(sum(shares), 2) AS total_shares
+    _TX + """ SELECT CAST(d AS VARCHAR) AS date, count(*) AS transaction_count, count(DISTINCT accession) AS filing_count, round(sum(shares), 2) AS total_shares, (sum(CAST(round(price * 100) AS BIGINT)) // count(*)) / 100.0 AS avg_price
     FROM t WHERE d IS NOT NULL GROUP BY d ORDER BY d DESC LIMIT 100"""
 )
 def transaction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = transactions(spark, sf_dir).filter("d is not null").groupBy("d").agg(F.count("*").alias("transaction_count"), F.countDistinct("accession").alias("filing_count"), _shares().alias("total_shares"))
+    rows = transactions(spark, sf_dir).filter("d is not null").groupBy("d").agg(F.count("*").alias("transaction_count"), F.countDistinct("accession").alias("filing_count"), _shares().alias("total_shares"), _avg_price())
     return go.top(rows, F.desc("d"), n=100).withColumn("d", C("d").cast("string")).withColumnRenamed("d", "date")
 
 
 @query(
-    _TX + """ SELECT DISTINCT insider AS insider_name, cik AS insider_cik, symbol AS company_symbol, company AS company_name, c_acctbal > 5000 AS is_director, c_acctbal <= 5000 AS is_officer, c_mktsegment AS title
+    _TX + """ SELECT DISTINCT insider AS insider_name, cik AS insider_cik, symbol AS company_symbol, company AS company_name, c_acctbal > 5000 AS is_director, c_acctbal <= 5000 AS is_officer, c_acctbal < 0 AS is_ten_percent, c_mktsegment AS title
     FROM t JOIN customer ON cik = 'C' || c_custkey ORDER BY insider_name, company_symbol LIMIT 200"""
 )
 def insider_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insiders and issuers that have a transaction."""
-    who = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), C("c_custkey").cast("string")).alias("cik"), (C("c_acctbal") > 5000).alias("is_director"), (C("c_acctbal") <= 5000).alias("is_officer"), C("c_mktsegment").alias("title"))
+    who = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), C("c_custkey").cast("string")).alias("cik"), (C("c_acctbal") > 5000).alias("is_director"), (C("c_acctbal") <= 5000).alias("is_officer"), (C("c_acctbal") < 0).alias("is_ten_percent"), C("c_mktsegment").alias("title"))
     rows = transactions(spark, sf_dir).select("cik", "insider", "symbol", "company").distinct().join(who, "cik")
-    rows = rows.select(C("insider").alias("insider_name"), C("cik").alias("insider_cik"), C("symbol").alias("company_symbol"), C("company").alias("company_name"), "is_director", "is_officer", "title")
+    rows = rows.select(C("insider").alias("insider_name"), C("cik").alias("insider_cik"), C("symbol").alias("company_symbol"), C("company").alias("company_name"), "is_director", "is_officer", "is_ten_percent", "title")
     return go.top(rows, C("insider_name"), C("company_symbol"), n=200)
 
 
@@ -512,6 +517,19 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", x.alias("x")).filter(F.size("x") > 0).select("page_id", F.size("x").cast("long").alias("n_links"), F.md5(F.array_join("x", "|")).alias("digest"))
 
 
+_ABSOLUTE = r"""CASE WHEN regexp_matches(h, '^[A-Za-z]+://') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^([A-Za-z]+:)//', 1) || h
+    WHEN starts_with(h, '/') THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || h ELSE regexp_extract(url, '^([A-Za-z]+://[^?#]*/)', 1) || h END"""
+
+
+@query(
+    f"""SELECT page_id, count(*) AS n, min({_ABSOLUTE}) AS first, max(length({_ABSOLUTE})) AS longest
+    FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS h FROM pages) GROUP BY page_id"""
+)
+def absolute_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = links(table(spark, sf_dir, "pages")).select("page_id", absolute_url("url", "href").alias("u"))
+    return rows.groupBy("page_id").agg(F.count("*").alias("n"), F.min("u").alias("first"), F.max(F.length("u")).cast("long").alias("longest"))
+
+
 @query(
     """SELECT CASE WHEN contains(lower(h), 'minutes') AND ends_with(lower(h), '.htm') THEN 'minutes_html' WHEN contains(lower(h), 'minutes') AND ends_with(lower(h), '.pdf') THEN 'minutes_pdf' WHEN ends_with(lower(h), '.pdf') THEN 'statements_pdf' WHEN contains(lower(h), 'monetary') THEN 'statements_html' ELSE 'other' END AS kind, count(*) AS n
     FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS h FROM pages) GROUP BY kind"""

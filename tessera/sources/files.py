@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import section_key
@@ -120,3 +120,28 @@ def feed_items(spark: SparkSession, path: str) -> DataFrame:
 def new_filings(found: DataFrame, stored_paths: DataFrame) -> DataFrame:
     """Filings with an accession number and a period whose path isn't stored yet."""
     return found.filter("accessionNo is not null and periodOfReport is not null").join(stored_paths.select("path"), "path", "left_anti")
+
+
+def absolute_url(base: str, href: str) -> Column:
+    """A link as the page at base means it: whole, from the scheme, from the host, or from the page's folder."""
+    part = lambda pattern: F.regexp_extract(base, pattern, 1)
+    link = F.col(href)
+    return (
+        F.when(link.rlike("^[A-Za-z]+://"), link)
+        .when(F.startswith(link, F.lit("//")), F.concat(part("^([A-Za-z]+:)//"), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(part("^([A-Za-z]+://[^/?#]+)"), link))
+        .otherwise(F.concat(part("^([A-Za-z]+://[^?#]*/)"), link))
+    )
+
+
+def page_meta(html: str) -> tuple[Column, Column]:
+    """Title and published date of a page: of its meta elements the first that names a date, whatever the order of their attributes."""
+    metas = F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
+    dated = F.get(F.filter(metas, lambda m: m.rlike(r"(?i)(?:name|property)=\"[^\"]*(?:date|published)[^\"]*\"")), F.lit(0))
+    title = F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return title, F.nullif(F.regexp_extract(dated, r"(?i)content=\"([^\"]*)\"", 1), F.lit(""))
+
+
+def sample(rows: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
+    """n rows drawn by a seeded hash of their keys: the same ones every time."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import answers, resolve, retrieval, text
+from tessera.functions import answers, extract, resolve, retrieval, text
 from tessera.functions.fields import field_query
 from tessera.operators import graph, intervals
 from tessera.sources import files, sinks, store
@@ -188,3 +188,16 @@ def test_small_retrieval_helpers(spark):
     assert [r["id"] for r in retrieval.dense_topk(df, [1.0, 0.0], 5, "id", "v", threshold=0.5).collect()] == [1]
     about = retrieval.described(df.select("id", "d"), 1)
     assert about["fields"] == {"id": "int", "d": "double"} and about["rows"] == 2 and len(about["sample"]) == 1
+
+
+def test_pages_names_and_samples(spark):
+    rows = [("http://a.b/c/d?x", "/p"), ("http://a.b/c/d", "q.pdf"), ("https://a.b/c/", "//x.y/z"), ("http://a.b", "ftp://k/l")]
+    got = [r["u"] for r in spark.createDataFrame(rows, "url string, href string").select(files.absolute_url("url", "href").alias("u")).collect()]
+    assert got == ["http://a.b/p", "http://a.b/c/q.pdf", "https://x.y/z", "ftp://k/l"]
+    pages = spark.createDataFrame([("<title> T </title><meta charset='x'><meta content=\"2025-10-29\" property=\"article:published_time\">",), ("none",)], "h string")
+    title, date = files.page_meta("h")
+    assert [tuple(r) for r in pages.select(title, date).collect()] == [("T", "2025-10-29"), ("", None)]
+    assert spark.createDataFrame([("LEE, ann o'neil-x",)], "n string").select(text.insider_name("n").alias("n")).first()["n"] == "Lee Ann O'Neil-X"
+    one, two = (sorted(r["id"] for r in files.sample(spark.range(100).repartition(k), 7, 3, "id").collect()) for k in (2, 5))
+    assert one == two and len(one) == 7
+    assert [x["target"] for x in extract.titles_before_names("Here is our chief financial officer, Ann. And the weather, Bo.", ["Ann Lee", "Bo Ray"])] == ["chief financial officer"]
