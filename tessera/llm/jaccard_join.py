@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HOT_SHARE, bounded_batches, join_hot, materialise
+from tessera.llm.common import HOT_SHARE, bounded_batches, materialise
 
 #: A token is frequent if chunks of documents that have it repeatedly have it so often in all. The list of
 #: frequent tokens is broadcast: of more than MAX_FREQUENT, at any corpus size, the most frequent.
@@ -232,10 +232,9 @@ def _frequent_buckets(prefixes: DataFrame) -> DataFrame:
     singles = F.transform("often", lambda k, i: F.struct(k.alias("key"), single.alias("c"), i.alias("at")))
     entries = F.when(F.col("large"), singles).otherwise(F.concat(combined, singles))
     index = prefixes.filter(m > 0).select("id", "n", F.size("rare").alias("r"), F.explode(entries).alias("e")).select("e.key", "id", F.col("n").cast("int").alias("n"), (F.col("r") + F.col("e.at")).alias("pos"), "e.c")
-    index = materialise(index, "frequent")
-    buckets = index.groupBy("key").agg(F.count("*").alias("members"), F.min(F.when(F.col("c") != SINGLE, F.struct("id", "n", "pos"))).alias("lead")).filter("members > 1 and lead is not null").select("key", "lead", F.col("members").alias("n"))
-    met = join_hot(index.withColumnRenamed("n", "size"), buckets, ["key"], index.count())
-    return met.select("key", "id", F.col("size").alias("n"), "pos", "c", F.col("lead.id").alias("lead_id"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"))
+    buckets = index.groupBy("key").agg(F.count("*").alias("members"), F.min(F.when(F.col("c") != SINGLE, F.struct("id", "n", "pos"))).alias("lead")).filter("members > 1 and lead is not null").select("key", "lead")
+    # buckets has a row for each key; adaptive execution splits the partitions of large ones
+    return index.join(buckets, "key").select("key", "id", "n", "pos", "c", F.col("lead.id").alias("lead_id"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"))
 
 
 def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -338,12 +337,12 @@ def _meet(entries: DataFrame, keys: list[str], percent: int, apart: bool) -> Dat
 def _all_pairs(shared: DataFrame, sizes: DataFrame, prefixes: DataFrame, percent: int, apart: bool) -> DataFrame:
     """The pairs of buckets; sizes has key and m, its members, and c, the largest kind of its entries."""
     few = sizes.filter((F.col("m") <= SPLIT) | (F.col("c") == COMBINED)).select("key")
-    many = sizes.filter((F.col("m") > SPLIT) & (F.col("c") != COMBINED)).select("key", F.col("m").alias("n"))
+    many = sizes.filter((F.col("m") > SPLIT) & (F.col("c") != COMBINED)).select("key")
     met = _meet(shared.join(few, "key"), ["key"], percent, apart)
     if many.isEmpty():
         return met
     # similar sets share two tokens of their prefixes, which were cut one longer for that
-    large = join_hot(shared.withColumnRenamed("n", "size"), many, ["key"], shared.count()).withColumnRenamed("size", "n")
+    large = shared.join(many, "key")
     second = prefixes.select("id", F.explode(F.concat("rare", "often")).alias("second"))
     extended = large.join(second, "id").filter(F.col("second") != F.col("key"))
     return met.union(_meet(extended, ["key", "second"], percent, apart)).distinct()
