@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, sharding, token_files, toxicity
+from tessera.llm import decontamination, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, periodic_runs, sharding, token_files, toxicity
 from tessera.llm.common import table
 
 #: The tree of sources and its weights: the language shares that the mix should have, sources alike within them.
@@ -63,7 +64,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_line_dedup, op4_exact_dedup, op5_html_extract, op6_decontamination, op7_token_files, op8_sharding, op9_jaccard_join, op10_language_id)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of all documents, after a tenth of them got a repetition planted by their id."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), periodic_runs.word_count(F.col("text"))
+    first = F.expr("g % n")
+    planted = table(spark, sf_dir, "documents").select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, n).alias("n"))
+    planted = planted.withColumn("first", F.when(F.col("n") > 0, first)).withColumn("period", 1 + F.floor((F.col("n") - F.col("first")) / (3 + F.col("g") % 8)))
+    text = F.when(F.col("first").isNull(), F.col("text")).otherwise(periodic_runs.repeat_words(F.col("text"), F.col("first"), F.col("period")))
+    return periodic_runs.summary(periodic_runs.detect(planted.select("doc_id", text.alias("text"))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_line_dedup, op4_exact_dedup, op5_html_extract, op6_decontamination, op7_token_files, op8_sharding, op9_jaccard_join, op10_language_id, op13_periodic_runs)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
@@ -81,4 +93,21 @@ ORACLE_SQL: dict[str, str] = {
         its AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM occ JOIN win USING (n, x) GROUP BY doc_id)
         SELECT doc.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op13_periodic_runs": r"""
+        WITH crc AS (SELECT list_transform(range(256), lambda c: list_reduce(list_concat([c], range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS t),
+        d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+              xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))), lambda v, b: xor(t[1 + (xor(v, b) & 255)], v >> 8))) AS h FROM documents, crc),
+        a AS (SELECT r, doc_id, w, h, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+        p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+        e AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+        pos AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS x FROM e),
+        same AS (SELECT u.r, u.i, v.i - u.i AS q FROM pos u JOIN pos v ON u.r = v.r AND u.x = v.x AND u.i < v.i AND 4 * (v.i - u.i) <= u.n),
+        island AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM same),
+        run AS (SELECT r, start, length, min(q) AS period FROM (SELECT r, q, min(i) AS start, count(*) + q AS length FROM island GROUP BY r, q, k) WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+        best AS (SELECT r, start, length, period, row_number() OVER (PARTITION BY r ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM run),
+        line AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM run GROUP BY r),
+        gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM run),
+        kept AS (SELECT pos.r, string_agg(x, ' ' ORDER BY pos.i) AS s FROM pos ANTI JOIN gone ON pos.r = gone.r AND pos.i = gone.i GROUP BY pos.r)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(line.s, '')) AS runs_sha256, sha256(coalesce(kept.s, '')) AS collapsed_sha256
+        FROM e LEFT JOIN line USING (r) LEFT JOIN (SELECT * FROM best WHERE k = 1) b USING (r) LEFT JOIN kept USING (r)""",
 }
