@@ -167,7 +167,7 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    kind, at_once = rows.schema["doc_id"].dataType.simpleString(), BATCH_WORDS
     run_type = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
     def answer(ids: pa.Array, texts: list[list[bytes]], cache: _Ids) -> pa.RecordBatch:
@@ -189,7 +189,7 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             texts, first, size = [], 0, 0
             for i, t in enumerate(batch.column(1).cast(pa.binary())):
                 words = (t.as_py() or b"").split()
-                if texts and size + len(words) > BATCH_WORDS:
+                if texts and size + len(words) > at_once:
                     yield answer(batch.column(0).slice(first, len(texts)), texts, cache)
                     texts, first, size = [], i, 0
                 texts.append(words)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, periodic_runs, sharding, token_files, toxicity
+from tessera.llm import decontamination, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, periodic_runs, sharding, token_alignment, token_files, toxicity
 from tessera.llm.common import table
 
 #: The tree of sources and its weights: the language shares that the mix should have, sources alike within them.
@@ -18,10 +18,10 @@ MIX_SHARE = 0.6
 LINE_WORDS = 1
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_texts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of all documents, after a tenth of them got a repetition planted by their id."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -75,7 +79,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.summary(periodic_runs.detect(planted.select("doc_id", text.alias("text"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_line_dedup, op4_exact_dedup, op5_html_extract, op6_decontamination, op7_token_files, op8_sharding, op9_jaccard_join, op10_language_id, op13_periodic_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_line_dedup, op4_exact_dedup, op5_html_extract, op6_decontamination, op7_token_files, op8_sharding, op9_jaccard_join, op10_language_id, op12_token_alignment, op13_periodic_runs)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
