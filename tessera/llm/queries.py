@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, periodic_runs, sharding, token_alignment, token_files, toxicity
+from tessera.llm import decontamination, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, periodic_runs, sharding, token_alignment, token_files, toxicity, url_filter
 from tessera.llm.common import table
 
 #: The tree of sources and its weights: the language shares that the mix should have, sources alike within them.
@@ -16,6 +16,8 @@ MIX_WEIGHTS = {("even",): 3, ("odd",): 2} | {(d, k): w for d in ("even", "odd")
 MIX_SHARE = 0.6
 #: A single repeated line of any length is a match, as short boilerplate lines are.
 LINE_WORDS = 1
+#: Rules of the URL filter: fixed values of its contract.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -64,6 +66,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_texts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -79,7 +85,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.summary(periodic_runs.detect(planted.select("doc_id", text.alias("text"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_line_dedup, op4_exact_dedup, op5_html_extract, op6_decontamination, op7_token_files, op8_sharding, op9_jaccard_join, op10_language_id, op12_token_alignment, op13_periodic_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_line_dedup, op4_exact_dedup, op5_html_extract, op6_decontamination, op7_token_files, op8_sharding, op9_jaccard_join, op10_language_id, op11_url_filter, op12_token_alignment, op13_periodic_runs)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
