@@ -51,7 +51,7 @@ MAX_COMBINED = 10
 #: Ids that are broadcast to filter rows; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 CHUNK_TOKENS = 6_000_000
-CACHE = 500_000
+CACHE = 150_000
 #: Members of a token's bucket that meet across components without a second token in common.
 SPLIT = 256
 SALTS = 64
@@ -135,7 +135,12 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
         cache, held, seen, size = _Hashes(), [], set(), 0
 
         def counted() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            values = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            held.clear()
+            values.sort()  # in place: the largest array of a task
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1])))
+            counts = np.diff(first, append=len(values))
+            values = values[first]
             often = counts >= 3
             m = int(often.sum())
             none = pa.nulls(m, pa.int64())
@@ -159,7 +164,7 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), none, none], names=names)
                 if size > CHUNK_TOKENS:
                     yield counted()
-                    held, seen, size = [], set(), 0
+                    seen, size = set(), 0
         yield counted()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, token long, seen long")

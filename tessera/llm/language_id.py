@@ -33,6 +33,8 @@ ORDERS = (1, 2, 3)
 FIXED_POINT = 1024
 #: Characters scored at once.
 PIECE = 1 << 19
+#: Texts whose code points are held at once.
+AT_ONCE = 250
 _SPACE = 32
 _LETTERS: list[np.ndarray] = []
 _NO_CODES = np.zeros(0, np.uint32)
@@ -167,7 +169,8 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(*shared.value)
         for batch in batches:
-            found = _score(batch.column(len(keep)).to_pylist(), own)
+            texts = batch.column(len(keep)).to_pylist()
+            found = [x for low in range(0, len(texts), AT_ONCE) for x in _score(texts[low : low + AT_ONCE], own)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names[: len(keep)], "lang_pred", "score"])
 
     return held.mapInArrow(run, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
