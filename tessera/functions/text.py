@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.containment import clusters_of
+
 LABEL = r"^[A-Z][A-Za-z ]{0,40}:\s*"
 CUT = "\x1e"
 
@@ -246,19 +248,6 @@ def html_text(html: pd.Series) -> pd.Series:
     return html.map(one)
 
 
-def clusters_of(names: Sequence[str]) -> list[int]:
-    """Greedy clusters in input order: a name joins the first cluster with an equal, containing or contained member."""
-    placed: dict[str, int] = {}
-    members: list[list[str]] = []
-    for plain in ((name or "").strip().lower() for name in names):
-        if plain not in placed:
-            placed[plain] = next((k for k, own in enumerate(members) if any(plain in m or m in plain for m in own)), len(members))
-            if placed[plain] == len(members):
-                members.append([])
-            members[placed[plain]].append(plain)
-    return [placed[(name or "").strip().lower()] for name in names]
-
-
 def cluster_entities(mentions: DataFrame, group: str, label: str, name: str, order: str) -> DataFrame:
     """(group, label, cluster, canonical_name, variants, mention_count) of mentions clustered within each group and label.
 

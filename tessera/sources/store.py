@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _STORED: dict[tuple[str, str, str], tuple[SparkSession, str, StructType]] = {}
+_WRITTEN: list[tuple[SparkSession, str]] = []
 _OWN_DIR: dict[str, str] = {}
 
 
@@ -43,6 +44,14 @@ def stored(spark: SparkSession, base: str, name: str, make: Callable[[], DataFra
     return spark.read.schema(schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder: lineage ends there, and what tasks decided, such as blocks, stays as it is."""
+    spark, path = df.sparkSession, f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def drop(spark: SparkSession, base: str) -> None:
     """Delete and forget all that was derived from the inputs at base."""
     for key in [k for k in _STORED if k[:2] == (spark.sparkContext.applicationId, base)]:
@@ -56,7 +65,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path, _ in _STORED.values():
+    for spark, path in [*(v[:2] for v in _STORED.values()), *_WRITTEN]:
         try:
             _delete(spark, path)
         except Exception:  # the session is already gone
