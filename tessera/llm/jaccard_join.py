@@ -312,7 +312,7 @@ def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     often = often.orderBy(F.desc("seen"), "token").limit(MAX_FREQUENT).select("token").toArrow()
     frequent = np.sort(often.column("token").to_numpy().view(np.uint64)) if often.num_rows else np.zeros(0, np.uint64)
     reps = classes.filter("size > 1").select(F.col("rep").alias("id")).distinct()
-    prefixes = materialise(_index(docs, n, percent, frequent).join(reps, "id", "left_semi"), "prefixes")
+    prefixes = materialise(_only(_index(docs, n, percent, frequent), reps), "prefixes")
     shared = materialise(_rare_buckets(prefixes).unionByName(_frequent_buckets(prefixes)), "buckets")
     return own, classes, prefixes, shared
 
@@ -341,15 +341,15 @@ def _meet(entries: DataFrame, keys: list[str], percent: int, apart: bool) -> Dat
 
 def _all_pairs(shared: DataFrame, sizes: DataFrame, prefixes: DataFrame, percent: int, apart: bool) -> DataFrame:
     """The pairs of buckets; sizes has key and m, its members, and c, the largest kind of its entries."""
-    few = sizes.filter((F.col("m") <= SPLIT) | (F.col("c") == COMBINED)).select("key")
-    many = sizes.filter((F.col("m") > SPLIT) & (F.col("c") != COMBINED)).select("key")
-    met = _meet(shared.join(few, "key"), ["key"], percent, apart)
-    if many.isEmpty():
+    split = (F.col("m") > SPLIT) & (F.col("c") != COMBINED)
+    tagged = materialise(shared.join(sizes.select("key", split.alias("split")), "key"), "tagged")
+    met = _meet(tagged.filter("not split").drop("split"), ["key"], percent, apart)
+    large = tagged.filter("split").drop("split")
+    if large.isEmpty():
         return met
     # similar sets share two tokens of their prefixes, which were cut one longer for that
-    large = shared.join(many, "key")
-    second = prefixes.select("id", F.explode(F.concat("rare", "often")).alias("second"))
-    extended = large.join(second, "id").filter(F.col("second") != F.col("key"))
+    own = _only(prefixes, large.select("id").distinct())
+    extended = large.join(own.select("id", F.explode(F.concat("rare", "often")).alias("second")), "id").filter(F.col("second") != F.col("key"))
     return met.union(_meet(extended, ["key", "second"], percent, apart)).distinct()
 
 
