@@ -1017,4 +1017,4 @@ def schema_prompt(g: Graph) -> DataFrame:
 
 
 # the other modules register theirs here
-from tessera.plans import extraction, investigations, upkeep  # noqa: E402, F401
+from tessera.plans import extraction, investigations, merges, upkeep  # noqa: E402, F401
