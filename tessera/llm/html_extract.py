@@ -4,9 +4,11 @@ A page becomes lines, one for each block, menus and footers included. Every page
 its host whose URL path is nearest (of its two neighbours in path order, the one that shares more leading
 path), and all lines of both are aligned by a longest common subsequence. Lines that the two share are the
 template's and go, unless the markup vetoes it: a line within an article element stays, as a passage that two
-articles share would be lost else. The markup also adds deletions: what it names as a menu, page header or
-footer, sidebar, form, notice, advert or comment goes although only one page has it. All other lines are open,
-also beside an article, and differencing alone decides on them.
+articles share would be lost else. The markup also adds deletions: elements and roles for menus, page headers
+and footers, sidebars, forms and dialogs, and containers whose class or id is just such a name, or that of a notice,
+advert or comment list, go although only one page has them. All other lines are open, also beside an article, and
+differencing decides on them. Names that only contain such a word, as `page-header` or `search-algorithms`,
+delete nothing alone: their lines are suspect, which makes them go if either neighbour shares them and not only the nearest.
 
 Pages of a host with the same lines are copies, not templates of each other: they pair as one page. Texts
 never move for the pairing, only hashes of lines; pages are parsed once for these and once more for the text.
@@ -28,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, materialise
@@ -43,7 +45,7 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "li", "dd", "dt", "title"}
 #: Elements whose start ends an open one of these, within the nearest of the listed containers.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-#: Words in class and id names, and roles, of what is not main text; outside articles.
+#: Words in class and id names that make lines outside articles suspect.
 CHROME = re.compile(
     r"(?:^|[\s_-])(?<!with-)(?<!has-)(?<!no-)(?<!with_)(?<!has_)(?<!no_)(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification|alert|sidebar|comments?|commentlist|"
     r"replies|reply|disqus|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|popup|modal|overlay|breadcrumbs?|menu|nav|navbar|navigation|footer|header|masthead|topbar|"
@@ -62,39 +64,46 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _SPACE = re.compile(r"\s+")
 
 
-MAIN, OPEN, MARKED = 0, 1, 2
+MAIN, OPEN, MARKED, SUSPECT = 0, 1, 2, 3
 
 
-def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
+def _role(tag: str, attributes: str, in_article: bool) -> int:
+    """What an element's own markup says of its lines: MARKED, SUSPECT or, of neither, OPEN."""
     if tag in CHROME_ELEMENTS or tag == "header" and not in_article:
-        return True
+        return MARKED
     if not attributes.strip() or tag in ("html", "body"):
-        return False
+        return OPEN
+    found = OPEN
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.strip().lower() in CHROME_ROLES:
-            return True
+            return MARKED
         if name in ("class", "id"):
-            if in_article and tag != "article":
-                if tag in CONTAINERS and not ARTICLE_CHROME.isdisjoint(value.lower().split()):
-                    return True
-            elif (NO_ARTICLE if tag in ("article", "main") else CHROME).search(value):
-                return True
-    return False
+            if tag in CONTAINERS and not ARTICLE_CHROME.isdisjoint(value.lower().split()) or tag == "article" and NO_ARTICLE.search(value):
+                return MARKED
+            if not in_article and tag not in ("article", "main") and CHROME.search(value):
+                found = SUSPECT
+    return found
 
 
 def parse(html: str | None) -> tuple[list[str], list[int]]:
-    """Lines of a page, and of each whether it is in an article (MAIN), OPEN, or MARKED as other than main text."""
+    """Lines of a page, and of each whether it is in an article (MAIN), OPEN, SUSPECT, or MARKED as other than main text."""
     lines: list[str] = []
     kinds: list[int] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, marked, in an article, without lines
+    stack: list[tuple[str, int, bool]] = []  # element, kind of its lines, without lines
+    count: dict[str, int] = {}  # open elements by name
+
+    def cut(k: int) -> None:
+        for x, *_ in stack[k:]:
+            count[x] -= 1
+        del stack[k:]
 
     def flush() -> None:
         if text:
             if line := _SPACE.sub(" ", entities.unescape("".join(text))).strip():
                 lines.append(line)
-                kinds.append(OPEN if not stack else MARKED if stack[-1][1] else MAIN if stack[-1][2] else OPEN)
+                kinds.append(stack[-1][1] if stack else OPEN)
             text.clear()
 
     at, end, source = 0, len(html or ""), html or ""
@@ -102,7 +111,7 @@ def parse(html: str | None) -> tuple[list[str], list[int]]:
         m = _TOKEN.match(source, at)
         at = m.end()
         tag = m[2] or m[5]
-        marked, article, silent = stack[-1][1:] if stack else (False, False, False)
+        kind, silent = stack[-1][1:] if stack else (OPEN, False)
         if not tag:
             if not silent and (source[m.start()] != "<" or m.end() == m.start() + 1):
                 text.append(m[0])
@@ -114,25 +123,23 @@ def parse(html: str | None) -> tuple[list[str], list[int]]:
             elif tag == "br":
                 text.append(" ")
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if count.get(tag):
+                cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag in VOID:
             continue
         if not silent:
             if tag in CLOSES_P and stack and stack[-1][0] == "p":
-                stack.pop()
-            if tag in ENDS:
+                cut(len(stack) - 1)
+            if tag in ENDS and any(count.get(x) for x in ENDS[tag][0]):
                 ended, within = ENDS[tag]
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in within:
                         break
                     if stack[k][0] in ended:
-                        del stack[k:]
+                        cut(k)
                         break
-            marked, article, silent = stack[-1][1:] if stack else (False, False, False)
+            kind, silent = stack[-1][1:] if stack else (OPEN, False)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
             at = close.start() if close else end
@@ -141,11 +148,17 @@ def parse(html: str | None) -> tuple[list[str], list[int]]:
             continue
         if attributes.rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        chrome = not marked and not silent and _is_chrome(tag, attributes, article)
-        silent = silent or tag in NO_TEXT or chrome and tag not in BLOCKS
+        role = OPEN if kind == MARKED or silent else _role(tag, attributes, kind == MAIN)
+        silent = silent or tag in NO_TEXT or role == MARKED and tag not in BLOCKS
         if tag in BLOCKS or silent:
-            marked = marked or chrome
-            stack.append((tag, marked, not marked and (article or tag == "article"), silent))
+            if role == MARKED or kind == MARKED:
+                kind = MARKED
+            elif tag == "article":
+                kind = MAIN
+            elif role == SUSPECT and kind == OPEN:
+                kind = SUSPECT
+            stack.append((tag, kind, silent))
+            count[tag] = count.get(tag, 0) + 1
     flush()
     return lines, kinds
 
@@ -214,12 +227,16 @@ def shared_path(a: str, b: str) -> tuple[int, int]:
 
 
 def _cut(own: dict, before: dict | None, after: dict | None) -> list[int]:
-    """Open lines that a page shares with the nearer of its neighbours in path order; of a tie the one before."""
+    """Open lines that a page shares with the nearer of its neighbours in path order (of a tie the one before), and suspect ones that it shares with either."""
     beside = [x for x in (before, after) if x and x["host"] == own["host"]]
     if not beside:
         return []
-    nearest = max(beside, key=lambda x: shared_path(x["path"], own["path"]))
-    return sorted(set(common(own["hashes"], nearest["hashes"])).intersection(own["open"]))
+    beside.sort(key=lambda x: shared_path(x["path"], own["path"]), reverse=True)
+    suspect = set(own["suspect"])
+    found = set(common(own["hashes"], beside[0]["hashes"])).intersection(own["open"])
+    if suspect and len(beside) > 1:
+        found |= suspect.intersection(common(own["hashes"], beside[1]["hashes"]))
+    return sorted(found)
 
 
 def _shared_lines(pages: DataFrame) -> DataFrame:
@@ -247,12 +264,12 @@ def _shared_lines(pages: DataFrame) -> DataFrame:
             row = (part, 3 if first else 2, own["host"], own["digest"], None, own, before)
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-    page = "struct<host:string,digest:bigint,path:string,hashes:array<bigint>,open:array<int>>"
+    page = "struct<host:string,digest:bigint,path:string,hashes:array<bigint>,open:array<int>,suspect:array<int>>"
     aligned = materialise(ordered.mapInArrow(align, f"part int, edge int, host string, digest long, cut array<int>, page {page}, inner {page}"), "aligned")
-    parts = sorted(r["part"] for r in aligned.filter("edge in (1, 3)").select("part").collect())  # one number for each partition
-    order = {p: k for k, p in enumerate(parts)}
-    place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("part")] if order else F.lit(0)
-    edges = aligned.filter("edge > 0").select(place.alias("k"), "edge", "page", "inner")
+    # a row for each partition, so the numbering window is small; places follow each other where partitions may be empty
+    ends = aligned.filter("edge > 0")
+    places = ends.select("part").distinct().withColumn("k", F.row_number().over(Window.orderBy("part")))
+    edges = ends.join(F.broadcast(places), "part").select("k", "edge", "page", "inner")
     lasts = edges.filter("edge in (2, 3)").select((F.col("k") + 1).alias("k"), F.col("page").alias("outer_before"))
     firsts = edges.filter("edge in (1, 3)").select((F.col("k") - 1).alias("k"), F.col("page").alias("outer_after"))
     met = edges.join(lasts, "k", "left").join(firsts, "k", "left").select("edge", "page", "inner", "outer_before", "outer_after")
@@ -266,7 +283,7 @@ def _shared_lines(pages: DataFrame) -> DataFrame:
     return aligned.filter("edge = 0").select("host", "digest", "cut").unionByName(met.mapInArrow(finish, "host string, digest long, cut array<int>"))
 
 
-_EDGE = pa.struct([("host", pa.string()), ("digest", pa.int64()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("open", pa.list_(pa.int32()))])
+_EDGE = pa.struct([("host", pa.string()), ("digest", pa.int64()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("open", pa.list_(pa.int32())), ("suspect", pa.list_(pa.int32()))])
 _URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)"
 #: Pages with deletions up to which these are broadcast; more are joined by a shuffle, with salted keys.
 MAX_BROADCAST_PAGES = 100_000
@@ -284,11 +301,11 @@ def decisions(pages: DataFrame) -> DataFrame:
             found = [parse(t) for t in batch.column(4).to_pylist()]
             hashes = [[xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in lines] for lines, _ in found]
             digests = [xxhash.xxh3_64_intdigest(np.array(h, np.int64).tobytes() + bytes(kinds)) - (1 << 63) for h, (_, kinds) in zip(hashes, found, strict=True)]
-            is_open = [[i for i, k in enumerate(kinds) if k == OPEN] for _, kinds in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(digests, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(is_open, pa.list_(pa.int32()))], names=["k1", "k2", "host", "path", "digest", "hashes", "open"])
+            is_open, suspect = ([[i for i, k in enumerate(kinds) if k in wanted] for _, kinds in found] for wanted in ((OPEN, SUSPECT), (SUSPECT,)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(digests, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), *[pa.array(x, pa.list_(pa.int32())) for x in (is_open, suspect)]], names=["k1", "k2", "host", "path", "digest", "hashes", "open", "suspect"])
 
-    hashed = materialise(addressed.mapInArrow(run, "k1 long, k2 long, host string, path string, digest long, hashes array<long>, open array<int>").filter(F.size("hashes") > 0), "hashes")
-    distinct = hashed.groupBy("host", "digest").agg(F.min(F.struct("path", "hashes", "open")).alias("f")).select("host", "digest", "f.path", "f.hashes", "f.open")
+    hashed = materialise(addressed.mapInArrow(run, "k1 long, k2 long, host string, path string, digest long, hashes array<long>, open array<int>, suspect array<int>").filter(F.size("hashes") > 0), "hashes")
+    distinct = hashed.groupBy("host", "digest").agg(F.min(F.struct("path", "hashes", "open", "suspect")).alias("f")).select("host", "digest", "f.path", "f.hashes", "f.open", "f.suspect")
     cuts = materialise(_shared_lines(distinct).filter(F.size("cut") > 0), "cuts")
     keys = hashed.filter(F.size("open") > 0).select("k1", "k2", "host", "digest").distinct()
     return keys.join(cuts, ["host", "digest"]).select("k1", "k2", "cut")

@@ -703,3 +703,37 @@ def test_empty_and_null_rows(spark, name):
 
 def test_empty_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_names_outside_articles_delete_nothing_alone():
+    """A name that contains a word for page furniture makes its lines suspect; only elements, roles and whole names mark them."""
+    page = '<h1 class="page-header">a</h1><section class="search-algorithms">b</section><div class="related-work">c</div><p id="social-history">d</p><main class="menu-of-the-day">e</main>'
+    lines, kinds = html_extract.parse(page)
+    assert lines == list("abcde") and html_extract.MARKED not in kinds and kinds.count(html_extract.SUSPECT) == 4
+    marked = '<div class="sidebar">a</div><ul id="menu">b</ul><div role="navigation">c</div><aside>d</aside><div hidden>e</div><footer>f</footer>'
+    assert set(html_extract.parse(marked)[1]) == {html_extract.MARKED}
+
+
+def test_unmatched_closing_tags_take_linear_time():
+    begin = time.time()
+    html_extract.parse("<div>" * 30_000 + "</span>" * 30_000 + "<li>" * 3)
+    assert time.time() - begin < 3
+
+
+def test_differencing_decides_on_pages_without_articles(spark):
+    """Precision and recall of main text where only the pages' neighbours tell what is template."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows, want = [], {}
+    for h in range(12):
+        top, links, end = [f"Site {word()}", f"{word()} {word()}"], [word() for _ in range(6)], [f"Terms of {word()}", "All rights reserved"]
+        for i in range(8):
+            own = [" ".join(word() for _ in range(r.randint(6, 20))) for _ in range(r.randint(2, 9))]
+            promo = f"Read {word()} too" if i % 3 else links[0] + " offer"  # some pages have one of their own
+            body = "".join(f"<div>{x}</div>" for x in top) + "<div class='page-nav'>" + "".join(f"<p>{x}</p>" for x in links) + "</div><main>" + "".join(f"<p>{x}</p>" for x in own) + f"</main><div class='site-promo'>{promo}</div>" + "".join(f"<div>{x}</div>" for x in end)
+            rows.append((h * 8 + i, f"http://h{h}.example.com/{'ab'[i % 2]}/{i:02d}", f"<html><body>{body}</body></html>"))
+            want[h * 8 + i] = own
+    got = {x["page_id"]: x["text"].split("\n") for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    kept, right, all_main = sum(map(len, got.values())), sum(x in want[i] for i, lines in got.items() for x in lines), sum(map(len, want.values()))
+    assert right == all_main  # recall 1: nothing of the main text goes
+    assert right / kept > 0.8 and kept - right <= len(rows)  # what stays beside it are promotions that no neighbour shares
