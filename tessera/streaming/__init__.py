@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.streaming.state import last_versions
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -33,9 +35,11 @@ def ingest_available(spark: SparkSession, source: str, target: str, checkpoint:
     query.awaitTermination()
 
 
-def upsert_available(spark: SparkSession, source: str, target: str, checkpoint: str, keys: Sequence[str], fmt: str = "parquet") -> None:
+def upsert_available(spark: SparkSession, source: str, target: str, checkpoint: str, keys: Sequence[str], fmt: str = "parquet", version: str | None = None) -> None:
     """Write the rows of new files as versions into target; current_rows() has the last version of each key.
 
+    Of a key's rows in one batch the one with the largest `version` counts; without such a column, any of them.
+
     A batch overwrites its own partition (the checkpoint's hash and the batch's number), so one that is repeated
     after a failure changes nothing, and no batch reads what is there.
     """
@@ -43,7 +47,8 @@ def upsert_available(spark: SparkSession, source: str, target: str, checkpoint:
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def put(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates(list(keys)).withColumns({"_at": F.current_timestamp(), "_order": F.lit(number)})
+        last = last_versions(batch, keys, version) if version else batch.dropDuplicates(list(keys))
+        rows = last.withColumns({"_at": F.current_timestamp(), "_order": F.lit(number)})
         rows.write.mode("overwrite").parquet(f"{target}/_run={run}/_batch={number}")
 
     query = spark.readStream.format(fmt).schema(schema).load(source).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
