@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HOT_SHARE, bounded_batches, materialise
+from tessera.llm.common import HOT_SHARE, bounded_batches, give_back, materialise
 
 #: A token is frequent if chunks of documents that have it repeatedly have it so often in all. The list of
 #: frequent tokens is broadcast: of more than MAX_FREQUENT, at any corpus size, the most frequent.
@@ -52,6 +52,9 @@ MAX_COMBINED = 10
 MAX_BROADCAST_IDS = 1_000_000
 CHUNK_TOKENS = 6_000_000
 CACHE = 150_000
+#: Bytes of texts in an Arrow batch, and texts whose words are held at once: with both workers of an executor, tokens should fit.
+BATCH_BYTES = 2 << 20
+AT_ONCE = 250
 #: Members of a token's bucket that meet across components without a second token in common.
 SPLIT = 256
 SALTS = 64
@@ -150,8 +153,8 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
         ids_type = pa.int64()
         for batch in batches:
             ids_type = batch.schema.field(0).type
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
+            for low in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(low, AT_ONCE)
                 sets = token_sets(part.column(1).cast(pa.binary()).to_pylist(), n, cache)
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 for s, d in zip(sets, digests, strict=True):
@@ -166,6 +169,8 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
                     yield counted()
                     seen, size = set(), 0
         yield counted()
+        cache.clear()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, token long, seen long")
 
@@ -177,8 +182,8 @@ def _index(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, own = _Hashes(), shared.value
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
+            for low in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(low, AT_ONCE)
                 sets = token_sets(part.column(1).cast(pa.binary()).to_pylist(), n, cache)
                 found = [index_keys(s, own, percent) for s in sets]
                 lists = []
@@ -186,6 +191,8 @@ def _index(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataF
                     ends = np.concatenate(([0], np.cumsum([len(f[which]) for f in found]))).astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate([f[which] for f in found])))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *lists, pa.array([f[3] for f in found], pa.bool_())], names=["id", "n", "rare", "often", "combined", "large"])
+        cache.clear()
+        give_back()
 
     return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, f"id {kind}, n long, rare array<long>, often array<long>, combined array<long>, large boolean")
 
@@ -355,7 +362,7 @@ def _all_pairs(shared: DataFrame, sizes: DataFrame, prefixes: DataFrame, percent
 
 def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: documents link when their sets' Jaccard similarity is percent / 100 or more."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, BATCH_BYTES)
     docs = docs.select("doc_id", "text")
     own, classes, prefixes, shared = _classes(docs, n, percent)
     col = F.col
@@ -382,7 +389,7 @@ def pairs(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     A class is known by its smallest doc_id. All links are listed, so a group of n different near copies has
     about n * n / 2 of them; equal sets are one class and listed by the membership alone.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, BATCH_BYTES)
     docs = docs.select("doc_id", "text")
     own, classes, prefixes, shared = _classes(docs, n, percent)
     entries = shared.select("key", "id", "n", "pos", "c", F.col("id").alias("label"))

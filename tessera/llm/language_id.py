@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, fold, hash_share
+from tessera.llm.common import bounded_batches, fold, give_back, hash_share
 
 BUCKET_BITS = 16
 #: Cells of the broadcast matrix, four bytes each.
@@ -35,6 +35,7 @@ FIXED_POINT = 1024
 PIECE = 1 << 19
 #: Texts whose code points are held at once.
 AT_ONCE = 250
+BATCH_BYTES = 2 << 20
 _SPACE = 32
 _LETTERS: list[np.ndarray] = []
 _NO_CODES = np.zeros(0, np.uint32)
@@ -103,7 +104,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     n-gram counts are summed on the executors; the driver receives at most CELLS of them, and a number of rows
     for each language, which also makes its prior.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, BATCH_BYTES)
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null")
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
@@ -161,7 +162,7 @@ def _score(texts: list[str | None], model: LanguageModel) -> list[tuple[str, flo
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep with lang_pred and score for every row; texts are scored whole."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_BYTES)
     shared = spark.sparkContext.broadcast((model.languages, model.weights, model.priors, model.bits))
     held = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("t"))
     schema = ", ".join([f"k{i} {held.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))] + ["lang_pred string", "score double"])
@@ -172,6 +173,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tup
             texts = batch.column(len(keep)).to_pylist()
             found = [x for low in range(0, len(texts), AT_ONCE) for x in _score(texts[low : low + AT_ONCE], own)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names[: len(keep)], "lang_pred", "score"])
+        give_back()
 
     return held.mapInArrow(run, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
