@@ -69,12 +69,6 @@ def _first(scored: DataFrame, k: int, query: str, id_: str) -> DataFrame:
     return scored.withColumn("__r", rank).filter(F.col("__r") <= k).drop("__r")
 
 
-def dense_topk_each(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", column: str = "embedding", query: str = "query_id") -> DataFrame:
-    """dense_topk for every row (query, column) of queries. Few queries are broadcast, more are paired block by block."""
-    asked = queries.select(query, F.col(column).alias("__q"))
-    return _first(vectors.crossJoin(asked).select(query, id_, F.round(cosine(F.col(column), F.col("__q")), 9).alias("score")), k, query, id_)
-
-
 def bm25_topk_each(docs: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, query: str = "query_id") -> DataFrame:
     """bm25_topk for the whole text of every row (query, text) of queries; ids of docs must be unique."""
     asked = queries.select(query, F.explode(F.array_distinct(words(text))).alias("t"))

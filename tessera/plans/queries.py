@@ -13,6 +13,7 @@ from tessera.functions import extract as ex
 from tessera.functions import lexicons as lx
 from tessera.functions import retrieval as rt
 from tessera.functions import text as tx
+from tessera.functions import vectors as vs
 from tessera.operators import graph as go
 from tessera.plans.views import VIEW_SQL, VIEWS
 from tessera.sources.files import absolute_url, links
@@ -683,12 +684,24 @@ _DENSE_EACH = f"SELECT query_id, vec_id, round(s, 6) AS score FROM (SELECT q.vec
 
 @query(_DENSE_EACH.replace("%s", "true"))
 def dense_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.dense_topk_each(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir, "embeddings", "vec_id"), 15).withColumn("score", F.round("score", 6))
+    return vs.dense_topk_each(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir, "embeddings", "vec_id"), 15).withColumn("score", F.round("score", 6))
 
 
 @query(_DENSE_EACH.replace("%s", "e.label = 1"))
 def filtered_dense_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.dense_topk_each(table(spark, sf_dir, "embeddings").filter("label = 1"), _asked(spark, sf_dir, "embeddings", "vec_id"), 15).withColumn("score", F.round("score", 6))
+    return vs.dense_topk_each(table(spark, sf_dir, "embeddings").filter("label = 1"), _asked(spark, sf_dir, "embeddings", "vec_id"), 15).withColumn("score", F.round("score", 6))
+
+
+@query()
+def inverted_lists_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dense_topk_each from inverted lists: about the square root of the rows' number of lists, of which a query reads as many as hold 95 % of the neighbours of drawn rows."""
+    rows = table(spark, sf_dir, "embeddings")
+    lists = max(1, round(rows.count() ** 0.5))
+    centroids = vs.fit_centroids(rows, lists)
+    kept = stored(spark, sf_dir, "vector_lists", lambda: vs.nearest_lists(rows.select("vec_id", "embedding"), centroids, 1, "vec_id"), ["list"])
+    asked = _asked(spark, sf_dir, "embeddings", "vec_id").select("query_id", "embedding")
+    probes = vs.nearest_lists(asked, centroids, vs.probes_for(kept, centroids, 15), "query_id").select("query_id", "list")
+    return vs.dense_topk_each(kept, asked, 15, probes=probes).withColumn("score", F.round("score", 6))
 
 
 @query(r"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS t FROM benchmark WHERE item_id % 50 = 0),
@@ -703,7 +716,7 @@ def bm25_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lists_each(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Both ranked lists of each benchmark item and the vector of its id."""
     items, vectors = _asked(spark, sf_dir, "benchmark", "item_id"), _asked(spark, sf_dir, "embeddings", "vec_id")
-    dense = rt.dense_topk_each(table(spark, sf_dir, "embeddings"), vectors.join(items.select("query_id"), "query_id", "left_semi"), 15)
+    dense = vs.dense_topk_each(table(spark, sf_dir, "embeddings"), vectors.join(items.select("query_id"), "query_id", "left_semi"), 15)
     return dense.withColumnRenamed("vec_id", "id"), rt.bm25_topk_each(table(spark, sf_dir, "documents"), items, 15).withColumnRenamed("doc_id", "id")
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tessera.functions import extract, retrieval, text
+from tessera.functions import vectors as near
 from tessera.operators import graph
 from tessera.sources import files, sinks
 from tessera.sources.graph_tables import Graph
@@ -99,7 +100,7 @@ def test_searches_of_many_queries(spark):
     texts = {i: " ".join(r.choices(words, k=12)) for i in (0, 50, 100)}
     points = {i: [r.random() for _ in range(4)] for i in texts}
     asked = spark.createDataFrame([(i, texts[i], points[i]) for i in texts], "query_id long, text string, embedding array<double>")
-    many = [retrieval.dense_topk_each(vectors, asked, 5).withColumnRenamed("vec_id", "id"), retrieval.bm25_topk_each(docs, asked, 5).withColumnRenamed("doc_id", "id")]
+    many = [near.dense_topk_each(vectors, asked, 5).withColumnRenamed("vec_id", "id"), retrieval.bm25_topk_each(docs, asked, 5).withColumnRenamed("doc_id", "id")]
     fused = [retrieval.reciprocal_ranks_each(many, "id"), retrieval.weighted_each([(many[0], 0.7), (many[1], 0.3)], "id")]
     rows = [x.collect() for x in many + fused]
     for i in texts:
