@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hallucination(has_sources: Column, hedged: Column, grounded: Column) -> Column:
@@ -37,17 +39,28 @@ def tools_used(text: Column, patterns: dict[str, Sequence[str]]) -> Column:
     return F.array_compact(F.array(*[F.when(F.lower(text).rlike("|".join(ps)), F.lit(name)) for name, ps in patterns.items()]))
 
 
-def rouge_l(a: Column, b: Column) -> Column:
-    """ROUGE-L F1: the longest common subsequence of two word arrays, row by row of the alignment."""
-    n, m = F.size(a), F.size(b)
+def common_length(a: Sequence[str], b: Sequence[str]) -> int:
+    """Length of the longest common subsequence: the columns of the alignment are bits of one number, a row is a few operations on it."""
+    places: dict[str, int] = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    whole = state = (1 << len(b)) - 1
+    for x in a:
+        hit = state & places.get(x, 0)
+        state = (state + hit | state - hit) & whole
+    return len(b) - state.bit_count()
 
-    def row(before: Column, x: Column) -> Column:
-        # cells of a row depend on the one to their left, so they are folded along b
-        step = lambda out, j: F.array_append(out, F.when(F.get(b, j) == x, F.get(before, j) + 1).otherwise(F.greatest(F.get(before, j + 1), F.element_at(out, -1))))
-        return F.aggregate(F.sequence(F.lit(0), m - 1), F.array(F.lit(0)), step)
 
-    last = F.aggregate(a, F.array_repeat(F.lit(0), m + 1), row)
-    return F.when((n == 0) | (m == 0), 0.0).otherwise(2.0 * F.element_at(last, -1) / (n + m))
+@F.pandas_udf(T.DoubleType())
+def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
+    """ROUGE-L F1 of two word arrays, null if either is; 0 if either is empty."""
+
+    def one(x: Sequence[str] | None, y: Sequence[str] | None) -> float | None:
+        if x is None or y is None:
+            return None
+        return 2.0 * common_length(x, y) / (len(x) + len(y)) if len(x) and len(y) else 0.0
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
 
 
 def micro_macro(cells: DataFrame) -> DataFrame:

@@ -270,8 +270,28 @@ def cluster_entities(mentions: DataFrame, group: str, label: str, name: str, ord
     return distinct.groupBy("g", "l").applyInPandas(run, schema).withColumnsRenamed({"g": group, "l": label})
 
 
+@F.udtf(returnType="speaker string, text string, start int, end int")
+class SpeakerSegments:
+    """A row for each speaker segment of a text: SELECT ... FROM t, LATERAL speaker_segments_of(t.text)."""
+
+    def eval(self, text: str):
+        for m in _SPEAKER.finditer(text or ""):
+            yield m[1].strip(), m[2].strip(), m.start(), m.end()
+
+
+@F.udtf(returnType="start int, end int, text string")
+class Chunks:
+    """A row for each overlapping chunk of a text, LATERAL chunks_of(t.text, size, overlap)."""
+
+    def eval(self, text: str, size: int, overlap: int):
+        for span in spans_of(text, size, overlap):
+            yield span["start"], span["end"], text[span["start"] : span["end"]]
+
+
 def register(spark: SparkSession) -> None:
-    """SQL names for the functions that SQL has no form of."""
+    """SQL names for the functions that SQL has no form of, table functions among them."""
+    spark.udtf.register("speaker_segments_of", SpeakerSegments)
+    spark.udtf.register("chunks_of", Chunks)
     spark.udf.register("fuzzy_ratio", fuzzy_ratio)
     spark.udf.register("chunk_spans", chunk_spans)
     spark.udf.register("speaker_segments", speaker_segments)

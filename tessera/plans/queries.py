@@ -15,6 +15,7 @@ from tessera.functions import retrieval as rt
 from tessera.functions import text as tx
 from tessera.functions import vectors as vs
 from tessera.operators import graph as go
+from tessera.operators import intervals as iv
 from tessera.plans.views import VIEW_SQL, VIEWS
 from tessera.sources.files import absolute_url, links
 from tessera.sources.graph_tables import PRELUDE, Graph, build
@@ -831,12 +832,10 @@ def earliest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM labels)"""
 )
 def train_dev_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact 80/20 split in a seeded order; ranks come from buckets of the order, not from one task."""
-    rows = table(spark, sf_dir, "labels").select("doc_id", F.md5(F.concat(F.lit("42|"), C("doc_id").cast("string"))).alias("o")).withColumn("k", F.substring("o", 1, 3))
-    per = rows.groupBy("k").agg(F.count("*").alias("n"))
-    base = per.select("k", F.coalesce(F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("all"))
-    rank = C("before") + F.row_number().over(Window.partitionBy("k").orderBy("o", "doc_id"))
-    return rows.join(F.broadcast(base), "k").select("doc_id", F.when(rank <= 0.8 * C("all"), "train").otherwise("dev").alias("part"))
+    """Exact 80/20 split in a seeded order; ranks are running counts over blocks of that order, as many as the rows need."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.md5(F.concat(F.lit("42|"), C("doc_id").cast("string"))).alias("o"))
+    ranked = iv.running(rows, [], [C("o"), C("doc_id")], {"before": ("count", "o")})
+    return ranked.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n")))).select("doc_id", F.when(C("before") + 1 <= 0.8 * C("n"), "train").otherwise("dev").alias("part"))  # one row
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")

@@ -217,15 +217,11 @@ def object_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM events"""
 )
 def timestamp_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order statistics of a time from counts of its values."""
+    """Order statistics of a time from counts of its values; ranks are running sums over blocks of the times."""
     by = table(spark, sf_dir, "events").groupBy("ts").agg(F.count("*").alias("c"))
-    all_ = Window.partitionBy(F.month("ts"), F.year("ts"))
-    months = by.groupBy(F.year("ts").alias("y"), F.month("ts").alias("m")).agg(F.sum("c").alias("c"), F.count("ts").alias("k"))
-    before = months.filter("k > 0").withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("y", "m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each month
     totals = by.agg(F.sum("c").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.coalesce(F.sum(F.when(C("ts").isNull(), C("c"))), F.lit(0)).alias("missing"))
-    upto = F.sum("c").over(all_.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = by.filter("ts is not null").withColumn("in_month", upto).withColumns({"y": F.year("ts"), "m": F.month("ts")}).join(F.broadcast(before.select("y", "m", "before")), ["y", "m"])
-    middle = ranked.crossJoin(F.broadcast(totals)).filter(C("before") + C("in_month") > F.floor((C("n") - C("missing")) / 2)).agg(F.min("ts").alias("middle"))  # one row
+    ranked = iv.running(by.filter("ts is not null"), [], [C("ts")], {"before": ("sum", "c")})
+    middle = ranked.crossJoin(F.broadcast(totals)).filter(C("before") + C("c") > F.floor((C("n") - C("missing")) / 2)).agg(F.min("ts").alias("middle"))  # one row
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return totals.crossJoin(F.broadcast(middle)).select("n", shown("first").alias("first"), shown("last").alias("last"), shown("middle").alias("middle"), "missing")
 
@@ -344,3 +340,19 @@ def softmax_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rouge_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     return ev.rouge_n(b.select("item_id", C("text").alias("a")).join(b.select((C("item_id") - 1).alias("item_id"), C("text").alias("b")), "item_id"), 1, "item_id", "a", "b")
+
+
+@query()
+def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROUGE-L of each benchmark item and the next one."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
+    both = b.select("item_id", C("w").alias("a")).join(b.select((C("item_id") - 1).alias("item_id"), C("w").alias("b")), "item_id")
+    return both.select("item_id", F.round(an.rouge_l("a", "b"), 6).alias("rouge"))
+
+
+@query("SELECT conv_id, turn, upper(substring(role, 1, 1)) || substring(role, 2) AS speaker, length(trim(text, E' \\t\\n\\x0b\\f\\r')) AS n FROM conversations WHERE text IS NOT NULL")
+def lateral_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The speaker segments of conversations by a table function in SQL."""
+    tx.register(spark)
+    table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.initcap("role"), F.lit(": "), "text").alias("told")).createOrReplaceTempView("tessera_told")
+    return spark.sql("SELECT conv_id, turn, s.speaker, length(s.text) AS n FROM tessera_told, LATERAL speaker_segments_of(told) s")

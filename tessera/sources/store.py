@@ -3,7 +3,8 @@
 A stored table is Parquet in spark.checkpoint.dir, which the driver and all executors share, partitioned by the
 columns that queries select on, so each reads the partitions it needs. Without that setting a temporary folder
 serves local mode; on a cluster its absence is an error. A store belongs to one application and is deleted when
-the process ends. Inputs are taken as immutable under their path; drop() forgets what was built from one.
+the process ends. A table is built again when names, sizes or times of the entries of its input folder have changed;
+drop() forgets what was built from one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-_STORED: dict[tuple[str, str, str], tuple[SparkSession, str, StructType]] = {}
+_STORED: dict[tuple[str, str, str], tuple[SparkSession, str, StructType, tuple]] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _OWN_DIR: dict[str, str] = {}
 
@@ -33,14 +34,23 @@ def folder(spark: SparkSession) -> str:
     return f"{path.rstrip('/')}/{app}"
 
 
+def _state(spark: SparkSession, base: str) -> tuple:
+    """Names, sizes and times of the entries of a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files.listStatus(path))) if files.exists(path) else ()
+
+
 def stored(spark: SparkSession, base: str, name: str, make: Callable[[], DataFrame], by: Sequence[str] = ()) -> DataFrame:
     """The table `name` derived from the inputs at base; make() builds it the first time."""
-    key = (spark.sparkContext.applicationId, base, name)
+    key, state = (spark.sparkContext.applicationId, base, name), _state(spark, base)
+    if key in _STORED and _STORED[key][3] != state:
+        _delete(*_STORED.pop(key)[:2])
     if key not in _STORED:
         df, path = make(), f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
         df.write.partitionBy(*by).parquet(path)
-        _STORED[key] = (spark, path, df.schema)
-    _, path, schema = _STORED[key]
+        _STORED[key] = (spark, path, df.schema, state)
+    _, path, schema, _ = _STORED[key]
     return spark.read.schema(schema).parquet(path)
 
 

@@ -108,8 +108,10 @@ def test_stored_tables_are_built_once(spark, tmp_path):
     one, two = (store.stored(spark, str(tmp_path), "t", make, ["type"]) for _ in range(2))
     assert len(calls) == 1 and one.filter("type = 'a'").count() == 5 and two.count() == 10
     assert "PartitionFilters: [isnotnull(type" in one.filter("type = 'a'")._jdf.queryExecution().toString()
-    store.drop(spark, str(tmp_path))
+    spark.range(1).write.parquet(str(tmp_path / "input.parquet"))  # the inputs change
     assert store.stored(spark, str(tmp_path), "t", make, ["type"]).count() == 10 and len(calls) == 2
+    store.drop(spark, str(tmp_path))
+    assert store.stored(spark, str(tmp_path), "t", make, ["type"]).count() == 10 and len(calls) == 3
 
 
 def test_labelled_sections_come_once(spark):
