@@ -59,6 +59,26 @@ def questions_answers(text: Column | str, shortest: int = 20, longest: int = 600
     return F.flatten(F.transform(plain, lambda s: F.when(F.length(s) > longest, sentences(s, shortest)).otherwise(F.array(s))))
 
 
+def whole(text: Column | str, shortest: int = 50, longest: int = 512) -> Column:
+    """The text as one segment, white space collapsed, a long one cut back to a blank and closed with a full stop; none if it is short."""
+    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
+    cut = F.concat(F.regexp_replace(F.substring(plain, 1, longest), r" [^ ]*$", ""), F.lit("."))
+    return F.filter(F.array(F.when(F.length(plain) > longest, cut).otherwise(plain)), lambda s: F.length(s) >= shortest)
+
+
+STRATEGIES = {"sentences": sentences, "paragraphs": paragraphs, "qna": questions_answers, "full": whole}
+
+
+def segments(transcripts: DataFrame, strategy: str = "sentences", shortest: int = 50, longest: int = 512) -> DataFrame:
+    """(symbol, quarter, year, date, pos, segment) of transcripts with a content; what isn't told of them is UNKNOWN or a question mark."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}; there are {', '.join(STRATEGIES)}")
+    told = {"symbol": "UNKNOWN", "quarter": "?", "year": "?", "date": "?"}
+    known = [F.coalesce(F.col(c).cast("string"), F.lit(v)).alias(c) if c in transcripts.columns else F.lit(v).alias(c) for c, v in told.items()]
+    rows = transcripts.filter("content is not null and content != ''")
+    return rows.select(*known, F.posexplode(STRATEGIES[strategy]("content", shortest, longest)).alias("pos", "segment"))
+
+
 def word_count(text: Column | str) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+"))
 

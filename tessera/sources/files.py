@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import section_key
 
@@ -46,10 +50,40 @@ def read_sections(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").json(path).select("*", F.input_file_name().alias("path"))
 
 
+#: A string field of so many characters is taken for the body of a transcript that names none.
+LONG_FIELD = 1000
+
+
+def transcript_of(source: str | None) -> dict | None:
+    """Fields of a transcript file: its object, or the first one of its list; the body is content, else transcript, else an object's first long string."""
+    try:
+        data = json.loads(source or "")
+    except ValueError:
+        return None
+    first = data if isinstance(data, dict) else data[0] if isinstance(data, list) and data else None
+    if not isinstance(first, dict):
+        return None
+    body = next((first[k] for k in ("content", "transcript") if k in first), None)
+    if isinstance(data, dict) and not {"content", "transcript"} & first.keys():
+        body = next((v for v in first.values() if isinstance(v, str) and len(v) > LONG_FIELD), None)
+    if not body or not isinstance(body, str):
+        return None
+    told = {k: None if first.get(k) is None else str(first[k]) for k in ("symbol", "quarter", "year", "date")}
+    return told | {"content": body}
+
+
+_FIELDS = ("symbol", "quarter", "year", "date", "content")
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in _FIELDS]))
+def _transcripts(source: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([transcript_of(x) or dict.fromkeys(_FIELDS) for x in source], columns=_FIELDS)
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """One row a call; the quarter may be written Q1 or 1, the body is content or transcript."""
-    rows = spark.read.schema("symbol string, quarter string, year string, date string, content string, transcript string").option("multiLine", "true").json(path)
-    return rows.select("symbol", F.regexp_replace(F.upper("quarter"), "Q", "").cast("int").alias("quarter"), F.col("year").cast("int").alias("year"), "date", F.coalesce("content", "transcript").alias("content"))
+    """One row for each file with a body; the quarter may be written Q1, q1 or 1."""
+    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(_transcripts("value").alias("t")).select("t.*").filter("content is not null")
+    return rows.select("symbol", F.regexp_replace(F.upper("quarter"), "Q", "").try_cast("int").alias("quarter"), F.col("year").try_cast("int").alias("year"), "date", "content")
 
 
 def read_insider(spark: SparkSession, path: str) -> DataFrame:
@@ -145,3 +179,12 @@ def page_meta(html: str) -> tuple[Column, Column]:
 def sample(rows: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     """n rows drawn by a seeded hash of their keys: the same ones every time."""
     return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+
+
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+
+
+def meeting(title: Column | str) -> tuple[Column, Column]:
+    """Date or range of days, and number, of the meeting that a title names; null where it names none."""
+    day = F.regexp_extract(title, rf"(?:{MONTHS})\s+\d{{1,2}}(?:-\d{{1,2}})?,\s+\d{{4}}", 0)
+    return F.nullif(day, F.lit("")), F.nullif(F.regexp_extract(title, r"(?i)meeting\s+(\d+)", 1), F.lit(""))
