@@ -185,8 +185,29 @@ _TX = """WITH t AS (SELECT DISTINCT 'C' || o_custkey AS cik, c_name AS insider,
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct transactions, stored once: two fills with the same properties are one."""
-    return stored(spark, sf_dir, "transactions", lambda: _transactions(spark, sf_dir), ["kind"])
+    """Distinct transactions, stored once: two fills with the same properties are one.
+
+    A filing's first row of a code, issuer, day or (of derivatives) security is marked, so filings are counted by sums.
+    """
+
+    def marked() -> DataFrame:
+        rows = _transactions(spark, sf_dir).repartition("accession")  # also deals the windows
+        order = ["cik", "symbol", "d", "code", "ad", "shares", "price", "kind", "security", "underlying"]
+        firsts = {"code": ["code"], "issuer": ["symbol", "company"], "day": ["d"], "security": ["kind", "security", "underlying"]}
+        first = lambda keys: (F.row_number().over(Window.partitionBy("accession", *keys).orderBy(*[c for c in order if c not in keys])) == 1).cast("int")
+        return rows.withColumns({f"first_of_{name}": first(keys) for name, keys in firsts.items()})
+
+    return stored(spark, sf_dir, "transactions", marked, ["kind"])
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insiders and issuers that have a transaction, stored once in the order of their names."""
+    return stored(spark, sf_dir, "positions", lambda: transactions(spark, sf_dir).select("cik", "insider", "symbol", "company").distinct().repartitionByRange("insider", "symbol").sortWithinPartitions("insider", "symbol"))
+
+
+def _filings(of: str) -> Column:
+    """Number of filings, by the marks of their first rows."""
+    return F.sum(f"first_of_{of}").alias("filing_count")
 
 
 def _transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +255,7 @@ def top_insiders(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def company_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda k: F.sum(F.when(C("ad") == k, C("shares")).otherwise(0.0))
-    rows = transactions(spark, sf_dir).groupBy("symbol", C("company").alias("company_name")).agg(F.count("*").alias("transaction_count"), F.countDistinct("accession").alias("filing_count"), F.round(of("A"), 2).alias("total_acquired"), F.round(of("D"), 2).alias("total_disposed"), F.round(of("A") - of("D"), 2).alias("net_change"))
+    rows = transactions(spark, sf_dir).groupBy("symbol", C("company").alias("company_name")).agg(F.count("*").alias("transaction_count"), _filings("issuer"), F.round(of("A"), 2).alias("total_acquired"), F.round(of("D"), 2).alias("total_disposed"), F.round(of("A") - of("D"), 2).alias("net_change"))
     return go.top(rows, F.desc("transaction_count"), C("symbol"), n=50)
 
 
@@ -243,7 +264,7 @@ def company_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM t WHERE d IS NOT NULL GROUP BY d ORDER BY d DESC LIMIT 100"""
 )
 def transaction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = transactions(spark, sf_dir).filter("d is not null").groupBy("d").agg(F.count("*").alias("transaction_count"), F.countDistinct("accession").alias("filing_count"), _shares().alias("total_shares"), _avg_price())
+    rows = transactions(spark, sf_dir).filter("d is not null").groupBy("d").agg(F.count("*").alias("transaction_count"), _filings("day"), _shares().alias("total_shares"), _avg_price())
     return go.top(rows, F.desc("d"), n=100).withColumn("d", C("d").cast("string")).withColumnRenamed("d", "date")
 
 
@@ -254,7 +275,7 @@ def transaction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def insider_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insiders and issuers that have a transaction."""
     who = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), C("c_custkey").cast("string")).alias("cik"), (C("c_acctbal") > 5000).alias("is_director"), (C("c_acctbal") <= 5000).alias("is_officer"), (C("c_acctbal") < 0).alias("is_ten_percent"), C("c_mktsegment").alias("title"))
-    rows = transactions(spark, sf_dir).select("cik", "insider", "symbol", "company").distinct().join(who, "cik")
+    rows = positions(spark, sf_dir).join(who, "cik")
     rows = rows.select(C("insider").alias("insider_name"), C("cik").alias("insider_cik"), C("symbol").alias("company_symbol"), C("company").alias("company_name"), "is_director", "is_officer", "is_ten_percent", "title")
     return go.top(rows, C("insider_name"), C("company_symbol"), n=200)
 
@@ -264,7 +285,7 @@ def insider_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM t WHERE kind = 'derivative' GROUP BY ALL ORDER BY transaction_count DESC, derivative_type, underlying LIMIT 50"""
 )
 def derivative_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = transactions(spark, sf_dir).filter("kind = 'derivative'").groupBy(C("security").alias("derivative_type"), "underlying").agg(F.count("*").alias("transaction_count"), _shares().alias("total_shares"), F.countDistinct("accession").alias("filing_count"))
+    rows = transactions(spark, sf_dir).filter("kind = 'derivative'").groupBy(C("security").alias("derivative_type"), "underlying").agg(F.count("*").alias("transaction_count"), _shares().alias("total_shares"), _filings("security"))
     return go.top(rows, F.desc("transaction_count"), C("derivative_type"), C("underlying"), n=50)
 
 
@@ -274,7 +295,7 @@ def derivative_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def transaction_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda k: F.sum((C("ad") == k).cast("long"))
-    return transactions(spark, sf_dir).groupBy("code").agg(F.count("*").alias("transaction_count"), F.countDistinct("accession").alias("filing_count"), _shares().alias("total_shares"), of("A").alias("acquisitions"), of("D").alias("dispositions"))
+    return transactions(spark, sf_dir).groupBy("code").agg(F.count("*").alias("transaction_count"), _filings("code"), _shares().alias("total_shares"), of("A").alias("acquisitions"), of("D").alias("dispositions"))
 
 
 # --- investigation -----------------------------------------------------------------------------------------
@@ -1005,6 +1026,7 @@ def checkpoint_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def insider_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = transactions(spark, sf_dir)
+    t = t.select(*[c for c in t.columns if not c.startswith("first_of_")])
     both = t.select("kind", F.lit(1).alias("f")).union(go.matching_all(t, ["accession", "d", "kind"], "symbol").select("kind", F.lit(0)))
     return both.groupBy("kind").agg(F.sum("f").alias("filed"), F.sum(1 - C("f")).alias("involves"))
 
