@@ -726,11 +726,13 @@ def inverted_lists_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vs.dense_topk_each(kept, asked, 15, probes=probes).withColumn("score", F.round("score", 6))
 
 
-@query(r"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS t FROM benchmark WHERE item_id % 50 = 0),
+_BM25_EACH = r"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS t FROM benchmark WHERE item_id % 50 = 0),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
 tf AS (SELECT doc_id, dl, t, count(*) AS f FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
-bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS s FROM q JOIN tf USING (t) JOIN df USING (t), st GROUP BY ALL)
-SELECT query_id, doc_id, round(s, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) <= 15""")
+bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS s FROM q JOIN tf USING (t) JOIN df USING (t), st GROUP BY ALL)"""
+
+
+@query(_BM25_EACH + " SELECT query_id, doc_id, round(s, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) <= 15")
 def bm25_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.bm25_topk_each(table(spark, sf_dir, "documents"), _asked(spark, sf_dir, "benchmark", "item_id"), 15).withColumn("score", F.round("score", 6))
 
@@ -742,12 +744,18 @@ def _lists_each(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return dense.withColumnRenamed("vec_id", "id"), rt.bm25_topk_each(table(spark, sf_dir, "documents"), items, 15).withColumnRenamed("doc_id", "id")
 
 
-@query()
+_BOTH_EACH = _BM25_EACH + f""", sp AS (SELECT query_id, doc_id AS id, s AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) <= 15),
+de AS (SELECT query_id, vec_id AS id, s AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS.replace(', 6)', ', 9)')} AS s FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 50 = 0)) q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 15)"""
+_RANK = "1.0 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))"
+_SCALED = "coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 1.0)"
+
+
+@query(f"{_BOTH_EACH} SELECT query_id, id, round(sum(r), 9) AS score FROM (SELECT query_id, id, {_RANK} AS r FROM de UNION ALL SELECT query_id, id, {_RANK} FROM sp) GROUP BY query_id, id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sum(r), 9) DESC, id) <= 10")
 def hybrid_rrf_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.reciprocal_ranks_each(list(_lists_each(spark, sf_dir)), "id")
 
 
-@query()
+@query(f"{_BOTH_EACH} SELECT query_id, id, round(sum(r), 6) AS score FROM (SELECT query_id, id, 0.7 * {_SCALED} AS r FROM de WINDOW w AS (PARTITION BY query_id) UNION ALL SELECT query_id, id, 0.3 * {_SCALED} FROM sp WINDOW w AS (PARTITION BY query_id)) GROUP BY query_id, id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sum(r), 6) DESC, id) <= 10")
 def hybrid_weighted_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense, sparse = _lists_each(spark, sf_dir)
     return rt.weighted_each([(dense, 0.7), (sparse, 0.3)], "id")
