@@ -372,7 +372,9 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     reached = components(links)
     spread = materialise(shared.join(reached, "id", "left").select("key", "id", "n", "pos", "c", F.coalesce("label", "id").alias("label")), "spread")
     sizes = materialise(spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("c").alias("c"), F.count("*").alias("m")).filter(f"lo != hi and c != {SINGLE}").select("key", "m", "c"), "apart")
-    second = materialise(_all_pairs(spread, sizes, prefixes, percent, True).join(first, ["a", "b"], "left_anti"), "pairs")
+    # a pair meets in many buckets; it is made distinct and written before the join, which would be pushed below that else
+    met = materialise(_all_pairs(spread, sizes, prefixes, percent, True), "met")
+    second = materialise(met.join(first, ["a", "b"], "left_anti"), "pairs")
     more = materialise(_verified(second, prefixes, docs, n, percent), "verified")
     if not more.isEmpty():
         reached = components(links.union(more))
