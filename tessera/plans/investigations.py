@@ -18,13 +18,13 @@ _TOLD = "coalesce(who[1], '') AS primary_speaker, coalesce(array_to_string(who,
 
 
 def _org(g: Graph, name: str = ORG) -> DataFrame:
-    return g.nodes.filter((C("label") == "ORG") & (C("name") == name))
+    return g.nodes_of("ORG").filter(C("name") == name)
 
 
 def _with_speakers(g: Graph, statements: DataFrame) -> DataFrame:
     """Rows with a statement's node id as `statement`, and who said it: the first by name, all, and how many."""
-    people = g.nodes.filter("label = 'PERSON'").select(C("node_id").alias("src"), C("name").alias("who"))
-    said = g.edges.filter("type = 'SAID'").join(people, "src").groupBy(C("dst").alias("statement")).agg(F.array_sort(F.collect_set("who")).alias("who"))
+    people = g.nodes_of("PERSON").select(C("node_id").alias("src"), C("name").alias("who"))
+    said = g.edges_of("SAID").join(people, "src").groupBy(C("dst").alias("statement")).agg(F.array_sort(F.collect_set("who")).alias("who"))
     rows = statements.join(said, "statement", "left")
     none = F.coalesce("who", F.array().cast("array<string>"))
     return rows.withColumns({"primary_speaker": F.coalesce(F.get(none, F.lit(0)), F.lit("")), "all_speakers": F.array_join(none, "|"), "speaker_count": F.size(none).cast("long")}).drop("who")
@@ -43,11 +43,11 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def statements_by_section(g: Graph) -> DataFrame:
     """Statements whose id begins with that of a section of the company: an equi-join on the part before the mark, then the prefix."""
-    employed = g.edges.filter("type = 'WORKS_FOR' and dst = 'S1'").select("src")
-    sections = g.edges.filter("type = 'SAID'").join(employed, "src", "left_semi").select(F.expr("substring(dst, 2)").alias("id")).select(F.concat(F.split_part("id", F.lit("-"), F.lit(1)), F.lit("-")).alias("section_id"))
-    own = g.edges.filter("type = 'CO_MENTIONED' and src_label = 'STATEMENT' and dst = 'S1'").select(F.concat(F.split_part(F.expr("substring(src, 2)"), F.lit("-"), F.lit(1)), F.lit("-")).alias("section_id"))
+    employed = g.edges_of("WORKS_FOR").filter("dst = 'S1'").select("src")
+    sections = g.edges_of("SAID").join(employed, "src", "left_semi").select(F.expr("substring(dst, 2)").alias("id")).select(F.concat(F.split_part("id", F.lit("-"), F.lit(1)), F.lit("-")).alias("section_id"))
+    own = g.edges_of("CO_MENTIONED", touching=["STATEMENT"], beside=["ORG"]).filter("src_label = 'STATEMENT' and dst = 'S1'").select(F.concat(F.split_part(F.expr("substring(src, 2)"), F.lit("-"), F.lit(1)), F.lit("-")).alias("section_id"))
     sections = sections.join(own, "section_id", "left_semi").distinct().withColumn("k", C("section_id"))
-    rows = g.nodes.filter("label = 'STATEMENT'").select(C("node_id").alias("statement"), C("name").alias("statement_id"), F.concat(F.split_part("name", F.lit("-"), F.lit(1)), F.lit("-")).alias("k"))
+    rows = g.nodes_of("STATEMENT").select(C("node_id").alias("statement"), C("name").alias("statement_id"), F.concat(F.split_part("name", F.lit("-"), F.lit(1)), F.lit("-")).alias("k"))
     rows = rows.join(sections, "k").filter(F.startswith(C("statement_id"), C("section_id"))).select("statement", "statement_id", "section_id")
     return go.top(_with_speakers(g, rows).drop("statement"), C("statement_id"), n=50)
 
@@ -59,8 +59,8 @@ def statements_by_section(g: Graph) -> DataFrame:
     graph=True,
 )
 def statements_of_org(g: Graph) -> DataFrame:
-    near = g.edges.filter("type = 'CO_MENTIONED'").join(_org(g).select(C("node_id").alias("dst")), "dst")
-    rows = near.join(g.nodes.filter("label = 'STATEMENT'").select(C("node_id").alias("src"), C("name").alias("statement_id")), "src")
+    near = g.edges_of("CO_MENTIONED", touching=["STATEMENT"], beside=["ORG"]).join(_org(g).select(C("node_id").alias("dst")), "dst")
+    rows = near.join(g.nodes_of("STATEMENT").select(C("node_id").alias("src"), C("name").alias("statement_id")), "src")
     return go.top(_with_speakers(g, rows.select(C("src").alias("statement"), "statement_id", "cnt")).drop("statement"), C("statement_id"), n=50)
 
 
@@ -74,10 +74,10 @@ def statements_of_org(g: Graph) -> DataFrame:
 )
 def statements_by_shared_entity(g: Graph) -> DataFrame:
     """Statements that share an entity with the organisation: both sides meet on the entity."""
-    near = go.undirected(g.edges.filter("type = 'CO_MENTIONED'")).join(F.broadcast(_org(g).select(C("node_id").alias("a"))), "a").select(C("b").alias("via")).distinct()
+    near = go.undirected(g.edges_of("CO_MENTIONED", touching=["ORG"])).join(F.broadcast(_org(g).select(C("node_id").alias("a"))), "a").select(C("b").alias("via")).distinct()
     shared = g.nodes.filter(C("name").contains("2")).select(C("node_id").alias("via"), C("label").alias("shared_type"), C("name").alias("shared_name")).join(near, "via", "left_semi")
-    said = go.undirected(g.edges.filter(C("type").isin("CO_MENTIONED", "SAID") & ((C("src_label") == "STATEMENT") | (C("dst_label") == "STATEMENT")))).select(C("a").alias("via"), "b")
-    rows = said.join(shared, "via").join(g.nodes.filter("label = 'STATEMENT'").select(C("node_id").alias("b"), C("name").alias("statement_id")), "b")
+    said = go.undirected(g.edges_of("CO_MENTIONED", "SAID", touching=["STATEMENT"]).filter((C("src_label") == "STATEMENT") | (C("dst_label") == "STATEMENT"))).select(C("a").alias("via"), "b")
+    rows = said.join(shared, "via").join(g.nodes_of("STATEMENT").select(C("node_id").alias("b"), C("name").alias("statement_id")), "b")
     return go.top(rows.select("statement_id", "shared_type", "shared_name").distinct(), C("statement_id"), C("shared_name"), C("shared_type"), n=50)
 
 
@@ -103,9 +103,9 @@ def _by_text(sql: str):
 )
 def people_with_roles(g: Graph, texts: DataFrame) -> DataFrame:
     hits = texts.filter(F.lower("text").contains(WORD)).select(F.concat(F.lit("U"), "statement_id").alias("dst")).distinct()
-    count = g.edges.filter("type = 'SAID'").join(hits, "dst", "left_semi").groupBy("src").agg(F.count("*").alias("statements"))
-    roles = g.edges.filter("type = 'HAS_ROLE'").join(g.nodes.filter("label = 'ROLE'").select(C("node_id").alias("dst"), "name"), "dst").groupBy("src").agg(F.min("name").alias("role"))
-    rows = go.optional(count, roles, "src", [], ["role"]).join(g.nodes.filter("label = 'PERSON'").select(C("node_id").alias("src"), C("name").alias("person")), "src")
+    count = g.edges_of("SAID").join(hits, "dst", "left_semi").groupBy("src").agg(F.count("*").alias("statements"))
+    roles = g.edges_of("HAS_ROLE").join(g.nodes_of("ROLE").select(C("node_id").alias("dst"), "name"), "dst").groupBy("src").agg(F.min("name").alias("role"))
+    rows = go.optional(count, roles, "src", [], ["role"]).join(g.nodes_of("PERSON").select(C("node_id").alias("src"), C("name").alias("person")), "src")
     return go.top(rows.select("person", "role", "statements"), F.desc("statements"), C("person"), n=30)
 
 
@@ -114,8 +114,8 @@ def people_with_roles(g: Graph, texts: DataFrame) -> DataFrame:
     JOIN nodes p ON p.node_id = e.src JOIN talk t ON t.statement = e.dst WHERE e.type = 'SAID' AND p.name = 'user3' ORDER BY statement_id, quote LIMIT 10"""
 )
 def speaker_quotes(g: Graph, texts: DataFrame) -> DataFrame:
-    who = g.nodes.filter("label = 'PERSON' and name = 'user3'").select(C("node_id").alias("src"), C("name").alias("speaker"))
-    said = g.edges.filter("type = 'SAID'").join(F.broadcast(who), "src").select("speaker", F.expr("substring(dst, 2)").alias("statement_id"))
+    who = g.nodes_of("PERSON").filter("name = 'user3'").select(C("node_id").alias("src"), C("name").alias("speaker"))
+    said = g.edges_of("SAID").join(F.broadcast(who), "src").select("speaker", F.expr("substring(dst, 2)").alias("statement_id"))
     return go.top(said.join(texts, "statement_id").select("speaker", "statement_id", F.substring("text", 1, 200).alias("quote")).distinct(), C("statement_id"), C("quote"), n=10)
 
 
@@ -124,8 +124,8 @@ def _near_sql(label: str, n: int) -> str:
 
 
 def _near(g: Graph, label: str, n: int) -> DataFrame:
-    ends = g.edges.filter((C("type") == "CO_MENTIONED") & ((C("src_label") == label) | (C("dst_label") == label)))
-    rows = go.undirected(ends).join(F.broadcast(_org(g).select(C("node_id").alias("a"))), "a").join(g.nodes.filter(C("label") == label).select(C("node_id").alias("b"), "name"), "b")
+    ends = g.edges_of("CO_MENTIONED", touching=[label], beside=["ORG"]).filter((C("src_label") == label) | (C("dst_label") == label))
+    rows = go.undirected(ends).join(F.broadcast(_org(g).select(C("node_id").alias("a"))), "a").join(g.nodes_of(label).select(C("node_id").alias("b"), "name"), "b")
     return go.top(rows.groupBy("b", "name").agg(F.sum("cnt").alias("mentions")).drop("b"), F.desc("mentions"), C("name"), n=n)
 
 
@@ -152,9 +152,9 @@ def org_quantities(g: Graph) -> DataFrame:
 )
 def org_metrics(g: Graph) -> DataFrame:
     """Metrics that share a concept with the organisation."""
-    near = go.undirected(g.edges.filter("type = 'CO_MENTIONED'"))
-    concepts = near.join(F.broadcast(_org(g).select(C("node_id").alias("a"))), "a").join(g.nodes.filter("label = 'CONCEPT'").select(C("node_id").alias("b")), "b", "left_semi").select("b").distinct()
-    rows = near.join(g.nodes.filter("label = 'METRIC'").select(C("node_id").alias("a"), "name"), "a").join(concepts, "b", "left_semi")
+    near = go.undirected(g.edges_of("CO_MENTIONED", touching=["CONCEPT"], beside=["ORG", "METRIC"]))
+    concepts = near.join(F.broadcast(_org(g).select(C("node_id").alias("a"))), "a").join(g.nodes_of("CONCEPT").select(C("node_id").alias("b")), "b", "left_semi").select("b").distinct()
+    rows = near.join(g.nodes_of("METRIC").select(C("node_id").alias("a"), "name"), "a").join(concepts, "b", "left_semi")
     return go.top(rows.select("name", C("b").alias("concept"), "cnt"), F.desc("cnt"), C("name"), C("concept"), n=30)
 
 
@@ -166,9 +166,9 @@ def org_metrics(g: Graph) -> DataFrame:
     graph=True,
 )
 def org_risks(g: Graph) -> DataFrame:
-    edges, me = g.edges.filter(C("type").isin("EXPOSES_TO_RISK", "MITIGATES_RISK")), _org(g).select(C("node_id").alias("me"))
+    edges, me = g.edges_of("EXPOSES_TO_RISK", "MITIGATES_RISK"), _org(g).select(C("node_id").alias("me"))
     side = lambda way, own, other: edges.select(F.lit(way).alias("direction"), "type", "cnt", C(own).alias("me"), C(other).alias("other"))
-    rows = side("out", "src", "dst").unionByName(side("in", "dst", "src")).join(F.broadcast(me), "me").join(g.nodes.filter("label = 'RISK'").select(C("node_id").alias("other"), C("name").alias("risk")), "other")
+    rows = side("out", "src", "dst").unionByName(side("in", "dst", "src")).join(F.broadcast(me), "me").join(g.nodes_of("RISK").select(C("node_id").alias("other"), C("name").alias("risk")), "other")
     return go.top(rows.select("direction", "risk", "type", "cnt"), F.desc("cnt"), C("risk"), C("direction"), C("type"), n=30)
 
 
@@ -201,7 +201,7 @@ def org_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def load_check(g: Graph) -> DataFrame:
     labels = g.nodes.groupBy("label").agg(F.count("*").alias("n"))  # a row for each label
-    types = g.edges.groupBy("type").agg(F.count("*").alias("n"))
+    types = g.edge_counts()
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "label"))
     named = F.array_sort(F.collect_list(F.when(C("r") <= 5, F.struct("r", F.concat_ws(":", "label", C("n").cast("string")).alias("t")))))
     of_nodes = labels.withColumn("r", rank).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_nodes"), F.count("*").alias("n_labels"), F.array_join(F.transform(named, lambda x: x["t"]), ", ").alias("top_labels"))
@@ -247,7 +247,7 @@ def sample_nodes(g: Graph) -> DataFrame:
     graph=True,
 )
 def sample_edges(g: Graph) -> DataFrame:
-    few, n = go.cap(g.edges.select("type", "edge_id", "src", "dst"), ["type"], ["edge_id"], 5), g.nodes.select("node_id", "name")
+    few, n = g.first_edges(5), g.nodes.select("node_id", "name")
     return n.toDF("src", "source").join(F.broadcast(few), "src").join(n.toDF("dst", "target"), "dst").select("type", "edge_id", "source", "target")
 
 
@@ -257,7 +257,7 @@ def sample_edges(g: Graph) -> DataFrame:
     graph=True,
 )
 def most_mentioned(g: Graph) -> DataFrame:
-    rows = g.edges.filter("type = 'CO_MENTIONED'").groupBy(C("dst").alias("node_id")).agg(F.sum("cnt").alias("mentions")).join(g.nodes.select("node_id", "name", "label"), "node_id")
+    rows = g.edges_of("CO_MENTIONED").groupBy(C("dst").alias("node_id")).agg(F.sum("cnt").alias("mentions")).join(g.nodes_ending("CO_MENTIONED").select("node_id", "name", "label"), "node_id")
     return go.top(rows.select("name", "label", "mentions"), F.desc("mentions"), C("name"), C("label"), n=15)
 
 
@@ -267,9 +267,9 @@ def most_mentioned(g: Graph) -> DataFrame:
     graph=True,
 )
 def person_neighbourhood(g: Graph) -> DataFrame:
-    near = go.undirected(g.edges.filter("src_label = 'PERSON' or dst_label = 'PERSON'"))
-    people = g.nodes.filter("label = 'PERSON'").select(C("node_id").alias("a"), C("name").alias("person"))
-    ends = g.nodes.filter(C("label").isin("PERSON", "ORG", "ROLE")).select(C("node_id").alias("b"), "label")
+    near = go.undirected(g.edges_of(touching=["PERSON"]).filter("src_label = 'PERSON' or dst_label = 'PERSON'"))
+    people = g.nodes_of("PERSON").select(C("node_id").alias("a"), C("name").alias("person"))
+    ends = g.nodes_of("PERSON", "ORG", "ROLE").select(C("node_id").alias("b"), "label")
     return near.select("a", "b").distinct().join(people, "a").join(ends, "b").groupBy("a", "person", "label").agg(F.count("*").alias("cnt")).drop("a")
 
 
@@ -284,6 +284,6 @@ def document_ratios(g: Graph) -> DataFrame:
     is_statement = C("label") == "STATEMENT"
     doc = F.when(is_statement, F.split_part("name", F.lit("-"), F.lit(1)))
     of_nodes = g.nodes.agg(F.count("*").alias("n_nodes"), F.sum(is_statement.cast("long")).alias("n_statements"), F.countDistinct(doc).alias("n_docs"))
-    both = of_nodes.crossJoin(F.broadcast(g.edges.agg(F.count("*").alias("n_edges"))))  # one row each
+    both = of_nodes.crossJoin(F.broadcast(g.edge_counts().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_edges"))))  # one row each
     per = C("n_statements") / C("n_docs")
     return both.select("n_nodes", "n_edges", "n_statements", F.round(per, 4).alias("statements_per_document"), F.round(C("n_edges") / C("n_docs"), 4).alias("edges_per_document"), (per < 10).alias("alert"))
