@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import graph
 from tessera.plans.queries import QUERIES
 from tessera.sources import store
 from tessera.sources.graph_tables import Graph, build
@@ -26,6 +27,7 @@ def names(base):
 def test_only_named_parts_are_built(spark, fresh):
     QUERIES["temporal_insights"](spark, fresh).collect()
     assert names(fresh) == {"lines", "edges-CO_MENTIONED-ORG-DATE", "nodes-ORG", "nodes-DATE"}
+    QUERIES["two_hop_patterns"](spark, fresh).collect()
     QUERIES["load_check"](spark, fresh).collect()
     assert not any("COMPETES_WITH" in n for n in names(fresh))
 
@@ -42,3 +44,13 @@ def test_parts_equal_the_whole(spark):
     ids = [r["node_id"] for r in me.collect()]
     touched = lambda df: rows(df.filter(F.col("src").isin(ids) | F.col("dst").isin(ids)))
     assert touched(g.edges_at(me)) == touched(whole.edges_at(me)) == touched(g.edges)
+
+
+def test_paths_through_a_hub_are_counted_not_listed(spark):
+    """A node with 3,000 neighbours has nine million paths of two edges."""
+    n = 3000
+    nodes = spark.range(n + 1).select(F.col("id").cast("string").alias("node_id"), F.when(F.col("id") == 0, "HUB").otherwise("X").alias("label"))
+    edges = spark.range(1, n + 1).select(F.col("id").cast("string").alias("edge_id"), F.col("id").cast("string").alias("src"), F.lit("0").alias("dst"), F.lit("t").alias("type"), F.lit(1).alias("cnt"))
+    two = {tuple(r) for r in graph.path_pattern_counts(Graph(nodes, edges), 2, "t").collect()}
+    assert two == {("X", "X", "t>t", n * (n - 1))}
+    assert graph.path_pattern_counts(Graph(nodes, edges), 3, "t").collect() == []
