@@ -32,13 +32,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, materialise
+from tessera.llm.common import bounded_batches, give_back, materialise
 
 CHUNK_BYTES = 16 << 20
 #: Segments of a task that wait to be sent to their chunks together.
-PACK_SEGMENTS = 1_000_000
+PACK_SEGMENTS = 250_000
 #: Segment numbers of the documents that are composed together.
-COMPOSE_SEGMENTS = 300_000
+COMPOSE_SEGMENTS = 100_000
+#: Segments of a chunk whose texts and pairs are made together.
+SLICE_SEGMENTS = 40_000
 #: White space before which a text may be split if the vocabularies allow it.
 MARKS = " \t\n\x0b\x0c"
 _SPACE_SIGN = "▁"
@@ -184,6 +186,8 @@ def _chunked(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
             if ids:
                 yield told(ids, lengths, codes)
         yield from segments()
+        known = {}
+        give_back()
 
     return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, codes binary, code int, segment string")
 
@@ -222,7 +226,7 @@ def _aligned(segments: DataFrame, paths: tuple[str, str]) -> DataFrame:
             tail = int(max(found[0][-1], 0))
             ta, tb = int(found[1][len(found[1]) - tail :].sum()), int(found[2][len(found[2]) - tail :].sum())
             last, last_found = distinct[-1], (found[0][-1:], *(x[len(x) - k :] for x, k in zip(found[1:], (tail, tail, ta, tb), strict=True)))
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), *found, number + done))
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), *[x.astype(np.int32) for x in (*found, number + done)]))
             done += len(distinct)
             size += batch.num_rows
             if size >= pack_segments:
@@ -230,6 +234,8 @@ def _aligned(segments: DataFrame, paths: tuple[str, str]) -> DataFrame:
                 held, size, done = [], 0, 0
         if held:
             yield from sent()
+            held = []
+        give_back()
 
     return rows.select("chunk", "code", "segment").mapInArrow(run, "chunk long, packed binary")
 
@@ -238,8 +244,9 @@ class _Chunk:
     """The alignments of all segments of a chunk, by code."""
 
     def __init__(self, packs: list[bytes]) -> None:
-        parts = [_unpack(p, 6) for p in packs]
-        code, groups, in_a, in_b, a, b = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(6))
+        parts = [[x.astype(np.int32) for x in _unpack(p, 6)] for p in packs]
+        code, groups, in_a, in_b, a, b = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int32) for k in range(6))
+        del parts
         order = np.argsort(code)
         own = np.maximum(groups - 1, 0)
         g = _ranges(_starts(own)[:-1][order], own[order])
@@ -253,46 +260,69 @@ class _Chunk:
         """Tokens of either, groups and links of each segment."""
         m = len(self.groups)
         by = lambda x: np.bincount(self.segment, x, m).astype(np.int64)
-        return np.stack([by(self.in_a), by(self.in_b), self.groups, by(self.in_a * self.in_b)])
+        return np.stack([by(self.in_a), by(self.in_b), self.groups, by(self.in_a.astype(np.int64) * self.in_b)])
+
+    def _slices(self) -> Iterator[tuple[int, int, tuple[np.ndarray, ...]]]:
+        """Slices of the segments (from, to): of each group there its segment, counted from the slice's first, its tokens, and the ids."""
+        first, first_a, first_b = _starts(self.groups), _starts(self.in_a), _starts(self.in_b)
+        for low in range(0, len(self.groups), SLICE_SEGMENTS):
+            high = min(low + SLICE_SEGMENTS, len(self.groups))
+            g = slice(first[low], first[high])
+            yield low, high, (self.segment[g] - low, self.in_a[g], self.in_b[g], self.a[first_a[g.start] : first_a[g.stop]], self.b[first_b[g.start] : first_b[g.stop]])
 
     def texts(self) -> list[str]:
         """The groups of each segment as text."""
-        start_a, start_b = _starts(self.in_a)[:-1], _starts(self.in_b)[:-1]
-        both = np.zeros(len(self.a) + len(self.b), np.int64)
+        out = [""] * len(self.groups)
+        for low, high, own in self._slices():
+            for i, line in zip((np.flatnonzero(self.groups[low:high]) + low).tolist(), self._lines(*own), strict=False):
+                out[i] = line
+        return out
+
+    @staticmethod
+    def _lines(of: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[str]:
+        """The groups of the segments `of` as one text for each segment that has any."""
+        start_a, start_b = _starts(in_a)[:-1], _starts(in_b)[:-1]
+        both = np.zeros(len(a) + len(b), np.int64)
         sign = np.zeros(len(both), np.int64)
-        at_a, at_b = _ranges(start_a + start_b, self.in_a), _ranges(start_a + start_b + self.in_a, self.in_b)
-        both[at_a], both[at_b] = self.a, self.b
-        sign[start_a + start_b + self.in_a - 1] = 1
-        last = start_a + start_b + self.in_a + self.in_b - 1
+        at_a, at_b = _ranges(start_a + start_b, in_a), _ranges(start_a + start_b + in_a, in_b)
+        both[at_a], both[at_b] = a, b
+        sign[start_a + start_b + in_a - 1] = 1
+        last = start_a + start_b + in_a + in_b - 1
         sign[last] = 2
-        of = self.segment
         sign[last[np.flatnonzero(np.concatenate((of[1:] != of[:-1], [True])))] if len(of) else last] = 3
         values, which = np.unique(both << 2 | sign, return_inverse=True)
         names = [f"{v >> 2}{',|;\n'[v & 3]}" for v in values.tolist()]
-        lines = "".join([names[i] for i in which.tolist()]).split("\n")
-        out = [""] * len(self.groups)
-        for i, line in zip(np.flatnonzero(self.groups).tolist(), lines, strict=False):
-            out[i] = line
-        return out
+        return "".join([names[i] for i in which.tolist()]).split("\n")
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The distinct linked pairs of the chunk (a << 32 | b), and those of each segment: where they start, their numbers, how often they are linked."""
-        group = np.arange(len(self.in_a))
+        parts = [self._pairs(high - low, *own) for low, high, own in self._slices()]
+        if not parts:
+            none = np.zeros(0, np.int64)
+            return none, _starts(none), none, none
+        pair = np.unique(np.concatenate([p[0] for p in parts]))
+        numbers = np.concatenate([np.searchsorted(pair, own)[number] for own, _, number, _ in parts])
+        return pair, _starts(np.concatenate([p[1] for p in parts])), numbers, np.concatenate([p[3] for p in parts])
+
+    @staticmethod
+    def _pairs(segments: int, of: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of a slice, and those of each segment: how many, their numbers in order, how often they are linked."""
+        group = np.arange(len(in_a))
 
         def distinct(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             keys, times = np.unique(np.repeat(group, sizes) << 32 | ids, return_counts=True)
             return np.bincount(keys >> 32, minlength=len(group)), keys & 0xFFFFFFFF, times
 
-        na, a, ta = distinct(self.a, self.in_a)
-        nb, b, tb = distinct(self.b, self.in_b)
+        na, a, ta = distinct(a, in_a)
+        nb, b, tb = distinct(b, in_b)
         many = np.repeat(nb, na)  # each a of a group with each b of it
         left, right = np.repeat(np.arange(len(a)), many), _ranges(np.repeat(_starts(nb)[:-1], na), many)
         pair, number = np.unique(a[left] << 32 | b[right], return_inverse=True)
-        segment = np.repeat(np.repeat(self.segment, na), many)
-        keys, back = np.unique(segment * max(1, len(pair)) + number, return_inverse=True)
+        size = max(1, len(pair))
+        keys, back = np.unique(np.repeat(np.repeat(of, na), many) * size + number, return_inverse=True)
         times = np.bincount(back, ta[left] * tb[right], len(keys)).astype(np.int64)
-        start = np.searchsorted(keys, np.arange(len(self.groups) + 1) * max(1, len(pair)))
-        return pair, start, keys % max(1, len(pair)), times
+        segment, number = np.divmod(keys, size)
+        return pair, np.bincount(segment, minlength=segments), number, times
 
 
 def _composed(docs: DataFrame, aligned: DataFrame, kind: str) -> DataFrame:
@@ -303,20 +333,22 @@ def _composed(docs: DataFrame, aligned: DataFrame, kind: str) -> DataFrame:
         chunk = _Chunk(right.column("packed").to_pylist())
         totals, texts = chunk.totals(), chunk.texts()
         pair, start, numbers, times = chunk.pairs()
+        bad = chunk.bad
+        del chunk  # what follows needs no more of it
         per_segment = np.diff(start)
         ids, sums, digests, have = [], [], [], np.zeros(len(pair), np.int64)
         sizes, gaps, often = [], [], []
 
         def compose(lengths: np.ndarray, codes: np.ndarray) -> None:
             of = np.repeat(np.arange(len(lengths)), lengths)
-            bad = np.bincount(of, chunk.bad[codes], len(lengths)) > 0
-            own = np.stack([np.bincount(of, t[codes], len(lengths)).astype(np.int64) for t in totals]) * ~bad
+            gone = np.bincount(of, bad[codes], len(lengths)) > 0
+            own = np.stack([np.bincount(of, t[codes], len(lengths)).astype(np.int64) for t in totals]) * ~gone
             sums.append(own)
             at = _starts(lengths).tolist()
             listed = codes.tolist()
-            for k, gone in enumerate((bad | (lengths == 0)).tolist()):
-                digests.append("" if gone else hashlib.sha256(";".join([texts[c] for c in listed[at[k] : at[k + 1]]]).encode()).hexdigest())
-            keys, repeated = np.unique((of << 32 | codes)[~bad[of]], return_counts=True)
+            for k, none in enumerate((gone | (lengths == 0)).tolist()):
+                digests.append("" if none else hashlib.sha256(";".join([texts[c] for c in listed[at[k] : at[k + 1]]]).encode()).hexdigest())
+            keys, repeated = np.unique((of << 32 | codes)[~gone[of]], return_counts=True)
             doc, code = keys >> 32, keys & 0xFFFFFFFF
             entries = _ranges(start[code], per_segment[code])
             full = np.repeat(doc, per_segment[code]) * max(1, len(pair)) + numbers[entries]
@@ -344,6 +376,8 @@ def _composed(docs: DataFrame, aligned: DataFrame, kind: str) -> DataFrame:
         columns = {"ids": ids, "n_a": both[0], "n_b": both[1], "n_groups": both[2], "n_links": both[3], "digests": digests, "pairs": pair, "docs": have}
         columns |= {"linked": _pack(np.concatenate(sizes), np.concatenate(gaps), np.concatenate(often))}
         types = {"ids": left.schema.field("ids").type, "digests": pa.list_(pa.string()), "linked": pa.binary()}
+        del texts, totals, numbers, times, start, sums, sizes, gaps, often
+        give_back()
         return pa.table({"chunk": left.column("chunk").slice(0, 1)} | {c: pa.array([v], types.get(c, pa.list_(pa.int64()))) for c, v in columns.items()})
 
     names = f"chunk long, ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digests array<string>, pairs array<long>, docs array<long>, linked binary"

@@ -101,3 +101,24 @@ def test_query_on_all_documents(spark):
     want, _, _ = brute([x["text"] for x in rows])
     got = {x["doc_id"]: tuple(x[c] for c in COLUMNS) for x in op12_token_alignment(spark, sf).collect()}
     assert got == {x["doc_id"]: w for x, w in zip(rows, want, strict=True)}
+
+
+def test_a_chunk_is_composed_in_slices(monkeypatch):
+    """Texts and pairs of a chunk's segments come in slices: what is held beside the result doesn't grow with the chunk."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng, m = np.random.default_rng(1), 200_000
+    groups = rng.integers(0, 4, m)
+    in_a, in_b = (rng.integers(1, 4, groups.sum()) for _ in range(2))
+    a, b = rng.integers(0, 300, in_a.sum()), rng.integers(0, 300, in_b.sum())
+    chunk = token_alignment._Chunk([token_alignment._pack(np.arange(m), groups + 1, in_a, in_b, a, b)])
+    tracemalloc.start()
+    made = chunk.texts(), chunk.pairs()
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak - held < 60e6
+    monkeypatch.setattr(token_alignment, "SLICE_SEGMENTS", m)
+    assert made[0] == chunk.texts()
+    assert all(np.array_equal(x, y) for x, y in zip(made[1], chunk.pairs(), strict=True))
