@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph
 from tessera.plans.queries import QUERIES
-from tessera.sources import store
+from tessera.sources import graph_tables, store
 from tessera.sources.graph_tables import Graph, build
 
 SF = "/root/testdata/sf0.001"
@@ -46,6 +46,23 @@ def test_parts_equal_the_whole(spark):
     assert touched(g.edges_at(me)) == touched(whole.edges_at(me)) == touched(g.edges)
 
 
+@pytest.mark.parametrize("most", [0, 1 << 30])
+def test_rivals_are_counted_by_lists(spark, fresh, monkeypatch, most):
+    """Counts, degrees and the first edges of rivals are those of all pairs, which aren't made for them."""
+    g = build(spark, fresh)
+    whole = Graph(g.nodes_of("ORG"), g.edges_of("COMPETES_WITH"))
+    wanted = whole.edge_counts().first()["n"], sorted(map(tuple, whole.degrees_of().collect())), sorted(map(tuple, whole.first_edges(7).collect()))
+    store.drop(spark, fresh)
+    monkeypatch.setattr(graph_tables, "PAIRS", max(1, most))
+    monkeypatch.setattr(graph_tables.StoredGraph, "_rivals", lambda self: pytest.fail("pairs are listed"))
+    g = build(spark, fresh)
+    if most == 0:
+        monkeypatch.setattr(graph_tables.StoredGraph, "_dealt", lambda self, each: each)  # in as few tasks
+    counts = {r["type"]: r["n"] for r in g.edge_counts().collect()}
+    assert (counts["COMPETES_WITH"], sorted(map(tuple, g.degrees_of("COMPETES_WITH").collect()))) == wanted[:2]
+    assert sorted(map(tuple, g.first_edges(7).filter("type = 'COMPETES_WITH'").collect())) == wanted[2]
+
+
 def test_paths_through_a_hub_are_counted_not_listed(spark):
     """A node with 3,000 neighbours has nine million paths of two edges."""
     n = 3000
