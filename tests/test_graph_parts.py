@@ -71,3 +71,34 @@ def test_paths_through_a_hub_are_counted_not_listed(spark):
     two = {tuple(r) for r in graph.path_pattern_counts(Graph(nodes, edges), 2, "t").collect()}
     assert two == {("X", "X", "t>t", n * (n - 1))}
     assert graph.path_pattern_counts(Graph(nodes, edges), 3, "t").collect() == []
+
+
+def test_mentions_come_from_stored_pairs(spark, fresh, monkeypatch):
+    """Once pairs are counted, nodes, degrees and edges are made without another pass over the lines or the talk."""
+    wanted = sorted(map(tuple, build(spark, SF).nodes_of("ORG", "DATE", "PERSON", "PRODUCT").collect()), key=str)
+    edges = build(spark, SF).edges_of("CO_MENTIONED")
+    ends = edges.select("edge_id", "src").union(edges.select("edge_id", "dst")).distinct().groupBy("src").count()
+    degrees = sorted(map(tuple, ends.collect()))
+    g = build(spark, fresh)
+    g.edges_of("CO_MENTIONED")
+    monkeypatch.setattr(graph_tables.StoredGraph, "_lines", lambda self: pytest.fail("lines are read again"))
+    monkeypatch.setattr(graph_tables.StoredGraph, "_turns", lambda self: pytest.fail("conversations are read again"))
+    assert sorted(map(tuple, g.nodes_of("ORG", "DATE", "PERSON", "PRODUCT").collect()), key=str) == wanted
+    assert sorted((r["node_id"], r["degree"]) for r in g.degrees_of("CO_MENTIONED").collect()) == degrees
+
+
+def test_mentions_count_lines_without_values(spark, tmp_path):
+    """Lines whose supplier has no nation, or that have no date, count for the other end of a pair and for the node without an id."""
+    for name in os.listdir(SF):
+        if name not in ("supplier.parquet", "lineitem.parquet"):
+            os.symlink(f"{SF}/{name}", tmp_path / name)
+    spark.read.parquet(f"{SF}/supplier.parquet").withColumn("s_nationkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey"))).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_shipdate", F.when(F.col("l_linenumber") != 1, F.col("l_shipdate"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    g = build(spark, str(tmp_path))
+    lines = sorted(map(tuple, g.nodes_of("ORG", "GPE", "DATE").collect()), key=str)
+    store.drop(spark, str(tmp_path))
+    g.edges_of("CO_MENTIONED")
+    assert sorted(map(tuple, g.nodes_of("ORG", "GPE", "DATE").collect()), key=str) == lines
+    assert sum(node is None for node, *_ in lines) == 2
+    whole = Graph(g.nodes, g.edges_of("CO_MENTIONED"))
+    assert sorted(map(tuple, g.degrees_of("CO_MENTIONED").collect()), key=str) == sorted(map(tuple, whole.degrees_of().collect()), key=str)
