@@ -102,3 +102,10 @@ def test_mentions_count_lines_without_values(spark, tmp_path):
     assert sum(node is None for node, *_ in lines) == 2
     whole = Graph(g.nodes, g.edges_of("CO_MENTIONED"))
     assert sorted(map(tuple, g.degrees_of("CO_MENTIONED").collect()), key=str) == sorted(map(tuple, whole.degrees_of().collect()), key=str)
+
+
+def test_schema_names_builds_no_edges(spark, fresh):
+    rows = {tuple(r) for r in QUERIES["schema_names"](spark, fresh).collect()}
+    assert not any(n.startswith(("edges", "companies")) for n in names(fresh))
+    whole = build(spark, fresh)
+    assert {v for k, v in rows if k == "type"} == {r["type"] for r in whole.edges.select("type").distinct().collect()}
