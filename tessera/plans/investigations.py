@@ -23,7 +23,7 @@ def _org(g: Graph, name: str = ORG) -> DataFrame:
 
 def _with_speakers(g: Graph, statements: DataFrame) -> DataFrame:
     """Rows with a statement's node id as `statement`, and who said it: the first by name, all, and how many."""
-    people = g.nodes_of("PERSON").select(C("node_id").alias("src"), C("name").alias("who"))
+    people = g.nodes_ending("SAID", labels=["PERSON"]).select(C("node_id").alias("src"), C("name").alias("who"))
     said = g.edges_of("SAID").join(people, "src").groupBy(C("dst").alias("statement")).agg(F.array_sort(F.collect_set("who")).alias("who"))
     rows = statements.join(said, "statement", "left")
     none = F.coalesce("who", F.array().cast("array<string>"))
@@ -31,8 +31,8 @@ def _with_speakers(g: Graph, statements: DataFrame) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").distinct()
-    return rows.select(F.concat_ws("-", C("conv_id").cast("string"), C("turn").cast("string")).alias("statement_id"), "text", "role", "conv_id")
+    """Statements' texts; repeated turns are repeated."""
+    return table(spark, sf_dir, "conversations").select(F.concat_ws("-", C("conv_id").cast("string"), C("turn").cast("string")).alias("statement_id"), "text", "role", "conv_id")
 
 
 @query(
@@ -105,7 +105,7 @@ def people_with_roles(g: Graph, texts: DataFrame) -> DataFrame:
     hits = texts.filter(F.lower("text").contains(WORD)).select(F.concat(F.lit("U"), "statement_id").alias("dst")).distinct()
     count = g.edges_of("SAID").join(hits, "dst", "left_semi").groupBy("src").agg(F.count("*").alias("statements"))
     roles = g.edges_of("HAS_ROLE").join(g.nodes_of("ROLE").select(C("node_id").alias("dst"), "name"), "dst").groupBy("src").agg(F.min("name").alias("role"))
-    rows = go.optional(count, roles, "src", [], ["role"]).join(g.nodes_of("PERSON").select(C("node_id").alias("src"), C("name").alias("person")), "src")
+    rows = go.optional(count, roles, "src", [], ["role"]).join(g.nodes_ending("SAID", labels=["PERSON"]).select(C("node_id").alias("src"), C("name").alias("person")), "src")
     return go.top(rows.select("person", "role", "statements"), F.desc("statements"), C("person"), n=30)
 
 
@@ -114,9 +114,10 @@ def people_with_roles(g: Graph, texts: DataFrame) -> DataFrame:
     JOIN nodes p ON p.node_id = e.src JOIN talk t ON t.statement = e.dst WHERE e.type = 'SAID' AND p.name = 'user3' ORDER BY statement_id, quote LIMIT 10"""
 )
 def speaker_quotes(g: Graph, texts: DataFrame) -> DataFrame:
-    who = g.nodes_of("PERSON").filter("name = 'user3'").select(C("node_id").alias("src"), C("name").alias("speaker"))
+    who = g.nodes_ending("SAID", labels=["PERSON"]).filter("name = 'user3'").select(C("node_id").alias("src"), C("name").alias("speaker"))
     said = g.edges_of("SAID").join(F.broadcast(who), "src").select("speaker", F.expr("substring(dst, 2)").alias("statement_id"))
-    return go.top(said.join(texts, "statement_id").select("speaker", "statement_id", F.substring("text", 1, 200).alias("quote")).distinct(), C("statement_id"), C("quote"), n=10)
+    quotes = texts.select("statement_id", F.substring("text", 1, 200).alias("quote")).distinct()
+    return go.top(said.join(quotes, "statement_id").select("speaker", "statement_id", "quote"), C("statement_id"), C("quote"), n=10)
 
 
 def _near_sql(label: str, n: int) -> str:

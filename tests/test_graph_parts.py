@@ -109,3 +109,32 @@ def test_schema_names_builds_no_edges(spark, fresh):
     assert not any(n.startswith(("edges", "companies")) for n in names(fresh))
     whole = build(spark, fresh)
     assert {v for k, v in rows if k == "type"} == {r["type"] for r in whole.edges.select("type").distinct().collect()}
+
+
+@pytest.mark.parametrize("name", ["people_with_roles", "speaker_quotes", "speaker_network", "top_speakers", "statements_by_section"])
+def test_speakers_come_from_the_talk_alone(spark, fresh, monkeypatch, name):
+    wanted = list(map(tuple, QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(graph_tables.StoredGraph, "_lines", lambda self: pytest.fail("lines are built"))
+    assert list(map(tuple, QUERIES[name](spark, fresh).collect())) == wanted != []
+
+
+def test_people_of_lines_and_talk_are_all_there(spark, fresh):
+    g = build(spark, fresh)
+    people = {r["node_id"]: r["mentions"] for r in g.nodes_of("PERSON").collect()}
+    speakers = {r["node_id"]: r["mentions"] for r in g.nodes_ending("SAID", labels=["PERSON"]).collect()}
+    assert {k: n for k, n in people.items() if k[0] == "Q"} == speakers != {}
+    assert {k for k in people if k[0] == "C"} == {r["src"] for r in g.edges_of("CO_MENTIONED", touching=["PERSON"]).select(F.when(F.col("src_label") == "PERSON", F.col("src")).otherwise(F.col("dst")).alias("src")).collect()}
+    assert {k[0] for k in people} == {"C", "Q"}
+    assert {r["label"] for r in g.nodes_ending("SAID").collect()} == {"PERSON", "STATEMENT"}
+
+
+def test_repeated_turns_count_once(spark, tmp_path):
+    for name in os.listdir(SF):
+        if name != "conversations.parquet":
+            os.symlink(f"{SF}/{name}", tmp_path / name)
+    rows = spark.read.parquet(f"{SF}/conversations.parquet")
+    rows.union(rows).union(rows.withColumn("text", F.concat("text", F.lit(" the")))).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["person"]: r["statements"] for r in QUERIES["people_with_roles"](spark, str(tmp_path)).collect()}
+    turns = rows.select(F.concat("role", (F.col("conv_id") % 20).cast("string")).alias("person"), "conv_id", "turn").distinct().groupBy("person").count().collect()
+    most = sorted(((r["person"], r["count"]) for r in turns), key=lambda x: (-x[1], x[0]))[:30]
+    assert got == dict(most)
