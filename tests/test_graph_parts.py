@@ -2,11 +2,12 @@
 
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import graph
-from tessera.plans.queries import QUERIES
+from tessera.plans.queries import ORACLE_SQL, QUERIES
 from tessera.sources import graph_tables, store
 from tessera.sources.graph_tables import Graph, build
 
@@ -138,3 +139,24 @@ def test_repeated_turns_count_once(spark, tmp_path):
     turns = rows.select(F.concat("role", (F.col("conv_id") % 20).cast("string")).alias("person"), "conv_id", "turn").distinct().groupBy("person").count().collect()
     most = sorted(((r["person"], r["count"]) for r in turns), key=lambda x: (-x[1], x[0]))[:30]
     assert got == dict(most)
+
+
+@pytest.mark.parametrize("name", ["competitive_landscape", "node_in_out"])
+def test_rivals_are_ordered_by_their_ids(spark, tmp_path, name):
+    """Ids are text, so S10 comes before S9: the first company of a pair is that of the SQL once keys differ in length."""
+    c = duckdb.connect()
+    for table in os.listdir(SF):
+        if table not in ("supplier.parquet", "lineitem.parquet"):
+            os.symlink(f"{SF}/{table}", tmp_path / table)
+    spark.read.parquet(f"{SF}/supplier.parquet").withColumn("s_suppkey", F.col("s_suppkey") * 3).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_suppkey", F.col("l_suppkey") * 3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for table in os.listdir(tmp_path):
+        path = f"{tmp_path}/{table}"
+        c.execute(f"CREATE VIEW {table.split('.')[0]} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
+    df = QUERIES[name](spark, str(tmp_path))
+    wanted = c.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(wanted) != []
+    g = build(spark, str(tmp_path))
+    me = g.nodes_of("ORG").filter("name in ('3', '12')")
+    rivals = lambda e: {tuple(r) for r in e.filter("type = 'COMPETES_WITH' and (src in ('S3', 'S12') or dst in ('S3', 'S12'))").select("src", "dst", "cnt").collect()}
+    assert rivals(g.edges_at(me)) == rivals(g.edges) != set()
