@@ -13,7 +13,7 @@ from tessera.functions import text as tx
 from tessera.functions.fields import field_query
 from tessera.operators import graph as go
 from tessera.operators import intervals as iv
-from tessera.plans.queries import _PER, _PRED, _REPORT_SQL, _TX, C, _predictions, _reports, query, table, transactions
+from tessera.plans.queries import _PER, _PRED, _REPORT_SQL, _TX, C, _fills, _named, _predictions, _reports, query, table, transactions
 
 # --- spans -------------------------------------------------------------------------------------------------
 
@@ -134,8 +134,8 @@ def insider_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION SELECT 'DATE', CAST(d AS VARCHAR) FROM t UNION SELECT 'CODE', code FROM t UNION SELECT 'SECURITY', security FROM t) GROUP BY kind"""
 )
 def insider_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct structured entities of filings by label."""
-    found = ex.structured_entities(transactions(spark, sf_dir), {"PERSON": "insider", "ORG": "company", "DATE": "d", "CODE": "code", "SECURITY": "security"})
+    """Distinct structured entities of filings by label; a transaction may come again, its entities count once."""
+    found = ex.structured_entities(_named(spark, sf_dir, _fills(spark, sf_dir)), {"PERSON": "insider", "ORG": "company", "DATE": "d", "CODE": "code", "SECURITY": "security"})
     return found.groupBy("label").agg(F.count("*").alias("n"))
 
 
