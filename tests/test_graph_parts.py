@@ -160,3 +160,9 @@ def test_rivals_are_ordered_by_their_ids(spark, tmp_path, name):
     me = g.nodes_of("ORG").filter("name in ('3', '12')")
     rivals = lambda e: {tuple(r) for r in e.filter("type = 'COMPETES_WITH' and (src in ('S3', 'S12') or dst in ('S3', 'S12'))").select("src", "dst", "cnt").collect()}
     assert rivals(g.edges_at(me)) == rivals(g.edges) != set()
+
+
+def test_ego_builds_what_its_nodes_touch(spark, fresh):
+    wanted = sorted(map(tuple, graph.ego(Graph(build(spark, SF).nodes, build(spark, SF).edges), "-07").collect()))
+    assert sorted(map(tuple, graph.ego(build(spark, fresh), "-07").collect())) == wanted != []
+    assert not any(n.startswith(("companies", "edges-COMPETES_WITH", "edges-CAUSES")) for n in names(fresh))
