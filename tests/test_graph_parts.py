@@ -166,3 +166,16 @@ def test_ego_builds_what_its_nodes_touch(spark, fresh):
     wanted = sorted(map(tuple, graph.ego(Graph(build(spark, SF).nodes, build(spark, SF).edges), "-07").collect()))
     assert sorted(map(tuple, graph.ego(build(spark, fresh), "-07").collect())) == wanted != []
     assert not any(n.startswith(("companies", "edges-COMPETES_WITH", "edges-CAUSES")) for n in names(fresh))
+
+
+def test_degrees_of_rivals_meet_a_pair_once(spark, fresh, monkeypatch):
+    """Each list goes to a company without those before it, so a pair is shuffled once; causes are kept by their keys."""
+    whole = build(spark, SF)
+    wanted = sorted(map(tuple, Graph(whole.nodes, whole.edges).degrees_of().collect()), key=str)
+    each, sent = graph_tables.StoredGraph._each, []
+    monkeypatch.setattr(graph_tables.StoredGraph, "_each", lambda self, met: sent.append(each(self, met)) or sent[-1])
+    g = build(spark, fresh)
+    assert sorted(map(tuple, g.degrees_of().collect()), key=str) == wanted
+    pairs = g._companies().agg(F.sum(F.expr("size(orgs) * (size(orgs) - 1) div 2"))).first()[0]
+    assert [df.agg(F.sum(F.size("met"))).first()[0] for df in sent] == [pairs]
+    assert g._rows(("CAUSES", "ORG", "RISK")).columns == ["org", "risk", "date", "d"]
